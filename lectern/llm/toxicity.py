@@ -5,8 +5,8 @@ bytes, its last 3, and the word before it; transitions have a weight each. Label
 labelled first: in toxic documents, the tokens that have a feature which is much commoner there than in clean
 ones; all others are not toxic. The field is fitted by gradient steps on the likelihood of those token labels.
 
-Forward-backward marginals give each token's probability; a document's score is a logistic function of the log of
-sum(-log(1 - p)), which grows with each offending token, fitted on the same rows; tokens of 0.5 or more make the spans.
+Forward-backward marginals p give each token's probability; a document's score is a logistic function, fitted on the same rows, of the log of
+sum(-log(1 - p)), which grows with each offending token, and of the highest p, which does not grow with length; tokens of 0.5 or more make the spans.
 
 Fitting uses a bounded sample: SAMPLE labelled rows a class at most (least hash of the id, no more than SAMPLE_BYTES each), on the driver. Everything else
 covers all rows and whole texts. Null and empty texts have no tokens and the lowest score; unlabelled, null or conflicting labels
@@ -30,9 +30,11 @@ from lectern.llm.tokens import ALNUM, Words, mix, pieces
 TABLE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 SAMPLE, SAMPLE_BYTES = 1000, 1 << 15
-STEPS, RATE, DECAY = 40, 0.3, 1e-6
-#: A feature marks tokens if its share of toxic documents is exp(MARK) times that of clean ones, in at least MARK_DOCS toxic documents.
-MARK, MARK_DOCS = 2.5, 3
+STEPS, RATE, DECAY = 50, 0.4, 1e-7
+#: A feature marks tokens if its share of toxic documents is exp(MARK) times that of clean ones, in at least MARK_DOCS toxic documents and MARK_SHARE of them.
+MARK, MARK_DOCS, MARK_SHARE = 1.9, 3, 0.01
+#: Weights of steps before fitting: a label is rarely toxic.
+MOVES = ((0.0, -5.0), (0.0, -3.0))
 PIECE_BYTES = 4 << 20
 FOLDS, HELD_OUT = 5, 0
 
@@ -53,8 +55,8 @@ def features(w: Words) -> np.ndarray:
 class Field:
     """weight: of features for label 1; move[i, j]: of the step from label i to j."""
 
-    def __init__(self, weight: np.ndarray, move: np.ndarray, slope: float = 1.0, shift: float = 0.0):
-        self.weight, self.move, self.slope, self.shift = weight, move, slope, shift
+    def __init__(self, weight: np.ndarray, move: np.ndarray, theta: np.ndarray):
+        self.weight, self.move, self.theta = weight, move, theta
 
     def scores(self, places: np.ndarray) -> np.ndarray:
         total = self.weight[places[0]].astype(np.float64)
@@ -93,9 +95,18 @@ class Field:
         return self.marginals(self.scores(features(w)), p)[0][p.place] if len(w.hashes) else np.zeros(0)
 
     def document_scores(self, p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        total = np.r_[0, np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-9)))]
-        x = np.log(np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0) + 1e-4)
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(document_features(p, bounds) @ self.theta, -40, 40)))
+
+
+def document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each document: log of sum(-log(1 - p)), log odds of the highest p, 1."""
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    total = np.r_[0, np.cumsum(-np.log1p(-p))]
+    amount = np.log(np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0) + 1e-4)
+    high, some = np.full(len(bounds) - 1, 1e-9), np.diff(bounds) > 0
+    if some.any():
+        high[some] = np.maximum.reduceat(p, bounds[:-1][some])
+    return np.stack([amount, np.log(high / (1 - high)) / 4, np.ones(len(high))], 1)
 
 
 def token_labels(places: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -107,13 +118,13 @@ def token_labels(places: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> n
         here, of = once // len(toxic), toxic[once % len(toxic)]
         n1, n0 = np.bincount(here[of], minlength=size), np.bincount(here[~of], minlength=size)
         odds = np.log((n1 + 0.5) / (toxic.sum() + 1)) - np.log((n0 + 0.5) / ((~toxic).sum() + 1))
-        label |= ((odds >= MARK) & (n1 >= MARK_DOCS))[row]
+        label |= ((odds >= MARK) & (n1 >= max(MARK_DOCS, MARK_SHARE * toxic.sum())))[row]
     return label & toxic[doc]
 
 
 def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Field:
     """The field of a bounded list of labelled texts; ``prior``: share of toxic rows among all labelled ones."""
-    field = Field(np.zeros(1 << TABLE_BITS), np.zeros((2, 2)), 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
+    field = Field(np.zeros(1 << TABLE_BITS), np.array(MOVES), np.array([0.0, 0.0, np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))]))
     if not toxic.any() or toxic.all():
         return field
     w = Words(pa.array(texts, pa.string()), ALNUM)
@@ -141,19 +152,15 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Field:
         slope[0, 0] = 0
         moved += slope**2
         field.move += RATE * slope / np.sqrt(moved)
-    # One-dimensional logistic regression of the documents, weighted to the prior.
-    prob = field.marginals(field.scores(places), p)[0][p.place]
-    total = np.r_[0, np.cumsum(-np.log1p(-np.minimum(prob, 1 - 1e-9)))]
-    x = np.log(np.maximum(total[w.bounds[1:]] - total[w.bounds[:-1]], 0) + 1e-4)
+    # Logistic regression of the documents, weighted to the prior.
+    field.weight = field.weight.astype(np.float32)
+    design, theta = document_features(field.marginals(field.scores(places), p)[0][p.place], w.bounds), np.zeros(3)
     weight = np.where(toxic, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
-    design, theta = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0])
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        hessian = (design * (weight * q * (1 - q))[:, None]).T @ design + 1e-2 * np.eye(2)
-        step_ = np.linalg.solve(hessian, design.T @ (weight * (toxic - q)) - 1e-2 * theta)
-        theta += np.clip(step_, -2, 2)
-    field.slope, field.shift = float(max(theta[0], 0.05)), float(theta[1])
-    field.weight = field.weight.astype(np.float32)
+        hessian = (design * (weight * q * (1 - q))[:, None]).T @ design + 1e-2 * np.eye(3)
+        theta += np.clip(np.linalg.solve(hessian, design.T @ (weight * (toxic - q)) - 1e-2 * theta), -2, 2)
+    field.theta = theta
     return field
 
 
@@ -166,8 +173,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     for kind in (True, False):
         chosen = doc_texts(docs).filter(f"octet_length(text) <= {SAMPLE_BYTES}").join(clear.filter((F.col("toxic") > 0) == kind).select("doc_id"), "doc_id", "left_semi")
         rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()
-        texts += [r.text for r in rows]
-        toxic += [kind] * len(rows)
+        distinct = list(dict.fromkeys(r.text for r in rows))  # copies say nothing about words
+        texts += distinct
+        toxic += [kind] * len(distinct)
     return fit(texts, np.array(toxic, bool), n.get(True, 0) / max(1, sum(n.values())))
 
 
@@ -198,3 +206,20 @@ def op4(spark, sf_dir: str) -> DataFrame:
     found = tag(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")
+
+
+def clean(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns."""
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(at).fill_null("")
+                for b in pieces(iter([batch.set_column(at, "text", texts)]), PIECE_BYTES):
+                    w = Words(b.column(at), ALNUM)
+                    rows = np.flatnonzero(field.document_scores(field.tagged(w), w.bounds) < threshold)
+                    start = b.column(at).offset - texts.offset
+                    yield batch.take(pa.array(rows + start))
+
+    return docs.mapInArrow(keep, docs.schema)
