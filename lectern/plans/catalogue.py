@@ -1,4 +1,6 @@
 """Query catalogue: name -> function of (spark, sf_dir), and DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans import relational, texts  # noqa: F401  (they register their queries)
+from lectern.plans.roles import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
