@@ -235,7 +235,9 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda k: array_to_string(list_slice(w, k, k + 4), ' ')) END) AS g FROM w),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM w),
+p AS (SELECT doc_id, k, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g, count(*) OVER (PARTITION BY doc_id) AS n FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+s AS (SELECT DISTINCT doc_id, g FROM p WHERE k <= greatest(n - 4, 1)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),

@@ -68,18 +68,15 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM d),
-r AS (SELECT doc_id, text, s, unnest(generate_series(1, greatest(len(s) - 2, 1))) AS pos FROM s WHERE len(s) > 0),
-k AS (SELECT *, list_slice(s, pos, pos + 2) AS run FROM r),
-f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS n, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, pos) AS first_doc FROM k),
-m AS (SELECT doc_id, text, any_value(s) AS s, list(pos) AS marks, list_sort(list_distinct(list(first_doc))) AS first_docs FROM f WHERE n > 1 GROUP BY doc_id, text),
-c AS (SELECT doc_id, s, first_docs, unnest(list_sort(list_distinct(flatten(list_transform(marks, lambda p: generate_series(p, least(p + 2, len(s)))))))) AS p FROM m),
-g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS region FROM c),
-w AS (SELECT doc_id, any_value(s) AS s, any_value(first_docs) AS first_docs, list(p ORDER BY p) AS ps,
-      len(list_filter(regexp_split_to_array(array_to_string(list_transform(list(p ORDER BY p), lambda q: any_value(s)[q]), ' '), '[ \t]+'), lambda x: x <> '')) AS words FROM g GROUP BY doc_id, region),
-a AS (SELECT doc_id, any_value(s) AS s, any_value(first_docs) AS first_docs, list_sort(flatten(list(ps))) AS removed FROM w WHERE words >= 20 GROUP BY doc_id)
-SELECT doc_id, len(s)::BIGINT AS n_sentences, len(removed)::BIGINT AS n_removed, array_to_string(removed, ',') AS removed, array_to_string(first_docs, ',') AS first_docs,
-       array_to_string(list_filter(s, lambda x, i: NOT list_contains(removed, i)), chr(10)) AS text
-FROM a
+WITH d AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS t, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT doc_id, t, list_filter(list_transform(lines, lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM d),
+x AS (SELECT doc_id, t, unnest(s) AS s, generate_subscripts(s, 1) AS p FROM l),
+k AS (SELECT doc_id, t, p, concat_ws(chr(10), s, lead(s, 1) OVER w, lead(s, 2) OVER w) AS run, count(*) OVER (PARTITION BY doc_id, t) AS n FROM x WINDOW w AS (PARTITION BY doc_id, t ORDER BY p)),
+f AS (SELECT doc_id, t, p, row_number() OVER w AS n, first_value(doc_id) OVER w AS first_doc FROM k WHERE p <= greatest(n - 2, 1) WINDOW w AS (PARTITION BY run ORDER BY doc_id, p)),
+o AS (SELECT doc_id, t, array_to_string(list_sort(list_distinct(list(first_doc))), ',') AS first_docs FROM f WHERE n > 1 GROUP BY doc_id, t),
+m AS (SELECT DISTINCT doc_id, t, unnest(generate_series(p, p + 2)) AS p FROM f WHERE n > 1),
+g AS (SELECT doc_id, t, p, len(list_filter(regexp_split_to_array(s, '[ \t]+'), lambda y: y <> '')) AS words, p - row_number() OVER (PARTITION BY doc_id, t ORDER BY p) AS region FROM m JOIN x USING (doc_id, t, p)),
+r AS (SELECT doc_id, t, p, sum(words) OVER (PARTITION BY doc_id, t, region) >= 20 AS gone FROM g),
+a AS (SELECT doc_id, t, count(*) AS n_sentences, count_if(gone) AS n_removed, string_agg(p::VARCHAR, ',' ORDER BY p) FILTER (gone) AS removed, coalesce(string_agg(s, chr(10) ORDER BY p) FILTER (gone IS NOT TRUE), '') AS text FROM x LEFT JOIN r USING (doc_id, t, p) GROUP BY doc_id, t)
+SELECT doc_id, n_sentences::BIGINT AS n_sentences, n_removed::BIGINT AS n_removed, removed, first_docs, text FROM a JOIN o USING (doc_id, t) WHERE n_removed > 0
 """
