@@ -51,14 +51,20 @@ def deduplicated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) ->
     """Documents that lose sentences: doc_id, n_sentences, n_removed, removed (positions from 1), first_docs, text as it stays (lines joined by newlines)."""
     marks = repeated(docs, run)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct().withColumn("doc", F.xxhash64("text"))
-    rows = texts.join(marks, ["doc_id", "doc"]).select("doc_id", "doc", "marks", "first_docs", F.posexplode(sentences(F.col("text"))).alias("p", "s"))
-    rows = rows.select("doc_id", "doc", "first_docs", (F.col("p") + 1).alias("p"), "s", F.arrays_overlap("marks", F.array(*[F.col("p") + 1 - k for k in range(run)])).alias("covered"))
+    # Sentences and marks as rows of one kind: a sentence is covered by a mark at most run - 1 places before it.
+    items = F.concat(
+        F.transform(sentences(F.col("text")), lambda x, i: F.struct((i + 1).alias("p"), x.alias("s"), F.lit(False).alias("mark"), F.when(i == 0, F.col("first_docs")).alias("first_docs"))),
+        F.transform("marks", lambda m: F.struct(m.alias("p"), F.lit(None).cast("string").alias("s"), F.lit(True).alias("mark"), F.lit(None).cast("array<bigint>").alias("first_docs"))),
+    )
+    rows = texts.join(marks, ["doc_id", "doc"]).select("doc_id", "doc", F.explode(items).alias("i")).select("doc_id", "doc", "i.*")
+    near = W.Window.partitionBy("doc_id", "doc").orderBy("p").rangeBetween(1 - run, 0)
+    rows = rows.withColumn("covered", F.max("mark").over(near)).filter("not mark")
     # Adjoining covered sentences make a region: the windows are no larger than a document.
     along = W.Window.partitionBy("doc_id", "doc").orderBy("p")
     rows = rows.withColumn("region", F.col("p") - F.sum(F.col("covered").cast("int")).over(along))
     words = F.regexp_count("s", F.lit("[^ \\t]+"))
     rows = rows.withColumn("gone", F.col("covered") & (F.sum(F.when(F.col("covered"), words)).over(W.Window.partitionBy("doc_id", "doc", "region")) >= min_words))
-    out = rows.groupBy("doc_id", "doc").agg(F.count("*").alias("n_sentences"), F.count_if("gone").alias("n_removed"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("p")))).alias("removed"), F.first("first_docs").alias("first_docs"), F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("p", "s")))).alias("left"))
+    out = rows.groupBy("doc_id", "doc").agg(F.count("*").alias("n_sentences"), F.count_if("gone").alias("n_removed"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("p")))).alias("removed"), F.first("first_docs", ignorenulls=True).alias("first_docs"), F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("p", "s")))).alias("left"))
     return out.filter("n_removed > 0").select("doc_id", "n_sentences", "n_removed", "removed", "first_docs", F.array_join(F.col("left.s"), "\n").alias("text"))
 
 
