@@ -4,7 +4,7 @@ Archives are written by the text sink, a record a row with the format's separato
 at most RECORDS_PER_FILE a file; they are read as binary files and parsed record by record along their
 declared lengths, so nothing larger than a file is held. Payloads are bytes throughout.
 
-An ARC header line has the fields that its file's version block names; the URL is what is left of the last of
+An ARC header line has the fields that its file's version block names (those of its version where the block's list is not whole); the URL is what is left of the last of
 them, so it may hold blanks. A line that is no header (garbage between records) is skipped to the next one. A record whose
 block is shorter than declared (a cut file) ends its file. Null URLs are written as "-", white space in URLs
 as %20; null html is an empty payload; equal rows are records of their own; an empty table makes no archive and no rows;
@@ -79,9 +79,11 @@ def arc_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], byte
             block = data.read(int(values[-1]))
             lines = block.decode("utf-8", "replace").splitlines()
             version = int(lines[0].split(" ")[0]) if lines and lines[0][:1].isdigit() else 1
-            fields = lines[1].split() if len(lines) > 1 else ARC_FIELDS.get(version, ARC_FIELDS[1]).split()
+            fields = lines[1].split() if len(lines) > 1 else []
+            if not {"URL", "Archive-date"} <= set(fields) or fields[-1] != "Archive-length":
+                fields = ARC_FIELDS.get(version, ARC_FIELDS[1]).split()
             values = parts.rsplit(" ", len(fields) - 1)
-        elif len(values) == len(fields) and values[-1].isdigit() and re.fullmatch(r"\d{4,14}", values[fields.index("Archive-date")] if "Archive-date" in fields else values[2]):
+        elif len(values) == len(fields) and values[-1].isdigit() and re.fullmatch(r"\d{4,14}", values[fields.index("Archive-date")]):
             size = int(values[-1])
             block = data.read(size)
             if len(block) < size:
