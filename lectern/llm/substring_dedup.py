@@ -1,11 +1,12 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of RUN consecutive sentences is hashed (128 bits) and joined globally. A run that occurs
+Every run of RUN consecutive sentences is hashed (96 bits) and joined globally. A run that occurs
 before, in document or position order, marks its sentences; adjoining marked sentences of at least MIN_WORDS
 words are removed. Sentences end at line ends and at [.!?] before blanks. A document of fewer sentences is one run.
 
-The join is an aggregate (smallest occurrence by run, combined before the shuffle) joined back to the runs, so a
-run that a third of all documents hold is a skewed join that can be split. Null and empty texts
+The join is an aggregate (smallest occurrence by run, combined before the shuffle) joined back to the runs. Runs that make up
+more than one in HOT of all occurrences, of which there are fewer than HOT, are joined where they stand, by a broadcast; only the others are shuffled.
+Null and empty texts
 have no sentences. Rows with equal doc_id are told apart by their text; equal rows count once. Null ids take no part.
 Other columns are not read.
 """
@@ -20,6 +21,8 @@ from lectern.llm.common import written
 
 RUN = 3
 MIN_WORDS = 20
+#: A run with more than one in HOT of all occurrences does not go to a single task; fewer than HOT such runs can exist.
+HOT = 1000
 
 
 def sentences(text: Column) -> Column:
@@ -28,12 +31,12 @@ def sentences(text: Column) -> Column:
 
 
 def runs_of(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, doc (hash of the text), pos (from 1), h1, h2 of every run."""
-    hashed = F.transform(sentences(F.col("text")), lambda x: F.struct(F.xxhash64(x, F.lit(1)).alias("a"), F.xxhash64(x, F.lit(2)).alias("b")))
-    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc"), hashed.alias("s")).filter("size(s) > 0")
+    """doc_id, doc (32-bit hash of the text, telling rows with an equal doc_id apart), pos (from 1), h1 (64 bits), h2 (32 bits) of every run."""
+    hashed = F.transform(sentences(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b")))
+    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("doc"), hashed.alias("s")).filter("size(s) > 0")
     # The list beside itself shifted by 1, 2, ...: each element then is a run.
     beside = F.arrays_zip(*[(F.slice("s", k + 1, F.greatest(F.size("s"), F.lit(1))) if k else F.col("s")).alias(f"s{k}") for k in range(run)])
-    hashes = F.transform(beside, lambda r: F.struct(F.xxhash64(*[r[f"s{k}"]["a"] for k in range(run)]).alias("h1"), F.xxhash64(*[r[f"s{k}"]["b"] for k in range(run)]).alias("h2")))
+    hashes = F.transform(beside, lambda r: F.struct(F.xxhash64(*[r[f"s{k}"]["a"] for k in range(run)]).alias("h1"), F.hash(*[r[f"s{k}"]["b"] for k in range(run)]).alias("h2")))
     runs = d.select("doc_id", "doc", F.slice(hashes, F.lit(1), F.greatest(F.size("s") - (run - 1), F.lit(1))).alias("runs"))
     return runs.select("doc_id", "doc", F.posexplode("runs").alias("p", "r")).select("doc_id", "doc", (F.col("p") + 1).alias("pos"), "r.h1", "r.h2")
 
@@ -42,15 +45,19 @@ def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, doc, marks: positions (from 1) of runs of which another occurrence comes first; first: documents that hold those."""
     runs = written(runs_of(docs, run), "runs")
     # Runs seen once (most of them) go before anything is joined back.
-    first = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc", "pos")).alias("first")).filter("n > 1").select("h1", "h2", "first")
-    late = runs.join(first, ["h1", "h2"]).filter(F.struct("doc_id", "doc", "pos") != F.col("first"))
+    first = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc", "pos")).alias("first")).filter("n > 1"), "firsts")
+    hot = first.filter(F.col("n") * HOT > runs.count()).select("h1", "h2", F.col("first").alias("hot"))
+    marked = runs.join(F.broadcast(hot), ["h1", "h2"], "left")
+    rest = marked.filter("hot is null").join(first.select("h1", "h2", "first"), ["h1", "h2"])
+    columns = ["doc_id", "doc", "pos", "first"]
+    late = marked.filter("hot is not null").withColumnRenamed("hot", "first").select(columns).union(rest.select(columns)).filter(F.struct("doc_id", "doc", "pos") != F.col("first"))
     return late.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_set("pos")).alias("marks"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
 
 
 def deduplicated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents that lose sentences: doc_id, n_sentences, n_removed, removed (positions from 1), first_docs, text as it stays (lines joined by newlines)."""
     marks = repeated(docs, run)
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct().withColumn("doc", F.xxhash64("text"))
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct().withColumn("doc", F.hash("text"))
     # Sentences and marks as rows of one kind: a sentence is covered by a mark at most run - 1 places before it.
     items = F.concat(
         F.transform(sentences(F.col("text")), lambda x, i: F.struct((i + 1).alias("p"), x.alias("s"), F.lit(False).alias("mark"), F.when(i == 0, F.col("first_docs")).alias("first_docs"))),
