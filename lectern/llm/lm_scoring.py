@@ -2,15 +2,15 @@
 
 Hidden states move from word to word; a state emits a word's class, and the class its word:
 P(w | state) = P(class | state) * P(w | class). P(w | class) is (c + 0.5) over the sum of that for the class's words and one
-unseen word, with the counts c of all training words. Classes are fixed before counting: the
-FREQUENT commonest words of the starting sample have one each, other words share one by their endings, the end of a text has its own.
+unseen word, with the counts c of all training words. The FREQUENT commonest words of all training
+texts have a class each, other words share one by their endings, the end of a text has its own.
 
 1. Texts become ids of a dictionary a block of texts (a written table).
-2. Dictionary entries of all blocks are summed by word: at most one row a block and word is shuffled, never one a token.
+2. Dictionary entries of all blocks are summed by word: at most one row a block and word is shuffled, never one a token. The sums
+   give the commonest words.
 3. Counts go back to their blocks, where texts become class sequences (a written table) and base scores.
-4. Baum-Welch: each task runs forward-backward over its training sequences, and expected counts are summed by class in Spark. Training
-   sequences are cut into pieces of PIECE tokens for this; all pieces of all training texts count in each round.
-   Rounds start from a model fitted on START_DOCS texts (least hash of the id, at most START_BYTES each), a bounded sample.
+4. Baum-Welch from a random model: each round runs forward-backward over all training sequences, whole, and expected counts are
+   summed by class in Spark. A sequence of more than TOKENS tokens is taken in pieces that hand the forward and backward state on.
 5. The scaled forward recursion over whole sequences gives each text's likelihood exactly.
 
 Words are 64-bit hashes. Null and empty texts are the end token alone; a null doc_id counts as training; equal rows are scored each;
@@ -37,9 +37,9 @@ FREQUENT = 4096
 ENDINGS = 4096
 #: The end token's class; classes are 0 to END.
 END = FREQUENT + ENDINGS
-ROUNDS, START_ROUNDS = 3, 20
-START_DOCS, START_BYTES = 800, 1 << 16
-PIECE = 256
+ROUNDS = 23
+#: Forward-backward holds so many tokens at once, and sorts HELD of them by length.
+TOKENS, HELD = 1 << 19, 1 << 23
 BLOCK_BYTES = 8 << 20
 FOLDS, HELD_OUT = 5, 1
 
@@ -78,73 +78,87 @@ def forward(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray
     return out
 
 
-def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward: expected starts, moves and emissions by state."""
+def _forward_backward(model: Model, classes: np.ndarray, bounds: np.ndarray, before: np.ndarray | None = None, later: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Expected starts, moves and emissions by state, and what is handed back to the piece before. ``before``, ``later``: state handed on where a single text goes on from, or to, another piece."""
+    # States are rows, so that every step is an operation along the sequences.
     p, k = Packed(bounds), len(model.start)
-    symbols = p.pack(classes)
-    b = model.emit[symbols]
-    alpha, scale = np.empty_like(b), np.empty(len(b))
+    symbols, ones = p.pack(classes).astype(np.int64), np.ones(len(model.start))
+    out_of, into, emission = np.ascontiguousarray(model.move), np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
+    b = np.empty((k, len(symbols)))
+    for s in range(k):
+        np.take(emission[s], symbols, out=b[s], mode="clip")
+    alpha, scale = np.empty_like(b), np.empty(len(symbols))
+    first = model.start[:, None] if before is None else into @ before
     for t, n in enumerate(p.active):
         at = slice(p.off[t], p.off[t] + n)
-        a = (model.start if t == 0 else alpha[p.off[t - 1] : p.off[t - 1] + n] @ model.move) * b[at]
-        scale[at] = a.sum(1)
-        alpha[at] = a / scale[at, None]
-    move, beta, later = np.zeros((k, k)), None, None
+        a = (into @ alpha[:, p.off[t - 1] : p.off[t - 1] + n] if t else first) * b[:, at]
+        scale[at] = ones @ a
+        np.divide(a, scale[at], out=alpha[:, at])
+    b /= scale
+    start, move = np.zeros(k), np.zeros((k, k))
     for t in range(len(p.active) - 1, -1, -1):
-        n, at = p.active[t], slice(p.off[t], p.off[t] + p.active[t])
-        beta = np.ones((n, k))
-        if later is not None:
-            m = len(later)
-            move += alpha[at][:m].T @ later
-            beta[:m] = later @ model.move.T
-        later = b[at] * beta / scale[at, None]
-        alpha[at] *= beta  # the state's posterior
-        if t == 0:
-            start = alpha[at].sum(0)
-    emit = np.stack([np.bincount(symbols, alpha[:, s], END + 1) for s in range(k)], 1)
-    return start if len(p.active) else np.zeros(k), move * model.move, emit
-
-
-def cut_pieces(bounds: np.ndarray, size: int = PIECE) -> np.ndarray:
-    """Bounds with no sequence longer than ``size``."""
-    return np.unique(np.concatenate([bounds, *[np.arange(a, b, size) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > size]]))
-
-
-def classes_of(words: Words, at: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Classes of the words number ``at``; ``frequent``: sorted hashes of those that have their own."""
-    h = words.hashes[at]
+        here, m = slice(p.off[t], p.off[t] + p.active[t]), 0 if later is None else later.shape[1]
+        if m:
+            a, beta = alpha[:, here][:, :m], out_of @ later
+            move += a @ later.T
+            a *= beta  # the state's posterior
+            b[:, here][:, :m] *= beta
+        later = b[:, here]
+        if t == 0 and before is None:
+            start = alpha[:, here].sum(1)
+    emit = np.stack([np.bincount(symbols, alpha[s], END + 1) for s in range(k)], 1)
+    return start, move * model.move, emit, later
+
+
+def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward: expected starts, moves and emissions by state."""
+    return _forward_backward(model, classes, bounds)[:3]
+
+
+def long_counts(model: Model, classes: np.ndarray, size: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The expected counts of one sequence, holding ``size`` tokens (TOKENS by default) at once."""
+    cuts = np.arange(0, len(classes), size or TOKENS)
+    before, a = [None], None
+    for at, symbol in enumerate(classes[: cuts[-1]], 1):
+        a = (model.start if a is None else a @ model.move) * model.emit[symbol]
+        a /= a.sum()
+        if at == cuts[len(before)]:
+            before.append(a[:, None])
+            if len(before) == len(cuts):
+                break
+    total, later = None, None
+    for at, state in zip(cuts[::-1], before[::-1], strict=True):
+        piece = classes[at : at + (size or TOKENS)]
+        *part, later = _forward_backward(model, piece, np.array([0, len(piece)]), state, later)
+        total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
+    return tuple(total)
+
+
+def all_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The expected counts of any number of sequences: those of like length together, at most TOKENS tokens at once."""
+    k = len(model.start)
+    total = [np.zeros(k), np.zeros((k, k)), np.zeros((END + 1, k))]
+    sizes = np.diff(bounds)
+    order = np.argsort(-sizes, kind="stable")
+    ends, at = np.r_[0, np.cumsum(sizes[order])], 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, "right")) - 1)
+        some = order[at:to]
+        flat = np.concatenate([classes[bounds[i] : bounds[i + 1]] for i in some])
+        part = expected_counts(model, flat, ends[at : to + 1] - ends[at]) if len(flat) <= TOKENS else long_counts(model, flat)
+        total = [x + y for x, y in zip(total, part, strict=True)]
+        at = to
+    return total
+
+
+def endings_of(words: Words, at: np.ndarray) -> np.ndarray:
+    """Classes by ending of the words number ``at``."""
     ending = words.range_hashes(np.maximum(words.starts[at], words.ends[at] - 3), words.ends[at])
-    out = FREQUENT + (mix(ending) % np.uint64(ENDINGS)).astype(np.int64)
-    if len(frequent):
-        k = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        out = np.where(frequent[k] == h, k, out)
-    return out.astype(np.uint16)
+    return FREQUENT + (mix(ending) % np.uint64(ENDINGS)).astype(np.int32)
 
 
-def start_model(docs: DataFrame) -> tuple[Model, np.ndarray]:
-    """A model of the bounded starting sample, and the hashes of its commonest words."""
-    few = docs.filter(f"not held_out and octet_length(text) <= {START_BYTES}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).select("text").collect()
-    model = Model.random(STATES)
-    if not few:
-        return model, np.zeros(0, np.uint64)
-    w = Words(pa.array([r.text for r in few], pa.string()), SPACED)
-    found, counts = np.unique(w.hashes, return_counts=True)
-    frequent = np.sort(found[np.lexsort((found, -counts))[:FREQUENT]])
-    flat = classes_of(w, np.arange(len(w.hashes)), frequent)
-    flat, bounds = with_ends(flat, w.bounds)
-    bounds = cut_pieces(bounds)
-    for _ in range(START_ROUNDS):
-        model = Model.of_counts(*expected_counts(model, flat, bounds))
-    return model, frequent
-
-
-def with_ends(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The end's class put after each sequence."""
-    return np.insert(flat, bounds[1:], END), bounds + np.arange(len(bounds))
-
-
-def _blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Per text: block, doc_id, held_out, ids (its words as numbers of the block's dictionary). Per block: words, counts (in training texts) and classes of the dictionary."""
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Per text: block, doc_id, held_out, ids (its words as numbers of the block's dictionary). Per block: words, counts (in training texts) and classes by ending of the dictionary."""
     schema = "block long, doc_id long, held_out boolean, ids binary, words array<long>, counts array<int>, classes array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,20 +178,27 @@ def _blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             rows = pa.array([ids[a:b].tobytes() for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column(0), batch.column(2), rows, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32()))], names)
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-            kinds = classes_of(w, first, frequent)[order].astype(np.int32)
+            kinds = endings_of(w, first)[order]
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), whole(found[order].view(np.int64)), whole(counts[order].astype(np.int32)), whole(kinds)], names)
             block += 1
 
     return written(docs.select("doc_id", "text", "held_out").mapInArrow(encode, schema), "lm-blocks")
 
 
-def encoded(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, int]:
+def commonest(counted: DataFrame) -> DataFrame:
+    """words, own: the FREQUENT commonest words of all training texts and their classes."""
+    top = counted.filter("once and c > 0").select("words", "c").orderBy(F.desc("c"), "words").limit(FREQUENT).collect()
+    return counted.sparkSession.createDataFrame([(r.words, i) for i, r in enumerate(top)], "words long, own int")
+
+
+def encoded(docs: DataFrame) -> tuple[DataFrame, int]:
     """Per text: doc_id, held_out, n_tokens, n_known, base_score, words_score (sum of log10 P(w | class)), classes; and the number of training tokens."""
-    blocks = _blocks(docs, frequent)
+    blocks = _blocks(docs)
     entries = blocks.filter("words is not null").select("block", F.posexplode(F.arrays_zip("words", "counts", "classes")).alias("number", "e")).select("block", "number", "e.words", "e.counts", "e.classes")
     same = W.Window.partitionBy("words")
-    counted = entries.withColumn("c", F.sum("counts").over(same)).withColumn("once", F.row_number().over(same.orderBy("block")) == 1).select("block", "number", "c", "classes", "once")
+    counted = entries.withColumn("c", F.sum("counts").over(same)).withColumn("once", F.row_number().over(same.orderBy("block")) == 1).select("block", "number", "words", "c", "classes", "once")
     counted = written(counted, "lm-counts")
+    counted = counted.join(F.broadcast(commonest(counted)), "words", "left").withColumn("classes", F.coalesce("own", "classes"))
     by_class = counted.filter("once and c > 0").groupBy("classes").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # at most END rows
     texts = blocks.filter("ids is not null")
     ends = texts.filter("not held_out").count()
@@ -224,14 +245,20 @@ def baum_welch_round(texts: DataFrame, model: Model) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((END + 1, k))
+        held, size = [], 0
+
+        def add() -> None:
+            flat, bounds = _flat(pa.chunked_array(held, pa.binary()))
+            for total, part in zip((start, move, emit), all_counts(model, flat, bounds), strict=True):
+                total += part
+
         for batch in batches:
-            flat, bounds = _flat(batch.column(0))
-            bounds = cut_pieces(bounds)
-            step = 1500
-            for a in range(0, len(bounds) - 1, step):
-                b = bounds[a : a + step + 1]
-                for total, part in zip((start, move, emit), expected_counts(model, flat[b[0] : b[-1]], b - b[0]), strict=True):
-                    total += part
+            held.append(batch.column(0))
+            size += batch.column(0).nbytes // 2
+            if size >= HELD:
+                add()
+                held, size = [], 0
+        add()
         rows = np.concatenate([emit, move, start[None]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), *[pa.array(rows[:, s]) for s in range(k)]], ["row", *names])
 
@@ -246,8 +273,8 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The contract of op2."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     texts = doc_texts(docs).withColumn("held_out", fold == HELD_OUT)
-    model, frequent = start_model(texts)
-    coded, n = encoded(texts, frequent)
+    coded, n = encoded(texts)
+    model = Model.random(STATES)
     for _ in range(rounds):
         model = baum_welch_round(coded, model)
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from helpers import same
@@ -111,6 +112,27 @@ def test_forward_and_counts_against_loops():
     assert np.isclose(start.sum(), 3) and np.isclose(move.sum(), 8) and np.isclose(emit.sum(), 11)
 
 
+def test_long_sequences_hand_their_state_on():
+    rng, model = np.random.default_rng(3), lm_scoring.Model.random(4)
+    flat = rng.integers(0, lm_scoring.END + 1, 700).astype(np.uint16)
+    bounds = np.array([0, 300, 310, 700])
+    whole = lm_scoring.expected_counts(model, flat, bounds)
+    assert np.isclose(whole[0].sum(), 3) and np.isclose(whole[1].sum(), 697)  # a start a text, not one a piece
+    parts = [lm_scoring.long_counts(model, flat[a:b], 64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    for got in (lm_scoring.all_counts(model, flat, bounds), [sum(x) for x in zip(*parts, strict=True)]):
+        assert all(np.allclose(x, y) for x, y in zip(got, whole, strict=True))
+
+
+def test_commonest_words_are_those_of_the_whole_corpus(spark):
+    # One text of over 64 KB, and more short texts than a starting sample held.
+    rows = [(1, "zebra " * 20_000)] + [(i, f"w{i} common") for i in range(2, 1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    coded, n = lm_scoring.encoded(docs)
+    got = {r.doc_id: np.frombuffer(r.classes, np.uint16) for r in coded.collect()}
+    assert n == 20_000 + 2 * 1498 + 1499 and (got[1][:-1] == 0).all() and all(got[i][1] == 1 for i in range(2, 1500))
+    assert len({got[i][0] for i in range(2, 1500)}) == 1498
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark, sf):
     rows = queries.QUERIES["op2_lm_scoring"](spark, sf).collect()
     held = [r for r in rows if r.held_out]
