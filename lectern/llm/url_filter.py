@@ -5,6 +5,8 @@ one another, or name one another canonical, are one resource: connected componen
 those links carry a block to the pages that no rule fits. An explicit allow takes
 precedence: it holds for its own page, and for the unmatched aliases of a resource that has one.
 
+A resource is a host, path and query; rules look at host and path alone. Links are resolved against the page's URL.
+
 A null URL, or one without ://, has an empty host and path and no aliases, and is allowed; null html has no links;
 repeated rows are judged alike; an empty table gives no rows; other columns are not read.
 """
@@ -19,7 +21,7 @@ from lectern.llm.common import connected_components
 #: The rules of the contract, as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Where a page says that it is another one: a canonical link or a refresh, either order of attributes.
+#: The link patterns of the SQL form; they miss what ``targets`` also reads.
 LINKS = (
     r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']([^"']+)["']""",
     r"""(?is)<link\b[^>]*\bhref\s*=\s*["']([^"']+)["'][^>]*\brel\s*=\s*["']?canonical""",
@@ -46,26 +48,66 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, quoted or not; '' if there is none."""
+    at = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(F.concat(*[F.regexp_extract(tag, at, k) for k in (1, 2, 3)]))
+
+
+def targets(html: Column) -> Column:
+    """Where a page says that it is another one: hrefs of canonical links and urls of refreshes, in any order of attributes."""
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*"), 0)
+    canonical = F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(tags("meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    url = r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s>]+))"""
+    to = lambda t: F.concat(*[F.regexp_extract(_attribute(t, "content"), url, k) for k in (1, 2, 3)])
+    found = F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), F.transform(refresh, to))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.trim(x), "(?i)&amp;", "&")))
+
+
+def plain_path(path: Column) -> Column:
+    """``path`` without . and .. segments."""
+    parts = F.split(F.regexp_replace(path, r"^/|(?<=/)\.\.?$", ""), "/")
+    up = F.when(path.rlike(r"/\.\.$"), F.lit("..")).otherwise(F.lit("."))
+    # A last . or .. leaves the folder: its name goes and its slash stays.
+    parts = F.when(path.rlike(r"/\.\.?$"), F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(up, F.lit("")))).otherwise(parts)
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))).otherwise(path)
+
+
+def node_of(url: Column) -> Column:
+    """The resource of a URL: host, path and query; '' for none."""
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]+)", 1), F.lit(""))
+    return F.concat(host_of(url), plain_path(path_of(url)), query)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """``to`` as a URL, seen from ``url``; null for what is no web address."""
+    scheme, site = F.regexp_extract(url, r"(?s)^(.*?:)//", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    out = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+    out = out.when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat(site, to)).when(to.startswith("?"), F.concat(site, path_of(url), to))
+    return out.when((to == "") | to.startswith("#"), url).otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), to))
+
+
 def links_of(pages: DataFrame) -> DataFrame:
-    """Edges (src, dst) between resources, each a host and path, that pages declare in their html."""
-    lower = F.col("html").ilike("%canonical%") | F.col("html").ilike("%refresh%")
-    found = pages.filter(lower).select("url", F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("html", F.lit(p), 1) for p in LINKS])))).alias("to"))
-    here, host = F.concat(host_of(F.col("url")), path_of(F.col("url"))), host_of(F.col("url"))
-    there = F.when(F.col("to").contains("://"), F.concat(host_of(F.col("to")), path_of(F.col("to")))).when(F.col("to").startswith("/"), F.concat(host, F.regexp_extract("to", r"^([^?#]*)", 1)))
-    return found.select(here.alias("src"), there.alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
+    """Edges (src, dst) between resources that pages declare in their html."""
+    named = F.col("html").ilike("%canonical%") | F.col("html").ilike("%refresh%")
+    found = pages.filter(named).filter(F.col("url").contains("://")).select("url", F.explode(targets(F.col("html"))).alias("to"))
+    return found.select(node_of(F.col("url")).alias("src"), node_of(resolved(F.col("url"), F.col("to"))).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of each row; ``redirects``: more edges, as (from_url, to_url)."""
     edges = links_of(pages)
     if redirects is not None:
-        full = lambda c: F.concat(host_of(F.col(c)), path_of(F.col(c)))
-        edges = edges.union(redirects.select(full("from_url"), full("to_url")).filter("from_url is not null and to_url is not null"))
+        edges = edges.union(redirects.select(node_of(F.col("from_url")), node_of(F.col("to_url"))).filter("from_url is not null and to_url is not null"))
     aliases = connected_components(edges)
-    p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    p = p.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("node", F.nullif(F.concat("host", "path"), F.lit("")))
+    p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.nullif(node_of(F.col("url")), F.lit("")).alias("node"))
+    p = p.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     # A resource is judged by the rules itself, whether or not it was fetched.
-    node_host, node_path = F.substring_index("node", "/", 1), F.expr("substring(node, length(substring_index(node, '/', 1)) + 1)")
+    bare = F.substring_index("node", "?", 1)
+    node_host, node_path = F.substring_index(bare, "/", 1), F.regexp_extract(bare, r"(?s)^[^/]*(.*)$", 1)
     said = aliases.withColumn("said", rule_of(node_host, node_path, rules)["verdict"])
     decided = said.groupBy("component").agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
     heard = aliases.join(decided, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow").alias("heard"))

@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from helpers import same
 
 import corpus_pipeline
-from lectern.llm import archive, decontamination, fingerprint, lm_scoring, near_dedup, queries, sharding, toxicity
+from lectern.llm import archive, decontamination, fingerprint, lm_scoring, near_dedup, queries, sharding, toxicity, url_filter
 
 LONG = " ".join(f"word{k % 977} and more." for k in range(30_000))
 PASSAGE = " ".join(f"shared{k} term{k} here{k}." if k % 4 else f"shared{k} term{k} here{k}" for k in range(40))
@@ -78,6 +78,20 @@ def test_same_rows_as_sql(spark, sf, edge, name):
         same(queries.QUERIES[name](spark, folder), folder, queries.ORACLES[name])
 
 
+def test_links_in_all_forms_and_queries_apart(spark):
+    blocked, page = "http://example.org/es/a/b.html", "http://n.net/d/e/p.html"
+    forms = {
+        '<link href=x.html rel=canonical>': "n.net/d/e/x.html", '<link rel="canonical" href="../x?a=1&amp;b=2#f">': "n.net/d/x?a=1&b=2", '<link rel=canonical href="//Other.net/q/./r/..">': "other.net/q/", '<link rel=canonical href="?z=http://h/i">': "n.net/d/e/p.html?z=http://h/i",
+        '<meta content="0; url=\'/x;y\'" http-equiv="refresh">': "n.net/x;y", "<meta http-equiv=refresh content='1; URL=\"z\"'>": "n.net/d/e/z", '<link rel=canonical href="mailto:a@b">': None, '<link rel=canonical href="../../../../x">': "n.net/x", '<link rel=icon href=/i.ico>': None,
+    }
+    for html, want in forms.items():
+        got = url_filter.links_of(spark.createDataFrame([(1, page, html)], "page_id long, url string, html string")).collect()
+        assert [(r.src, r.dst) for r in got] == ([("n.net/d/e/p.html", want)] if want else []), html
+    rows = [(1, "http://n.net/item?id=1", f'<link rel="canonical" href="{blocked}">'), (2, "http://n.net/item?id=2", ""), (3, "http://example.org/es/a/c", ""), (4, "http://n.net/item?id=1#x", "")]
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), (("block", "example.org/es/"),)).collect()}
+    assert verdicts == {1: "block", 2: "allow", 3: "block", 4: "block"}
+
+
 def test_decontamination_against_brute_force(spark, edge, sf):
     for folder in (edge, sf):
         docs, items = (pq.read_table(f"{folder}/{t}.parquet").to_pylist() for t in ("documents", "benchmark"))
