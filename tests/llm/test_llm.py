@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from helpers import same
 
 import corpus_pipeline
-from lectern.llm import archive, decontamination, fingerprint, lm_scoring, near_dedup, queries, sharding, toxicity, url_filter
+from lectern.llm import archive, decontamination, fingerprint, lm_scoring, near_dedup, queries, sharding, substring_dedup, toxicity, url_filter
 
 LONG = " ".join(f"word{k % 977} and more." for k in range(30_000))
 PASSAGE = " ".join(f"shared{k} term{k} here{k}." if k % 4 else f"shared{k} term{k} here{k}" for k in range(40))
@@ -219,6 +219,13 @@ def test_one_group_larger_than_all_quotas(spark):
     assert sorted(sizes.values()) == [12] * 4 + [13] * 4
 
 
+def test_short_repeated_runs_go(spark):
+    rows = [(1, "First here. Terms. Privacy. Contact."), (2, "Second one. Terms. Privacy. Contact. Last.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.doc_id, r.removed, r.text) for r in substring_dedup.deduplicated(docs).collect()] == [(2, [2, 3, 4], "Second one.\nLast.")]
+    assert substring_dedup.deduplicated(docs, min_words=20).isEmpty()
+
+
 def test_fingerprints_are_homomorphic(spark):
     from pyspark.sql import functions as F
 
