@@ -8,7 +8,7 @@ ones; all others are not toxic. The field is fitted by gradient steps on the lik
 Forward-backward marginals p give each token's probability; a document's score is a logistic function, fitted on the same rows, of the log of
 sum(-log(1 - p)), which grows with each offending token, and of the highest p, which does not grow with length; tokens of 0.5 or more make the spans.
 
-Fitting uses a bounded sample: SAMPLE labelled rows a class at most (least hash of the id, no more than SAMPLE_BYTES each), on the driver. Everything else
+Fitting uses a bounded sample: SAMPLE labelled rows a class at most (least hash of the id, no more than SAMPLE_BYTES each), in one task. Everything else
 covers all rows and whole texts. Null and empty texts have no tokens and the lowest score; unlabelled, null or conflicting labels
 (a doc_id with both) are not learnt from; without labels of both classes every score is the share of toxic labels. Equal rows are scored each;
 an empty table gives no rows; other columns are not read.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import doc_texts
+from lectern.llm.common import doc_texts, written
 from lectern.llm.packing import Packed
 from lectern.llm.tokens import ALNUM, Words, mix, pieces
 
@@ -164,19 +164,43 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Field:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """Fits a field to the labelled documents outside the held-out fold."""
-    clear = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """text, toxic of at most SAMPLE labelled documents a class outside the held-out fold, one row an id; the share of toxic rows among all of those labelled.
+
+    Ids and lengths meet the labels; texts are read once, against a broadcast of the chosen ids, and are never shuffled whole.
+    """
+    clear = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
     clear = clear.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != HELD_OUT)
-    n = {r.toxic: r.n for r in clear.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    texts, toxic = [], []
+    fits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("n")).filter(f"n between 1 and {SAMPLE_BYTES}").groupBy("doc_id").agg(F.max("n").alias("n"))
+    known = written(clear.join(fits, "doc_id", "left").select("doc_id", "toxic", F.col("n").isNotNull().alias("fits"), F.xxhash64("doc_id").alias("h")), "labelled")
+    count = {r.toxic: (r.n, r.fit) for r in known.groupBy("toxic").agg(F.count("*").alias("n"), F.count_if("fits").alias("fit")).collect()}
+    ids = []
     for kind in (True, False):
-        chosen = doc_texts(docs).filter(f"octet_length(text) <= {SAMPLE_BYTES}").join(clear.filter((F.col("toxic") > 0) == kind).select("doc_id"), "doc_id", "left_semi")
-        rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()
-        distinct = list(dict.fromkeys(r.text for r in rows))  # copies say nothing about words
-        texts += distinct
-        toxic += [kind] * len(distinct)
-    return fit(texts, np.array(toxic, bool), n.get(True, 0) / max(1, sum(n.values())))
+        # About twice as many as are wanted have a hash under the bound, however many there are; the least of them are taken.
+        bound = min((1 << 63) - 1, int((2 * SAMPLE / max(1, count.get(kind, (0, 0))[1]) * 2 - 1) * (1 << 63)))
+        ids += [(r.doc_id, kind) for r in known.filter((F.col("toxic") == kind) & F.col("fits") & (F.col("h") <= bound)).select("doc_id", "h").orderBy("h", "doc_id").limit(SAMPLE).collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic boolean")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(f"octet_length(text) between 1 and {SAMPLE_BYTES}").join(F.broadcast(chosen), "doc_id")
+    total = sum(n for n, _ in count.values())
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), count.get(True, (0, 0))[0] / max(1, total)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Field:
+    """Fits a field to the labelled documents outside the held-out fold: one task over the bounded sample; the weights come to the driver."""
+    rows, prior = sample(docs, labels)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct: dict[tuple, None] = {}  # copies say nothing about words
+        for batch in batches:
+            distinct |= dict.fromkeys(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        field = fit([t for t, _ in distinct], np.array([kind for _, kind in distinct], bool), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (field.weight.astype(np.float32), field.move, field.theta)], ["weight", "move", "theta"])
+
+    # Sorted, so that a second run of the task sees the same order.
+    r = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(fitted, "weight binary, move binary, theta binary").first()
+    if r is None:  # no rows, no task
+        return fit([], np.zeros(0, bool), prior)
+    return Field(np.frombuffer(r.weight, np.float32), np.frombuffer(r.move).reshape(2, 2), np.frombuffer(r.theta))
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
