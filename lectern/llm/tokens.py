@@ -51,15 +51,20 @@ class Words:
 
     def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the lower-cased bytes of each range."""
-        view = np.ndarray((len(self._low) - 7,), np.uint64, self._low, 0, (1,))
-        size = ends - starts
-        h = mix(size.astype(np.uint64) * _C1 ^ (view[starts + 8] & _MASK[np.minimum(size, 8)]))
-        k, more = 8, np.flatnonzero(size > 8)
-        while len(more):
-            h[more] = mix(h[more] * _C1 + (view[starts[more] + 8 + k] & _MASK[np.minimum(size[more] - k, 8)]))
-            k += 8
-            more = more[size[more] > k]
-        return h
+        return hash_ranges(self._low, starts, ends)
+
+
+def hash_ranges(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges of data that has 8 bytes of padding before and after it."""
+    view = np.ndarray((len(padded) - 7,), np.uint64, padded, 0, (1,))
+    size = ends - starts
+    h = mix((size.astype(np.uint64) + np.uint64(seed)) * _C1 ^ (view[starts + 8] & _MASK[np.minimum(size, 8)]))
+    k, more = 8, np.flatnonzero(size > 8)
+    while len(more):
+        h[more] = mix(h[more] * _C1 + (view[starts[more] + 8 + k] & _MASK[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    return h
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

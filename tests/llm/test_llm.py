@@ -65,11 +65,10 @@ N_ROWS = {"op3_arc_to_warc": "pages", "op6_url_filter": "pages"}
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_edge_cases(spark, edge, nulls, empty, name):
-    """No crash; a row for each input row (but for the one query that lists changed documents only)."""
+    """No crash; a row for each input row."""
     for folder, n in ((edge, (12, 10)), (nulls, (13, 7)), (empty, (0, 0))):
         rows = queries.QUERIES[name](spark, folder).collect()
-        if name != "op10_substring_dedup":
-            assert len(rows) == n[name in N_ROWS], (name, folder)
+        assert len(rows) == n[name in N_ROWS], (name, folder)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -96,7 +95,7 @@ def test_decontamination_against_brute_force(spark, edge, sf):
     for folder in (edge, sf):
         docs, items = (pq.read_table(f"{folder}/{t}.parquet").to_pylist() for t in ("documents", "benchmark"))
         want = decontamination.brute([(d["doc_id"], d["text"]) for d in docs], [(i["item_id"], i["text"]) for i in items])
-        assert sorted(tuple(r) for r in queries.QUERIES["op1_decontamination"](spark, folder).collect()) == sorted(want)
+        assert sorted(tuple(r)[:6] for r in queries.QUERIES["op1_decontamination"](spark, folder).collect()) == sorted(want)
 
 
 def test_proximity_matches(spark):
@@ -222,8 +221,8 @@ def test_one_group_larger_than_all_quotas(spark):
 def test_short_repeated_runs_go(spark):
     rows = [(1, "First here. Terms. Privacy. Contact."), (2, "Second one. Terms. Privacy. Contact. Last.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert [(r.doc_id, r.removed, r.text) for r in substring_dedup.deduplicated(docs).collect()] == [(2, [2, 3, 4], "Second one.\nLast.")]
-    assert substring_dedup.deduplicated(docs, min_words=20).isEmpty()
+    assert [(r.doc_id, r.removed, r.text) for r in substring_dedup.deduplicated(docs).orderBy("doc_id").collect()] == [(1, [], rows[0][1]), (2, [2, 3, 4], "Second one.\nLast.")]
+    assert {tuple(r.removed) for r in substring_dedup.deduplicated(docs, min_words=20).collect()} == {()}
 
 
 def test_fingerprints_are_homomorphic(spark):
