@@ -6,10 +6,11 @@ unseen word, with the counts c of all training words. The FREQUENT commonest wor
 texts have a class each, other words share one by their endings, the end of a text has its own.
 
 1. Texts become ids of a dictionary a block of texts (a written table).
-2. Dictionary entries of all blocks are summed by word: at most one row a block and word is shuffled, never one a token. The sums
-   give the commonest words.
+2. Dictionary entries of all blocks are summed by word, never tokens. Words that some blocks hold often, COMMON at most, are summed where they stand and
+   broadcast; the others have one row a block in the task of their word.
 3. Counts go back to their blocks, where texts become class sequences (a written table) and base scores.
-4. Baum-Welch from a random model: each round runs forward-backward over all training sequences, whole, and expected counts are
+4. Baum-Welch from a random model. The first pass takes the training texts in SLICES slices and moves the model after each by the slice's expected
+   counts, weighed down from slice to slice (stepwise EM); ROUNDS passes over all of them follow. Each step runs forward-backward over whole sequences, and expected counts are
    summed by class in Spark. A sequence of more than TOKENS tokens is taken in pieces that hand the forward and backward state on.
 5. The scaled forward recursion over whole sequences gives each text's likelihood exactly.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lectern.llm.common import doc_texts, written
+from lectern.llm.common import doc_texts, table_path, written
 from lectern.llm.packing import Packed
 from lectern.llm.tokens import SPACED, Words, mix, pieces
 
@@ -37,7 +38,10 @@ FREQUENT = 4096
 ENDINGS = 4096
 #: The end token's class; classes are 0 to END.
 END = FREQUENT + ENDINGS
-ROUNDS = 23
+#: Steps of the first pass, by the hash of the id; passes over all texts after it; how slowly the weight of a slice falls.
+SLICES, ROUNDS, FALL = 8, 2, 0.6
+#: Words summed and sent by a broadcast, at most, and what a block must hold of a word for it to be one of them.
+COMMON, OFTEN = 1 << 16, 8
 #: Forward-backward holds so many tokens at once, and sorts HELD of them by length.
 TOKENS, HELD = 1 << 19, 1 << 23
 BLOCK_BYTES = 8 << 20
@@ -185,21 +189,47 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "text", "held_out").mapInArrow(encode, schema), "lm-blocks")
 
 
+def _bit(table: DataFrame, column: str, most: int, reach: bool = False) -> int:
+    """The least k such that at most ``most`` rows of ``table`` have 2**k or more in ``column``; with ``reach``, the first k by which there are more. A row a bit comes to the driver."""
+    rows = table.groupBy(F.floor(F.log2(column)).cast("int").alias("bit")).agg(F.count("*").alias("n")).collect()
+    k, n = 0 if reach else 64, 0
+    for r in sorted(rows, key=lambda r: -r.bit):
+        n += r.n
+        if n > most:
+            return r.bit if reach else k
+        k = r.bit
+    return k
+
+
 def commonest(counted: DataFrame) -> DataFrame:
-    """words, own: the FREQUENT commonest words of all training texts and their classes."""
-    top = counted.filter("once and c > 0").select("words", "c").orderBy(F.desc("c"), "words").limit(FREQUENT).collect()
+    """words, own: the FREQUENT commonest of all training words (``counted``: words, c) and their classes."""
+    # Words under the bit that holds the last of them are not sorted, so that tasks send few others.
+    top = counted.filter(F.col("c") >= F.lit(2.0) ** _bit(counted, "c", FREQUENT - 1, reach=True)).orderBy(F.desc("c"), "words").limit(FREQUENT).collect()
     return counted.sparkSession.createDataFrame([(r.words, i) for i, r in enumerate(top)], "words long, own int")
 
 
-def encoded(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Per text: doc_id, held_out, n_tokens, n_known, base_score, words_score (sum of log10 P(w | class)), classes; and the number of training tokens."""
-    blocks = _blocks(docs)
+def counts_of(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """block, number, words, c, classes of all dictionary entries; words, c, classes of all training words, once each. c: the count in all training texts."""
     entries = blocks.filter("words is not null").select("block", F.posexplode(F.arrays_zip("words", "counts", "classes")).alias("number", "e")).select("block", "number", "e.words", "e.counts", "e.classes")
+    often = written(entries.filter(F.col("counts") >= OFTEN).groupBy("words").agg(F.sum("counts").alias("least")), "lm-often")
+    some = often.filter(F.col("least") >= F.lit(2.0) ** _bit(often, "least", COMMON)).select("words")
+    common = written(entries.join(F.broadcast(some), "words").groupBy("words").agg(F.sum("counts").alias("c"), F.first("classes").alias("kind")), "lm-common")  # COMMON rows at most
+    both = entries.join(F.broadcast(common), "words", "left")
     same = W.Window.partitionBy("words")
-    counted = entries.withColumn("c", F.sum("counts").over(same)).withColumn("once", F.row_number().over(same.orderBy("block")) == 1).select("block", "number", "words", "c", "classes", "once")
-    counted = written(counted, "lm-counts")
-    counted = counted.join(F.broadcast(commonest(counted)), "words", "left").withColumn("classes", F.coalesce("own", "classes"))
-    by_class = counted.filter("once and c > 0").groupBy("classes").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # at most END rows
+    columns = ["block", "number", "words", "c", "classes", "once"]
+    rest = both.filter("c is null").withColumn("c", F.sum("counts").over(same)).withColumn("once", F.row_number().over(same.orderBy("block")) == 1).select(columns)
+    counted = written(both.filter("c is not null").withColumn("once", F.lit(False)).select(columns).union(rest), "lm-counts")
+    once = counted.filter("once and c > 0").select("words", "c", "classes").union(common.select("words", "c", F.col("kind").alias("classes")))
+    return counted.drop("once"), once
+
+
+def encoded(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Per text: doc_id, held_out, n_tokens, n_known, base_score, words_score (sum of log10 P(w | class)), classes, slice (SLICES for held-out texts); and the number of training tokens."""
+    blocks = _blocks(docs)
+    counted, once = counts_of(blocks)
+    own = F.broadcast(commonest(once))
+    counted = counted.join(own, "words", "left").withColumn("classes", F.coalesce("own", "classes"))
+    by_class = once.join(own, "words", "left").groupBy(F.coalesce("own", "classes").alias("classes")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # at most END rows
     texts = blocks.filter("ids is not null")
     ends = texts.filter("not held_out").count()
     n = sum(r.n for r in by_class) + ends
@@ -230,7 +260,10 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, int]:
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words_score double, classes binary"
     both = texts.select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(counted.select("block", "number", "c", "classes").groupBy("block")).applyInArrow(encode, schema)
-    return written(both, "lm-encoded"), n
+    path = table_path(docs.sparkSession, "lm-encoded")
+    sliced = both.withColumn("slice", F.when(F.col("held_out"), SLICES).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")))
+    sliced.write.option("compression", "zstd").partitionBy("slice").parquet(path)
+    return docs.sparkSession.read.schema(sliced.schema).parquet(path), n
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +271,8 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if rows else np.zeros(0, np.uint16)), np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int64)
 
 
-def baum_welch_round(texts: DataFrame, model: Model) -> Model:
-    """One round over the training sequences of ``texts`` (held_out, classes); END + K + 2 rows of counts come to the driver."""
+def corpus_counts(texts: DataFrame, model: Model) -> np.ndarray:
+    """Expected emissions, moves and starts over all sequences (classes) of ``texts``; END + K + 2 rows of counts come to the driver."""
     k = len(model.start)
     names = [f"s{s}" for s in range(k)]
 
@@ -262,21 +295,36 @@ def baum_welch_round(texts: DataFrame, model: Model) -> Model:
         rows = np.concatenate([emit, move, start[None]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), *[pa.array(rows[:, s]) for s in range(k)]], ["row", *names])
 
-    counts = texts.filter("not held_out").select("classes").mapInArrow(count, "row int, " + ", ".join(f"{x} double" for x in names))
+    counts = texts.select("classes").mapInArrow(count, "row int, " + ", ".join(f"{x} double" for x in names))
     rows = np.zeros((END + 2 + k, k))
     for r in counts.groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).collect():
         rows[r.row] = r[1:]
+    return rows
+
+
+def model_of(rows: np.ndarray) -> Model:
     return Model.of_counts(rows[-1], rows[END + 1 : -1], rows[: END + 1])
 
 
+def trained(texts: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of the training texts of ``encoded``: a stepwise pass over their slices, then ``rounds`` over all of them."""
+    model, held = Model.random(STATES), None
+    for k in range(SLICES):
+        rows = corpus_counts(texts.filter(F.col("slice") == k), model) * SLICES
+        weight = (k + 1.0) ** -FALL
+        held = rows if held is None else (1 - weight) * held + weight * rows
+        model = model_of(held)
+    for _ in range(rounds):
+        model = model_of(corpus_counts(texts.filter(F.col("slice") < SLICES), model))
+    return model
+
+
 def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The contract of op2."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     texts = doc_texts(docs).withColumn("held_out", fold == HELD_OUT)
     coded, n = encoded(texts)
-    model = Model.random(STATES)
-    for _ in range(rounds):
-        model = baum_welch_round(coded, model)
+    model = trained(coded, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +333,7 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 flat, bounds = _flat(b.column(6))
                 yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(b.column(5).to_numpy() + forward(model, flat, bounds))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = coded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = coded.drop("slice").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
