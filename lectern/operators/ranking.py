@@ -24,14 +24,15 @@ def weight_of(column: str, weights: dict[str, float], other: float = 0.0) -> Col
 def quota_top_k(df: DataFrame, group: str, bucket: str, order: list[Column], k: int, shares: dict[str, float]) -> DataFrame:
     """Up to ``k`` rows a group: the best of each bucket, then each bucket to its quota max(1, round(k * share)), then the best of the rest.
 
-    ``picked``: best, quota or backfill. Beyond k, the quota rows that stand last in their buckets go first.
+    ``picked``: best, quota or backfill. Beyond k, rows go from the bucket that most exceeds its quota, the weakest of equals first, and
+    no bucket loses its best: a row's excess is its place less the quota, so that order is the order of rows.
     """
     quota = F.greatest(F.lit(1), js_round(weight_of(bucket, shares) * k).cast("int"))
     ranked = df.withColumn("_place", F.row_number().over(W.Window.partitionBy(group, bucket).orderBy(*order)))
     tier = F.when(F.col("_place") == 1, 0).when(F.col("_place") <= quota, 1).otherwise(2)
     ranked = ranked.withColumn("_tier", tier)
-    within = F.when(F.col("_tier") == 1, F.col("_place")).otherwise(0)
-    out = ranked.withColumn("position", F.row_number().over(W.Window.partitionBy(group).orderBy("_tier", within, *order))).filter(F.col("position") <= k)
+    within = F.when(F.col("_tier") == 1, F.col("_place") - quota).otherwise(0)
+    out = ranked.withColumn("position", F.row_number().over(W.Window.partitionBy(group).orderBy("_tier", within, *order))).filter((F.col("position") <= k) | (F.col("_tier") == 0))
     return out.withColumn("picked", F.element_at(F.array(F.lit("best"), F.lit("quota"), F.lit("backfill")), F.col("_tier") + 1)).drop("_place", "_tier")
 
 

@@ -50,6 +50,24 @@ def difference(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return gone.unionByName(new.select(*keys).distinct().join(old.select(*keys), keys, "left_anti").withColumn("change", F.lit("added")))
 
 
+def neighbours(keys: DataFrame, key: str) -> DataFrame:
+    """``keys`` (distinct days, or another axis of a few thousand values) with prev and next."""
+    along = W.Window.orderBy(key)
+    return keys.select(key, F.lag(key).over(along).alias("prev"), F.lead(key).over(along).alias("next"))
+
+
+def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """key, broken: rows that break a rule, with the names of all they break in order. As in a CHECK, an unknown result passes."""
+    broken = F.array_compact(F.array(*[F.when(~rule, name) for name, rule in rules.items()]))
+    return df.select(key, broken.alias("broken")).filter("size(broken) > 0")
+
+
+def listed(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, distinct: bool = False) -> DataFrame:
+    """The values of each key as one comma-separated text, in ``order``; equal ones once if ``distinct``."""
+    rows = (F.collect_set if distinct else F.collect_list)(F.struct(*order, value.cast("string").alias("_v")))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(rows), lambda x: x["_v"]), ",").alias(name))
+
+
 def streaks(days: DataFrame, key: str, day: str = "day") -> DataFrame:
     """Runs of consecutive days of each key: first, last, length."""
     at = W.Window.partitionBy(key).orderBy(day)

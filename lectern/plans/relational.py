@@ -118,13 +118,12 @@ def month_archive(spark, sf):
 
 
 @query("prev_next_day", """
-WITH {items}, d AS (SELECT DISTINCT day, strftime(day, '%Y') AS y FROM items WHERE status = 'published')
-SELECT strftime(day, '%Y-%m-%d') AS day, strftime(lag(day) OVER (PARTITION BY y ORDER BY day), '%Y-%m-%d') AS prev, strftime(lead(day) OVER (PARTITION BY y ORDER BY day), '%Y-%m-%d') AS next FROM d""")
+WITH {items}, d AS (SELECT DISTINCT day FROM items WHERE status = 'published')
+SELECT strftime(day, '%Y-%m-%d') AS day, strftime(lag(day) OVER (ORDER BY day), '%Y-%m-%d') AS prev, strftime(lead(day) OVER (ORDER BY day), '%Y-%m-%d') AS next FROM d""")
 def prev_next_day(spark, sf):
-    """Neighbouring published days, within a year (a window over years, not over all days)."""
-    d = R.visible(items(spark, sf)).select("day").distinct()
-    w = W.Window.partitionBy(F.year("day")).orderBy("day")
-    return d.select(day_text(F.col("day")).alias("day"), day_text(F.lag("day").over(w)).alias("prev"), day_text(F.lead("day").over(w)).alias("next"))
+    """The published days before and after each, whatever the year."""
+    d = R.neighbours(R.visible(items(spark, sf)).select("day").distinct(), "day")
+    return d.select(*[day_text(F.col(c)).alias(c) for c in ("day", "prev", "next")])
 
 
 @query("reading_order_position", """
@@ -223,10 +222,10 @@ c AS (SELECT i.item_id, strftime(i.day, '%Y-%m') AS edition, i.bucket, i.score,
 l AS (SELECT *, least(100, CASE WHEN n = 0 THEN 0 WHEN n = 1 THEN 40 WHEN n = 2 THEN 62 WHEN n = 3 THEN 76 ELSE 85 END + CASE WHEN head THEN 15 ELSE 0 END) AS leverage FROM c)"""
 
 
-def _banded(spark, sf):
+def _banded(spark, sf, *more):
     per = item_units(spark, sf).groupBy("item_id").agg(F.count("*").alias("n"), F.max("hits").alias("most"))
     c = items(spark, sf).filter("status <> 'discarded'").join(per, "item_id", "left")
-    return c.select("item_id", F.date_format("day", "yyyy-MM").alias("edition"), "bucket", "score", K.leverage(F.coalesce("n", F.lit(0)), F.coalesce(F.col("most") >= 48, F.lit(False))).cast("long").alias("leverage"))
+    return c.select("item_id", F.date_format("day", "yyyy-MM").alias("edition"), "bucket", "score", K.leverage(F.coalesce("n", F.lit(0)), F.coalesce(F.col("most") >= 48, F.lit(False))).cast("long").alias("leverage"), *more)
 
 
 @query("selection_band", f"""
@@ -240,17 +239,25 @@ def selection_band(spark, sf):
     return K.selection_band(_banded(spark, sf), "edition", "bucket", "score", "leverage", "item_id", FLOORS)
 
 
-@query("quota_topk_per_bucket", f"""
-WITH {{items}}, b AS (SELECT *, strftime(day, '%Y-%m') AS month, row_number() OVER (PARTITION BY strftime(day, '%Y-%m'), bucket ORDER BY score DESC, item_id) AS inside, greatest(1, floor(15 * {_case("bucket", SHARES)} + 0.5)) AS quota FROM items WHERE status = 'published'),
+#: The digest of a month: tiers of its items, and their places in the order in which they are taken.
+DIGEST = f"""b AS (SELECT *, strftime(day, '%Y-%m') AS month, row_number() OVER (PARTITION BY strftime(day, '%Y-%m'), bucket ORDER BY score DESC, item_id) AS inside, greatest(1, floor(15 * {_case("bucket", SHARES)} + 0.5)) AS quota FROM items WHERE status = 'published'),
 t AS (SELECT *, CASE WHEN inside = 1 THEN 0 WHEN inside <= quota THEN 1 ELSE 2 END AS tier FROM b),
-p AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY tier, CASE WHEN tier = 1 THEN inside ELSE 0 END, score DESC, item_id) AS position FROM t)
-SELECT month, bucket, item_id, score, position::INT AS position, ['best', 'quota', 'backfill'][tier + 1] AS picked FROM p WHERE position <= 15""")
-def quota_topk_per_bucket(spark, sf):
-    """Fifteen items a month: the best of each bucket, quotas, then the best of the rest."""
+p AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY tier, CASE WHEN tier = 1 THEN inside - quota ELSE 0 END, score DESC, item_id) AS position FROM t)"""
+
+
+def month_digest(spark, sf):
     i = R.visible(items(spark, sf)).select(F.date_format("day", "yyyy-MM").alias("month"), "bucket", "item_id", "score")
     return K.quota_top_k(i, "month", "bucket", [F.col("score").desc(), F.col("item_id")], 15, SHARES)
 
 
+@query("quota_topk_per_bucket", f"""
+WITH {{items}}, {DIGEST}
+SELECT month, bucket, item_id, score, position::INT AS position, ['best', 'quota', 'backfill'][tier + 1] AS picked FROM p WHERE position <= 15 OR tier = 0""")
+def quota_topk_per_bucket(spark, sf):
+    """Fifteen items a month: the best of each bucket, quotas, then the best of the rest; beyond fifteen, the weakest of the buckets that most exceed their quotas go."""
+    return month_digest(spark, sf)
+
+
 @query("format_mix_sample", f"""
 WITH {{attempts}}, q AS (SELECT user_id, attempt_id, event_type AS format, sha256('quiz:' || attempt_id) AS h FROM attempts),
 p AS (SELECT *, row_number() OVER (PARTITION BY user_id, format ORDER BY h) > floor(10 * {_case("format", MIX)} + 0.5) AS over FROM q),
