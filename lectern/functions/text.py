@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.lists import SIGNATURE_STOP
+
 #: Words that tokens leave out.
 STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "has", "have", "will")
 EDGE_LEFT, EDGE_RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -27,6 +29,24 @@ def tokens(c: Column, stop: tuple = STOP) -> Column:
     return F.array_distinct(F.filter(words, lambda t: (F.length(t) > 2) & ~t.isin(*stop)))
 
 
+def raw_tokens(c: Column) -> Column:
+    """What ``tokens`` chooses from; with ``is_token`` on exploded rows it gives the same without a lambda."""
+    return F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9à-ɏఀ-౿]+", " "), " "))
+
+
+def is_token(t: Column, stop: tuple = STOP) -> Column:
+    return (F.length(t) > 2) & ~t.isin(*stop)
+
+
+def invariants(c: Column, out: tuple = ("THE", "AND", "FOR", "WITH", "THAT", "THIS", "FROM", "WILL", "SAID")) -> Column:
+    """What survives translation: numbers with their magnitude, numbers of two digits or more, acronyms, and capitalised words in lower case."""
+    money = F.regexp_extract_all(c, F.lit(r"(?i)([0-9,.]+[ \t\n]*(?:crore|lakh|billion|million|percent|per cent|%))"), 1)
+    numbers = F.regexp_extract_all(c, F.lit(f"{EDGE_LEFT}([0-9]{{2,}}){EDGE_RIGHT}"), 1)
+    acronyms = F.filter(F.regexp_extract_all(c, F.lit(f"{EDGE_LEFT}([A-Z]{{2,6}}){EDGE_RIGHT}"), 1), lambda x: ~x.isin(*out))
+    names = F.transform(F.regexp_extract_all(c, F.lit(f"{EDGE_LEFT}([A-Z][a-z]{{3,}}){EDGE_RIGHT}"), 1), lambda x: F.lower(x))
+    return F.array_distinct(F.concat(F.transform(money, lambda x: F.regexp_replace(F.lower(x), r"[,. \t\n]", "")), numbers, acronyms, names))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """0 if either set is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
@@ -143,10 +163,10 @@ def question_hash(c: Column) -> Column:
 
 
 def headline_signature(c: Column) -> Column:
-    """Numbers in order, then the first six other words in order."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    """Words of more than two letters that are not common ones: those with a digit in order, then the first six others in order. Empty if there are none."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9₹%]+", " "), " "), lambda w: (F.length(w) > 2) & ~w.isin(*SIGNATURE_STOP))
     numbers, others = F.filter(words, lambda w: w.rlike("[0-9]")), F.filter(words, lambda w: ~w.rlike("[0-9]"))
-    return F.concat_ws("|", F.array_join(F.array_sort(numbers), " "), F.array_join(F.array_sort(F.slice(others, 1, 6)), " "))
+    return F.array_join(F.concat(F.array_sort(numbers), F.array_sort(F.slice(others, 1, 6))), "|")
 
 
 def stem(c: Column) -> Column:
@@ -169,8 +189,17 @@ def dehyphenated(c: Column) -> Column:
 
 
 def dateline(c: Column) -> Column:
-    """A trailing place name in capitals, of 4 to 40 characters; empty if there is none."""
-    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(?:^|[ \n])([A-Z][A-Z .]{2,38}[A-Z])\s*$", 1)
+    """A place in capitals at the end of a byline, of 4 to 40 characters; empty if there is none."""
+    place = F.regexp_extract(F.trim(F.coalesce(c, F.lit(""))), r"(?:^|[^A-Za-z0-9_])([A-Z]{3,}(?:[ -][A-Z]{2,})*)\s*$", 1)
+    return F.when(F.length(place).between(4, 40), place).otherwise("")
+
+
+def without_dateline(c: Column) -> Column:
+    """The byline without its place and the comma or dash before it; one that is nothing but a place stays."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    place = dateline(c)
+    bare = F.regexp_replace(F.trim(F.substring(text, F.lit(1), F.length(text) - F.length(place))), r"[,;–—-]\s*$", "")
+    return F.when((place == "") | (bare == ""), text).otherwise(bare)
 
 
 def split_outside_brackets(c: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lectern.functions.text import headline, headline_signature, question_hash, tokens
+from lectern.functions.text import headline, headline_signature, invariants, question_hash, tokens
 
 
 def first_of_hash(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -17,40 +17,88 @@ def first_of_hash(df: DataFrame, text: str, key: str) -> DataFrame:
     return h.join(h.groupBy("hash").agg(F.min(key).alias(key)), ["hash", key], "left_semi")
 
 
-def by_signature(df: DataFrame, day: str, text: str, rank: str, key: str) -> DataFrame:
-    """One row a day and headline signature: the best rank, then the smallest key; also_in lists the others."""
-    g = df.withColumn("signature", headline_signature(headline(F.col(text)))).filter("signature <> '|'")
-    best = g.groupBy(day, "signature").agg(F.min(F.struct((-F.col(rank)).alias("r"), key)).alias("b"), F.count("*").alias("copies"), F.array_sort(F.collect_set(key)).alias("all"))
-    return best.select(day, "signature", F.col(f"b.{key}").alias(key), "copies", F.array_except("all", F.array(f"b.{key}")).alias("also_in"))
+def by_signature(df: DataFrame, day: str, text: str, rank: str, source: str, key: str) -> DataFrame:
+    """One row a day and headline signature: the best rank, then the smallest key; also_in lists the other sources that had it."""
+    g = df.withColumn("signature", headline_signature(headline(F.col(text)))).filter("signature <> ''")
+    best = g.groupBy(day, "signature").agg(F.min(F.struct((-F.col(rank)).alias("r"), key, F.col(source).alias("s"))).alias("b"), F.count("*").alias("copies"), F.collect_set(source).alias("sources"))
+    return best.select(day, "signature", F.col(f"b.{key}").alias(key), "copies", F.array_sort(F.array_except("sources", F.array("b.s"))).alias("also_in"))
 
 
-def similar_pairs(docs: DataFrame, edition: str, percent: int = 42, body: int = 1200) -> DataFrame:
-    """Pairs of one edition whose token sets share at least ``percent`` of their union: edition, a, b, shared, whole.
+def copy_rank(primary: Column, area_source: Column, area: Column, opinion: Column) -> Column:
+    """What makes one copy of a story better than another."""
+    return sum((F.when(c, w).otherwise(0) for c, w in ((primary, 100), (area_source, 20), (area, 10), (opinion, -5))), F.lit(0))
 
-    Exact by prefix filtering: with tokens in one order, from rare to common, two sets that similar share a token among the first
-    n - ceil(percent * n) + 1 of each. Only those are joined; the rest is counted on the candidates' whole sets.
-    """
-    sets = docs.select(F.col(edition).alias("edition"), "doc_id", F.sort_array(tokens(F.substring(F.coalesce("text", F.lit("")), 1, body))).alias("t")).filter("size(t) > 0")
-    each = sets.select("edition", "doc_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: it is read more than once."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
+
+
+def _prefixes(sets: DataFrame, column: str, need) -> DataFrame:
+    """edition, token, doc_id, n, first of each token of a set: whether it is among the first n - need(n) + 1, from rare to common in the edition."""
+    each = sets.select("edition", "doc_id", F.size(column).alias("n"), F.explode(column).alias("token"))
     often = each.groupBy("edition", "token").agg(F.count("*").alias("f")).filter("f > 1")
     place = F.row_number().over(W.Window.partitionBy("edition", "doc_id").orderBy("f", "token"))
     # Tokens of one document alone come first in the order, and join nothing: each takes a place of the prefix.
     alone = F.col("n") - F.count("*").over(W.Window.partitionBy("edition", "doc_id"))
-    prefix = each.join(often, ["edition", "token"]).withColumn("p", place + alone).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("edition", "token", "doc_id", "n")
-    l, r = prefix.select("edition", "token", F.col("doc_id").alias("a"), F.col("n").alias("na")), prefix.select("edition", "token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    return each.join(often, ["edition", "token"]).withColumn("p", place + alone).select("edition", "token", "doc_id", "n", (F.col("p") <= F.col("n") - need(F.col("n")) + 1).alias("first"))
+
+
+def _candidates(sets: DataFrame, column: str, percent: int) -> DataFrame:
+    """Pairs (edition, a, b) that may share ``percent`` of the union of their sets: with tokens from rare to common, such sets share one among the first n - ceil(percent * n) + 1 of each."""
+    prefix = _prefixes(sets, column, lambda n: F.ceil(n * percent / 100)).filter("first")
+    l, r = (prefix.select("edition", "token", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = l.join(r, ["edition", "token"]).filter(fits).select("edition", "a", "b").distinct()
-    whole = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-    counted = whole.select("edition", "a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"), F.size(F.array_union("ta", "tb")).cast("long").alias("whole"))
-    return counted.filter(100 * F.col("shared") >= percent * F.col("whole"))
+    return l.join(r, ["edition", "token"]).filter(fits).select("edition", "a", "b").distinct()
+
+
+def similar_pairs(docs: DataFrame, edition: str, percent: int = 42, body: int = 1200) -> DataFrame:
+    """Stories of one edition whose score, .6 of the headlines' Jaccard and .4 of the bodies', is ``percent`` or more: edition, a, b, and the shared and all tokens of each part.
+
+    Equal token sets are one class: its smallest id stands for it in the pairs, and ties each other member to itself in one row. A score
+    of ``percent`` needs as much of one of the parts, so pairs that have it in the one or the other are all that is counted.
+    """
+    t = docs.select(F.col(edition).alias("edition"), "doc_id", F.sort_array(tokens(headline(F.col("text")))).alias("h"), F.sort_array(tokens(F.substring(F.coalesce("text", F.lit("")), 1, body))).alias("b"))
+    sets = _kept(t.filter("size(h) > 0").withColumn("key", F.md5(F.concat_ws("|", F.array_join("h", " "), F.array_join("b", " ")).cast("binary"))))
+    first = sets.groupBy("edition", "key").agg(F.min("doc_id").alias("rep"))
+    tied = sets.join(first, ["edition", "key"])
+    reps = tied.filter("doc_id = rep").select("edition", "doc_id", "h", "b")
+    pairs = _candidates(reps, "h", percent).union(_candidates(reps, "b", percent)).distinct()
+    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}"), F.col("b").alias(f"b{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    n = lambda f, x: F.size(f(f"{x}a", f"{x}b")).cast("long")
+    c = both.select("edition", "a", "b", n(F.array_intersect, "h").alias("head_shared"), n(F.array_union, "h").alias("head_all"), n(F.array_intersect, "b").alias("body_shared"), n(F.array_union, "b").alias("body_all"))
+    all_ = F.greatest(F.col("body_all"), F.lit(1))
+    near = c.filter(60 * F.col("head_shared") * all_ + 40 * F.col("body_shared") * F.col("head_all") >= percent * F.col("head_all") * all_)
+    size = lambda x: F.size(x).cast("long")
+    return near.union(tied.filter("doc_id <> rep").select("edition", "rep", "doc_id", size("h"), size("h"), size("b"), size("b")))
+
+
+def cross_pairs(docs: DataFrame, edition: str, kind: str, percent: int = 34, least: int = 3) -> DataFrame:
+    """Pairs of one edition and different ``kind`` (script, language) that share ``percent`` of the smaller set of invariants, of ``least`` or more each: proposals, never merged by themselves.
+
+    The smaller set shares one of its first n - ceil(percent * n) + 1 with the other: only those meet the whole sets.
+    """
+    t = docs.select(F.col(edition).alias("edition"), "doc_id", F.col(kind).alias("kind"), F.sort_array(invariants(F.coalesce("text", F.lit("")))).alias("t")).filter(F.size("t") >= least)
+    sets = _kept(t)
+    rows = _prefixes(sets, "t", lambda n: F.ceil(n * percent / 100)).join(sets.select("doc_id", "kind"), "doc_id")
+    x, y = rows.filter("first").select("edition", "token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("kind").alias("kx")), rows.select("edition", "token", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("kind").alias("ky"))
+    fits = (F.col("kx") != F.col("ky")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+    pairs = x.join(y, ["edition", "token"]).filter(fits).select("edition", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
+    c = both.select("edition", "a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"), F.least(F.size("ta"), F.size("tb")).cast("long").alias("smaller"))
+    return c.filter(100 * F.col("shared") >= percent * F.col("smaller"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
     """node, leader: each node's smallest id reachable over ``pairs`` (a, b). Labels spread along edges and through leaders until none changes."""
-    sc = pairs.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lectern-"))
-    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).distinct().checkpoint()
+    edges = _kept(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).distinct())
     label = edges.select(F.col("x").alias("node")).distinct().withColumn("leader", F.col("node"))
     while True:
         heard = edges.join(label, edges["y"] == label["node"]).groupBy("x").agg(F.min("leader").alias("heard"))
@@ -63,12 +111,7 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def collapsed(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """One row a group: the longest text leads (ties: smallest id), with the ids of all."""
+    """``docs`` (doc_id, text, page, prominence) as one row a group: the longest text leads (ties: smallest id); copies, characters, most prominence and distinct pages. Membership is in ``members`` (node, leader), as rows."""
     g = docs.join(members.withColumnRenamed("node", "doc_id"), "doc_id")
-    return g.groupBy("leader").agg(F.max(F.struct(F.length("text").alias("n"), (-F.col("doc_id")).alias("d"))).alias("m"), F.array_sort(F.collect_set("doc_id")).alias("members"), F.sum(F.length("text")).alias("chars")).select("leader", (-F.col("m.d")).alias("lead"), F.size("members").cast("long").alias("copies"), "members", "chars")
-
-
-def invariant_score(a, b, least: int = 3):
-    """Across scripts: shared numbers and names over the smaller set; 0 if either has fewer than ``least``."""
-    small = F.least(F.size(a), F.size(b))
-    return F.when(small < least, 0.0).otherwise(F.size(F.array_intersect(a, b)) / small)
+    best = F.max(F.struct(F.length("text").alias("n"), (-F.col("doc_id")).alias("d")))
+    return g.groupBy("leader").agg((-best["d"]).alias("lead"), F.count("*").alias("copies"), F.sum(F.length("text")).alias("chars"), F.max("prominence").alias("prominence"), F.array_sort(F.collect_set("page")).alias("pages"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lectern.functions.lists import any_term, edged
-from lectern.functions.text import js_round
+from lectern.functions.text import js_round, without_dateline
 
 
 
@@ -233,9 +233,8 @@ def unit_changes(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def cleaned_bylines(rows: DataFrame, key: str, byline: str) -> DataFrame:
-    """Rows whose byline ends in a dateline (capitals of 4 to 40 characters), with the byline without it; others need no change and are left out."""
-    new = F.trim(F.regexp_replace(byline, r"(?:^|[ \n])[A-Z][A-Z .]{2,38}[A-Z]\s*$", ""))
-    return rows.select(key, F.col(byline).alias("was"), new.alias("byline")).filter(F.col("byline") != F.col("was"))
+    """Rows whose byline carries a dateline, with the byline without it; others need no change and are left out."""
+    return rows.select(key, F.col(byline).alias("was"), without_dateline(F.col(byline)).alias("byline")).filter(F.col("byline") != F.trim("was"))
 
 
 def layer_dropped(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> DataFrame:

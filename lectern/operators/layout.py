@@ -22,11 +22,14 @@ def column_width(blocks: DataFrame, step: int = 5) -> DataFrame:
     return w.groupBy("doc").agg(F.max(F.struct("n", "width"))["width"].alias("column_width"))
 
 
-def roles(blocks: DataFrame) -> DataFrame:
-    """role of each block by its size against the body's, its length and its text."""
+def roles(blocks: DataFrame, noise: tuple[str, ...] = (), running: tuple[str, ...] = (), classified: tuple[str, ...] = (), strips: tuple[float, float] | None = None) -> DataFrame:
+    """role of each block: by patterns of its text, by where it starts (``strips``: the least and the greatest y of what is printed between head and foot), by its size against the body's and by its length."""
     b = blocks.join(body_size(blocks), "doc")
-    ratio = F.col("size") / F.col("body_size")
-    role = F.when(F.length(F.trim("text")) == 0, "noise").when((F.length("text") <= 2) & (ratio >= 2), "dropcap").when(ratio >= 1.3, "headline").when(F.col("text").rlike("^(?i:by )"), "byline").when(ratio < 0.85, "caption").otherwise("body")
+    ratio, text = F.col("size") / F.col("body_size"), F.col("text")
+    any_ = lambda ps: F.lit(False) if not ps else text.rlike("|".join(f"(?:{p})" for p in ps))
+    edge = F.lit(False) if strips is None else (F.col("y0") <= strips[0]) | (F.col("y0") >= strips[1])
+    role = F.when((F.length(F.trim("text")) == 0) | any_(noise), "noise").when(any_(running), "furniture").when(any_(classified), "classified").when(edge, "furniture").when((F.length("text") <= 2) & (ratio >= 1.8), "dropcap")
+    role = role.when((ratio >= 1.35) & ~text.rlike(r"[.!?]$"), "headline").when(ratio >= 1.35, "secondary").when(text.rlike("^(?i:by )"), "byline").when(ratio < 0.85, "caption").otherwise("body")
     return b.withColumn("role", role).drop("body_size")
 
 
@@ -43,7 +46,8 @@ def adopted(blocks: DataFrame, owned: DataFrame, most: float = 140.0) -> DataFra
     """Orphans go to the owner of the nearest owned block of their page, if it is at most ``most`` points away."""
     at = blocks.select("doc", "page", "block", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy")).join(owned, ["doc", "page", "block"])
     other = at.filter("owner is not null").select("doc", "page", F.col("owner").alias("near"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    far = at.filter("owner is null").join(other, ["doc", "page"]).withColumn("d", F.hypot(F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy"))).filter(F.col("d") <= most)
+    square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+    far = at.filter("owner is null").join(other, ["doc", "page"]).withColumn("d", square("cx", "ox") + square("cy", "oy")).filter(F.col("d") <= most * most)
     found = far.groupBy("doc", "page", "block").agg(F.min(F.struct("d", "near"))["near"].alias("near"))
     return owned.join(found, ["doc", "page", "block"], "left").select("doc", "page", "block", F.coalesce("owner", "near").alias("owner"))
 

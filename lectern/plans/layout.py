@@ -1,0 +1,83 @@
+"""Queries over printed pages: questions stand for their blocks, with a place and a size made of their keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.operators import layout as G
+from lectern.plans.roles import mcqs, query
+
+_BLOCKS = """{mcqs}, blocks AS (SELECT item_id // 20 AS doc, mcq % 10 AS page, mcq AS block, (unit % 12 * 50)::DOUBLE AS x0, (unit % 12 * 50 + 100 + unit % 3 * 60)::DOUBLE AS x1, (item_id % 20 * 40)::DOUBLE AS y0, (item_id % 20 * 40 + 20 + unit % 15)::DOUBLE AS y1,
+  CASE WHEN unit % 5 = 0 THEN 18.0::DOUBLE WHEN unit % 11 = 0 THEN 7.0::DOUBLE ELSE 9.2::DOUBLE END AS size, CASE WHEN unit % 13 = 0 THEN '' WHEN unit % 17 = 0 THEN 'By someone' WHEN unit % 19 = 0 THEN 'Page of the day' WHEN unit % 23 = 0 THEN 'A' ELSE repeat('word ' || unit || ' ', (unit % 9 + 1)::INT) END AS text, unit FROM mcqs),
+bs AS (SELECT doc, first(size ORDER BY chars DESC, size) AS body_size FROM (SELECT doc, floor(size * 2 + 0.5) / 2 AS size, sum(length(text)) AS chars FROM blocks GROUP BY doc, floor(size * 2 + 0.5) / 2) GROUP BY doc),
+roles AS (SELECT b.*, CASE WHEN length(trim(text)) = 0 THEN 'noise' WHEN regexp_matches(text, '^Page of') THEN 'furniture' WHEN y0 <= 0 OR y0 >= 760 THEN 'furniture' WHEN length(text) <= 2 AND size / body_size >= 1.8 THEN 'dropcap' WHEN size / body_size >= 1.35 AND NOT regexp_matches(text, '[.!?]$') THEN 'headline'
+  WHEN size / body_size >= 1.35 THEN 'secondary' WHEN regexp_matches(text, '^(?i:by )') THEN 'byline' WHEN size / body_size < 0.85 THEN 'caption' ELSE 'body' END AS role FROM blocks b JOIN bs USING (doc))"""
+
+_OWNED = f"""{_BLOCKS},
+h AS (SELECT doc, page, block AS owner, x0 AS hx0, x1 AS hx1, y1 AS hy FROM roles WHERE role = 'headline'), o AS (SELECT * FROM roles WHERE role NOT IN ('headline', 'noise', 'furniture')),
+best AS (SELECT o.block, first(h.owner ORDER BY hy DESC, h.owner DESC) AS owner FROM o JOIN h ON h.doc = o.doc AND h.page = o.page AND hy <= y0 AND (x0 + x1) / 2 BETWEEN hx0 AND hx1 GROUP BY o.block),
+owned AS (SELECT o.doc, o.page, o.block, best.owner FROM o LEFT JOIN best USING (block)),
+c AS (SELECT o.doc, o.page, o.block, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, owned.owner FROM o JOIN owned USING (block)),
+near AS (SELECT x.block, first(y.owner ORDER BY (x.cx - y.cx) * (x.cx - y.cx) + (x.cy - y.cy) * (x.cy - y.cy), y.owner) AS near FROM c x JOIN c y ON x.doc = y.doc AND x.page = y.page AND x.owner IS NULL AND y.owner IS NOT NULL AND (x.cx - y.cx) * (x.cx - y.cx) + (x.cy - y.cy) * (x.cy - y.cy) <= 140 * 140 GROUP BY x.block),
+adopted AS (SELECT owned.doc, owned.page, owned.block, coalesce(owner, near) AS owner FROM owned LEFT JOIN near USING (block))"""
+
+
+def _blocks(spark, sf):
+    u, i = F.col("unit"), F.col("item_id")
+    size = F.when(u % 5 == 0, 18.0).when(u % 11 == 0, 7.0).otherwise(9.2)
+    text = F.when(u % 13 == 0, "").when(u % 17 == 0, "By someone").when(u % 19 == 0, "Page of the day").when(u % 23 == 0, "A").otherwise(F.repeat(F.concat(F.lit("word "), u.cast("string"), F.lit(" ")), (u % 9 + 1).cast("int")))
+    d = lambda c: c.cast("double")
+    return mcqs(spark, sf).select(F.floor(i / 20).alias("doc"), (F.col("mcq") % 10).alias("page"), F.col("mcq").alias("block"), d(u % 12 * 50).alias("x0"), d(u % 12 * 50 + 100 + u % 3 * 60).alias("x1"), d(i % 20 * 40).alias("y0"), d(i % 20 * 40 + 20 + u % 15).alias("y1"), size.alias("size"), text.alias("text"), "unit")
+
+
+def _roles(spark, sf):
+    return G.roles(_blocks(spark, sf), running=("^Page of",), strips=(0, 760))
+
+
+def _owned(spark, sf):
+    return G.owners(_roles(spark, sf).filter("role not in ('noise', 'furniture')"))
+
+
+@query("layout_statistics", f"""
+WITH {_BLOCKS}, w AS (SELECT doc, first(width ORDER BY n DESC, width DESC) AS column_width FROM (SELECT doc, floor((x1 - x0) / 5 + 0.5) * 5 AS width, count(*) AS n FROM blocks GROUP BY ALL) GROUP BY doc)
+SELECT doc, body_size, column_width::BIGINT AS column_width FROM bs JOIN w USING (doc)""")
+def layout_statistics(spark, sf):
+    """The body's font size and the commonest column width of each document."""
+    b = _blocks(spark, sf)
+    return G.body_size(b).join(G.column_width(b), "doc").select("doc", "body_size", F.col("column_width").cast("long").alias("column_width"))
+
+
+@query("block_roles", f"WITH {_BLOCKS} SELECT doc, page, block, role FROM roles")
+def block_roles(spark, sf):
+    """What each block of a page is."""
+    return _roles(spark, sf).select("doc", "page", "block", "role")
+
+
+@query("block_owners", f"WITH {_OWNED} SELECT doc, page, block, owner FROM owned")
+def block_owners(spark, sf):
+    """The headline that each block stands under."""
+    return _owned(spark, sf)
+
+
+@query("orphans_adopted", f"WITH {_OWNED} SELECT doc, page, block, owner FROM adopted")
+def orphans_adopted(spark, sf):
+    """Blocks under no headline go with the nearest one that is."""
+    return G.adopted(_roles(spark, sf), _owned(spark, sf))
+
+
+@query("page_articles", f"""
+WITH {_OWNED}, t AS (SELECT a.doc, a.page, a.owner, string_agg(text, chr(10) ORDER BY floor(x0 / 240), y0, a.block) AS text FROM adopted a JOIN roles USING (block) WHERE a.owner IS NOT NULL GROUP BY ALL) SELECT doc, page, owner, text FROM t WHERE length(text) >= 140""")
+def page_articles(spark, sf):
+    """Articles of a page, column by column."""
+    r = _roles(spark, sf)
+    return G.articles(r.drop("role"), G.adopted(r, _owned(spark, sf)))
+
+
+@query("jump_links", f"""
+WITH {_BLOCKS}, h AS (SELECT doc, page, block AS id, ['w' || unit % 4, 'v' || unit % 3, 'u' || unit % 5] AS words, CASE WHEN unit % 3 = 0 THEN (page + 1) % 10 END AS to_page FROM roles WHERE role = 'headline'),
+s AS (SELECT a.id, b.id AS next, row_number() OVER (PARTITION BY a.id ORDER BY len(list_intersect(a.words, b.words)) DESC, b.id) AS k FROM h a JOIN h b ON a.doc = b.doc AND a.to_page = b.page AND a.id <> b.id WHERE len(list_intersect(a.words, b.words)) >= 2) SELECT id, next FROM s WHERE k = 1""")
+def jump_links(spark, sf):
+    """Where an article goes on: the headline of the named page that shares most words with its own."""
+    part = lambda x, n: F.concat(F.lit(x), (F.col("unit") % n).cast("string"))
+    h = _roles(spark, sf).filter("role = 'headline'").select("doc", "page", F.col("block").alias("id"), F.array(part("w", 4), part("v", 3), part("u", 5)).alias("words"), F.when(F.col("unit") % 3 == 0, (F.col("page") + 1) % 10).alias("to_page"))
+    return G.jumps(h)

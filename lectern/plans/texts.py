@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lectern.functions import text as X
+from lectern.functions.lists import SIGNATURE_STOP
 from lectern.operators import dedup as D
 from lectern.operators import matching as M
 from lectern.operators import quality as Q
 from lectern.operators import relational as R
 from lectern.sources import readers, sinks
-from lectern.plans.roles import articles, attempts, day_text, items, query, table
+from lectern.plans.roles import articles, attempts, day_text, item_units, items, query, table
 
 VOCABULARY = [("joiners", "the"), ("joiners", "of the"), ("joiners", "und"), ("endings", "tion"), ("endings", "ing"), ("places", "de la"), ("places", "les"), ("verbs", "edou"), ("verbs", "reed"), ("spanish", "que"), ("german", "der"), ("rarities", "query"), ("rarities", "thing")]
 WEAK, ALONE = ["the", "les", "que"], ["of the", "und"]
@@ -51,7 +52,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY docs DESC, toke
 SELECT edition, token, docs::BIGINT AS docs, place::INT AS place FROM p WHERE place <= 10""")
 def doc_tokens_topk(spark, sf):
     """The ten tokens of most articles in each edition."""
-    t = articles(spark, sf).select("edition", F.explode(X.tokens(F.col("text"))).alias("token"))
+    t = articles(spark, sf).select("edition", F.explode(X.raw_tokens(F.col("text"))).alias("token")).filter(X.is_token(F.col("token")))
     return R.first_k(t.groupBy("edition", "token").agg(F.count("*").alias("docs")), ["edition"], [F.col("docs").desc(), F.col("token")], 10)
 
 
@@ -74,16 +75,17 @@ e AS (SELECT doc_id, topic AS unit, count(DISTINCT alias) AS terms, count(*) FIL
 w AS (SELECT *, CASE WHEN alone THEN 'standalone' WHEN hs THEN 'headline' WHEN hw AND strong > 0 THEN 'weak headline' WHEN terms >= 2 AND strong > 0 THEN 'two terms' END AS why FROM e)"""
 
 
-@query("unit_evidence_filter", f"WITH {_HITS}, {_EVIDENCE} SELECT doc_id, unit, terms::BIGINT AS terms, why FROM w WHERE why IS NOT NULL")
+@query("unit_evidence_filter", f"WITH {_HITS}, {_EVIDENCE} SELECT doc_id, unit, terms::BIGINT AS terms, why, hs OR (hw AND strong > 0) AS in_headline FROM w WHERE why IS NOT NULL")
 def unit_evidence_filter(spark, sf):
     return M.unit_evidence(_hits(spark, sf), WEAK, ALONE)
 
 
 @query("unit_backfill", f"""
-WITH {_HITS}, n AS (SELECT doc_id, topic, count(DISTINCT alias) AS n FROM hits GROUP BY ALL), p AS (SELECT *, row_number() OVER w AS k, lead(n) OVER w AS next FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, topic))
-SELECT doc_id, CASE WHEN n = next THEN NULL ELSE topic END AS unit, CASE WHEN n = next THEN 'tie' ELSE 'found' END AS verdict FROM p WHERE k = 1""")
+WITH {_HITS}, n AS (SELECT doc_id, topic, count(DISTINCT alias) AS n, count(DISTINCT alias) FILTER (alias NOT IN ({", ".join(f"'{w}'" for w in WEAK)})) AS strong FROM hits GROUP BY ALL),
+p AS (SELECT *, row_number() OVER w AS k, lead(n) OVER w = n AND lead(strong) OVER w = strong AS tie FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, strong DESC, topic))
+SELECT doc_id, CASE WHEN tie THEN NULL ELSE topic END AS unit, CASE WHEN tie THEN 'tie' ELSE 'found' END AS verdict FROM p WHERE k = 1""")
 def unit_backfill(spark, sf):
-    return M.unit_backfill(_hits(spark, sf))
+    return M.unit_backfill(_hits(spark, sf), WEAK)
 
 
 _LOW = "lower(headline || chr(10) || substr(coalesce(text, ''), 1, 1400))"
@@ -112,6 +114,15 @@ def foreign_heavy_guard(spark, sf):
     return articles(spark, sf).select("doc_id", "lang", M.foreign_heavy(X.norm(F.col("headline")), _NORM_BODY(), edge(FOREIGN), edge(HOME)).alias("foreign_heavy"))
 
 
+@query("foreign_unit_guard", f"""
+WITH {_HITS}, {_EVIDENCE}, g AS (SELECT doc_id, regexp_matches(head, {_words(FOREIGN)}) AND len(regexp_extract_all(body, {_words(FOREIGN)})) > 1.5 * len(regexp_extract_all(body, {_words(HOME)})) AS heavy FROM d)
+SELECT doc_id, unit, why FROM w JOIN g USING (doc_id) WHERE why IS NOT NULL AND (NOT heavy OR unit = 'places')""")
+def foreign_unit_guard(spark, sf):
+    """Units of articles; those about another country keep the one unit that is about such."""
+    u = M.unit_evidence(_hits(spark, sf), WEAK, ALONE).select("doc_id", "unit", "why")
+    return M.guarded_units(u, foreign_heavy_guard(spark, sf).select("doc_id", "foreign_heavy"), ["places"])
+
+
 _BUCKET = "CASE WHEN lang = 'en' AND contains(text, 'ouer') THEN 'local' WHEN regexp_matches(text, 'ción|heit') AND len(regexp_extract_all(text, 'ción|heit')) > len(regexp_extract_all(text, 'ment|anst')) THEN 'international' WHEN regexp_matches(text, 'lung|eaux') AND NOT regexp_matches(text, 'ment|anst') THEN 'dynamic' ELSE 'national' END"
 
 
@@ -134,30 +145,45 @@ def veto_label(spark, sf):
 INSTRUMENTS = ((3, "menta"), (3, "tionth"), (2, "ouer"), (2, "anst"), (1, "[0-9]+"))
 
 
+TOPIC_PAPERS = {"joiners": 6, "endings": 4, "places": 3, "verbs": 2, "spanish": 5, "german": 1, "rarities": 2}
+ASKED = ("tion", "ment", "then")
+
+
 @query("relevance_score", f"""
-WITH {_HITS},
+WITH {_HITS}, {_EVIDENCE},
 t AS (SELECT doc_id, topic, bool_or(in_headline) AS h FROM hits GROUP BY doc_id, topic HAVING bool_or(in_headline) OR sum(hits) >= 2),
-m AS (SELECT doc_id, count(*) FILTER (h) AS head_topics, count(*) AS topics, bool_or(topic = 'rarities') AS tier1, bool_or(topic = 'places') AS local_topic FROM t GROUP BY doc_id),
-f AS (SELECT a.doc_id, regexp_matches(a.text, 'SECRET|!!') AS veto, coalesce(head_topics, 0) AS head_topics, coalesce(topics, 0) AS topics, (contains(text, 'ment'))::INT + (contains(text, 'lung'))::INT + (contains(text, 'ción'))::INT AS subjects, coalesce(tier1, false) AS tier1,
-  length(a.headline) % 4 AS asked, contains(lower(headline), 'tion') AS hk, contains(lower(text), 'tion') AS k, contains(text, 'ouer') AS loc, coalesce(local_topic, false) AS lt,
-  {" + ".join(f"{w} * regexp_matches(text, '{p}')::INT" for w, p in INSTRUMENTS)} AS instruments FROM articles a LEFT JOIN m USING (doc_id)),
-s AS (SELECT *, CASE WHEN veto THEN 0 WHEN tier1 OR head_topics > 0 THEN 30 WHEN topics > 0 THEN 18 WHEN subjects >= 2 THEN 12 WHEN subjects = 1 THEN 7 ELSE 0 END AS syllabus,
+m AS (SELECT doc_id, count(*) FILTER (h) AS head_topics, count(*) AS topics, bool_or(topic = 'rarities') AS tier1, bool_or(topic = 'places') AS local_topic, max(CASE topic {" ".join(f"WHEN '{k}' THEN {v}" for k, v in TOPIC_PAPERS.items())} END) AS papers FROM t GROUP BY doc_id),
+un AS (SELECT doc_id, bool_or(hs OR (hw AND strong > 0)) AS head_unit FROM w WHERE why IS NOT NULL GROUP BY doc_id),
+fx AS (SELECT a.doc_id, regexp_matches(a.text, 'SECRET|!!') AS veto, coalesce(head_topics, 0) AS head_topics, coalesce(topics, 0) AS topics, coalesce((contains(text, 'ment'))::INT + (contains(text, 'lung'))::INT + (contains(text, 'ción'))::INT, 0) AS subjects, coalesce(tier1, false) AS tier1, coalesce(papers, 0) AS papers,
+  coalesce(head_unit, false) AS head_unit, head_unit IS NOT NULL AS any_unit, list_slice(list_filter([{", ".join(f"'{t}'" for t in TERMS)}], lambda t: contains({_LOW}, t)), 1, 8) AS kw, contains(text, 'ouer') AS loc, coalesce(local_topic, false) AS lt, lower(headline) AS low,
+  NOT contains(text, 'ouer') AND regexp_matches(d.head, {_words(FOREIGN)}) AND NOT regexp_matches(d.body, {_words(HOME)}) AS foreign_,
+  {" + ".join(f"{w} * regexp_matches(text, '{p}')::INT" for w, p in INSTRUMENTS)} AS instruments FROM articles a JOIN d USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN un USING (doc_id)),
+gx AS (SELECT *, CASE WHEN subjects >= 2 THEN 12 WHEN subjects = 1 THEN 7 ELSE 0 END AS territory, len(list_filter(kw, lambda x: x IN ({", ".join(f"'{t}'" for t in ASKED)}))) AS asked, len(list_filter(kw, lambda x: contains(low, x))) > 0 AS hk, len(kw) > 0 AS k FROM fx),
+bx AS (SELECT *, CASE WHEN foreign_ THEN territory WHEN tier1 OR head_topics > 0 THEN 30 WHEN topics > 0 THEN 18 ELSE territory END AS base FROM gx),
+sx AS (SELECT *, CASE WHEN veto THEN 0 WHEN NOT foreign_ AND any_unit THEN greatest(base, CASE WHEN head_unit THEN 18 ELSE 12 END) ELSE base END AS syllabus,
   CASE WHEN veto THEN 0 WHEN asked > 0 THEN least(20, 8 + 4 * asked) WHEN hk THEN 8 WHEN k THEN 4 ELSE 0 END AS past, CASE WHEN veto THEN 0 WHEN loc THEN 20 WHEN lt THEN 10 ELSE 0 END AS place,
-  CASE WHEN veto THEN 0 ELSE least(15, floor(2.5 * instruments + 0.5)) END AS importance, CASE WHEN veto THEN 0 WHEN topics >= 6 THEN 15 WHEN topics >= 4 THEN 12 WHEN topics = 3 THEN 8 WHEN topics = 2 THEN 4 ELSE 0 END AS reuse FROM f),
-x AS (SELECT *, syllabus + past + place + importance + reuse AS score FROM s)
+  CASE WHEN veto THEN 0 ELSE least(15, floor(2.5 * instruments + 0.5)) END AS importance, CASE WHEN veto THEN 0 WHEN papers >= 6 THEN 15 WHEN papers >= 4 THEN 12 WHEN papers = 3 THEN 8 WHEN papers = 2 THEN 4 ELSE 0 END AS reuse FROM bx),
+x AS (SELECT *, syllabus + past + place + importance + reuse AS score FROM sx)
 SELECT doc_id, score::BIGINT AS score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS band, syllabus::BIGINT AS syllabus, past::BIGINT AS past, place::BIGINT AS place, importance::BIGINT AS importance, reuse::BIGINT AS reuse,
   CASE WHEN veto THEN 'discarded' WHEN score >= 40 THEN 'relevant' ELSE 'new' END AS status FROM x""")
 def relevance_score(spark, sf):
     """Score, band, parts and status of each article."""
-    t = M.kept_topics(M.topic_match(_hits(spark, sf)))
-    m = t.groupBy("doc_id").agg(F.count_if("in_headline").alias("head_topics"), F.count("*").alias("topics"), F.max(F.col("topic") == "rarities").alias("tier1"), F.max(F.col("topic") == "places").alias("local_topic"))
+    hits = _hits(spark, sf)
+    t = M.kept_topics(M.topic_match(hits))
+    papers = F.create_map(*[F.lit(x) for kv in TOPIC_PAPERS.items() for x in kv])
+    m = t.groupBy("doc_id").agg(F.count_if("in_headline").alias("head_topics"), F.count("*").alias("topics"), F.max(F.col("topic") == "rarities").alias("tier1"), F.max(F.col("topic") == "places").alias("local_topic"), F.max(papers[F.col("topic")]).alias("papers"))
+    u = M.unit_evidence(hits, WEAK, ALONE).groupBy("doc_id").agg(F.max("in_headline").alias("head_unit"))
     a = articles(spark, sf)
     has = lambda w: F.col("text").contains(w)
+    edge = lambda p: X.EDGE_LEFT + p + X.EDGE_RIGHT
     text, head = F.col("text"), F.col("headline")
     weight = sum((F.when(text.rlike(p), w).otherwise(0) for w, p in INSTRUMENTS), F.lit(0))
-    f = a.select("doc_id", text.rlike("SECRET|!!").alias("veto"), (has("ment").cast("int") + has("lung").cast("int") + has("ción").cast("int")).alias("subjects"), (F.length(head) % 4).alias("asked"), F.lower(head).contains("tion").alias("hk"), F.lower(text).contains("tion").alias("k"), has("ouer").alias("loc"), weight.alias("instruments"))
-    j = f.join(m, "doc_id", "left").fillna(0, ["head_topics", "topics"]).fillna(False, ["tier1", "local_topic"])
-    r = M.relevance(F.col("veto"), F.col("head_topics"), F.col("topics"), F.col("subjects"), F.col("tier1"), F.col("asked"), F.col("hk"), F.col("k"), F.col("loc"), F.col("local_topic"), F.col("instruments"), F.col("topics"))
+    keywords = M.first_keywords(a, TERMS).select("doc_id", "keywords")
+    foreign = ~has("ouer") & X.norm(head).rlike(edge(FOREIGN)) & ~_NORM_BODY().rlike(edge(HOME))
+    f = a.select("doc_id", text.rlike("SECRET|!!").alias("veto"), F.coalesce(has("ment").cast("int") + has("lung").cast("int") + has("ción").cast("int"), F.lit(0)).alias("subjects"), has("ouer").alias("loc"), F.lower(head).alias("low"), foreign.alias("foreign"), weight.alias("instruments"))
+    j = f.join(m, "doc_id", "left").join(u, "doc_id", "left").join(keywords, "doc_id").withColumn("any_unit", F.col("head_unit").isNotNull()).fillna(0, ["head_topics", "topics", "papers"]).fillna(False, ["tier1", "local_topic", "head_unit"])
+    asked, hk = F.size(F.array_intersect("keywords", F.array(*[F.lit(x) for x in ASKED]))), F.exists("keywords", lambda x: F.col("low").contains(x))
+    r = M.relevance(*[F.col(c) for c in ("veto", "foreign", "head_topics", "topics", "subjects", "tier1", "head_unit", "any_unit")], asked, hk, F.size("keywords") > 0, *[F.col(c) for c in ("loc", "local_topic", "instruments", "papers")])
     return j.select("doc_id", "veto", r.alias("r")).select("doc_id", "r.*", M.status_of(F.lit("new"), F.col("veto"), F.col("r.band")).alias("status"))
 
 
@@ -175,11 +201,8 @@ _ASKED = """q AS (SELECT item_id, text AS stem, CASE WHEN item_id % 5 = 0 THEN [
 
 
 def _sql_format() -> str:
-    whens = []
-    for name, pattern in Q.FORMATS:
-        body = pattern.removeprefix("(?i)")
-        whens.append(f"WHEN regexp_matches({'stem' if name == 'negative_statement' else 'text_'}, '(?i){body}') THEN '{name}'")
-    return "CASE WHEN len(options) < 2 THEN 'descriptive' " + " ".join(whens) + " ELSE 'direct_recall' END"
+    whens = " ".join(f"WHEN regexp_matches({'stem' if name == 'negative_statement' else 'text_'}, '{pattern}') THEN '{name}'" for name, pattern in Q.FORMATS)
+    return f"CASE WHEN len(options) < 2 THEN 'descriptive' {whens} ELSE 'direct_recall' END"
 
 
 @query("format_classifier", f"""
@@ -211,26 +234,31 @@ def question_hash_dedup(spark, sf):
     return D.first_of_hash(articles(spark, sf).select("doc_id", "text"), "text", "doc_id").select("hash", "doc_id")
 
 
-_WORDS = "list_filter(string_split(regexp_replace(lower(headline), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_WORDS = "list_filter(string_split(regexp_replace(lower(headline), '[^a-z0-9₹%]+', ' ', 'g'), ' '), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in SIGNATURE_STOP) + "))"
 
 
 @query("headline_signature_dedup", f"""
-WITH {{articles}}, w AS (SELECT doc_id, edition, length(text) AS n, {_WORDS} AS w FROM articles),
-s AS (SELECT *, array_to_string(list_sort(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))), ' ') || '|' || array_to_string(list_sort(list_slice(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9]')), 1, 6)), ' ') AS signature FROM w)
-SELECT edition, signature, first(doc_id ORDER BY n DESC, doc_id) AS doc_id, count(*)::BIGINT AS copies, array_to_string(list_sort(list_distinct(list(doc_id)))[:], ',') AS members FROM s WHERE signature <> '|' GROUP BY ALL""")
+WITH {{articles}}, w AS (SELECT doc_id, edition, doc_id % 3 AS day, (doc_id % 4 = 0)::INT * 100 + (doc_id % 7 = 0)::INT * 20 + (doc_id % 6 = 0)::INT * 10 - (doc_id % 5 = 0)::INT * 5 AS rank, {_WORDS} AS w FROM articles),
+s AS (SELECT *, array_to_string(list_concat(list_sort(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))), list_sort(list_slice(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9]')), 1, 6))), '|') AS signature FROM w),
+b AS (SELECT day, signature, first(doc_id ORDER BY rank DESC, doc_id) AS doc_id, first(edition ORDER BY rank DESC, doc_id) AS best, count(*) AS copies, list(DISTINCT edition) AS editions FROM s WHERE signature <> '' GROUP BY ALL)
+SELECT day, signature, doc_id, copies::BIGINT AS copies, array_to_string(list_sort(list_filter(editions, lambda x: x <> best)), ',') AS also_in FROM b""")
 def headline_signature_dedup(spark, sf):
-    """One article an edition and headline signature: the longest."""
-    d = D.by_signature(articles(spark, sf).withColumn("n", F.length("text")), "edition", "text", "n", "doc_id")
-    return d.select("edition", "signature", "doc_id", "copies", F.array_join(F.transform(F.array_sort(F.array_union("also_in", F.array("doc_id"))), lambda x: x.cast("string")), ",").alias("members"))
+    """One copy of each story of a day: primary sources first, then those of the area, opinions last; and where else it ran."""
+    k = F.col("doc_id")
+    a = articles(spark, sf).withColumn("day", k % 3).withColumn("rank", D.copy_rank(k % 4 == 0, k % 7 == 0, k % 6 == 0, k % 5 == 0))
+    d = D.by_signature(a, "day", "text", "rank", "edition", "doc_id")
+    return d.select("day", "signature", "doc_id", "copies", F.array_join("also_in", ",").alias("also_in"))
 
 
-_PAIRS = f"""{{articles}}, s AS (SELECT edition, doc_id, {_TOKENS.format("substr(coalesce(text, ''), 1, 1200)")} AS t FROM articles),
-pairs AS (SELECT x.edition, x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.t, y.t)) AS shared, len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)) AS whole FROM s x JOIN s y ON x.edition = y.edition AND x.doc_id < y.doc_id WHERE 100 * len(list_intersect(x.t, y.t)) >= 42 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) AND len(x.t) > 0)"""
+_PAIRS = f"""{{articles}}, s AS (SELECT edition, doc_id, list_sort({_TOKENS.format("headline")}) AS h, list_sort({_TOKENS.format("substr(coalesce(text, ''), 1, 1200)")}) AS t FROM articles),
+k AS (SELECT *, min(doc_id) OVER (PARTITION BY edition, h, t) AS rep FROM s WHERE len(h) > 0), c AS (SELECT * FROM k WHERE doc_id = rep),
+o AS (SELECT x.edition, x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.h, y.h)) AS hs, len(x.h) + len(y.h) - len(list_intersect(x.h, y.h)) AS ha, len(list_intersect(x.t, y.t)) AS bs, len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)) AS ba FROM c x JOIN c y ON x.edition = y.edition AND x.doc_id < y.doc_id),
+pairs AS (SELECT edition, a, b, hs AS head_shared, ha AS head_all, bs AS body_shared, ba AS body_all FROM o WHERE 60 * hs * greatest(ba, 1) + 40 * bs * ha >= 42 * ha * greatest(ba, 1) UNION ALL SELECT edition, rep, doc_id, len(h), len(h), len(t), len(t) FROM k WHERE doc_id <> rep)"""
 
 
-@query("near_dup_jaccard", f"WITH {_PAIRS} SELECT edition, a, b, shared::BIGINT AS shared, whole::BIGINT AS whole FROM pairs")
+@query("near_dup_jaccard", f"WITH {_PAIRS} SELECT edition, a, b, head_shared::BIGINT AS head_shared, head_all::BIGINT AS head_all, body_shared::BIGINT AS body_shared, body_all::BIGINT AS body_all FROM pairs")
 def near_dup_jaccard(spark, sf):
-    """Articles of an edition whose opening 1,200 characters share 42 % of their tokens."""
+    """Stories of an edition that are the same by .6 of their headlines and .4 of their openings; equal ones tied to the first of them."""
     return D.similar_pairs(articles(spark, sf), "edition")
 
 
@@ -243,11 +271,25 @@ def dup_components(spark, sf):
 
 
 @query("dup_collapsed", f"""
-WITH RECURSIVE {_GROUPS} SELECT leader, first(doc_id ORDER BY length(text) DESC, doc_id) AS lead, count(*)::BIGINT AS copies, sum(length(text))::BIGINT AS chars FROM g JOIN documents ON doc_id = node GROUP BY leader""")
+WITH RECURSIVE {_GROUPS} SELECT leader, first(doc_id ORDER BY length(text) DESC, doc_id) AS lead, count(*)::BIGINT AS copies, sum(length(text))::BIGINT AS chars, max(doc_id % 7) AS prominence, string_agg(DISTINCT (doc_id % 8)::VARCHAR, ',' ORDER BY (doc_id % 8)::VARCHAR) AS pages FROM g JOIN documents ON doc_id = node GROUP BY leader""")
 def dup_collapsed(spark, sf):
     """Each group as one story: the longest text leads."""
     a = articles(spark, sf)
-    return D.collapsed(a.select("doc_id", "text"), D.groups(D.similar_pairs(a, "edition"))).select("leader", "lead", "copies", "chars")
+    docs = a.select("doc_id", "text", (F.col("doc_id") % 8).cast("string").alias("page"), (F.col("doc_id") % 7).alias("prominence"))
+    return D.collapsed(docs, D.groups(D.similar_pairs(a, "edition"))).select("leader", "lead", "copies", "chars", "prominence", F.array_join("pages", ",").alias("pages"))
+
+
+_INVARIANTS = r"""list_distinct(list_concat(list_transform(regexp_extract_all(t, '(?i)([0-9,.]+[ \t\n]*(?:crore|lakh|billion|million|percent|per cent|%))', 1), lambda x: regexp_replace(lower(x), '[,. \t\n]', '', 'g')), list_concat(regexp_extract_all(t, '\b([0-9]{2,})\b', 1), list_concat(list_filter(regexp_extract_all(t, '\b([A-Z]{2,6})\b', 1), lambda x: x NOT IN ('THE', 'AND', 'FOR', 'WITH', 'THAT', 'THIS', 'FROM', 'WILL', 'SAID')), list_transform(regexp_extract_all(t, '\b([A-Z][a-z]{3,})\b', 1), lambda x: lower(x))))))"""
+
+
+@query("cross_script_pairs", f"""
+WITH s AS (SELECT doc_id % 20 AS edition, doc_id, lang, {_INVARIANTS} AS t FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)), k AS (SELECT * FROM s WHERE len(t) >= 3),
+c AS (SELECT x.edition, x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.t, y.t)) AS shared, least(len(x.t), len(y.t)) AS smaller FROM k x JOIN k y ON x.edition = y.edition AND x.lang <> y.lang AND x.doc_id < y.doc_id)
+SELECT edition, a, b, shared::BIGINT AS shared, smaller::BIGINT AS smaller FROM c WHERE 100 * shared >= 5 * smaller""")
+def cross_script_pairs(spark, sf):
+    """Stories in two languages that share numbers and names (5 % here, where the prose is invented): proposals for a reader."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", (F.col("doc_id") % 20).alias("edition"))
+    return D.cross_pairs(d, "edition", "lang", percent=5)
 
 
 @query("html_to_text", r"""
@@ -311,6 +353,69 @@ def mcq_inspect_flags(spark, sf):
     return f.select("n", (~has("asks nothing")).alias("asks"), has("option about options").alias("others"), has("equal options").alias("equal"))
 
 
+@query("second_reading_applied", f"""
+WITH {_ASK}, p AS (SELECT n, CASE WHEN n % 2 = 0 THEN c ELSE 'three' END AS c, a, b, trim(regexp_replace(lower(coalesce(a, '')), '[^a-z0-9]+', ' ', 'g')) AS na, trim(regexp_replace(lower(coalesce(b, '')), '[^a-z0-9]+', ' ', 'g')) AS nb FROM mcq),
+r AS (SELECT doc_id AS n, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'rewrite' ELSE 'keep' END AS verdict, CASE WHEN doc_id % 3 = 0 THEN 'Which is generally so?' ELSE 'Which one is it?' END AS q FROM labels)
+SELECT p.n, coalesce(verdict, 'keep') AS verdict FROM p LEFT JOIN r USING (n) WHERE coalesce(verdict, 'keep') <> 'reject' AND NOT (coalesce(verdict, 'keep') = 'rewrite'
+  AND (regexp_matches(q, '{Q.HEDGES}') OR coalesce(regexp_matches(c, '{Q.OTHERS}') OR regexp_matches(a, '{Q.OTHERS}') OR regexp_matches(b, '{Q.OTHERS}'), false) OR (na <> '' AND na = nb)))""")
+def second_reading_applied(spark, sf):
+    """Questions after a second reading: rejected ones go, rewritten ones are inspected again, unread ones stay."""
+    l = table(spark, sf, "labels")
+    verdict = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "rewrite").otherwise("keep")
+    r = l.select(F.col("doc_id").alias("n"), verdict.alias("verdict"), F.when(F.col("doc_id") % 3 == 0, "Which is generally so?").otherwise("Which one is it?").alias("new_question"))
+    return Q.second_reading(_mcqs(spark, sf), r).select("n", "verdict")
+
+
+CODES = tuple(f"Brand#{k}" for k in range(1, 26))
+
+
+@query("canonical_codes", f"""
+WITH r AS (SELECT p_partkey AS unit, CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' [' || p_type || ']' WHEN 2 THEN p_brand || ' — ' || p_name WHEN 3 THEN 'see ' || p_brand || ' first' ELSE p_name END AS raw, p_brand FROM part),
+i AS (SELECT *, list_filter([{", ".join(f"'{c}'" for c in CODES)}], lambda c: contains(raw, c)) AS inside FROM r)
+SELECT unit, raw, CASE WHEN unit % 5 IN (0, 1, 2) THEN p_brand WHEN len(inside) = 1 THEN inside[1] END AS code FROM i""")
+def canonical_codes(spark, sf):
+    """Codes as a model writes them, resolved to known ones."""
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, F.col("p_brand")).when(k == 1, F.concat("p_brand", F.lit(" ["), "p_type", F.lit("]"))).when(k == 2, F.concat("p_brand", F.lit(" — "), "p_name")).when(k == 3, F.concat(F.lit("see "), "p_brand", F.lit(" first"))).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("unit"), raw.alias("raw")).withColumn("code", Q.canonical_code(F.col("raw"), list(CODES)))
+
+
+@query("question_plan", f"""
+WITH {{items}}, {{item_units}}, n AS (SELECT item_id, count(*) AS units FROM item_units GROUP BY ALL),
+i AS (SELECT item_id, row_number() OVER (PARTITION BY strftime(day, '%Y-%m') ORDER BY item_id) - 1 AS index, least(10, 4 + 2 * greatest(0, coalesce(units, 0) - 1)) AS n FROM items LEFT JOIN n USING (item_id)), q AS (SELECT *, unnest(range(n::BIGINT)) AS k FROM i)
+SELECT item_id, (k + 1)::INT AS k, [{", ".join(f"'{f}'" for f in Q.FORMAT_CYCLE)}][((index * n + k) % 10 + 1)::INT] AS format FROM q""")
+def question_plan(spark, sf):
+    """How many questions each item gets, and of which formats."""
+    n = item_units(spark, sf).groupBy("item_id").agg(F.count("*").alias("units"))
+    i = items(spark, sf).join(n, "item_id", "left").fillna(0, ["units"])
+    place = F.row_number().over(W.Window.partitionBy(F.date_format("day", "yyyy-MM")).orderBy("item_id")) - 1
+    return Q.planned_formats(i.withColumn("index", place)).select("item_id", "k", "format")
+
+
+@query("datelines", r"""
+WITH b AS (SELECT doc_id, 'By ' || source || CASE doc_id % 4 WHEN 0 THEN ', NEW DELHI' WHEN 1 THEN ' — SRI CITY-EAST ' WHEN 2 THEN ' PTI' ELSE '' END AS byline FROM documents UNION ALL SELECT -1, 'VIJAYAWADA')
+SELECT doc_id, CASE WHEN doc_id = -1 THEN 'VIJAYAWADA' WHEN doc_id % 4 = 0 THEN 'NEW DELHI' WHEN doc_id % 4 = 1 THEN 'SRI CITY-EAST' ELSE '' END AS place, CASE WHEN doc_id = -1 THEN 'VIJAYAWADA' WHEN doc_id % 4 < 2 THEN split_part(split_part(byline, ',', 1), ' —', 1) || CASE WHEN doc_id % 4 = 1 THEN ' ' ELSE '' END ELSE trim(byline) END AS author FROM b""")
+def datelines(spark, sf):
+    """Places at the end of bylines, and the bylines without them."""
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id") % 4
+    b = d.select("doc_id", F.concat(F.lit("By "), "source", F.when(k == 0, ", NEW DELHI").when(k == 1, " — SRI CITY-EAST ").when(k == 2, " PTI").otherwise("")).alias("byline")).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit("VIJAYAWADA")))
+    return b.select("doc_id", X.dateline(F.col("byline")).alias("place"), X.without_dateline(F.col("byline")).alias("author"))
+
+
+@query("page_headlines", r"""
+WITH {html}, h AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)) AS title, l FROM lines JOIN pages USING (page_id))
+SELECT page_id, CASE WHEN title <> '' AND page_id % 3 <> 0 THEN title ELSE coalesce(list_filter(l, lambda x: length(x) BETWEEN 26 AND 219)[1], '') END AS headline FROM h""".replace("{html}", r"""a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(?:script|style|noscript).*?</(?:script|style|noscript)>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/article)[^>]*>', chr(10), 'g'), '(?i)</t[dh]>', ' · ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b),
+lines AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ 	
+]+', ' ', 'g'))), lambda x: len(string_split(x, ' ')) > 2 OR regexp_matches(x, '[0-9]')) AS l FROM c)"""))
+def page_headlines(spark, sf):
+    """Titles of pages; a third of them are made generic here, and take the first line of fitting length."""
+    generic = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", r"(?is)<title[^>]*>[^<]*", "<title>Home")).otherwise(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", X.page_headline(generic).alias("headline"))
+
+
 @query("verdict_parse", """
 WITH s AS (SELECT doc_id AS id, (doc_id % 7)::INT AS batch, 0 AS ord, CASE WHEN toxic = 1 THEN 'Reject' WHEN quality = 1 THEN ' HIGH' ELSE 'maybe' END AS class, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 300 - 50)::INT END AS score FROM labels
   UNION ALL SELECT doc_id, ((doc_id + 3) % 7)::INT, 1, 'drop', 5 FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT -1, 0, 0, 'high', 90),
@@ -349,7 +454,11 @@ def text_repairs(spark, sf):
     return articles(spark, sf).select("doc_id", F.sha2(X.dehyphenated(F.col("text")).cast("binary"), 256).alias("joined"), X.stem(F.col("headline")).alias("stem"))
 
 
-@query("compendium_json")
+@query("compendium_json", """
+WITH {items}, {attempts}, i AS (SELECT strftime(day, '%Y-%m-%d') AS day, bucket AS section, item_id, row_number() OVER (PARTITION BY day ORDER BY bucket, item_id) AS n FROM items WHERE status = 'published'),
+q AS (SELECT mcq AS item_id, string_agg('{"q":' || attempt_id || ',"stem":"' || event_type || '","answer":"' || ok::VARCHAR || '"}', ',' ORDER BY attempt_id) AS q FROM attempts GROUP BY ALL),
+t AS (SELECT day, section, string_agg('{"n":' || n || ',"title":"Item ' || i.item_id || '","questions":[' || coalesce(q, '') || ']}', ',' ORDER BY n) AS t FROM i LEFT JOIN q ON q.item_id = i.item_id GROUP BY ALL)
+SELECT day, '{"sections":[' || string_agg('{"section":"' || section || '","topics":[' || t || ']}', ',' ORDER BY section) || ']}' AS document FROM t GROUP BY day""")
 def compendium_json(spark, sf):
     """One JSON document a day: its sections, numbered topics and their questions."""
     i = R.visible(items(spark, sf)).select(day_text(F.col("day")).alias("day"), F.col("bucket").alias("section"), "item_id", F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"))

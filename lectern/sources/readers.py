@@ -12,14 +12,14 @@ _IN = lambda tag: rf"(?is)<{tag}\b[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>"
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
-    """RSS items and Atom entries of ``feeds`` (feed, xml): feed, title, link, day, summary (600 characters at most). Items without a title, link or date go."""
+    """RSS items and Atom entries of ``feeds`` (feed, xml): feed, title, link, day, summary (600 characters at most), category. Items without a title, link or date go."""
     e = feeds.select("feed", F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), 1)).alias("x"))
     x = F.col("x")
     link = F.coalesce(F.nullif(F.trim(F.regexp_extract(x, _IN("link"), 1)), F.lit("")), F.nullif(F.regexp_extract(x, r"""(?is)<link\b[^>]*href=["']([^"']+)""", 1), F.lit("")))
-    when = F.coalesce(F.nullif(F.regexp_extract(x, _IN("pubDate"), 1), F.lit("")), F.nullif(F.regexp_extract(x, _IN("updated"), 1), F.lit("")), F.nullif(F.regexp_extract(x, _IN("published"), 1), F.lit("")))
+    when = F.coalesce(F.nullif(F.regexp_extract(x, _IN("pubDate"), 1), F.lit("")), F.nullif(F.regexp_extract(x, _IN("dc:date"), 1), F.lit("")), F.nullif(F.regexp_extract(x, _IN("updated"), 1), F.lit("")), F.nullif(F.regexp_extract(x, _IN("published"), 1), F.lit("")))
     day = F.coalesce(F.to_date(F.nullif(F.regexp_extract(when, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))), F.try_to_date(F.nullif(F.regexp_extract(when, r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1), F.lit("")), "d MMM yyyy"))
     body = F.coalesce(F.nullif(F.regexp_extract(x, _IN("description"), 1), F.lit("")), F.regexp_extract(x, _IN("summary"), 1))
-    out = e.select("feed", F.trim(entities(F.regexp_extract(x, _IN("title"), 1))).alias("title"), link.alias("link"), day.alias("day"), F.substring(F.trim(entities(F.regexp_replace(body, "<[^>]*>", " "))), 1, 600).alias("summary"))
+    out = e.select("feed", F.trim(entities(F.regexp_extract(x, _IN("title"), 1))).alias("title"), link.alias("link"), day.alias("day"), F.substring(F.trim(entities(F.regexp_replace(body, "<[^>]*>", " "))), 1, 600).alias("summary"), F.trim(entities(F.regexp_extract(x, _IN("category"), 1))).alias("category"))
     return out.filter("title <> '' and link is not null and day is not null")
 
 
