@@ -405,11 +405,11 @@ def datelines(spark, sf):
 
 @query("page_headlines", r"""
 WITH {html}, h AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)) AS title, l FROM lines JOIN pages USING (page_id))
-SELECT page_id, CASE WHEN title <> '' AND page_id % 3 <> 0 THEN title ELSE coalesce(list_filter(l, lambda x: length(x) BETWEEN 26 AND 219)[1], '') END AS headline FROM h""".replace("{html}", r"""a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(?:script|style|noscript).*?</(?:script|style|noscript)>|<!--.*?-->', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/article)[^>]*>', chr(10), 'g'), '(?i)</t[dh]>', ' · ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+SELECT page_id, CASE WHEN title <> '' AND page_id % 3 <> 0 THEN title ELSE coalesce(list_filter(l, lambda x: length(x) BETWEEN 26 AND 219)[1], '') END AS headline FROM h""".replace("{html}", r"""g AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?is)<title[^>]*>[^<]*', '<title>Home') ELSE html END AS html FROM pages),
+a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(?:script|style|noscript)\b.*?</(?:script|style|noscript)>|<!--.*?-->', ' ', 'g') AS t FROM g),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/article)\b[^>]*>', chr(10), 'g'), '(?i)</t[dh]>', ' · ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b),
-lines AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ 	
-]+', ' ', 'g'))), lambda x: len(string_split(x, ' ')) > 2 OR regexp_matches(x, '[0-9]')) AS l FROM c)"""))
+lines AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: len(string_split(x, ' ')) > 2 OR regexp_matches(x, '[0-9]')) AS l FROM c)"""))
 def page_headlines(spark, sf):
     """Titles of pages; a third of them are made generic here, and take the first line of fitting length."""
     generic = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", r"(?is)<title[^>]*>[^<]*", "<title>Home")).otherwise(F.col("html"))

@@ -21,5 +21,5 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def boxes(attempts: DataFrame) -> DataFrame:
-    """A streaming ``attempts`` (user_id, mcq, ts, attempt_id, ok) -> the box of each card as batches arrive. Only two numbers a card are kept."""
+    """A streaming ``attempts`` (user_id, mcq, ts, attempt_id, ok) -> the box of each card as batches arrive. Only two numbers a card are kept. Attempts are put in order inside a batch; one that comes in a later batch than a younger one counts when it comes."""
     return attempts.groupBy("user_id", "mcq").applyInPandasWithState(_advance, OUT, STATE, "update", "NoTimeout")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import dedup, layout, matching, quality, relational, schedule
+from lectern.operators import dedup, desk, layout, matching, quality, reads, relational, schedule
 from lectern.sources import readers
 
 
@@ -29,7 +29,7 @@ def test_local_day_at_midnight(spark):
 def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(None,), ("",)], "t string")
     got = df.select(X.tokens(F.col("t")), X.n_words(F.col("t")), X.headline_signature(F.col("t")), X.html_text(F.col("t")), X.jaccard(X.tokens(F.col("t")), X.tokens(F.col("t")))).collect()
-    assert all(r[0] in ([""], []) and r[1] == 0 and r[2] == "|" and r[3] == "" and r[4] == 0 for r in got)
+    assert all(r[0] in ([""], []) and r[1] == 0 and r[2] == "" and r[3] == "" and r[4] == 0 for r in got)
 
 
 def test_ligatures_and_brackets(spark):
@@ -104,6 +104,64 @@ def test_streamed_boxes_equal_the_batch_replay(spark, tmp_path):
     assert {r.user_id: r.reviews for r in out} == {0: 8, 1: 8, 2: 8}
 
 
-def test_vocabulary_is_bounded():
-    with pytest.raises(ValueError, match="vocabulary"):
-        matching.candidates(F.lit(""), [("t", "a")] * (matching.VOCABULARY_MOST + 1))
+def test_vocabularies_of_any_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Direct taxes rose.\nA direct tax, an école and two municipalities; direct, tax."), (2, None), (3, "écoles")], "doc_id long, text string")
+    vocabulary = [("t", "direct tax"), ("m", "municipality"), ("e", "école"), ("x", "absent")]
+    want = {(1, "direct tax", 2, True), (1, "municipality", 1, False), (1, "école", 1, False), (3, "école", 1, True)}
+    for most in (matching.BROADCAST_MOST, 0):
+        monkeypatch.setattr(matching, "BROADCAST_MOST", most)
+        assert {(r.doc_id, r.alias, r.hits, r.in_headline) for r in matching.alias_hits(docs, vocabulary).collect()} == want
+
+
+def test_windows_lists_and_limits():
+    assert reads.item_ids(None) is None and reads.item_ids("") is None and reads.item_ids("x,-1,0") == [] and reads.item_ids(" 7,5,7") == [5, 7]
+    assert [reads.cap_of(v, 12, 60) for v in ("0", "all", "ALL ", "5", "100", "x", None, "-3")] == [0, 0, 0, 5, 60, 12, 12, 12]
+
+
+def test_month_ranges(spark):
+    df = spark.createDataFrame([("2024-11-30",), ("2024-12-01",), ("2024-12-31",), ("2025-01-01",), (None,)], "d string").select(F.to_date("d").alias("d"))
+    assert df.filter(reads.in_month(F.col("d"), "2024-12")).count() == 2
+    assert df.filter(reads.in_window(F.col("d"), start="2024-12-01")[0]).count() == 3
+
+
+@pytest.mark.parametrize(("reply", "found"), [
+    ('```json\n[{"a": 1}, {"a": "}"}]\n```', 2), ('[{"a": "line\nbreak"}, {"a": {"b": [1, {"c": 2}]}}, {"a": "cut', 2), ("no list at all", 0), ("", 0), ('[{"a": "q\\"}"}, {bad}, {"b": 1}]', 2), ('[{"a": 1}', 1),
+])
+def test_whole_objects(reply, found):
+    assert len(desk.whole_objects(reply)) == found
+
+
+def test_question_shapes(spark):
+    cols = "question string, option_a string, option_b string, option_c string, option_d string, correct_option string, format string, explanation string, fact_as_of string"
+    ar = ("Assertion (A): x. Reason (R): y. Which?", "Both A and R are true and R explains A", "Both A and R are true but R does not explain A", "A is true, R is false", "A is false, R is true", "a", "assertion_reason", "e", "2024")
+    ms = ("Consider:\nI. one\nII. two", "I only", "II only", "III only", "None of them", "a", "multi_statement", "e", "2024")
+    got = [r.fatal for r in quality.inspected(spark.createDataFrame([ar, (ar[0], "x", *ar[2:]), ms], cols)).collect()]
+    assert got == [[], ["not the four fixed options"], ["option about options", "option beyond the statements"]]
+
+
+def test_bylines(spark):
+    df = spark.createDataFrame([("By A. Person, NEW DELHI",), ("VIJAYAWADA",), ("By B PTI",), (None,)], "b string")
+    assert [tuple(r) for r in df.select(X.dateline(F.col("b")), X.without_dateline(F.col("b"))).collect()] == [("NEW DELHI", "By A. Person"), ("VIJAYAWADA", "VIJAYAWADA"), ("", "By B PTI"), ("", "")]
+
+
+def test_rate_windows_over_batches(spark):
+    rows = [(k, float(t)) for k in (None, 1, 2) for t in (0, 10, 20, 3600, 3601, 9000)]
+    got = {r.u: (r.windows, r.refused) for r in schedule.fixed_windows(spark.createDataFrame(rows, "u long, t double"), "u", "t", 3600, 2).collect()}
+    assert got == {None: (3, 1), 1: (3, 1), 2: (3, 1)}
+    assert schedule.fixed_windows(spark.createDataFrame([], "u long, t double"), "u", "t", 3600, 2).isEmpty()
+
+
+def test_resumed_and_written(spark, tmp_path):
+    from lectern.sources import sinks
+
+    log = spark.createDataFrame([(1, "a", "new"), (3, "a", "done"), (2, "b", "new")], "line_no int, key string, state string")
+    assert {r.key: r.state for r in readers.resumed(log).collect()} == {"a": "done", "b": "new"}
+    sinks.write_text(log, "state", str(tmp_path / "out"))
+    sinks.write_text(log.filter("key = 'b'"), "state", str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["new"]
+
+
+def test_feeds_with_dates_and_categories(spark):
+    xml = "<item><title>T</title><link>http://x</link><dc:date>2024-05-06T01:02:03Z</dc:date><category>News</category></item>"
+    r = readers.feed_items(spark.createDataFrame([("f", xml)], "feed string, xml string")).first()
+    assert (str(r.day), r.category) == ("2024-05-06", "News")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict
 
 import pytest
@@ -36,9 +35,3 @@ def test_rate_windows_against_a_loop(spark, sf):
             refused += n > 2
         want[user] = (windows, refused)
     assert {r.user_id: (r.windows, r.refused) for r in catalogue.QUERIES["rate_windows"](spark, sf).collect()} == want
-
-
-def test_compendium_is_numbered_through_the_day(spark, sf):
-    for r in catalogue.QUERIES["compendium_json"](spark, sf).limit(20).collect():
-        topics = [t for s in json.loads(r.document)["sections"] for t in s["topics"]]
-        assert [t["n"] for t in topics] == list(range(1, len(topics) + 1))
