@@ -11,10 +11,12 @@ from pyspark.sql import window as W
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set and driver and executors are one process, as in tests."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
         base = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -30,7 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder; lineage ends there."""
     path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing to come reads; a result that is still lazy must have been written itself."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.work_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,6 +80,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: A key with more than one in HOT of all rows does not go to a single task; fewer than HOT such keys can exist.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (unique ``keys``, ``n``: how many rows of ``left`` have them, and other columns).
+
+    Keys that hold more than one in HOT of ``rows``, of which there are fewer than HOT, are joined where they stand,
+    by a broadcast; the others are shuffled. ``n`` goes.
+    """
+    more = [c for c in right.columns if c not in (*keys, "n")]
+    common = F.col("n") * HOT > rows
+    hot = right.filter(common).select(*keys, F.struct(*more, F.lit(1).alias("_")).alias("_hot"))
+    dealt = left.join(F.broadcast(hot), keys, "left")
+    first = dealt.filter("_hot is not null").select(*left.columns, *[F.col(f"_hot.{c}").alias(c) for c in more])
+    rest = dealt.filter("_hot is null").drop("_hot").join(right.filter(~common).drop("n"), keys, how)
+    return first.union(rest.select(first.columns))
+
+
 def ranked(df: DataFrame, group: str, order: list[Column], name: str, bits: int = 12) -> DataFrame:
     """Exact zero-based rank of each row in its group in the order of a hash and then ``order``.
 
