@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from lectern.llm.common import connected_components, doc_texts, written
+from lectern.llm.common import connected_components, doc_texts, join_hot, removed, written
 from lectern.llm.tokens import SPACED, Words, lists, mix, pieces
 
 SHINGLE = 5
@@ -109,37 +110,69 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return n * m / (n + m) ** 2 / (2 * np.log(2)) / 2.0**MANTISSA
 
 
-def sketches(docs: DataFrame, rows: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (the set's 128-bit hash), sketch, bands."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, fp1, fp2 (the set's 128-bit hash), sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix(np.arange(bands, dtype=np.uint64) + np.uint64(1))
         for batch in pieces(batches, PIECE_BYTES):
             sets, bounds = shingle_sets(batch.column(1))
-            n = np.diff(bounds)
             total = np.r_[np.uint64(0), np.cumsum(mix(sets))]
             other = np.r_[np.uint64(0), np.cumsum(mix(sets ^ np.uint64(0xD1B54A32D192ED03)))]
-            least = np.stack([_least(sets[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            regs = registers(least)
-            keys = np.zeros((len(n), bands), np.uint64)
-            for k in range(rows):
-                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + regs[:, k : rows * bands : rows].astype(np.uint64) + np.uint64(1))
-            keys = mix(keys ^ salts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)), pa.array((other[bounds[1:]] - other[bounds[:-1]]).view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary()), lists(keys.view(np.int64).ravel(), np.arange(len(n) + 1) * bands)],
-                ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "bands"],
+                [batch.column(0), pa.array(np.diff(bounds)), pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)), pa.array((other[bounds[1:]] - other[bounds[:-1]]).view(np.int64)), _sketched(sets, bounds)],
+                ["doc_id", "n_shingles", "fp1", "fp2", "sketch"],
             )
 
-    return doc_texts(docs).mapInArrow(sketch, "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>")
+    return doc_texts(docs).mapInArrow(sketch, "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary")
+
+
+def _sketched(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.array([registers(_least(sets[a:b])).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+
+
+def _registers_of(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint16) for x in column.to_pylist()])
+
+
+def band_keys(regs: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """(sketches, bands): the hash of each band of ``rows`` registers."""
+    keys = np.zeros((len(regs), bands), np.uint64)
+    for k in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + regs[:, k : rows * bands : rows].astype(np.uint64) + np.uint64(1))
+    return mix(keys ^ mix(np.arange(bands, dtype=np.uint64) + np.uint64(1)))
+
+
+def stars(reps: DataFrame, rows: int, bands: int) -> DataFrame:
+    """src, dst: each of ``reps`` (node, sketch) tied to the smallest one of every bucket that it shares with others.
+
+    A batch ties its own members of a bucket and sends the smallest of them on, so that a bucket has one row a batch where all meet.
+    """
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_registers_of(batch.column(1)), rows, bands).ravel()
+                nodes = np.repeat(batch.column(0).to_numpy(), bands)
+                order = np.lexsort((nodes, keys))
+                k, v = keys[order], nodes[order]
+                new = np.r_[True, k[1:] != k[:-1]]
+                lead = v[np.flatnonzero(new)][np.cumsum(new) - 1]
+                late = ~new & (v != lead)
+                keep = new | late
+                yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(v[keep]), pa.array(lead[keep], mask=new[keep])], ["key", "node", "least"])
+
+    d = reps.select("node", "sketch").mapInArrow(block, "key long, node long, least long")
+    met = d.filter("least is null").withColumn("least", F.min("node").over(W.Window.partitionBy("key"))).filter("node <> least")
+    return d.filter("least is not null").union(met).select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct()
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, PIECE_BYTES):
             sets, bounds = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(sets.view(np.int64), bounds), batch.column(2), batch.column(3)], ["node", "shingles", "grp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(sets.view(np.int64), bounds), *batch.columns[2:], _sketched(sets, bounds)], ["node", "shingles", "grp", "blocks", "sketch"])
 
-    return docs.mapInArrow(sets_of, "node long, shingles array<long>, grp long, sketch binary")
+    return docs.mapInArrow(sets_of, "node long, shingles array<long>, grp long, blocks int, sketch binary")
 
 
 class _Forest:
@@ -167,7 +200,7 @@ def _confirmer(threshold: float):
         node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
         order = np.lexsort((node, block))
         node, block = node[order], block[order]
-        regs = np.stack([np.frombuffer(x, np.uint16) for x in table.column("sketch").to_pylist()])[order]
+        regs = _registers_of(table.column("sketch"))[order]
         lists_ = table.column("shingles").combine_chunks()
         values, offsets = lists_.values.to_numpy(zero_copy_only=False), lists_.offsets.to_numpy()
         sets = [values[offsets[k] : offsets[k + 1]].view(np.uint64) for k in order]
@@ -201,31 +234,35 @@ def _confirmer(threshold: float):
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least ``threshold``)."""
     rows, bands = bands_for(threshold)
-    s = written(sketches(docs, rows, bands), "sketches")
+    s = written(sketches(docs), "sketches")
+    total = s.count()
     has = s.filter("n_shingles > 0 and doc_id is not null")
-    classes = has.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"))
-    reps = has.join(classes, ["fp1", "fp2"]).filter("doc_id = node")
-    keys = reps.select("node", F.explode("bands").alias("key"))
-    # A star a bucket: every member is tied to its smallest one.
-    least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
-    stars = keys.join(least, "key").filter("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
-    groups = written(connected_components(stars), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = reps.select("node", "sketch").dropDuplicates(["node"]).join(groups, "node")
-    texts = doc_texts(docs).withColumnRenamed("doc_id", "node").join(members, "node").select("node", "text", F.col("component").alias("grp"), "sketch")
-    sets = _full_sets(texts).join(sizes.withColumnRenamed("component", "grp"), "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    classes = written(has.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
+    # One row a class: keys with the id are even, however many copies a class has.
+    firsts = classes.select("fp1", "fp2", F.col("node").alias("doc_id"))
+    reps = has.join(firsts, ["fp1", "fp2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "fp1", "fp2", "sketch").dropDuplicates(["fp1", "fp2", "node"])
+    ties = written(stars(reps, rows, bands), "stars")
+    groups = written(connected_components(ties), "groups")
+    sizes = written(groups.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "group-sizes")
+    members = join_hot(groups, sizes, ["component"], total)
+    # Members grow with the corpus, so they are never broadcast to the texts.
+    texts = doc_texts(docs).withColumnRenamed("doc_id", "node").join(members.hint("merge"), "node").select("node", "text", F.col("component").alias("grp"), "blocks")
+    sets = _full_sets(texts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    links = dealt.groupBy("grp", "i", "j").applyInArrow(_confirmer(threshold), "src long, dst long")
+    links = written(dealt.groupBy("grp", "i", "j").applyInArrow(_confirmer(threshold), "src long, dst long"), "links")
     found = written(connected_components(links), "components")
-    tied = has.join(classes, ["fp1", "fp2"]).select("doc_id", "node").distinct()
     # Texts that share a doc_id are tied through it.
-    repeated_ids = tied.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    tied = join_hot(has.select("doc_id", "fp1", "fp2"), classes, ["fp1", "fp2"], total).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    repeated_ids = written(tied, "repeated-ids")
     if not repeated_ids.isEmpty():
-        extra = tied.join(repeated_ids.select("doc_id"), "doc_id").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
+        extra = join_hot(has.join(repeated_ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", "fp1", "fp2"), classes, ["fp1", "fp2"], total).select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
         found = written(connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(extra)), "components")
-    out = s.join(classes, ["fp1", "fp2"], "left").join(found, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    ends = classes.join(found, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("end"), "n")
+    out = join_hot(s.select("doc_id", "n_shingles", "fp1", "fp2"), ends, ["fp1", "fp2"], total, "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("end")).otherwise(F.col("doc_id"))
+    result = written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")), "near-duplicates")
+    removed(s, classes, ties, groups, sizes, links, found, repeated_ids)
+    return result
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
