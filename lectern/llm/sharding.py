@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, ranked, written
+from lectern.llm.common import cut, join_hot, ranked, written
 
 SHARDS = 8
 ROUNDS = 3
@@ -41,16 +41,17 @@ def balanced_labels(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS
     """``nodes`` (row: unique long, group: equal for linked rows) -> row, group, shard."""
     total = nodes.count()
     quota = _quota(total, shards)
-    sizes = nodes.groupBy("group").agg(F.count("*").alias("_members")).filter("_members > 1")
-    marked = nodes.join(sizes, "group", "left").withColumn("linked", F.col("_members").isNotNull()).drop("_members")
+    sizes = cut(nodes.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"))
+    marked = join_hot(nodes, sizes.withColumn("linked", F.lit(True)), ["group"], total, "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     state = cut(marked.withColumn("shard", F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")))
     linked = state.filter("linked")
     open_shards = list(range(shards))
     for _ in range(rounds):
         # Shares of each group by shard: at most `shards` rows a group, whatever its size.
         held = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        wish = held.filter(F.col("shard").isin(open_shards)).groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard").alias("h"), "shard")).alias("best")).select("group", F.col("best.shard").alias("wish"))
-        asked = cut(linked.join(wish, "group", "left").withColumn("wish", F.coalesce("wish", "shard")))
+        open_ = F.col("shard").isin(open_shards)
+        wish = held.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.when(open_, F.struct("n", F.xxhash64("group", "shard").alias("h"), "shard"))).alias("best")).select("group", "n", F.col("best.shard").alias("wish"))
+        asked = cut(join_hot(linked, cut(wish), ["group"], total, "left").withColumn("wish", F.coalesce("wish", "shard")))
         staying = _counts(asked.filter("wish = shard"), "shard", shards)
         room = [max(0, q - s) for q, s in zip(quota, staying, strict=True)]
         if sum(_counts(asked.filter("wish <> shard"), "wish", shards)) == 0:
@@ -90,10 +91,10 @@ def cut_groups(labels: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64("text", F.lit(1)).alias("h1"), F.xxhash64("text", F.lit(2)).alias("h2"))
+    facts = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.md5(text.cast("binary")).alias("group"))
     # Written once, so that the row numbers stand; copies of a row get numbers of their own.
     facts = written(facts.withColumn("row", F.monotonically_increasing_id()), "shard-facts")
-    labels = balanced_labels(facts.select("row", F.xxhash64("h1", "h2").alias("group")), shards, rounds)
+    labels = balanced_labels(facts.select("row", "group"), shards, rounds)
     seats = ranked(labels.select("row", "shard"), "shard", [F.col("row")], "slot")
     return facts.join(seats, "row").select("doc_id", "size", "text_crc32", "shard", "slot")
 
