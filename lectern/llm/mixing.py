@@ -1,10 +1,10 @@
 """Mixing sources to target weights.
 
 Tokens are summed per source, a water-filling step turns weights into targets, and each
-document is taken floor(rate) times plus one Bernoulli copy seeded by its id's hash. Of SEEDS seeds, each source
-uses the one whose copies come nearest its target, as a few long documents could leave any single one far off.
+document is taken floor(rate) times plus one Bernoulli copy of the fraction's probability, seeded by its id's hash: coins are
+independent, so what a source takes has its target as its mean, and comes the nearer to it the more documents there are.
 Only the per-source table (one row per source) is ever sorted or windowed; documents see
-two aggregations with partial sums, over a narrow table of their sizes, and one join.
+one aggregation with partial sums and one broadcast join with it; beyond the session's broadcast threshold, sources are joined by sort.
 
 Null sources are a source, last in order; null or empty texts have size 0 and are taken
 floor(rate) times or once more like any other; equal doc_ids share one coin; an empty
@@ -21,8 +21,6 @@ from lectern.llm.common import written
 
 #: Weights by order of the source, repeated; share of all tokens to take; most repeats of a source.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
-#: Seeds tried for each source; a SHA-256 digest holds eight coins of 32 bits.
-SEEDS = 8
 
 
 def n_tokens(text: Column) -> Column:
@@ -47,40 +45,30 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     )
 
 
-def coin(doc_id: Column, k: Column, seed: str = "mix") -> Column:
-    """A uniform number in [0, 1) made of the id and one of SEEDS alone: reruns agree."""
+def coin(doc_id: Column, seed: str = "mix") -> Column:
+    """A uniform number in [0, 1) made of the id alone: reruns agree."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"), 256)
-    return F.conv(F.substring(digest, k * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967296.0
-
-
-def seeded(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """``plan`` with the rate of each source and the seed whose coins come nearest its target: SEEDS partial sums a source."""
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("_rate", rate)
-    tossed = sizes.join(plan, sizes["source"].eqNullSafe(plan["_source"])).withColumn("_part", F.col("_rate") - F.floor("_rate"))
-    extra = tossed.groupBy("_source").agg(*[F.sum(F.when(coin(F.col("doc_id"), F.lit(k)) < F.col("_part"), F.col("_size")).otherwise(0)).alias(f"_x{k}") for k in range(SEEDS)]).withColumnRenamed("_source", "_s")
-    off = [F.struct(F.abs(F.floor("_rate") * F.col("_source_size") + F.col(f"_x{k}") - F.col("_target")).alias("off"), F.lit(k).alias("k")) for k in range(SEEDS)]
-    return plan.join(extra, plan["_source"].eqNullSafe(extra["_s"])).select("_source", "_source_size", "_target", "_rate", F.array_min(F.array(*off))["k"].alias("_seed"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies added."""
-    sizes = written(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("_size")), "sizes")
-    plan = targets(sizes.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, cap).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    plan = seeded(sizes, plan)
-    joined = docs.withColumn("_size", n_tokens(F.col("text"))).join(plan, docs["source"].eqNullSafe(plan["_source"]), "left").drop("_source")
-    copies = F.floor("_rate") + F.when(coin(F.col("doc_id"), F.col("_seed")) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return joined.withColumn("_copies", copies.cast("int")).drop("_rate", "_seed")
+    """doc (a struct of all columns of ``docs``), size, source_size, target (of its source) and copies of each row."""
+    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), n_tokens(F.col("text")).alias("size"), F.col("source").alias("from"))
+    sizes = written(sized.groupBy(F.col("from").alias("source")).agg(F.sum("size").alias("source_size")), "source-sizes")
+    plan = targets(sizes, weights, share, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    copies = F.floor("rate") + F.when(coin(F.col("doc.doc_id")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    joined = sized.join(plan, sized["from"].eqNullSafe(plan["source"]), "left")
+    return joined.select("doc", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """Each document as many times as its _copies say."""
-    return mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """The rows of the documents, each as many times as its copies say."""
+    return mixed.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     mixed = mixture(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
+    return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 OP7_SQL = r"""
@@ -91,9 +79,6 @@ f AS (SELECT *, 2.0::DOUBLE * source_size / wt AS full_at FROM w),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY full_at, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(wt) OVER (ORDER BY full_at, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, wt * (SELECT level FROM l WHERE level <= full_at ORDER BY full_at, level LIMIT 1)) AS target FROM l),
-r AS (SELECT d.doc_id, d.source, d.size, d.h, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT *, s.k AS k, (('0x' || substr(h, s.k * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate))::INT AS more FROM r, (SELECT unnest(range(8)) AS k) s),
-o AS (SELECT source, k, abs(any_value(floor(rate) * source_size) + sum(size * more) - any_value(target)) AS off FROM x GROUP BY source, k),
-b AS (SELECT source, k FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + more))::BIGINT AS taken FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.k = b.k
+r AS (SELECT d.doc_id, d.size, ('0x' || substr(d.h, 1, 8))::BIGINT / 4294967296.0::DOUBLE AS coin, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (coin < rate - floor(rate))::INT))::BIGINT AS taken FROM r
 """
