@@ -38,7 +38,8 @@ def paragraphs(text: Column) -> Column:
 
 
 def _hashes(paragraph: Column) -> Column:
-    return F.array(*[F.xxhash64(paragraph, F.lit(k)) for k in range(HASHES + 4)])
+    # The salt comes first: it seeds the hash of the paragraph, so that each is another function of it.
+    return F.array(*[F.xxhash64(F.lit(k), paragraph) for k in range(HASHES + 4)])
 
 
 def vector(h: Column) -> list[Column]:
@@ -91,6 +92,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(same, 1.0).when(scale == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / scale)))
 
 
+def following(keys: DataFrame, bits: int = 10, most: int = 1 << 16) -> DataFrame:
+    """``keys`` (part: distinct longs) -> (part, next): the next larger one, after the largest the smallest.
+
+    Up to ``most`` keys are put in order at once. More are dealt into ranges of 2**bits, each ordered by itself, and the
+    ranges in use, far fewer, are followed in the same way.
+    """
+    if keys.count() <= most:
+        along = W.Window.orderBy("part")
+        return keys.withColumn("next", F.coalesce(F.lead("part").over(along), F.first("part").over(along)))
+    dealt = keys.withColumn("range", F.shiftright("part", bits))
+    led = dealt.withColumn("next", F.lead("part").over(W.Window.partitionBy("range").orderBy("part")))
+    least = written(dealt.groupBy("range").agg(F.min("part").alias("least")), "ranges")
+    after = following(least.select(F.col("range").alias("part")), bits + 4, most).select(F.col("part").alias("range"), F.col("next").alias("to"))
+    after = after.join(least.select(F.col("range").alias("to"), "least"), "to").select("range", "least")
+    return led.filter("next is not null").select("part", "next").union(led.filter("next is null").join(after, "range").select("part", F.col("least").alias("next")))
+
+
 def with_next(docs: DataFrame, bits: int = 10) -> DataFrame:
     """``docs`` (doc_id, text) with next_text: of the row after it by doc_id (equal ids: by text), after the last that of the first.
 
@@ -104,8 +122,7 @@ def with_next(docs: DataFrame, bits: int = 10) -> DataFrame:
     led = dealt.withColumn("_n", F.row_number().over(inside)).withColumn("next_text", F.lead("text").over(inside))
     led = written(led, "next-text")
     heads = led.filter("_n = 1").select("_part", F.col("text").alias("_head"))
-    parts = W.Window.orderBy("_part")
-    links = heads.select("_part").withColumn("_next", F.coalesce(F.lead("_part").over(parts), F.first("_part").over(parts)))
+    links = following(heads.select(F.col("_part").alias("part"))).select(F.col("part").alias("_part"), F.col("next").alias("_next"))
     after = links.join(heads.withColumnRenamed("_part", "_next"), "_next").select("_part", "_head")
     done = led.filter("next_text is not null").select("doc_id", "text", "next_text")
     ends = led.filter("next_text is null").join(after, "_part").select("doc_id", "text", F.col("_head").alias("next_text"))
