@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table_path
+from lectern.llm.common import join_hot, table_path, written
 
 RECORDS_PER_FILE = 4096
 #: Equal payloads of at least so many bytes are written once.
@@ -143,11 +143,11 @@ def convert_arc(files: DataFrame, payloads: bool = True) -> DataFrame:
     return files.select("path", "content").mapInArrow(convert, CONVERTED)
 
 
-def write_warc(records: DataFrame, firsts: DataFrame, out: str) -> None:
-    """``records`` of convert_arc as WARC files; ``firsts`` (payload_digest, first_id) names the response that others of its digest revisit."""
+def write_warc(records: DataFrame, revisits: DataFrame, out: str) -> None:
+    """``records`` of convert_arc as WARC files; ``revisits`` (record_id, first_id) names the response that a record of an equal payload revisits."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    r = records.join(firsts, "payload_digest", "left")
-    revisit = F.coalesce((F.col("type") == "response") & (F.col("first_id") != F.col("record_id")), F.lit(False))
+    r = records.join(revisits, "record_id", "left")
+    revisit = F.col("first_id").isNotNull()
     head, payload = F.coalesce("head", F.lit(b"")), F.when(revisit, F.lit(b"")).otherwise(F.coalesce("payload", F.lit(b"")))
     header = F.concat(
         F.lit("WARC/1.0\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise(F.col("type"))), line("WARC-Target-URI", F.col("url")), line("WARC-Date", F.col("date")), line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.col("record_id"), F.lit(">"))),
@@ -202,16 +202,23 @@ def archived(pages: DataFrame, version: int = 1) -> DataFrame:
     arc, warc = table_path(spark, "arc"), table_path(spark, "warc")
     write_arc(pages, arc, version)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(arc)
-    found = convert_arc(files, payloads=False).filter(f"type = 'response' and payload_bytes >= {LEAST_REVISIT}")
-    firsts = found.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first")).filter("n > 1").select("payload_digest", F.col("first.record_id").alias("first_id"))
-    write_warc(convert_arc(files), firsts, warc)
+    found = convert_arc(files, payloads=False).filter(f"type = 'response' and payload_bytes >= {LEAST_REVISIT}").select("payload_digest", "page_id", "record_id")
+    # Who revisits whom is settled on narrow rows; payloads then move by their own record, never by a digest that many share.
+    found = written(found, "digests")
+    firsts = found.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first")).filter("n > 1").select("payload_digest", F.col("first.record_id").alias("first_id"), "n")
+    revisits = written(join_hot(found, written(firsts, "firsts"), ["payload_digest"], found.count()).filter("first_id <> record_id").select("record_id", "first_id"), "revisits")
+    write_warc(convert_arc(files), revisits, warc)
     return read_warc(spark, warc)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     r = archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).filter("type in ('response', 'revisit')")
-    to = r.filter("type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return r.join(to, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+    r = written(r.select("record_id", "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to_id"), "records")
+    revisits, columns = r.filter("refers_to_id is not null"), ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    asked = revisits.groupBy("refers_to_id").agg(F.count("*").alias("n"))
+    to = written(r.filter("refers_to_id is null").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).join(asked, "refers_to_id"), "originals")
+    found = join_hot(revisits, to, ["refers_to_id"], r.count(), "left").select(*columns, "refers_to")
+    return r.filter("refers_to_id is null").select(*columns, F.lit(None).cast("long").alias("refers_to")).union(found)
 
 
 OP3_SQL = """
