@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lectern.llm.common import doc_texts, written
+from lectern.llm.common import doc_texts, removed, written
 from lectern.llm.tokens import hash_ranges, mix, pieces, text_bytes
 
 RUN = 3
@@ -114,7 +114,9 @@ def marked(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS) -> Dat
     columns = ["doc_id", "doc", "place", "length"]
     order = F.rank().over(W.Window.partitionBy("h1", "h2").orderBy("doc_id", "doc", "place"))
     later = runs.filter("not late").withColumn("at", order).filter("at > 1").select(columns)
-    return written(later.union(runs.filter("late").select(columns)).groupBy("doc_id", "doc").agg(F.collect_set(F.struct("place", "length")).alias("marks")), "marks")
+    marks = written(later.union(runs.filter("late").select(columns)).groupBy("doc_id", "doc").agg(F.collect_set(F.struct("place", "length")).alias("marks")), "marks")
+    removed(runs)
+    return marks
 
 
 def _gone(marks: list[dict], words: np.ndarray, min_words: int) -> np.ndarray:
