@@ -7,13 +7,14 @@ from pyspark.sql import window as W
 
 from lectern.functions import lists as L
 from lectern.functions import text as X
+from lectern.operators import dedup as S
 from lectern.operators import desk as D
 from lectern.operators import ranking as K
 from lectern.operators import relational as R
 from lectern.operators.matching import alias_hits
 from lectern.plans import relational as P
-from lectern.plans.roles import answers, articles, attempts, item_units, items, mcqs, query, reviewed, shown, table, units
-from lectern.plans.texts import ALONE, TERMS, VOCABULARY, _HITS, _TOKENS
+from lectern.plans.roles import ORACLES, answers, articles, attempts, item_units, items, mcqs, query, reviewed, shown, table, units
+from lectern.plans.texts import _GROUPS, _HITS, _TOKENS, ALONE, TERMS, VOCABULARY
 
 _Q = lambda p: p.replace("'", "''")
 _ANY = lambda c, ps: " OR ".join(f"regexp_matches({c}, '{_Q(p)}')" for p in ps)
@@ -82,6 +83,20 @@ def rule_gate(spark, sf):
     return D.gate(a.withColumn("points", points), "edition", "doc_id").select("doc_id", "edition", "area", "score", "keep")
 
 
+@query("paper_lane", f"""
+WITH RECURSIVE {_GROUPS}, ld AS (SELECT first(doc_id ORDER BY length(text) DESC, doc_id) AS lead, count(*) AS copies, list(node) AS nodes FROM g JOIN documents ON doc_id = node GROUP BY leader), away AS (SELECT unnest(nodes) AS doc_id FROM ld),
+kept AS (SELECT * FROM (WITH {ORACLES["rule_gate"].strip().removeprefix("WITH ")}) WHERE keep)
+SELECT kept.edition, kept.doc_id, '{{{{"doc_id":' || kept.doc_id || ',"copies":' || coalesce(copies, 1) || ',"score":' || score || '}}}}' AS candidate FROM kept LEFT JOIN ld ON ld.lead = kept.doc_id WHERE ld.lead IS NOT NULL OR kept.doc_id NOT IN (SELECT doc_id FROM away)""".replace("{{", "{").replace("}}", "}"))
+def paper_lane(spark, sf):
+    """From articles to candidates: one of each story, and of those what the gate keeps, as JSON."""
+    a = articles(spark, sf)
+    members = S.groups(S.similar_pairs(a, "edition"))
+    docs = a.select("doc_id", "text", F.lit("").alias("page"), F.lit(0).alias("prominence"))
+    leads = S.collapsed(docs, members).select(F.col("lead").alias("doc_id"), "copies")
+    kept = rule_gate(spark, sf).filter("keep").join(members.select(F.col("node").alias("doc_id"), F.lit(True).alias("tied")), "doc_id", "left").join(leads, "doc_id", "left").filter("tied is null or copies is not null")
+    return kept.select("edition", "doc_id", F.to_json(F.struct("doc_id", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "score")).alias("candidate"))
+
+
 _FIVE = ("the", "of", "and", "that", "thing", "reed", "inly", "erst", "those", "tion")
 
 
