@@ -25,7 +25,7 @@ DOCS = [
     (1, "One short text. It has two sentences.", "en", "a"), (2, "One short text. It has two sentences.", "en", "a"), (3, "", "en", "b"), (4, None, None, None), (5, "   \n\t ", "fr", "b"), (6, LONG, "en", "a"),
     (7, PASSAGE, "en", "c"), (8, "Start of it all. " + PASSAGE + " End of it.", "de", "c"), (9, "Übergröße ÀÉÎ straße. " * 3, "de", None), (10, "you stupid vile idiot, go away " * 3, "en", "a"), (11, "word", "en", "b"), (12, "alpha beta gamma delta", "en", "b"),
 ]
-TYPES = {"documents": [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("row", pa.int64()), ("score", pa.float64()), ("segment", pa.string())], "labels": [("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())], "benchmark": [("item_id", pa.int64()), ("text", pa.string())], "pages": [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("host", pa.string())]}
+TYPES = {"documents": [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("row", pa.int64()), ("score", pa.float64()), ("segment", pa.string())], "labels": [("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())], "benchmark": [("item_id", pa.int64()), ("text", pa.string())], "pages": [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("host", pa.string())], "conversations": [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("edit", pa.string()), ("fault", pa.string())], "embeddings": [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("score", pa.float64()), ("anchor", pa.int64())]}
 
 
 def write(folder: Path, **tables) -> str:
@@ -41,18 +41,25 @@ PAGES = [
 ]
 
 
+TALKS = [(1, 0, "system", "Be brief."), (1, 1, "user", "Hello there."), (1, 2, "assistant", "Yes. \n"), (1, 4, "user", LONG), (2, None, "user", "No turn."), (2, None, None, None), (2, 5, "assistant", "Cut"), (3, 1, "user", ""), (4, 1, "tool", "Result."), (None, 2, "user", "Of no one."), (None, 3, "assistant", "To no one."), (5, 1, "", "Who?")]
+VECTORS = [
+    (0, [1.0, 0.5], 0), (100, [0.25, -1.0], 1), (200, None, 1), (300, [0.0, float("nan")], 1), (400, [1.0, None], 1), (500, [1.0, 0.5], None), (1, [1.0, 0.5], 0), (2, [1.0, 0.5], 0), (3, [0.9, 0.4], 0), (4, [0.9, 0.5], 2),
+    (5, [0.9, 0.45], 2), (6, [0.9, 0.45], 3), (8, [0.95, 0.5], 3), (9, [0.1, -0.9], 4), (10, [0.2, -0.9], 4), (14, [0.2, -0.95], 1), (15, [0.25, -0.95], 1), (600, [0.0, 0.0], 5), (16, [-1.0, -1.0], 5), (17, [0.0, 0.0], 6),
+]
+
+
 @pytest.fixture(scope="module")
 def edge(tmp_path_factory):
     labels = [(10, 0, 1), (1, 1, 0), (2, 1, 0), (6, None, 0), (7, 1, 0), (9, 1, None), (None, 1, 1)]
     bench = [(1, PASSAGE), (2, "alpha beta gamma delta"), (3, None), (4, ""), (5, "short text it has"), (5, "short text it has")]
-    return write(tmp_path_factory.mktemp("edge"), documents=DOCS, labels=labels, benchmark=bench, pages=PAGES)
+    return write(tmp_path_factory.mktemp("edge"), documents=DOCS, labels=labels, benchmark=bench, pages=PAGES, conversations=TALKS, embeddings=VECTORS)
 
 
 @pytest.fixture(scope="module")
 def nulls(tmp_path_factory):
     """Repeated rows and null ids as well."""
     docs = [*DOCS[:5], *DOCS[:5], (None, "text of no one. It has no id.", "en", "a"), (None, None, None, None), (1, "another text of the same id", "en", "z")]
-    return write(tmp_path_factory.mktemp("nulls"), documents=docs, labels=[(None, None, None), (1, 0, 1), (1, 0, 0)], benchmark=[(None, "text of no one"), (None, None)], pages=[*PAGES[:3], *PAGES[:3], (None, None, None)])
+    return write(tmp_path_factory.mktemp("nulls"), documents=docs, labels=[(None, None, None), (1, 0, 1), (1, 0, 0)], benchmark=[(None, "text of no one"), (None, None)], pages=[*PAGES[:3], *PAGES[:3], (None, None, None)], conversations=[*TALKS, *TALKS, (None, None, None, None)], embeddings=[*VECTORS, *VECTORS[:7], (None, [1.0, 1.0], 0), (700, [1.0, 1.0, 1.0], 0), (18, [], 0), (800, [], 0), (100, [3e38, 1.0], 1)])
 
 
 @pytest.fixture(scope="module")
@@ -60,15 +67,16 @@ def empty(tmp_path_factory):
     return write(tmp_path_factory.mktemp("empty"))
 
 
-N_ROWS = {"op3_arc_to_warc": "pages", "op6_url_filter": "pages"}
+N_ROWS = {"op3_arc_to_warc": (10, 7), "op6_url_filter": (10, 7), "op11_conversation_repair": (6, 6), "op12_hard_negatives": (8, 8)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_edge_cases(spark, edge, nulls, empty, name):
     """No crash; a row for each input row."""
-    for folder, n in ((edge, (12, 10)), (nulls, (13, 7)), (empty, (0, 0))):
+    want = N_ROWS.get(name, (12, 13))
+    for folder, n in ((edge, want[0]), (nulls, want[1]), (empty, 0)):
         rows = queries.QUERIES[name](spark, folder).collect()
-        assert len(rows) == n[name in N_ROWS], (name, folder)
+        assert len(rows) == n, (name, folder)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
