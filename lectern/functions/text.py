@@ -85,10 +85,9 @@ def like_literal(term: str, escape: str = "~") -> str:
 def alias_body(alias: str, strict: bool = False) -> str:
     """The pattern of an alias without its word edges. Plural forms count unless it is strict, short, foreign or all capitals."""
     body = re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", alias if strict else alias.lower())
-    capitals = alias.isupper()
-    if strict and capitals and len(alias) >= 4 and not alias.endswith("S"):
+    if strict and len(alias) >= 4 and not alias.endswith("s") and alias.isascii():
         return body + "s?"
-    if strict or len(alias) < 4 or not alias.isascii() or capitals:
+    if strict or len(alias) < 4 or not alias.isascii() or alias == alias.upper():
         return body
     if re.search("[^aeiou]y$", body):
         return body[:-1] + "(?:y|ies)"
@@ -99,18 +98,6 @@ def alias_pattern(alias: str, strict: bool = False) -> str:
     return alias_body(alias, strict) if not alias.isascii() else EDGE_LEFT + alias_body(alias, strict) + EDGE_RIGHT
 
 
-def alias_starts(alias: str) -> list[str]:
-    """Tokens of a text that the alias may begin at: its first word, with plural forms if it is the only one."""
-    words = alias.lower().split()
-    first = words[0]
-    return [first] if len(words) > 1 else list(dict.fromkeys([first, first + "s", first + "es"] + ([first[:-1] + "ies"] if first.endswith("y") else [])))
-
-
-def words_of(c: Column) -> Column:
-    """Distinct ASCII words of a normalised text, any length: what aliases are looked up by."""
-    return F.array_distinct(F.split(F.regexp_replace(c, "[^a-z0-9_]+", " "), " "))
-
-
 def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
     """Whether one of the patterns is found in ``c``."""
     return c.rlike("|".join(f"(?:{p})" for p in patterns))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lectern.functions.text import headline, headline_signature, invariants, question_hash, tokens
+from lectern.sources.shared import kept
 
 
 def first_of_hash(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -29,17 +28,6 @@ def copy_rank(primary: Column, area_source: Column, area: Column, opinion: Colum
     return sum((F.when(c, w).otherwise(0) for c, w in ((primary, 100), (area_source, 20), (area, 10), (opinion, -5))), F.lit(0))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder: it is read more than once."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
-
-
 def _prefixes(sets: DataFrame, column: str, need) -> DataFrame:
     """edition, token, doc_id, n, first of each token of a set: whether it is among the first n - need(n) + 1, from rare to common in the edition."""
     each = sets.select("edition", "doc_id", F.size(column).alias("n"), F.explode(column).alias("token"))
@@ -65,7 +53,7 @@ def similar_pairs(docs: DataFrame, edition: str, percent: int = 42, body: int =
     of ``percent`` needs as much of one of the parts, so pairs that have it in the one or the other are all that is counted.
     """
     t = docs.select(F.col(edition).alias("edition"), "doc_id", F.sort_array(tokens(headline(F.col("text")))).alias("h"), F.sort_array(tokens(F.substring(F.coalesce("text", F.lit("")), 1, body))).alias("b"))
-    sets = _kept(t.filter("size(h) > 0").withColumn("key", F.md5(F.concat_ws("|", F.array_join("h", " "), F.array_join("b", " ")).cast("binary"))))
+    sets = kept(t.filter("size(h) > 0").withColumn("key", F.md5(F.concat_ws("|", F.array_join("h", " "), F.array_join("b", " ")).cast("binary"))))
     first = sets.groupBy("edition", "key").agg(F.min("doc_id").alias("rep"))
     tied = sets.join(first, ["edition", "key"])
     reps = tied.filter("doc_id = rep").select("edition", "doc_id", "h", "b")
@@ -86,7 +74,7 @@ def cross_pairs(docs: DataFrame, edition: str, kind: str, percent: int = 34, lea
     The smaller set shares one of its first n - ceil(percent * n) + 1 with the other: only those meet the whole sets.
     """
     t = docs.select(F.col(edition).alias("edition"), "doc_id", F.col(kind).alias("kind"), F.sort_array(invariants(F.coalesce("text", F.lit("")))).alias("t")).filter(F.size("t") >= least)
-    sets = _kept(t)
+    sets = kept(t)
     rows = _prefixes(sets, "t", lambda n: F.ceil(n * percent / 100)).join(sets.select("doc_id", "kind"), "doc_id")
     x, y = rows.filter("first").select("edition", "token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("kind").alias("kx")), rows.select("edition", "token", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("kind").alias("ky"))
     fits = (F.col("kx") != F.col("ky")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
@@ -98,7 +86,7 @@ def cross_pairs(docs: DataFrame, edition: str, kind: str, percent: int = 34, lea
 
 def groups(pairs: DataFrame) -> DataFrame:
     """node, leader: each node's smallest id reachable over ``pairs`` (a, b). Labels spread along edges and through leaders until none changes."""
-    edges = _kept(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).distinct())
+    edges = kept(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).distinct())
     label = edges.select(F.col("x").alias("node")).distinct().withColumn("leader", F.col("node"))
     while True:
         heard = edges.join(label, edges["y"] == label["node"]).groupBy("x").agg(F.min("leader").alias("heard"))

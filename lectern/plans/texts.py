@@ -10,11 +10,13 @@ from pyspark.sql import window as W
 
 from lectern.functions import text as X
 from lectern.functions.lists import SIGNATURE_STOP
+from lectern.operators import aliases as A
 from lectern.operators import dedup as D
 from lectern.operators import matching as M
 from lectern.operators import quality as Q
 from lectern.operators import relational as R
 from lectern.sources import readers, sinks
+from lectern.sources.shared import kept
 from lectern.plans.roles import articles, attempts, day_text, item_units, items, query, table
 
 VOCABULARY = [("joiners", "the"), ("joiners", "of the"), ("joiners", "und"), ("endings", "tion"), ("endings", "ing"), ("places", "de la"), ("places", "les"), ("verbs", "edou"), ("verbs", "reed"), ("spanish", "que"), ("german", "der"), ("rarities", "query"), ("rarities", "thing")]
@@ -24,10 +26,25 @@ FOREIGN, HOME = "(?:de|la|les|une|un)", "(?:the|of|and|to)"
 
 _NORM = "trim(regexp_replace(translate(lower(coalesce({0}, '')), '‘’“”–—', '''''\"\"--'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 _TOKENS = "list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9à-ɏఀ-౿]+', ' ', 'g'), ' '), lambda t: length(t) > 2 AND t NOT IN (" + ", ".join(f"'{s}'" for s in X.STOP) + ")))"
-_ALIASES = "aliases AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {}, '{}')".format(t, a, k, "\\b" + X.alias_body(a) + "\\b") for k, (t, a) in enumerate(VOCABULARY)) + ") v(topic, alias, ord, pattern))"
+#: Strict aliases, as they are printed, and words that make a name of the alias beside them.
+STRICT = [("acronyms", "SECRET"), ("acronyms", "The"), ("acronyms", "MIT")]
+NOUNS = ("that", "was", "tion", "les", "de")
+_ALIASES = "aliases AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {}, '{}', '{}', {})".format(t, a, k, "\\b" + X.alias_body(a, s) + "\\b", "\\b" + (a if s else a.lower()) + "\\b", s) for k, (t, a, s) in enumerate([*[(t, a, False) for t, a in VOCABULARY], *[(t, a, True) for t, a in STRICT]])) + ") v(topic, alias, ord, pattern, plain_pattern, strict))"
+_LINKED = "CASE WHEN {0} IN ('of', 'for', 'and', 'the') THEN {1} ELSE {0} END IN (" + ", ".join(f"'{n}'" for n in NOUNS) + ")"
+_AFTER, _BEFORE = "'^[ \\t\\n\\r\\f\\v]*([A-Za-z][A-Za-z.''-]*)'", "'([A-Za-z][A-Za-z.''-]*)[ \\t\\n\\r\\f\\v]*$'"
+# Every occurrence between chr(1) and chr(2); its neighbours are read off the 60 characters on either side.
+_SPANS = f"""
+{{hits}} AS (SELECT doc_id, topic, alias, ord, len(regexp_extract_all(t, pattern))::BIGINT AS hits, len(regexp_extract_all(t, plain_pattern))::BIGINT AS plain, regexp_matches(h, pattern) AS in_headline, regexp_matches(h, plain_pattern) AS plain_headline FROM {{found}}),
+{{spans}} AS (SELECT doc_id, ord, w, parts, unnest(generate_series(2, len(parts))) AS k FROM (SELECT doc_id, ord, w, string_split(regexp_replace(x, '(' || pattern || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM (SELECT doc_id, ord, pattern, 'body' AS w, t AS x FROM {{found}} UNION ALL SELECT doc_id, ord, pattern, 'head', h FROM {{found}}))),
+{{sides}} AS (SELECT doc_id, ord, w, right(replace(array_to_string(parts[greatest(k - 30, 1):k - 1], ''), chr(2), ''), 60) AS l, left(string_split(parts[k], chr(2))[2] || replace(array_to_string(parts[k + 1:k + 30], ''), chr(2), ''), 60) AS r FROM {{spans}}),
+{{names}} AS (SELECT doc_id, ord, w, starts_with(r, '+') OR {_LINKED.format("lower(regexp_extract(left(r, 40), " + _AFTER + ", 1))", "lower(regexp_extract(substr(r, length(regexp_extract(left(r, 40), " + _AFTER + ")) + 1), " + _AFTER + ", 1))")}
+  OR {_LINKED.format("lower(regexp_extract(right(l, 40), " + _BEFORE + ", 1))", "lower(regexp_extract(left(l, length(l) - length(regexp_extract(right(l, 40), " + _BEFORE + "))), " + _BEFORE + ", 1))")} AS name FROM {{sides}}),
+{{clean}} AS (SELECT doc_id, topic, alias, {{hits}}.ord, count(*) FILTER (w = 'body' AND NOT name)::BIGINT AS hits, coalesce(bool_or(NOT name) FILTER (w = 'head'), false) AS in_headline FROM {{hits}} JOIN {{names}} USING (doc_id, ord) GROUP BY ALL HAVING count(*) FILTER (w = 'body' AND NOT name) > 0)"""
+_MORE = lambda **names: _SPANS.format(**({k: k for k in ("hits", "spans", "sides", "names", "clean", "found")} | names))
 _HITS = f"""{{articles}}, {_ALIASES},
 d AS (SELECT doc_id, {_NORM.format("text")} AS body, {_NORM.format("headline")} AS head FROM articles),
-hits AS (SELECT doc_id, topic, alias, ord, len(regexp_extract_all(body, pattern))::BIGINT AS hits, regexp_matches(head, pattern) AS in_headline FROM d CROSS JOIN aliases WHERE regexp_matches(body, pattern))"""
+found AS (SELECT doc_id, topic, alias, ord, pattern, plain_pattern, body AS t, head AS h FROM d CROSS JOIN aliases WHERE NOT strict AND regexp_matches(body, pattern)),{_MORE()},
+plain AS (SELECT doc_id, topic, alias, ord, plain AS hits, plain_headline AS in_headline FROM hits WHERE plain > 0)"""
 
 
 def _words(c: str) -> str:
@@ -38,7 +55,7 @@ _NORM_BODY = lambda: X.norm(F.coalesce("text", F.lit("")))
 
 
 def _hits(spark, sf):
-    return M.alias_hits(articles(spark, sf), VOCABULARY)
+    return A.alias_hits(articles(spark, sf), VOCABULARY, NOUNS)
 
 
 @query("doc_normalise", f"WITH {{articles}} SELECT doc_id, length({_NORM.format('text')})::BIGINT AS chars, sha256({_NORM.format('text')}) AS digest FROM articles")
@@ -58,26 +75,36 @@ def doc_tokens_topk(spark, sf):
 
 @query("alias_topic_match", f"""
 WITH {_HITS}
-SELECT doc_id, topic, sum(hits)::BIGINT AS hits, bool_or(in_headline) AS in_headline, first(alias ORDER BY NOT in_headline, ord) AS matched FROM hits GROUP BY doc_id, topic HAVING bool_or(in_headline) OR sum(hits) >= 2""")
+SELECT doc_id, topic, sum(hits)::BIGINT AS hits, bool_or(in_headline) AS in_headline, first(alias ORDER BY NOT in_headline, ord) AS matched FROM plain GROUP BY doc_id, topic HAVING bool_or(in_headline) OR sum(hits) >= 2""")
 def alias_topic_match(spark, sf):
-    """Topics of each article."""
-    return M.kept_topics(M.topic_match(_hits(spark, sf)))
+    """Topics of each article, by aliases as they are."""
+    return M.kept_topics(M.topic_match(A.plain_hits(_hits(spark, sf))))
 
 
-@query("topic_unmatched", f"WITH {_HITS} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM hits)")
+@query("strict_aliases", f"""
+WITH {{articles}}, {_ALIASES}, found AS (SELECT doc_id, topic, alias, ord, pattern, plain_pattern, coalesce(text, '') AS t, headline AS h FROM articles CROSS JOIN aliases WHERE strict AND regexp_matches(coalesce(text, ''), pattern)),{_MORE()}
+SELECT doc_id, hits.alias, hits.hits, hits.in_headline, coalesce(clean.hits, 0) AS clean FROM hits LEFT JOIN clean USING (doc_id, ord)""")
+def strict_aliases(spark, sf):
+    """Short and printed forms, by the letters as they stand."""
+    hits = A.alias_hits(articles(spark, sf), [(t, a, True) for t, a in STRICT], NOUNS)
+    return hits.select("doc_id", "alias", "hits", "in_headline", "clean")
+
+
+@query("topic_unmatched", f"WITH {_HITS} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM plain)")
 def topic_unmatched(spark, sf):
-    return articles(spark, sf).select("doc_id").join(_hits(spark, sf).select("doc_id").distinct(), "doc_id", "left_anti")
+    return articles(spark, sf).select("doc_id").join(A.plain_hits(_hits(spark, sf)).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 _EVIDENCE = f"""
-f AS (SELECT *, alias IN ({", ".join(f"'{w}'" for w in WEAK)}) AS weak, alias IN ({", ".join(f"'{w}'" for w in ALONE)}) AS alone, NOT contains(alias, ' ') AS single FROM hits),
+f AS (SELECT *, alias IN ({", ".join(f"'{w}'" for w in WEAK)}) AS weak, alias IN ({", ".join(f"'{w}'" for w in ALONE)}) AS alone, NOT contains(alias, ' ') AS single FROM clean),
 e AS (SELECT doc_id, topic AS unit, count(DISTINCT alias) AS terms, count(*) FILTER (NOT weak) AS strong, bool_or(alone) AS alone, bool_or(in_headline AND NOT weak AND (NOT single OR hits > 1)) AS hs, bool_or(in_headline AND weak) AS hw FROM f GROUP BY ALL),
 w AS (SELECT *, CASE WHEN alone THEN 'standalone' WHEN hs THEN 'headline' WHEN hw AND strong > 0 THEN 'weak headline' WHEN terms >= 2 AND strong > 0 THEN 'two terms' END AS why FROM e)"""
 
 
 @query("unit_evidence_filter", f"WITH {_HITS}, {_EVIDENCE} SELECT doc_id, unit, terms::BIGINT AS terms, why, hs OR (hw AND strong > 0) AS in_headline FROM w WHERE why IS NOT NULL")
 def unit_evidence_filter(spark, sf):
-    return M.unit_evidence(_hits(spark, sf), WEAK, ALONE)
+    """Units with evidence outside of proper names."""
+    return M.unit_evidence(A.clean_hits(_hits(spark, sf)), WEAK, ALONE)
 
 
 @query("unit_backfill", f"""
@@ -119,7 +146,7 @@ WITH {_HITS}, {_EVIDENCE}, g AS (SELECT doc_id, regexp_matches(head, {_words(FOR
 SELECT doc_id, unit, why FROM w JOIN g USING (doc_id) WHERE why IS NOT NULL AND (NOT heavy OR unit = 'places')""")
 def foreign_unit_guard(spark, sf):
     """Units of articles; those about another country keep the one unit that is about such."""
-    u = M.unit_evidence(_hits(spark, sf), WEAK, ALONE).select("doc_id", "unit", "why")
+    u = M.unit_evidence(A.clean_hits(_hits(spark, sf)), WEAK, ALONE).select("doc_id", "unit", "why")
     return M.guarded_units(u, foreign_heavy_guard(spark, sf).select("doc_id", "foreign_heavy"), ["places"])
 
 
@@ -151,7 +178,7 @@ ASKED = ("tion", "ment", "then")
 
 @query("relevance_score", f"""
 WITH {_HITS}, {_EVIDENCE},
-t AS (SELECT doc_id, topic, bool_or(in_headline) AS h FROM hits GROUP BY doc_id, topic HAVING bool_or(in_headline) OR sum(hits) >= 2),
+t AS (SELECT doc_id, topic, bool_or(in_headline) AS h FROM plain GROUP BY doc_id, topic HAVING bool_or(in_headline) OR sum(hits) >= 2),
 m AS (SELECT doc_id, count(*) FILTER (h) AS head_topics, count(*) AS topics, bool_or(topic = 'rarities') AS tier1, bool_or(topic = 'places') AS local_topic, max(CASE topic {" ".join(f"WHEN '{k}' THEN {v}" for k, v in TOPIC_PAPERS.items())} END) AS papers FROM t GROUP BY doc_id),
 un AS (SELECT doc_id, bool_or(hs OR (hw AND strong > 0)) AS head_unit FROM w WHERE why IS NOT NULL GROUP BY doc_id),
 fx AS (SELECT a.doc_id, regexp_matches(a.text, 'SECRET|!!') AS veto, coalesce(head_topics, 0) AS head_topics, coalesce(topics, 0) AS topics, coalesce((contains(text, 'ment'))::INT + (contains(text, 'lung'))::INT + (contains(text, 'ción'))::INT, 0) AS subjects, coalesce(tier1, false) AS tier1, coalesce(papers, 0) AS papers,
@@ -168,11 +195,11 @@ SELECT doc_id, score::BIGINT AS score, CASE WHEN score >= 80 THEN 'critical' WHE
   CASE WHEN veto THEN 'discarded' WHEN score >= 40 THEN 'relevant' ELSE 'new' END AS status FROM x""")
 def relevance_score(spark, sf):
     """Score, band, parts and status of each article."""
-    hits = _hits(spark, sf)
-    t = M.kept_topics(M.topic_match(hits))
+    hits = kept(_hits(spark, sf))
+    t = M.kept_topics(M.topic_match(A.plain_hits(hits)))
     papers = F.create_map(*[F.lit(x) for kv in TOPIC_PAPERS.items() for x in kv])
     m = t.groupBy("doc_id").agg(F.count_if("in_headline").alias("head_topics"), F.count("*").alias("topics"), F.max(F.col("topic") == "rarities").alias("tier1"), F.max(F.col("topic") == "places").alias("local_topic"), F.max(papers[F.col("topic")]).alias("papers"))
-    u = M.unit_evidence(hits, WEAK, ALONE).groupBy("doc_id").agg(F.max("in_headline").alias("head_unit"))
+    u = M.unit_evidence(A.clean_hits(hits), WEAK, ALONE).groupBy("doc_id").agg(F.max("in_headline").alias("head_unit"))
     a = articles(spark, sf)
     has = lambda w: F.col("text").contains(w)
     edge = lambda p: X.EDGE_LEFT + p + X.EDGE_RIGHT
@@ -440,11 +467,11 @@ def vocab_prefix_truncation(spark, sf):
     return M.truncated_aliases(w.filter("length(word) >= 8").select(F.substring("word", 1, 6).alias("alias")).distinct(), w)
 
 
-@query("term_suppression", r"""
-SELECT doc_id, len(regexp_extract_all(regexp_replace(lower(text), '\b(?:of|and) (?:(?:of|for|and|the) )?the\b|\bthe (?:(?:of|for|and|the) )?(?:of|and)\b|\bthe\+', ' ', 'g'), '\bthe\b'))::BIGINT AS hits FROM documents WHERE lang = 'en'""")
+@query("term_suppression", f"""
+WITH {_HITS} SELECT doc_id, hits.alias, hits.hits, coalesce(clean.hits, 0) AS clean, coalesce(clean.in_headline, false) AS clean_headline FROM hits LEFT JOIN clean USING (doc_id, ord)""")
 def term_suppression(spark, sf):
-    """Occurrences of a term that are not part of a longer name."""
-    return articles(spark, sf).filter("lang = 'en'").select("doc_id", M.suppressed_hits(F.lower("text"), "the", ("of", "and")).alias("hits"))
+    """Occurrences of each alias, and how many are not part of a longer name."""
+    return _hits(spark, sf).select("doc_id", "alias", "hits", "clean", "clean_headline")
 
 
 @query("text_repairs", r"""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import dedup, desk, layout, matching, quality, reads, relational, schedule
+from lectern.operators import aliases, dedup, desk, layout, matching, quality, reads, relational, schedule
 from lectern.sources import readers
 
 
@@ -104,13 +104,34 @@ def test_streamed_boxes_equal_the_batch_replay(spark, tmp_path):
     assert {r.user_id: r.reviews for r in out} == {0: 8, 1: 8, 2: 8}
 
 
-def test_vocabularies_of_any_size(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "Direct taxes rose.\nA direct tax, an école and two municipalities; direct, tax."), (2, None), (3, "écoles")], "doc_id long, text string")
-    vocabulary = [("t", "direct tax"), ("m", "municipality"), ("e", "école"), ("x", "absent")]
-    want = {(1, "direct tax", 2, True), (1, "municipality", 1, False), (1, "école", 1, False), (3, "école", 1, True)}
-    for most in (matching.BROADCAST_MOST, 0):
-        monkeypatch.setattr(matching, "BROADCAST_MOST", most)
-        assert {(r.doc_id, r.alias, r.hits, r.in_headline) for r in matching.alias_hits(docs, vocabulary).collect()} == want
+def test_alias_hits(spark):
+    rows = [(1, "Direct taxes rose.\nA direct tax, an école and two municipalities; direct, tax. SCs and ITDAs, scs."), (2, None), (3, "écoles"), (4, "tax tax tax"), (5, "a_tax taxé tax")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocabulary = [("t", "direct tax"), ("m", "municipality"), ("e", "école"), ("x", "absent"), ("s", "SC", True), ("a", "ITDA", True), ("r", "tax tax")]
+    got = {(r.doc_id, r.alias): (r.hits, r.plain, r.in_headline, r.plain_headline) for r in aliases.alias_hits(docs, vocabulary).collect()}
+    assert got == {(1, "direct tax"): (2, 1, True, False), (1, "municipality"): (1, 0, False, False), (1, "école"): (1, 1, False, False), (3, "école"): (1, 1, True, True), (1, "ITDA"): (1, 0, False, False), (4, "tax tax"): (1, 1, True, True)}
+    assert "Exchange" not in aliases.alias_hits(docs, vocabulary)._jdf.queryExecution().toString()
+
+
+def test_alias_hits_are_those_of_the_patterns(spark):
+    vocabulary = [("a", "tax"), ("b", "policy"), ("c", "class"), ("d", "de la"), ("e", "as"), ("f", "UPSC"), ("g", "Lok Sabha", True), ("h", "OBC", True), ("i", "a b a"), ("j", "re:form")]
+    texts = ["Taxes policies classes tax-policy de  la de las as AS upsc UPSC UPSCs", "Lok Sabhas Lok Sabha lok sabha OBCs OBC", "a b a b a; re:form re:forms reform", "_tax tax_ 9tax tax9 étax tax,policy"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.alias): r.hits for r in aliases.alias_hits(docs, vocabulary).collect()}
+    text = lambda strict: F.col("text") if strict else X.norm(F.col("text"))
+    counts = docs.select("doc_id", *[F.regexp_count(text(len(v) > 2), F.lit(X.alias_pattern(*v[1:]))).alias(v[1]) for v in vocabulary]).collect()
+    assert got == {(r.doc_id, v[1]): r[v[1]] for r in counts for v in vocabulary if r[v[1]]}
+
+
+@pytest.mark.parametrize(("text", "clean"), [
+    ("The Alluri Raju Academy met.", 0), ("Directorate of Public Health met.", 0), ("Directorate of Public Health. Spending on public health rose.", 1), ("BRICS+ Legal Forum", 0), ("the BRICS grouping", 1), ("Election Commission of India said", 1),
+    ("public health and the academy", 1), ("public health of the academy", 1), ("public health for academy", 0), ("Academy: public health", 1), ("Academy public health", 0), ("academic public health", 1),
+])
+def test_occurrences_inside_proper_names(spark, text, clean):
+    """One clean occurrence keeps an alias; one linking word is passed over, not two."""
+    hits = aliases.alias_hits(spark.createDataFrame([(1, text)], "doc_id long, text string"), [("a", "Alluri Raju"), ("b", "public health"), ("c", "BRICS"), ("d", "Election Commission")], ("academy", "Directorate"))
+    assert [r.clean for r in hits.collect()] == [clean]
+    assert aliases.clean_hits(hits).count() == (clean > 0)
 
 
 def test_windows_lists_and_limits():
