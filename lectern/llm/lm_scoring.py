@@ -261,7 +261,7 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, int]:
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words_score double, classes binary"
     both = texts.select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(counted.select("block", "number", "c", "classes").groupBy("block")).applyInArrow(encode, schema)
     path = table_path(docs.sparkSession, "lm-encoded")
-    sliced = both.withColumn("slice", F.when(F.col("held_out"), SLICES).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")))
+    sliced = both.withColumn("slice", F.when(F.col("held_out"), SLICES).otherwise(F.pmod(F.xxhash64("doc_id", "classes"), F.lit(SLICES)).cast("int")))
     sliced.write.option("compression", "zstd").partitionBy("slice").parquet(path)
     return docs.sparkSession.read.schema(sliced.schema).parquet(path), n
 
@@ -308,13 +308,16 @@ def model_of(rows: np.ndarray) -> Model:
 
 def trained(texts: DataFrame, rounds: int = ROUNDS) -> Model:
     """The model of the training texts of ``encoded``: a stepwise pass over their slices, then ``rounds`` over all of them."""
-    model, held = Model.random(STATES), None
+    model, held, seen = Model.random(STATES), None, 0
     for k in range(SLICES):
         rows = corpus_counts(texts.filter(F.col("slice") == k), model) * SLICES
-        weight = (k + 1.0) ** -FALL
+        if not rows[-1].sum():  # a slice without a text tells nothing: without counts all states would be alike, and stay so
+            continue
+        seen += 1
+        weight = float(seen) ** -FALL
         held = rows if held is None else (1 - weight) * held + weight * rows
         model = model_of(held)
-    for _ in range(rounds):
+    for _ in range(rounds if seen else 0):
         model = model_of(corpus_counts(texts.filter(F.col("slice") < SLICES), model))
     return model
 

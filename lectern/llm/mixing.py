@@ -7,7 +7,7 @@ Only the per-source table (one row per source) is ever sorted or windowed; docum
 one aggregation with partial sums and one broadcast join with it; beyond the session's broadcast threshold, sources are joined by sort.
 
 Null sources are a source, last in order; null or empty texts have size 0 and are taken
-floor(rate) times or once more like any other; equal doc_ids share one coin; an empty
+floor(rate) times or once more like any other; equal doc_ids share one coin, and so do equal texts without one; an empty
 table gives no rows. Columns other than doc_id, text and source pass through untouched.
 """
 
@@ -45,9 +45,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     )
 
 
-def coin(doc_id: Column, seed: str = "mix") -> Column:
-    """A uniform number in [0, 1) made of the id alone: reruns agree."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"), 256)
+def coin(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """A uniform number in [0, 1) made of the id, or of the text where there is none: reruns agree."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), text), F.lit(""))).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
@@ -56,7 +56,7 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap
     sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), n_tokens(F.col("text")).alias("size"), F.col("source").alias("from"))
     sizes = written(sized.groupBy(F.col("from").alias("source")).agg(F.sum("size").alias("source_size")), "source-sizes")
     plan = targets(sizes, weights, share, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    copies = F.floor("rate") + F.when(coin(F.col("doc.doc_id")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor("rate") + F.when(coin(F.col("doc.doc_id"), F.col("doc.text")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     joined = sized.join(plan, sized["from"].eqNullSafe(plan["source"]), "left")
     return joined.select("doc", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
@@ -72,7 +72,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, sha256('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, sha256('mix:' || coalesce(doc_id::VARCHAR, 'text:' || text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS wt FROM s),
 f AS (SELECT *, 2.0::DOUBLE * source_size / wt AS full_at FROM w),

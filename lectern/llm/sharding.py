@@ -1,6 +1,7 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Every document starts in a shard by the hash of its id. Documents are linked if their texts
+Rows are numbered once, in a written table; a row starts in a shard by the hash of its number, so that rows of any ids spread evenly (files that are
+laid out in another way give other numbers, and other shards of the same law). Documents are linked if their texts
 are equal (any grouping column serves); each round, a group counts its members by shard,
 which is what each member hears from its neighbours through the group's hub, and
 members ask to move to the shard that holds most of them. A shard takes in movers only up to

@@ -111,7 +111,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
     said = aliases.withColumn("said", rule_of(node_host, node_path, rules)["verdict"])
     decided = said.groupBy("component").agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
     heard = aliases.join(decided, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow").alias("heard"))
-    return p.join(heard, "node", "left").select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "heard", F.lit("allow")).alias("verdict"))
+    # Pages without a node hear of nothing: they are not dealt by their null.
+    told = lambda df, heard: df.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", heard, F.lit("allow")).alias("verdict"))
+    return told(p.filter("node is not null").join(heard, "node", "left"), F.col("heard")).union(told(p.filter("node is null"), F.lit(None).cast("string")))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from helpers import same
 
 import corpus_pipeline
-from lectern.llm import archive, decontamination, fingerprint, lm_scoring, near_dedup, queries, sharding, substring_dedup, toxicity, url_filter
+from lectern.llm import archive, decontamination, fingerprint, lm_scoring, mixing, near_dedup, queries, sharding, substring_dedup, toxicity, url_filter
 
 LONG = " ".join(f"word{k % 977} and more." for k in range(30_000))
 PASSAGE = " ".join(f"shared{k} term{k} here{k}." if k % 4 else f"shared{k} term{k} here{k}" for k in range(40))
@@ -236,6 +236,24 @@ def test_scores_against_whole_sequences(spark):
         assert abs(got[i].score - (inside + _loop_forward(model, seqs[i]))) < 1e-8 * (1 + len(seqs[i]))
 
 
+@pytest.mark.parametrize("ids", [range(3), [None] * 40, [2]])
+def test_states_differ_whatever_the_slices_hold(spark, ids):
+    """Few texts, and texts without an id: slices that are empty do not make all states alike."""
+    rows = [(i, " ".join(f"w{(k * (n + 2)) % 17}" for k in range(30 + n))) for n, i in enumerate(ids)]
+    coded, _ = lm_scoring.encoded(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)))
+    model = lm_scoring.trained(coded)
+    apart = [np.abs(model.emit[:, a] - model.emit[:, b]).max() for a in range(len(model.start)) for b in range(a)]
+    # So few texts need no more than some of the states; alike in all would be a model of words alone.
+    assert max(apart) > 1e-3 and coded.select("slice").distinct().count() > (len(ids) > 10)
+
+
+def test_mixing_rows_without_ids_each_have_a_coin(spark):
+    rows = [(None, f"some text of {k}", "a") for k in range(400)] + [(k, "x", "b") for k in range(10)] + [(None, None, "c")]
+    got = [r for r in mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r.doc.source == "a"]
+    rate = got[0].target / got[0].source_size
+    assert {r.copies for r in got} == {int(rate), int(rate) + 1} and abs(sum(r.size * r.copies for r in got) - got[0].target) < 0.1 * got[0].target
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark, sf):
     rows = queries.QUERIES["op2_lm_scoring"](spark, sf).collect()
     held = [r for r in rows if r.held_out]
