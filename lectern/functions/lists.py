@@ -82,6 +82,28 @@ NOISE = (
 # Fixed value: how a contributor's credit ends an opinion piece.
 CREDIT = r"(?i)\((?:[A-Z][\w.\- ]+ )?is an? (?:expert|professor|former|senior|independent|researcher)|views expressed are personal|The writer is|is a professor at|is an expert in"
 
+# How a running head begins (paper, folio, date), the cities of its editions, and how a section is named.
+HEAD_PREFIX = r"(?i)^(?:THE\s+HINDU\s*)?(?:[A-Z]?\d{1,3}\s+)?(?:(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day,\s+\w+\s+\d{1,2},\s*\d{4}\s*)?"
+EDITION_CITY = r"^(?:Vijayawada|Visakhapatnam|Amaravati|Hyderabad|Chennai|Bengaluru|Kochi|Madurai|Coimbatore|Delhi|Mumbai|Kolkata)\b\s*"
+SECTION_NAME = r"^[A-Za-z][A-Za-z&/ '’-]*$"
+OPINION_SECTION = r"(?i)\b(?:Editorial|Opinion|Comment|Leader\s?page)\b"
+
+# Labels that a page prints over its pieces: genre, name, pattern.
+MARKERS = (
+    ("letters", "LETTERS TO THE EDITOR", r"\bLETTERS TO THE EDITOR\b"),
+    ("archive", "an archive reprint", r"\b(?:A HUNDRED YEARS AGO|FIFTY YEARS AGO|FROM THE ARCHIVES)\b"),
+    ("interview", "PARLEY", r"\bPARLEY\b"),
+    ("column", "NOTEBOOK", r"\bNOTEBOOK\b"),
+)
+#: A speaker's turn, the disclaimer under signed opinion, and the disclaimer as a sentence.
+TURN = r"(?:^|\s)(?:[A-Z]{2,3}|[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\s?:\s"
+PERSONAL_VIEWS = r"(?i)\bviews expressed are (?:personal|those of the)\b"
+DISCLAIMER = r"(?i)\s*\bThe views expressed are (?:personal|those of the [^.]{0,60})\.?"
+GENRES = {
+    "report": "News report", "editorial": "Editorial (unsigned)", "oped": "Op-ed (signed opinion)", "interview": "Interview / debate", "column": "Column", "letters": "Letters to the Editor", "archive": "From the archives",
+}
+OPINION_GENRES, NON_EVENT_GENRES = ("editorial", "oped", "interview", "column"), ("letters", "archive")
+
 # Names of organisations, schemes and persons: kind, pattern (group 1).
 NAMES = {
     "organisation": r"\b((?:[A-Z][A-Za-z&.]*\s+){1,5}(?:Authority|Commission|Corporation|Ministry|Department|Board|Council|Tribunal|Committee|Institute|University|Agency|Bank|Federation|Devasthanams?))\b",

@@ -98,8 +98,22 @@ def groups(pairs: DataFrame) -> DataFrame:
             return label
 
 
-def collapsed(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, page, prominence) as one row a group: the longest text leads (ties: smallest id); copies, characters, most prominence and distinct pages. Membership is in ``members`` (node, leader), as rows."""
-    g = docs.join(members.withColumnRenamed("node", "doc_id"), "doc_id")
-    best = F.max(F.struct(F.length("text").alias("n"), (-F.col("doc_id")).alias("d")))
-    return g.groupBy("leader").agg((-best["d"]).alias("lead"), F.count("*").alias("copies"), F.sum(F.length("text")).alias("chars"), F.max("prominence").alias("prominence"), F.array_sort(F.collect_set("page")).alias("pages"))
+def merged_stories(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Each event once: ``docs`` (edition, doc_id, headline, body, publication, page, prominence, area) of one group of ``members`` (node, leader) as one row, all others by themselves.
+
+    The longest body leads (ties: the smallest doc_id); every other body follows under where it stood, so that what papers say apart can be told apart.
+    A body that is printed again in equal words is not repeated: it counts in copies, pages, publications and prominence. Copies are
+    counted by body before they are gathered, so an event's row is as long as its different texts.
+    """
+    tied = docs.join(members.select(F.col("node").alias("doc_id"), "leader"), "doc_id", "left").withColumn("leader", F.coalesce("leader", "doc_id"))
+    size = (-F.length("body")).alias("n")
+    told = tied.groupBy("leader", F.sha2(F.col("body").cast("binary"), 256).alias("key")).agg(
+        F.min(F.struct(size, "doc_id", "edition", "headline", "body", "publication", "page")).alias("t"), F.count("*").alias("copies"), F.max("prominence").alias("prominence"), F.max("area").alias("area"), F.collect_set("page").alias("pages"), F.collect_set("publication").alias("publications"),
+    )
+    each = told.groupBy("leader").agg(F.array_sort(F.collect_list("t")).alias("t"), F.sum("copies").alias("copies"), F.max("prominence").alias("prominence"), F.max("area").alias("area"), F.collect_set("pages").alias("pages"), F.collect_set("publications").alias("publications"))
+    page = lambda x: F.when(x["page"] > 0, F.concat(F.lit(", p"), x["page"].cast("string"))).otherwise("")
+    also = F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x: F.concat(F.lit("\n\n[Also reported in "), F.coalesce(x["publication"], F.lit("another edition")), page(x), F.lit("]\n"), x["body"]))
+    lead = F.col("t")[0]
+    sets = lambda c: F.array_sort(F.array_distinct(F.flatten(c)))
+    out = each.select("leader", lead["doc_id"].alias("lead"), lead["edition"].alias("edition"), lead["headline"].alias("headline"), F.concat(lead["body"], F.array_join(also, "")).alias("body"), "copies", "prominence", "area", sets(F.col("pages")).alias("pages"), sets(F.col("publications")).alias("publications"))
+    return out.withColumn("chars", F.length("body").cast("long"))

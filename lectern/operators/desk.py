@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lectern.functions.lists import any_term, edged
+from lectern.functions.lists import GENRES, NON_EVENT_GENRES, any_term, edged
 from lectern.functions.text import js_round, without_dateline
 
 
@@ -25,14 +25,17 @@ def names_area(text: Column, terms: tuple[str, ...]) -> Column:
     return F.lower(text).rlike(any_term(terms))
 
 
-def vetoed(head: Column, body: Column, rules: tuple[tuple[str, str], ...], report: str, exempt: str, event: str, first: int = 900) -> Column:
-    """Why a story is out, null if it is not: a sports report or the announcement of an event, unless exempt, else the first rule that its headline or the ``first`` characters meet."""
+def vetoed(head: Column, body: Column, rules: tuple[tuple[str, str], ...], report: str, exempt: str, event: str, first: int = 900, genre: Column | None = None) -> Column:
+    """Why a story is out, null if it is not: a ``genre`` that tells of no event, a sports report or the announcement of an event, unless exempt, else the first rule that its headline or the ``first`` characters meet."""
     text = F.concat_ws(" ", head, body)
     spared = text.rlike(edged(exempt))
     out = F.lit(None).cast("string")
     for label, p in reversed(rules):
         out = F.when(head.rlike(edged(p)) | F.substring(body, 1, first).rlike(edged(p)), label).otherwise(out)
-    return F.when(text.rlike(edged(report)) & ~spared, "sport match report").when(head.rlike(edged(event)) & ~spared, "sports event announcement").otherwise(out)
+    out = F.when(text.rlike(edged(report)) & ~spared, "sport match report").when(head.rlike(edged(event)) & ~spared, "sports event announcement").otherwise(out)
+    for name in NON_EVENT_GENRES if genre is not None else ():
+        out = F.when(genre == name, GENRES[name].lower()).otherwise(out)
+    return out
 
 
 def angle_terms(head: Column, body: Column, terms: list[str], most: int = 8, first: int = 1400) -> tuple[Column, Column]:
@@ -49,12 +52,12 @@ def gate_points(area: Column, instruments: Column, heads: Column, others: Column
     return F.when(area, 4).otherwise(0) + F.least(instruments, F.lit(6)) + angles + F.least(prominence, F.lit(6)) * 0.5
 
 
-def gate(df: DataFrame, group: str, key: str, keep_at: float = 6, most: int = 12) -> DataFrame:
-    """``df`` (veto, area, points) with keep: rows of ``keep_at`` points that are not vetoed, the ``most`` best of each group; those of the area are kept beyond that."""
+def gate(df: DataFrame, group: str, *ties: Column | str, keep_at: float = 6, most: int = 12) -> DataFrame:
+    """``df`` (veto, area, points) with keep: rows of ``keep_at`` points that are not vetoed, the ``most`` best of each group (equal ones by ``ties``); those of the area are kept beyond that."""
     passes = F.col("veto").isNull() & (F.col("points") >= keep_at)
     score = F.when(F.col("veto").isNull(), js_round(F.col("points") * 10) / 10).otherwise(0.0)
     df = df.withColumn("score", score).withColumn("_pass", passes)
-    place = F.row_number().over(W.Window.partitionBy(group, "_pass").orderBy(F.col("score").desc(), key))
+    place = F.row_number().over(W.Window.partitionBy(group, "_pass").orderBy(F.col("score").desc(), *ties))
     return df.withColumn("keep", F.col("_pass") & ((place <= most) | F.col("area"))).drop("_pass")
 
 

@@ -9,12 +9,13 @@ from lectern.functions import lists as L
 from lectern.functions import text as X
 from lectern.operators import dedup as S
 from lectern.operators import desk as D
+from lectern.operators import genre as N
 from lectern.operators import ranking as K
 from lectern.operators import relational as R
 from lectern.operators.aliases import alias_hits
 from lectern.plans import relational as P
 from lectern.plans.roles import ORACLES, answers, articles, attempts, item_units, items, mcqs, query, reviewed, shown, table, units
-from lectern.plans.texts import _GROUPS, _HITS, _TOKENS, ALONE, TERMS, VOCABULARY
+from lectern.plans.texts import _HITS, _MERGED, _TOKENS, ALONE, TERMS, VOCABULARY, _merged
 
 _Q = lambda p: p.replace("'", "''")
 _ANY = lambda c, ps: " OR ".join(f"regexp_matches({c}, '{_Q(p)}')" for p in ps)
@@ -44,57 +45,69 @@ def noise_headlines(spark, sf):
 
 
 _TEXT = "(headline || ' ' || coalesce(text, ''))"
+#: One mark of the test's own prose is added to the labels of a page.
+_MARKERS = (*L.MARKERS, ("archive", "test", r"\bTo of\b"))
 _VETO = (
-    f"CASE WHEN regexp_matches({_TEXT}, '{_Q(L.SPORT_REPORT)}') AND NOT regexp_matches({_TEXT}, '{_Q(L.SPORT_EXEMPT)}') THEN 'sport match report' WHEN regexp_matches(headline, '{_Q(L.SPORT_EVENT)}') AND NOT regexp_matches({_TEXT}, '{_Q(L.SPORT_EXEMPT)}') THEN 'sports event announcement' "
+    f"CASE WHEN regexp_matches({_TEXT}, '{L.MARKERS[0][2]}') THEN 'letters to the editor' WHEN regexp_matches({_TEXT}, '{L.MARKERS[1][2]}') OR NOT regexp_matches({_TEXT}, '{L.MARKERS[2][2]}|{L.MARKERS[3][2]}') AND regexp_matches({_TEXT}, '{_MARKERS[4][2]}') THEN 'from the archives' WHEN regexp_matches({_TEXT}, '{_Q(L.SPORT_REPORT)}') AND NOT regexp_matches({_TEXT}, '{_Q(L.SPORT_EXEMPT)}') THEN 'sport match report' WHEN regexp_matches(headline, '{_Q(L.SPORT_EVENT)}') AND NOT regexp_matches({_TEXT}, '{_Q(L.SPORT_EXEMPT)}') THEN 'sports event announcement' "
     + " ".join(f"WHEN regexp_matches(headline, '{_Q(p)}') OR regexp_matches(substr(coalesce(text, ''), 1, 900), '{_Q(p)}') THEN '{_Q(n)}'" for n, p in (*L.VETO, ("test", "!!")))
     + " END"
 )
 
 
 def _veto():
-    return D.vetoed(F.col("headline"), F.coalesce("text", F.lit("")), (*L.VETO, ("test", "!!")), L.SPORT_REPORT, L.SPORT_EXEMPT, L.SPORT_EVENT)
+    nothing, body = F.lit(None).cast("string"), F.coalesce("text", F.lit(""))
+    genre = N.genre_of(body, F.concat_ws(" ", "headline", "text"), nothing, nothing, nothing, nothing, _MARKERS)["genre"]
+    return D.vetoed(F.col("headline"), body, (*L.VETO, ("test", "!!")), L.SPORT_REPORT, L.SPORT_EXEMPT, L.SPORT_EVENT, genre=genre)
 
 
 @query("veto_chain", f"WITH {{articles}} SELECT doc_id, {_VETO} AS veto FROM articles")
 def veto_chain(spark, sf):
-    """Why an article is out, by the whole chain of rules (one rule of the test's own prose is added)."""
+    """Why an article is out, by the whole chain of rules, its genre first (one rule and one label of the test's own prose are added)."""
     return articles(spark, sf).select("doc_id", _veto().alias("veto"))
 
 
 _LIST = "[" + _strings(TERMS) + "]"
 
 
-@query("rule_gate", f"""
-WITH {{articles}}, f AS (SELECT doc_id, edition, {_VETO} AS veto, contains(lower({_TEXT}), 'thethe') AS area, {" + ".join(f"{w} * coalesce(regexp_matches({_TEXT}, '{_Q(p)}'), false)::INT" for w, p, _ in L.INSTRUMENTS)} AS instruments,
-  list_slice(list_filter({_LIST}, lambda t: contains(lower(headline), t) OR contains(lower(substr(coalesce(text, ''), 1, 1400)), t)), 1, 8) AS found, lower(headline) AS low, doc_id % 9 AS prominence FROM articles),
-h AS (SELECT *, len(list_filter(found, lambda t: contains(low, t))) AS heads, len(found) AS n FROM f),
-p AS (SELECT *, CASE WHEN area THEN 4 ELSE 0 END + least(instruments, 6) + least(heads * 1.5::DOUBLE + (n - heads) * 0.4::DOUBLE, 6.0::DOUBLE) + least(prominence, 6) * 0.5::DOUBLE AS points FROM h),
-s AS (SELECT doc_id, edition, veto, area, CASE WHEN veto IS NULL THEN floor(points * 10 + 0.5::DOUBLE) / 10 ELSE 0 END AS score, veto IS NULL AND points >= 6 AS pass FROM p),
-k AS (SELECT *, row_number() OVER (PARTITION BY edition, pass ORDER BY score DESC, doc_id) AS place FROM s)
-SELECT doc_id, edition, area, score::DOUBLE AS score, pass AND (place <= 12 OR area) AS keep FROM k""")
-def rule_gate(spark, sf):
-    """Points of each article, and the twelve of an edition that are kept, with all of the area."""
+def _gated(source: str, ties: str) -> str:
+    """CTEs of the gate over ``source`` (doc_id, edition, headline, text, area, prominence)."""
+    return f"""gf AS (SELECT doc_id, edition, {_VETO} AS veto, area, prominence, {" + ".join(f"{w} * coalesce(regexp_matches({_TEXT}, '{_Q(p)}'), false)::INT" for w, p, _ in L.INSTRUMENTS)} AS instruments,
+  list_slice(list_filter({_LIST}, lambda t: contains(lower(headline), t) OR contains(lower(substr(coalesce(text, ''), 1, 1400)), t)), 1, 8) AS found, lower(headline) AS low FROM {source}),
+gh AS (SELECT *, len(list_filter(found, lambda t: contains(low, t))) AS heads, len(found) AS n FROM gf),
+gp AS (SELECT *, CASE WHEN area THEN 4 ELSE 0 END + least(instruments, 6) + least(heads * 1.5::DOUBLE + (n - heads) * 0.4::DOUBLE, 6.0::DOUBLE) + least(prominence, 6) * 0.5::DOUBLE AS points FROM gh),
+gs AS (SELECT doc_id, edition, veto, area, prominence, CASE WHEN veto IS NULL THEN floor(points * 10 + 0.5::DOUBLE) / 10 ELSE 0 END AS score, veto IS NULL AND points >= 6 AS pass FROM gp),
+gk AS (SELECT *, row_number() OVER (PARTITION BY edition, pass ORDER BY score DESC, {ties}) AS place FROM gs),
+gated AS (SELECT doc_id, edition, area, score::DOUBLE AS score, pass AND (place <= 12 OR area) AS keep FROM gk)"""
+
+
+def _points(events, *more):
+    """``events`` (doc_id, edition, headline, text, area, prominence) with the veto and the points of the gate."""
     head, body = F.col("headline"), F.coalesce("text", F.lit(""))
     text = F.concat(head, F.lit(" "), body)
     weight = sum((F.when(text.rlike(L.edged(p)), w).otherwise(0) for w, p, _ in L.INSTRUMENTS), F.lit(0))
     heads, others = D.angle_terms(head, body, TERMS)
-    a = articles(spark, sf).select("doc_id", "edition", _veto().alias("veto"), D.names_area(text, ("thethe",)).alias("area"), weight.alias("instruments"), heads.alias("heads"), others.alias("others"), (F.col("doc_id") % 9).alias("prominence"))
-    points = D.gate_points(F.col("area"), F.col("instruments"), F.col("heads"), F.col("others"), F.col("prominence"))
-    return D.gate(a.withColumn("points", points), "edition", "doc_id").select("doc_id", "edition", "area", "score", "keep")
+    a = events.select("doc_id", "edition", _veto().alias("veto"), "area", weight.alias("instruments"), heads.alias("heads"), others.alias("others"), "prominence", *more)
+    return a.withColumn("points", D.gate_points(F.col("area"), F.col("instruments"), F.col("heads"), F.col("others"), F.col("prominence")))
+
+
+@query("rule_gate", f"""
+WITH {{articles}}, marked AS (SELECT *, contains(lower({_TEXT}), 'thethe') AS area, doc_id % 9 AS prominence FROM articles), {_gated("marked", "doc_id")} SELECT * FROM gated""")
+def rule_gate(spark, sf):
+    """Points of each article, and the twelve of an edition that are kept, with all of the area."""
+    text = F.concat("headline", F.lit(" "), F.coalesce("text", F.lit("")))
+    a = articles(spark, sf).withColumn("area", D.names_area(text, ("thethe",))).withColumn("prominence", F.col("doc_id") % 9)
+    return D.gate(_points(a), "edition", "doc_id").select("doc_id", "edition", "area", "score", "keep")
 
 
 @query("paper_lane", f"""
-WITH RECURSIVE {_GROUPS}, ld AS (SELECT first(doc_id ORDER BY length(text) DESC, doc_id) AS lead, count(*) AS copies, list(node) AS nodes FROM g JOIN documents ON doc_id = node GROUP BY leader), away AS (SELECT unnest(nodes) AS doc_id FROM ld),
-kept AS (SELECT * FROM (WITH {ORACLES["rule_gate"].strip().removeprefix("WITH ")}) WHERE keep)
-SELECT kept.edition, kept.doc_id, '{{{{"doc_id":' || kept.doc_id || ',"copies":' || coalesce(copies, 1) || ',"score":' || score || '}}}}' AS candidate FROM kept LEFT JOIN ld ON ld.lead = kept.doc_id WHERE ld.lead IS NOT NULL OR kept.doc_id NOT IN (SELECT doc_id FROM away)""".replace("{{", "{").replace("}}", "}"))
+WITH RECURSIVE {_MERGED}, events AS (SELECT lead AS doc_id, edition, headline, text, area, prominence FROM merged), {_gated("events", "NOT area, prominence DESC, doc_id")}
+SELECT gated.edition, doc_id, '{{{{"doc_id":' || doc_id || ',"copies":' || copies || ',"score":' || score || ',"pages":"' || pages || '","chars":' || length(text) || '}}}}' AS candidate FROM gated JOIN merged ON lead = doc_id WHERE keep""".replace("{{", "{").replace("}}", "}"))
 def paper_lane(spark, sf):
-    """From articles to candidates: one of each story, and of those what the gate keeps, as JSON."""
-    a = articles(spark, sf)
-    members = S.groups(S.similar_pairs(a, "edition"))
-    docs = a.select("doc_id", "text", F.lit("").alias("page"), F.lit(0).alias("prominence"))
-    leads = S.collapsed(docs, members).select(F.col("lead").alias("doc_id"), "copies")
-    kept = rule_gate(spark, sf).filter("keep").join(members.select(F.col("node").alias("doc_id"), F.lit(True).alias("tied")), "doc_id", "left").join(leads, "doc_id", "left").filter("tied is null or copies is not null")
-    return kept.select("edition", "doc_id", F.to_json(F.struct("doc_id", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "score")).alias("candidate"))
+    """From articles to candidates: copies of a story are merged first, and the merged stories pass the gate, those of the area and the prominent ones first among equals."""
+    stories = _merged(spark, sf).withColumnsRenamed({"lead": "doc_id", "body": "text"})
+    more = ("copies", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "chars")
+    kept = D.gate(_points(stories, *more), "edition", ~F.col("area"), F.col("prominence").desc(), "doc_id").filter("keep")
+    return kept.select("edition", "doc_id", F.to_json(F.struct("doc_id", "copies", "score", "pages", "chars")).alias("candidate"))
 
 
 _FIVE = ("the", "of", "and", "that", "thing", "reed", "inly", "erst", "those", "tion")

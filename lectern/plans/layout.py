@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import lists as L
+from lectern.operators import desk as D
+from lectern.operators import genre as N
 from lectern.operators import layout as G
 from lectern.plans.roles import mcqs, query
 
@@ -81,3 +84,58 @@ def jump_links(spark, sf):
     part = lambda x, n: F.concat(F.lit(x), (F.col("unit") % n).cast("string"))
     h = _roles(spark, sf).filter("role = 'headline'").select("doc", "page", F.col("block").alias("id"), F.array(part("w", 4), part("v", 3), part("u", 5)).alias("words"), F.when(F.col("unit") % 3 == 0, (F.col("page") + 1) % 10).alias("to_page"))
     return G.jumps(h)
+
+
+_Q = lambda p: p.replace("'", "''")
+#: What some blocks of the test's pages print: running heads, labels, turns and disclaimers.
+_PRINTED = (
+    (31, "FROM THE ARCHIVES"), (37, "LETTERS TO THE EDITOR"), (41, "PARLEY"), (43, "NOTEBOOK"), (47, "So it is. The views expressed are personal."), (53, "BC: Why? AS: So. BC: It is. Buddha Chandrasekhar: End."), (59, "Won by 5 runs"),
+    (3, "THE HINDU 6 Friday, August 21, 2026 Vijayawada Editorial"), (4, "7 Vijayawada Business & Trade"), (10, "Chennai Opinion"), (14, "Vijayawada Municipal Corporation said on 5 May"),
+)
+_TOLD = f"""{_OWNED},
+told AS (SELECT * REPLACE (CASE {" ".join(f"WHEN unit % {n} = 0{' AND y0 <= 160' if len(t) > 20 and n < 20 else ''} THEN '{t}'" for n, t in _PRINTED)} ELSE text END AS text) FROM roles),
+sec AS (SELECT doc, page, first(s ORDER BY length(s), block) AS section FROM (SELECT doc, page, block, trim(regexp_replace(bare, '{_Q(L.EDITION_CITY)}', '')) AS s FROM (SELECT *, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '{_Q(L.HEAD_PREFIX)}', '') AS bare FROM told WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 90 AND y0 <= 130) WHERE regexp_matches(bare, '{_Q(L.EDITION_CITY)}'))
+  WHERE length(s) <= 28 AND regexp_matches(s, '{_Q(L.SECTION_NAME)}') GROUP BY doc, page),
+art AS (SELECT h.doc, h.page, h.block AS id, h.x0, h.y0, h.x1, h.text AS headline, string_agg(o.text, ' ' ORDER BY o.y0, o.block) FILTER (o.role = 'body') AS body, string_agg(o.text, ' ' ORDER BY o.y0, o.block) FILTER (o.role IN ('caption', 'secondary')) AS other, max(o.text) FILTER (o.role = 'byline') AS byline
+  FROM told h LEFT JOIN owned w ON w.owner = h.block LEFT JOIN told o ON o.block = w.block WHERE h.role = 'headline' GROUP BY h.doc, h.page, h.block, h.x0, h.y0, h.x1, h.text),
+mk AS (SELECT * FROM (SELECT doc, page, block, x0, x1, y1, CASE {" ".join(f"WHEN regexp_matches(text, '{p}') THEN '{g}|{n}'" for g, n, p in L.MARKERS)} END AS mark FROM told WHERE length(text) <= 70) WHERE mark IS NOT NULL),
+lab AS (SELECT id, first(mark ORDER BY art.y0 - mk.y1, mk.block) AS mark FROM art JOIN mk ON art.doc = mk.doc AND art.page = mk.page AND art.y0 - mk.y1 BETWEEN -4 AND 40 AND NOT mk.x0 > art.x1 + 12 AND NOT mk.x1 < art.x0 - 12 GROUP BY id),
+g0 AS (SELECT art.*, section, mark, coalesce(headline, '') || ' ' || coalesce(other, '') || ' ' || coalesce(body, '') AS whole FROM art LEFT JOIN sec USING (doc, page) LEFT JOIN lab USING (id)),
+g1 AS (SELECT *, coalesce(mark, CASE {" ".join(f"WHEN regexp_matches(whole, '{p}') THEN '{g}|{n}'" for g, n, p in L.MARKERS)} END) AS named FROM g0),
+genres AS (SELECT doc, page, id, headline, body, section, CASE WHEN named IS NOT NULL THEN split_part(named, '|', 1) WHEN len(regexp_extract_all(coalesce(body, ''), '{_Q(L.TURN)}')) >= 3 AND contains(body, '?') THEN 'interview' WHEN regexp_matches(coalesce(body, ''), '{_Q(L.PERSONAL_VIEWS)}') THEN 'oped' WHEN regexp_matches(coalesce(section, ''), '{_Q(L.OPINION_SECTION)}') THEN CASE WHEN byline <> '' THEN 'oped' ELSE 'editorial' END ELSE 'report' END AS genre,
+  CASE WHEN named IS NOT NULL THEN 'page label ' || split_part(named, '|', 2) WHEN len(regexp_extract_all(coalesce(body, ''), '{_Q(L.TURN)}')) >= 3 AND contains(body, '?') THEN 'question-and-answer transcript' WHEN regexp_matches(coalesce(body, ''), '{_Q(L.PERSONAL_VIEWS)}') THEN 'carries the paper’s "views expressed are personal" line' WHEN regexp_matches(coalesce(section, ''), '{_Q(L.OPINION_SECTION)}') THEN CASE WHEN byline <> '' THEN 'signed' ELSE 'unsigned' END || ' piece on the ' || section || ' page' WHEN section <> '' THEN section || ' page' ELSE 'no contrary signal' END AS why FROM g1)"""
+
+
+def _told(spark, sf):
+    u, text = F.col("unit"), F.col("text")
+    for n, t in reversed(_PRINTED):
+        at = (u % n == 0) & (F.col("y0") <= 160) if len(t) > 20 and n < 20 else u % n == 0
+        text = F.when(at, t).otherwise(text)
+    return _roles(spark, sf).withColumn("text", text)
+
+
+def _genres(spark, sf):
+    told = _told(spark, sf)
+    parts = told.join(_owned(spark, sf).filter("owner is not null"), ["doc", "page", "block"])
+    joined = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(role, F.struct("y0", "block", "text")))), lambda x: x["text"]), " ")
+    role = F.col("role")
+    bodies = parts.groupBy(F.col("owner").alias("id")).agg(joined(role == "body").alias("body"), joined(role.isin("caption", "secondary")).alias("other"), F.max(F.when(role == "byline", F.col("text"))).alias("byline"))
+    heads = told.filter("role = 'headline'").select("doc", "page", F.col("block").alias("id"), "x0", "y0", "x1", F.col("text").alias("headline"))
+    a = N.labelled(heads, told).join(bodies, "id", "left").join(N.sections(told), ["doc", "page"], "left")
+    whole = F.concat_ws(" ", "headline", "other", "body")
+    return a.withColumn("g", N.genre_of(F.col("body"), whole, F.col("byline"), F.col("section"), F.col("marker"), F.col("label"))).select("doc", "page", "id", "headline", "body", "section", "g.genre", "g.why")
+
+
+@query("page_genres", f"WITH {_TOLD} SELECT doc, page, id, section, genre, why FROM genres")
+def page_genres(spark, sf):
+    """What kind of piece each article of a page is, and why."""
+    return _genres(spark, sf).select("doc", "page", "id", "section", "genre", "why")
+
+
+@query("genre_veto", f"""
+WITH {_TOLD} SELECT id, genre, CASE WHEN genre = 'letters' THEN 'letters to the editor' WHEN genre = 'archive' THEN 'from the archives' WHEN regexp_matches(coalesce(headline, '') || ' ' || coalesce(body, ''), '{_Q(L.SPORT_REPORT)}') THEN 'sport match report' END AS veto, genre IN ('editorial', 'oped', 'interview', 'column') AS opinion, length(regexp_replace(coalesce(body, ''), '{_Q(L.DISCLAIMER)}', '', 'g')) AS chars FROM genres""")
+def genre_veto(spark, sf):
+    """The veto of each article of a page, its genre first; whether it is opinion, and its length without the paper's disclaimer."""
+    head, body = F.col("headline"), F.coalesce("body", F.lit(""))
+    veto = D.vetoed(head, body, (), L.SPORT_REPORT, L.SPORT_EXEMPT, L.SPORT_EVENT, genre=F.col("genre"))
+    return _genres(spark, sf).select("id", "genre", veto.alias("veto"), N.is_opinion(F.col("genre")).alias("opinion"), F.length(N.without_disclaimer(body)).cast("long").alias("chars"))

@@ -297,13 +297,28 @@ def dup_components(spark, sf):
     return D.groups(D.similar_pairs(articles(spark, sf), "edition"))
 
 
+#: Articles as an edition prints them: a publication and a page of their own, a prominence, and whether they are of the area.
+_PRINTED = """printed AS (SELECT doc_id, edition, headline, substr(coalesce(text, ''), length(headline) + 2) AS body, lang AS publication, (doc_id % 8)::INT AS page, (doc_id % 9)::INT AS prominence, contains(lower(headline || ' ' || coalesce(text, '')), 'thethe') AS area FROM articles)"""
+_MERGED = f"""{_GROUPS}, {_PRINTED}, tied AS (SELECT p.*, coalesce(leader, doc_id) AS leader FROM printed p LEFT JOIN g ON node = doc_id),
+bodies AS (SELECT leader, body, min(doc_id) AS doc_id, count(*) AS copies, max(prominence) AS prominence, bool_or(area) AS area, list(DISTINCT page) AS pages, list(DISTINCT publication) AS publications FROM tied GROUP BY leader, body),
+parts AS (SELECT b.*, p.edition, p.headline, p.page, p.publication, row_number() OVER (PARTITION BY leader ORDER BY length(b.body) DESC, doc_id) AS k FROM bodies b JOIN printed p USING (doc_id)),
+merged AS (SELECT leader, max(doc_id) FILTER (k = 1) AS lead, max(edition) FILTER (k = 1) AS edition, max(headline) FILTER (k = 1) AS headline, string_agg(CASE WHEN k = 1 THEN parts.body ELSE chr(10) || chr(10) || '[Also reported in ' || coalesce(publication, 'another edition') || CASE WHEN page > 0 THEN ', p' || page ELSE '' END || ']' || chr(10) || parts.body END, '' ORDER BY k) AS text,
+  sum(copies)::BIGINT AS copies, max(prominence) AS prominence, bool_or(area) AS area, array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages, array_to_string(list_sort(list_distinct(flatten(list(publications)))), ',') AS publications FROM parts GROUP BY leader)"""
+
+
+def _merged(spark, sf):
+    a = articles(spark, sf)
+    body = F.substring(F.coalesce("text", F.lit("")), F.length("headline") + 2, F.length(F.coalesce("text", F.lit(""))))
+    printed = a.select("edition", "doc_id", "headline", body.alias("body"), F.col("lang").alias("publication"), (F.col("doc_id") % 8).cast("int").alias("page"), (F.col("doc_id") % 9).cast("int").alias("prominence"), F.lower(F.concat_ws(" ", "headline", "text")).contains("thethe").alias("area"))
+    return D.merged_stories(printed, D.groups(D.similar_pairs(a, "edition")))
+
+
 @query("dup_collapsed", f"""
-WITH RECURSIVE {_GROUPS} SELECT leader, first(doc_id ORDER BY length(text) DESC, doc_id) AS lead, count(*)::BIGINT AS copies, sum(length(text))::BIGINT AS chars, max(doc_id % 7) AS prominence, string_agg(DISTINCT (doc_id % 8)::VARCHAR, ',' ORDER BY (doc_id % 8)::VARCHAR) AS pages FROM g JOIN documents ON doc_id = node GROUP BY leader""")
+WITH RECURSIVE {_MERGED} SELECT leader, lead, copies, length(text)::BIGINT AS chars, sha256(text) AS digest, prominence, pages, publications FROM merged""")
 def dup_collapsed(spark, sf):
-    """Each group as one story: the longest text leads."""
-    a = articles(spark, sf)
-    docs = a.select("doc_id", "text", (F.col("doc_id") % 8).cast("string").alias("page"), (F.col("doc_id") % 7).alias("prominence"))
-    return D.collapsed(docs, D.groups(D.similar_pairs(a, "edition"))).select("leader", "lead", "copies", "chars", "prominence", F.array_join("pages", ",").alias("pages"))
+    """Each event as one story: the longest text leads, others follow under where they stood."""
+    out = _merged(spark, sf).select("leader", "lead", "copies", "chars", F.sha2(F.col("body").cast("binary"), 256).alias("digest"), "prominence", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), F.array_join("publications", ",").alias("publications"))
+    return out
 
 
 _INVARIANTS = r"""list_distinct(list_concat(list_transform(regexp_extract_all(t, '(?i)([0-9,.]+[ \t\n]*(?:crore|lakh|billion|million|percent|per cent|%))', 1), lambda x: regexp_replace(lower(x), '[,. \t\n]', '', 'g')), list_concat(regexp_extract_all(t, '\b([0-9]{2,})\b', 1), list_concat(list_filter(regexp_extract_all(t, '\b([A-Z]{2,6})\b', 1), lambda x: x NOT IN ('THE', 'AND', 'FOR', 'WITH', 'THAT', 'THIS', 'FROM', 'WILL', 'SAID')), list_transform(regexp_extract_all(t, '\b([A-Z][a-z]{3,})\b', 1), lambda x: lower(x))))))"""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import aliases, dedup, desk, layout, matching, quality, reads, relational, schedule
+from lectern.operators import aliases, dedup, desk, genre, layout, matching, quality, reads, relational, schedule
 from lectern.sources import readers
 
 
@@ -186,3 +186,45 @@ def test_feeds_with_dates_and_categories(spark):
     xml = "<item><title>T</title><link>http://x</link><dc:date>2024-05-06T01:02:03Z</dc:date><category>News</category></item>"
     r = readers.feed_items(spark.createDataFrame([("f", xml)], "feed string, xml string")).first()
     assert (str(r.day), r.category) == ("2024-05-06", "News")
+
+
+def _genre(spark, body="", told="", byline=None, section=None, marker=None, label=None):
+    row = spark.createDataFrame([(body, told, byline, section, marker, label)], "body string, told string, byline string, section string, marker string, label string")
+    return tuple(row.select(genre.genre_of(*[F.col(c) for c in row.columns]).alias("g")).select("g.*").first())
+
+
+def test_genre_in_six_steps(spark):
+    talk = "BC: It is so. Why? AS: It is. Buddha Chandrasekhar: So it is."
+    assert _genre(spark, talk, "PARLEY", "By A", "Editorial", "column", "NOTEBOOK") == ("column", "page label NOTEBOOK")
+    assert _genre(spark, talk, "FIFTY YEARS AGO " + talk, None, "Editorial")[0] == "archive"
+    assert _genre(spark, " " + talk, talk)[0] == "interview" and _genre(spark, " " + talk.replace("?", "."), "")[0] == "report"
+    assert _genre(spark, "So. The views expressed are personal.", "", "By A", "Business")[0] == "oped"
+    assert _genre(spark, "x", "x", "By A", "Opinion") == ("oped", "signed piece on the Opinion page") and _genre(spark, "x", "x", " ", "Leader page") == ("editorial", "unsigned piece on the Leader page page")
+    assert _genre(spark, None, None, None, "Business") == ("report", "Business page") and _genre(spark) == ("report", "no contrary signal")
+
+
+def test_labels_and_sections_of_a_page(spark):
+    blocks = [
+        (1, 1, 1, 10.0, 20.0, 300.0, 30.0, "THE HINDU 6 Friday, August 21, 2026 Vijayawada Editorial"), (1, 1, 2, 10.0, 40.0, 300.0, 50.0, "Vijayawada Text & Context"), (1, 2, 3, 10.0, 20.0, 300.0, 30.0, "Vijayawada www.a.com 5"), (1, 2, 4, 10.0, 400.0, 300.0, 410.0, "Vijayawada Sport"),
+        (1, 1, 5, 100.0, 190.0, 160.0, 200.0, "PARLEY"), (1, 1, 6, 400.0, 215.0, 460.0, 225.0, "NOTEBOOK"), (1, 1, 7, 100.0, 150.0, 160.0, 165.0, "FROM THE ARCHIVES"), (1, 1, 8, 0.0, 0.0, 0.0, 0.0, None),
+    ]
+    b = spark.createDataFrame(blocks, "doc int, page int, block int, x0 double, y0 double, x1 double, y1 double, text string")
+    assert {(r.page, r.section) for r in genre.sections(b).collect()} == {(1, "Editorial")}
+    heads = [(1, 1, 20, 100.0, 205.0, 200.0), (1, 1, 21, 100.0, 241.0, 200.0), (1, 1, 22, 450.0, 221.0, 600.0), (1, 1, 23, 473.0, 230.0, 600.0), (1, 2, 24, 100.0, 205.0, 200.0), (1, 1, 25, 100.0, 195.9, 200.0), (1, 1, 26, 170.0, 240.0, 200.0)]
+    a = spark.createDataFrame(heads, "doc int, page int, id int, x0 double, y0 double, x1 double")
+    assert {r.id: r.marker for r in genre.labelled(a, b).collect()} == {20: "interview", 21: None, 22: "column", 23: None, 24: None, 25: "archive", 26: "interview"}
+
+
+def test_stories_are_merged_before_the_gate(spark):
+    """Two copies would take two of an edition's places; merged, one place is left for another story."""
+    docs = [(k, f"head {k}", f"body {k}", "A", k, 1) for k in range(4)] + [(4, "head 0", "body 0, and more of it", "B", 0, 3), (5, "head 0", "body 0", None, 2, 2), (6, "head 0", "body 0", "C", 9, 0)]
+    printed = spark.createDataFrame([("e", *d, False) for d in docs], "edition string, doc_id long, headline string, body string, publication string, page int, prominence int, area boolean")
+    members = spark.createDataFrame([(k, 0) for k in (0, 4, 5, 6)], "node long, leader long")
+    stories = dedup.merged_stories(printed, members)
+    one = {r.lead: r for r in stories.collect()}
+    assert set(one) == {1, 2, 3, 4}
+    s = one[4]
+    assert s.body == "body 0, and more of it\n\n[Also reported in A]\nbody 0" and (s.copies, s.prominence, s.pages, s.publications) == (4, 3, [0, 2, 9], ["A", "B", "C"])
+    scored = lambda df, key: desk.gate(df.withColumn("veto", F.lit(None).cast("string")).withColumn("points", 6.0 + F.col("prominence")), "edition", F.col("prominence").desc(), key, most=3)
+    assert {r.doc_id for r in scored(printed, "doc_id").filter("keep").collect()} == {4, 5, 0}
+    assert {r.lead for r in scored(stories, "lead").filter("keep").collect()} == {4, 1, 2}
