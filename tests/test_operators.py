@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import aliases, dedup, desk, genre, layout, matching, quality, reads, relational, schedule
+from lectern.operators import aliases, dedup, desk, genre, layout, matching, quality, reads, relational, schedule, segmentation
 from lectern.sources import readers
 
 
@@ -228,3 +228,34 @@ def test_stories_are_merged_before_the_gate(spark):
     scored = lambda df, key: desk.gate(df.withColumn("veto", F.lit(None).cast("string")).withColumn("points", 6.0 + F.col("prominence")), "edition", F.col("prominence").desc(), key, most=3)
     assert {r.doc_id for r in scored(printed, "doc_id").filter("keep").collect()} == {4, 5, 0}
     assert {r.lead for r in scored(stories, "lead").filter("keep").collect()} == {4, 1, 2}
+
+
+PAGE = "doc int, page int, block int, x0 double, y0 double, x1 double, y1 double, size double, text string"
+PROSE = "words of a story that is long enough to be kept " * 4
+
+
+def test_drop_caps_make_headlines_of_lines_above(spark):
+    """Fragments go on the line above them; a line that one drop cap took is not there for the next; owned drop caps take none."""
+    rows = [
+        (1, 1500.0, 800.0, 1600.0, 810.0, 9.0, PROSE), (2, 100.0, 200.0, 200.0, 220.0, 20.0, "A line that says it all."), (3, 100.0, 222.0, 200.0, 242.0, 20.0, "and goes on here."), (4, 100.0, 250.0, 120.0, 290.0, 40.0, "A"), (5, 130.0, 252.0, 140.0, 290.0, 40.0, "B"),
+        (6, 100.0, 292.0, 200.0, 400.0, 9.0, "nd so it was. " + PROSE), (7, 500.0, 200.0, 700.0, 220.0, 20.0, "A headline as they are set"), (8, 500.0, 230.0, 700.0, 240.0, 20.0, "A quotation."), (9, 500.0, 250.0, 520.0, 290.0, 40.0, "C"), (10, 500.0, 300.0, 600.0, 400.0, 9.0, PROSE),
+        (11, 300.0, 300.0, 650.0, 400.0, 9.0, "wide " * 9), (12, 900.0, 120.0, 920.0, 160.0, 40.0, "D"), (13, 900.0, 170.0, 1000.0, 180.0, 9.0, "PARTY » PAGE 9 CONTINUED ON » PAGE 12"),
+    ]
+    blocks = spark.createDataFrame([(1, 1, *r) for r in rows], PAGE)
+    b = segmentation.guarded(segmentation.promoted(segmentation.classified(blocks)))
+    role = {r.block: (r.role, r.text) for r in b.collect()}
+    assert role[2] == ("headline", "A line that says it all. and goes on here.") and role[3][0] == "noise" and role[8][0] == "secondary" and role[11][0] == "merged" and role[13][0] == "jumpline"
+    a = {r.id: r for r in segmentation.segmented(blocks).collect()}
+    assert set(a) == {2, 7} and a[2].body.startswith("And so it was.") and a[7].standfirst == "A quotation." and a[7].body.startswith("Cwords of a story")
+
+
+def test_orphans_widen_the_article_they_join(spark):
+    rows = [(1, 100.0, 100.0, 200.0, 120.0, 20.0, "A headline as they are set"), (2, 100.0, 130.0, 200.0, 200.0, 9.0, PROSE), (3, 320.0, 130.0, 420.0, 200.0, 9.0, "near " + PROSE), (4, 540.0, 130.0, 640.0, 200.0, 9.0, "next " + PROSE), (5, 800.0, 130.0, 900.0, 200.0, 9.0, "far " + PROSE)]
+    got = {r.block: (r.owner, r.late) for r in segmentation.adopted(segmentation.classified(spark.createDataFrame([(1, 1, *r) for r in rows], PAGE))).collect()}
+    assert got == {2: (1, False), 3: (1, True), 4: (1, True), 5: (None, False)}
+
+
+def test_page_offsets_need_a_quorum(spark):
+    rows = [(d, p, 1, f"THE HINDU {n} Friday, August 21") for d, ns in ((1, (1, 1, 2, 3)), (2, (1, 1, 3)), (3, (9, 9, 9, 9))) for p, n in enumerate(ns, 1)] + [(4, 1, 1, None)]
+    blocks = spark.createDataFrame(rows, "doc int, page int, block int, text string")
+    assert dict(segmentation.page_offset(blocks).collect()) == {1: 1, 2: 0, 3: 0, 4: 0}
