@@ -118,6 +118,13 @@ SIGNATURE_STOP = tuple(
     "a an the and or but of in on at to for from with by as is are was were be been being this that these those it its his her their our your new says said will would may can could s t after over amid ahead".split()
 )
 
+# How a question bank names its formats.
+BANK_FORMATS = {
+    "direct recall": "direct_recall", "direct recall (multi-select)": "direct_recall", "list-matching": "list_matching", "list matching": "list_matching", "multi-statement correctness": "multi_statement", "multi statement correctness": "multi_statement",
+    "assertion–reason": "assertion_reason", "assertion-reason": "assertion_reason", "negative statement": "negative_statement", "negative multi-statement": "negative_statement", "negative recall": "negative_statement", "negative match": "negative_statement",
+    "chronological ordering": "chronological", "statement-based": "statement_based", "statement based": "statement_based", "count-based": "count_based", "count based": "count_based",
+}
+
 #: A word edge between ASCII word characters and all others, as the patterns mean it, whatever letters the language of the engine counts.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 

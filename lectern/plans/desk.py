@@ -14,6 +14,7 @@ from lectern.operators import ranking as K
 from lectern.operators import relational as R
 from lectern.operators.aliases import alias_hits
 from lectern.plans import relational as P
+from lectern.sources import readers as R_
 from lectern.plans.roles import ORACLES, answers, articles, attempts, item_units, items, mcqs, query, reviewed, shown, table, units
 from lectern.plans.texts import _HITS, _MERGED, _TOKENS, ALONE, TERMS, VOCABULARY, _merged
 
@@ -446,3 +447,45 @@ def review_counts(spark, sf):
     """Questions that may be asked, by format, and the items that have them."""
     r = reviewed(spark, sf).groupBy("format", "item_id").agg(F.count("*").alias("n"))
     return r.groupBy("format").agg(F.sum("n").alias("questions"), F.count("*").alias("items"))
+
+
+#: Lines of banks that stand for questions: headings, sources and rows by the unit.
+_BANK_LINES = (
+    (29, "# Screening Test 20{y}"), (31, "## Section: Mains 20{y} Paper – II"), (43, "# Mains Paper 3 of 20{y}"), (17, "## Topic {u}"), (19, "## Duplicate of {u}"), (23, "### Part {u}"), (37, "*Source: `f{y}.pdf`*"),
+    (7, "| {q} | What is {u}? | **a{u}**, b *(old)*, | Direct Recall (multi-select) |"), (5, "| {q} | Why {u}? | c | Negative Match |"), (1, "| {q} | How? | _d_, e{u} | Unheard of |"),
+)
+_BANK = f"""{{mcqs}}, lines AS (SELECT item_id // 200 AS file, mcq AS line_no, replace(replace(replace(CASE {" ".join(f"WHEN unit % {n} = 0 THEN '{t}'" for n, t in _BANK_LINES)} END, '{{y}}', (19 + unit % 3)::VARCHAR), '{{u}}', unit::VARCHAR), '{{q}}', (mcq % 150)::VARCHAR) AS value FROM mcqs),
+hd AS (SELECT *, CASE WHEN regexp_matches(value, '{R_.BANK_PAPER}') THEN trim(regexp_extract(value, '{R_.BANK_PAPER}', 1)) WHEN regexp_matches(value, '{R_.BANK_TITLE}') THEN trim(regexp_extract(value, '{R_.BANK_TITLE}', 1)) END AS head FROM lines),
+ev AS (SELECT *, count(head) OVER w AS block, last_value(head IGNORE NULLS) OVER w AS title,
+  last_value(CASE WHEN head IS NOT NULL THEN '' WHEN NOT regexp_matches(value, '{R_.BANK_IGNORED}') AND regexp_matches(value, '{R_.BANK_SECTION}') THEN trim(regexp_extract(value, '{R_.BANK_SECTION}', 1)) WHEN regexp_matches(value, '{R_.BANK_PART}') THEN trim(regexp_extract(value, '{R_.BANK_PART}', 1)) END IGNORE NULLS) OVER w AS section,
+  last_value(CASE WHEN head IS NOT NULL THEN false WHEN regexp_matches(value, '{R_.BANK_SECTION}') THEN regexp_matches(value, '{R_.BANK_IGNORED}') END IGNORE NULLS) OVER w AS ignored FROM hd WINDOW w AS (PARTITION BY file ORDER BY line_no)),
+src AS (SELECT file, block, first(regexp_extract(value, '{R_.BANK_SOURCE}', 1) ORDER BY line_no) AS source FROM ev WHERE regexp_matches(value, '{R_.BANK_SOURCE}') GROUP BY file, block),
+bank AS (SELECT file, line_no, title, section, source, 'g2-' || regexp_extract(title, '20[0-9]+') || CASE WHEN contains(title, 'Mains') THEN '-mains-paper-' || CASE WHEN contains(title, 'II') THEN 2 ELSE 3 END ELSE '-prelims-screening' END || '-bank' AS slug, regexp_extract(value, '{R_.BANK_ROW}', 1)::INT AS q_no, trim(regexp_extract(value, '{R_.BANK_ROW}', 2)) AS gloss,
+  CASE WHEN contains(value, 'Direct') THEN 'a' || regexp_extract(value, 'a([0-9]+)[*][*]', 1) || ',b' WHEN contains(value, 'Negative') THEN 'c' ELSE 'd,' || regexp_extract(value, 'e[0-9]+') END AS keywords, CASE WHEN contains(value, 'Direct') THEN 'direct_recall' WHEN contains(value, 'Negative') THEN 'negative_statement' END AS format
+  FROM ev LEFT JOIN src USING (file, block) WHERE block > 0 AND NOT ignored AND regexp_matches(value, '{R_.BANK_ROW}'))"""
+
+
+def _bank(spark, sf):
+    u = F.col("unit")
+    value = F.lit(None).cast("string")
+    for n, t in reversed(_BANK_LINES):
+        value = F.when(u % n == 0, t).otherwise(value)
+    for mark, c in (("{y}", 19 + u % 3), ("{u}", u), ("{q}", F.col("mcq") % 150)):
+        value = F.replace(value, F.lit(mark), c.cast("string"))
+    return R_.question_bank(mcqs(spark, sf).select(F.floor(F.col("item_id") / 200).alias("file"), F.col("mcq").alias("line_no"), value.alias("value")))
+
+
+@query("bank_questions", f"WITH {_BANK}, k AS (SELECT *, row_number() OVER (PARTITION BY slug, q_no ORDER BY file, line_no) AS k FROM bank) SELECT slug, q_no, title, section, source, gloss, keywords, format FROM k WHERE k = 1")
+def bank_questions(spark, sf):
+    """Questions of Markdown banks under their papers, the first of each number."""
+    b = R_.bank_questions(_bank(spark, sf))
+    return b.select("slug", "q_no", "title", "section", "source", "gloss", F.array_join("keywords", ",").alias("keywords"), "format")
+
+
+@query("bank_papers", f"""
+WITH {_BANK}, n AS (SELECT slug, q_no, count(*) AS n FROM bank GROUP BY ALL), t AS (SELECT slug, string_agg(DISTINCT title, '|' ORDER BY title) AS titles, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM bank GROUP BY slug)
+SELECT slug, sum(n)::BIGINT AS n, min(q_no) AS first_q, max(q_no) AS last_q, any_value(titles) AS titles, coalesce(any_value(sources), '') AS sources, count(*) FILTER (n > 1) AS twice FROM n JOIN t USING (slug) GROUP BY slug""")
+def bank_papers(spark, sf):
+    """Papers by their identity, whatever their headings, and how many of their numbers occur twice."""
+    p = R_.bank_papers(_bank(spark, sf))
+    return p.select("slug", "n", "first_q", "last_q", F.array_join("titles", "|").alias("titles"), F.array_join("sources", ",").alias("sources"), F.size("twice").cast("long").alias("twice"))

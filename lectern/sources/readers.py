@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from lectern.functions.lists import BANK_FORMATS
 from lectern.functions.text import entities, html_text, page_headline, url_host
 
 _IN = lambda tag: rf"(?is)<{tag}\b[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>"
@@ -46,12 +47,65 @@ def publishers(pages: DataFrame, known: list[tuple[str, str, bool]]) -> DataFram
     return pages.withColumn("publisher", name).withColumn("is_primary", primary)
 
 
+#: How a bank's Markdown marks papers, sections to ignore, sources and questions.
+BANK_PAPER, BANK_TITLE, BANK_IGNORED, BANK_SOURCE = r"^##\s+Section:\s*(.+)$", r"^#\s+([^#].*)$", r"(?i)^##\s+Duplicate", r"^\s*\*Source:\s*`([^`]+)`"
+BANK_SECTION, BANK_PART, BANK_ROW = r"^##\s+([^#].*)$", r"^###\s+(.+)$", r"^\|\s*(\d+)\s*\|(.+?)\|(.+?)\|(.+?)\|\s*$"
+
+
+def paper_identity(title: Column) -> dict[str, Column]:
+    """slug, year, stage and paper that the heading of a paper names: headings of one paper may differ in all else."""
+    year = F.nullif(F.regexp_extract(title, r"(20\d{2})", 1), F.lit(""))
+    mains, number = title.rlike("(?i)mains"), F.lower(F.regexp_extract(title, r"(?i)paper\s*[-–]?\s*([IVX]+|\d+)", 1))
+    roman = F.lit(None).cast("int")
+    for k, name in enumerate(("i", "ii", "iii", "iv", "v"), 1):
+        roman = F.when(number == name, k).otherwise(roman)
+    n = F.coalesce(roman, F.when(number.rlike(r"^\d+$"), number).cast("int"))
+    stage = F.when(mains, "mains").otherwise("prelims")
+    paper = F.when(mains, F.concat(F.lit("paper-"), F.coalesce(F.when(n > 0, n), F.lit(1)).cast("string"))).otherwise("screening")
+    return {"slug": F.concat_ws("-", F.lit("g2"), F.coalesce(year, F.lit("null")), stage, paper, F.lit("bank")), "year": year.cast("int"), "stage": stage, "paper": paper}
+
+
+def bank_format(label: Column) -> Column:
+    """The format that a label names, with or without a remark in brackets after it; null for an unknown one."""
+    key = F.trim(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"\s+", " "))
+    named = F.create_map(*[F.lit(x) for pair in BANK_FORMATS.items() for x in pair])
+    return F.coalesce(named[key], named[F.regexp_replace(key, r"\s*\([^)]*\)\s*$", "")])
+
+
 def question_bank(lines: DataFrame) -> DataFrame:
-    """Table rows of a Markdown bank, ``lines`` (file, line_no, value), under the paper that the last heading names: file, paper, q_no, stem, topic."""
-    carried = lines.withColumn("paper", F.last(F.nullif(F.regexp_extract("value", r"^#{1,3}\s+(.*?)\s*$", 1), F.lit("")), ignorenulls=True).over(W.Window.partitionBy("file").orderBy("line_no")))
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
-    rows = carried.filter(F.col("value").rlike(r"^\s*\|\s*\d+\s*\|")).withColumn("c", cells)
-    return rows.select("file", "paper", F.get("c", F.lit(0)).cast("int").alias("q_no"), F.get("c", F.lit(1)).alias("stem"), F.get("c", F.lit(2)).alias("topic"))
+    """Questions of Markdown banks, ``lines`` (file, line_no, value): file, line_no, slug, year, stage, paper, title, section, source, q_no, gloss, keywords, format_label, format.
+
+    What a line belongs to is carried forward over its file: a paper's heading ends the section and what was ignored before; a heading of
+    duplicates ignores all until the next heading of its rank; sections and parts name what follows; a paper's source is its first one.
+    Questions before the first paper, and ignored ones, are none.
+    """
+    v = F.col("value")
+    head = F.when(v.rlike(BANK_PAPER), F.trim(F.regexp_extract(v, BANK_PAPER, 1))).when(v.rlike(BANK_TITLE), F.trim(F.regexp_extract(v, BANK_TITLE, 1)))
+    section = F.when(~v.rlike(BANK_IGNORED) & v.rlike(BANK_SECTION), F.trim(F.regexp_extract(v, BANK_SECTION, 1))).when(v.rlike(BANK_PART), F.trim(F.regexp_extract(v, BANK_PART, 1)))
+    w = W.Window.partitionBy("file").orderBy("line_no")
+    carried = lambda c: F.last(c, ignorenulls=True).over(w)
+    m = lines.withColumn("head", head)
+    m = m.withColumn("section", F.when(F.col("head").isNotNull(), "").otherwise(section)).withColumn("ignored", F.when(F.col("head").isNotNull(), False).when(v.rlike(BANK_SECTION), v.rlike(BANK_IGNORED)))
+    m = m.withColumn("block", F.count("head").over(w)).withColumn("title", carried("head")).withColumn("section", carried("section")).withColumn("ignored", carried("ignored"))
+    m = m.withColumn("source", F.first(F.nullif(F.regexp_extract(v, BANK_SOURCE, 1), F.lit("")), ignorenulls=True).over(W.Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
+    rows = m.filter("block > 0 and not ignored").filter(v.rlike(BANK_ROW))
+    cell = lambda k: F.trim(F.regexp_extract(v, BANK_ROW, k))
+    words = F.transform(F.split(cell(3), ","), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\*\(.*?\)\*", ""), "[*_]", "")))
+    who = [c.alias(name) for name, c in paper_identity(F.col("title")).items()]
+    return rows.select("file", "line_no", *who, "title", "section", "source", cell(1).cast("int").alias("q_no"), cell(2).alias("gloss"), F.filter(words, lambda x: x != "").alias("keywords"), cell(4).alias("format_label"), bank_format(cell(4)).alias("format"))
+
+
+def bank_questions(bank: DataFrame) -> DataFrame:
+    """The first row of each paper and question number of ``question_bank``, in the order of files and lines."""
+    first = F.row_number().over(W.Window.partitionBy("slug", "q_no").orderBy("file", "line_no"))
+    return bank.withColumn("_k", first).filter("_k = 1").drop("_k")
+
+
+def bank_papers(bank: DataFrame) -> DataFrame:
+    """Each paper once, whatever its headings: slug, n, first_q, last_q, titles, sources, twice (question numbers that occur again, of which one row stays)."""
+    numbers = bank.groupBy("slug", "q_no").agg(F.count("*").alias("n"), F.collect_set("title").alias("t"), F.collect_set("source").alias("s"))
+    sets = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    return numbers.groupBy("slug").agg(F.sum("n").alias("n"), F.min("q_no").alias("first_q"), F.max("q_no").alias("last_q"), sets("t").alias("titles"), sets("s").alias("sources"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("q_no")))).alias("twice"))
 
 
 def resumed(log: DataFrame) -> DataFrame:

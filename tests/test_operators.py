@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,9 +75,68 @@ def test_feeds_and_press_pages(spark):
     assert [(x.ministry, x.link, x.title) for x in p] == [("Finance", "/1", "one"), ("Finance", "/2", "two"), ("Law", "/3", "three")]
 
 
-def test_question_bank_and_uploads(spark):
-    lines = spark.createDataFrame([("f", k, v) for k, v in enumerate(["## Paper 1", "| # | stem | topic |", "| 1 | why? | law |", "## Paper 2", "| 2 | how? | art |"])], "file string, line_no int, value string")
-    assert [(r.paper, r.q_no, r.stem, r.topic) for r in readers.question_bank(lines).orderBy("q_no").collect()] == [("Paper 1", 1, "why?", "law"), ("Paper 2", 2, "how?", "art")]
+BANK = """| 9 | before any paper | a | Count-based |
+# Group Screening Test 2019
+*Source: `a.pdf`*
+*Source: `b.pdf`*
+## Polity
+| q | gloss | keywords | format |
+| 1 | why? | **law**, _rule_ *(old)*,  | Direct recall (multi-select) |
+### Courts
+| 2 | how? | art | Negative match |
+## Duplicate of Polity
+| 3 | lost | x | y |
+### Still lost
+| 4 | lost | x | y |
+## History
+| 5 | when? | era | Something new |
+## Section: GROUP MAINS 2021, Paper – II
+| 1 | what? | z | list  matching |
+# Screening test of 2019 (again)
+*Source: `c.pdf`*
+| 2 | how again? | art | Statement-based |
+| 6 | x | y |"""
+
+
+def test_question_banks(spark):
+    """Two headings of one paper merge, sections of duplicates are skipped, a paper's start resets what was carried."""
+    lines = spark.createDataFrame([("f", k, v) for k, v in enumerate(BANK.split("\n"))], "file string, line_no int, value string")
+    bank = readers.question_bank(lines)
+    rows = [(r.slug, r.section, r.source, r.q_no, r.gloss, r.keywords, r.format) for r in bank.orderBy("line_no").collect()]
+    one, two = "g2-2019-prelims-screening-bank", "g2-2021-mains-paper-2-bank"
+    assert rows == [
+        (one, "Polity", "a.pdf", 1, "why?", ["law", "rule"], "direct_recall"), (one, "Courts", "a.pdf", 2, "how?", ["art"], "negative_statement"), (one, "History", "a.pdf", 5, "when?", ["era"], None), (two, "", None, 1, "what?", ["z"], "list_matching"), (one, "", "c.pdf", 2, "how again?", ["art"], "statement_based"),
+    ]
+    papers = {r.slug: r for r in readers.bank_papers(bank).collect()}
+    assert (papers[one].n, papers[one].first_q, papers[one].last_q, papers[one].twice, papers[one].sources) == (4, 1, 5, [2], ["a.pdf", "c.pdf"]) and len(papers[one].titles) == 2
+    assert {(r.slug, r.q_no): r.gloss for r in readers.bank_questions(bank).collect()}[one, 2] == "how?"
+
+
+def test_question_banks_against_a_loop(spark):
+    rng = random.Random(3)
+    kinds = ["# Mains 2020 Paper {}", "## Section: Paper-III mains 2022 {}", "## Topic {}", "## duplicate {}", "### Part {}", "*Source: `s{}`*", "| {} | g | k | f |", "| {} | g | k | f |", "| {} | g | k | f | more |", "text {}", ""]
+    files = {f: [rng.choice(kinds).format(rng.randrange(1, 9)) for _ in range(60)] for f in range(20)}
+    want = []
+    for f, lines in files.items():
+        title, section, ignored, block, source = None, "", False, -1, {}
+        for k, v in enumerate(lines):
+            if v.startswith("## Section:") or v.startswith("# "):
+                title, section, ignored, block = v.removeprefix("## Section:").removeprefix("#").strip(), "", False, block + 1
+            elif v.startswith("## "):
+                ignored = v.lower().startswith("## duplicate")
+                section = section if ignored else v[3:].strip()
+            elif v.startswith("### "):
+                section = v[4:].strip()
+            elif v.startswith("*Source"):
+                source.setdefault(block, v.split("`")[1])
+            elif v.startswith("|") and not ignored and title:
+                want.append([f, k, title, section, block])
+        want = [[*w[:4], source.get(w[4])] if len(w) == 5 and w[0] == f else w for w in want]
+    df = spark.createDataFrame([(f, k, v) for f, lines in files.items() for k, v in enumerate(lines)], "file int, line_no int, value string")
+    assert sorted([r.file, r.line_no, r.title, r.section, r.source] for r in readers.question_bank(df).collect()) == sorted(want)
+
+
+def test_uploads(spark):
     files = spark.createDataFrame([("p", "d", b"%PDF1"), ("p", "d", b"%PDF1"), ("p", "d", b"no")], "publication string, day string, content binary")
     new = readers.new_uploads(files, spark.createDataFrame([], "publication string, day string, file_hash string"))
     assert new.count() == 1 and readers.new_uploads(files, new).count() == 0
