@@ -5,6 +5,8 @@ The test texts are invented prose, so vocabularies and rules here are its own fr
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -15,8 +17,8 @@ from lectern.operators import dedup as D
 from lectern.operators import matching as M
 from lectern.operators import quality as Q
 from lectern.operators import relational as R
-from lectern.sources import readers, sinks
-from lectern.sources.shared import kept
+from lectern.sources import readers, rebuild, sinks
+from lectern.sources.shared import kept, shared_dir
 from lectern.plans.roles import articles, attempts, day_text, item_units, items, query, table
 
 VOCABULARY = [("joiners", "the"), ("joiners", "of the"), ("joiners", "und"), ("endings", "tion"), ("endings", "ing"), ("places", "de la"), ("places", "les"), ("verbs", "edou"), ("verbs", "reed"), ("spanish", "que"), ("german", "der"), ("rarities", "query"), ("rarities", "thing")]
@@ -90,6 +92,26 @@ def strict_aliases(spark, sf):
     return hits.select("doc_id", "alias", "hits", "in_headline", "clean")
 
 
+_TOPIC_UNITS = f"""{_HITS}, ti AS (SELECT edition, doc_id, topic, sum(hits)::BIGINT AS hits FROM plain JOIN articles USING (doc_id) GROUP BY ALL HAVING bool_or(in_headline) OR sum(hits) >= 2),
+un AS (SELECT doc_id, topic AS unit FROM hits GROUP BY doc_id, topic HAVING count(DISTINCT alias) >= 2)"""
+
+
+@query("derived_rebuild", f"""
+WITH {_TOPIC_UNITS} SELECT topic, unit, count(DISTINCT doc_id)::BIGINT AS weight, 'derived' AS source FROM ti JOIN un USING (doc_id) WHERE NOT (topic = 'joiners' AND unit = 'endings') GROUP BY topic, unit
+UNION ALL SELECT 'joiners', 'endings', 1, 'manual'""")
+def derived_rebuild(spark, sf):
+    """Topics of articles and, from them, units of topics, staged and published together; a pair made by hand stays and is not derived."""
+    store = f"{shared_dir(spark)}/lectern/store-{uuid.uuid4().hex}"
+    hits = kept(_hits(spark, sf))
+    found = articles(spark, sf).select("doc_id", "edition").join(M.kept_topics(M.topic_match(A.plain_hits(hits))), "doc_id").select("edition", "doc_id", "topic", "hits")
+    has = hits.groupBy("doc_id", F.col("topic").alias("unit")).agg(F.countDistinct("alias").alias("n")).filter("n >= 2").drop("n")
+    rebuild.rebuild(store, {"topic_items": found, "item_units": articles(spark, sf).select("doc_id", "edition").join(has, "doc_id")}, "edition")
+    by_hand = spark.createDataFrame([("joiners", "endings", 1, "manual")], "topic string, unit string, weight long, source string")
+    derived = rebuild.read(spark, store, "topic_items").join(rebuild.read(spark, store, "item_units").drop("edition"), "doc_id").groupBy("topic", "unit").agg(F.countDistinct("doc_id").alias("weight")).withColumn("source", F.lit("derived"))
+    rebuild.rebuild(store, {"topic_units": derived.join(by_hand, ["topic", "unit"], "left_anti").unionByName(by_hand)})
+    return rebuild.read(spark, store, "topic_units")
+
+
 @query("topic_unmatched", f"WITH {_HITS} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM plain)")
 def topic_unmatched(spark, sf):
     return articles(spark, sf).select("doc_id").join(A.plain_hits(_hits(spark, sf)).select("doc_id").distinct(), "doc_id", "left_anti")
