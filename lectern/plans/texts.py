@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from lectern.functions import markdown as MD
 from lectern.functions import text as X
 from lectern.functions.lists import SIGNATURE_STOP
 from lectern.operators import aliases as A
@@ -19,7 +20,7 @@ from lectern.operators import quality as Q
 from lectern.operators import relational as R
 from lectern.sources import readers, rebuild, sinks
 from lectern.sources.shared import kept, shared_dir
-from lectern.plans.roles import articles, attempts, day_text, item_units, items, query, table
+from lectern.plans.roles import articles, attempts, day_text, days, item_units, items, mcqs, query, table
 
 VOCABULARY = [("joiners", "the"), ("joiners", "of the"), ("joiners", "und"), ("endings", "tion"), ("endings", "ing"), ("places", "de la"), ("places", "les"), ("verbs", "edou"), ("verbs", "reed"), ("spanish", "que"), ("german", "der"), ("rarities", "query"), ("rarities", "thing")]
 WEAK, ALONE = ["the", "les", "que"], ["of the", "und"]
@@ -536,3 +537,46 @@ SELECT day, '---' || chr(10) || 'date: ' || day || chr(10) || 'items: ' || sum(n
 def markdown_digest(spark, sf):
     i = R.visible(items(spark, sf)).select(day_text(F.col("day")).alias("day"), "bucket", "item_id", F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("headline"), F.concat(F.lit("Score "), F.col("score").cast("string")).alias("body"))
     return sinks.markdown_digest(i)
+
+
+_N2 = "chr(10) || chr(10)"
+_DIGEST = f"""{{items}}, {{days}}, {{shown}}, {{mcqs}}, it AS (SELECT strftime(day, '%Y-%m-%d') AS day, bucket, item_id, score % 9 = 0 AS salvaged, score % 7 = 0 AS verify, score % 4 = 0 AS noted, score % 3 = 0 AS facted, score, CASE WHEN score % 9 = 0 THEN 9 ELSE left(bucket, 1)::INT END AS place FROM shown WHERE bucket <> '3-MEDIUM' OR score % 9 = 0),
+nm AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY place, item_id) AS n FROM it),
+qs AS (SELECT m.*, day, n, row_number() OVER (PARTITION BY day ORDER BY n, mcq) AS number FROM mcqs m JOIN nm USING (item_id) WHERE m.status = 'published'),
+ask AS (SELECT item_id, string_agg('**Q' || number || '.** _(' || CASE format {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sinks.FORMAT_LABELS.items())} ELSE 'Direct recall' END || ')_' || {_N2} || 'Which is' || chr(10) || CASE WHEN unit % 2 = 0 THEN chr(10) ELSE '' END || 'unit ' || unit || '?' || {_N2} || '- (a) w' || chr(10) || '- (b) x' || chr(10) || '- (c) y' || chr(10) || '- (d) z' || chr(10), chr(10) ORDER BY number) AS asked FROM qs GROUP BY item_id)"""
+_DIGEST = _DIGEST.replace("'Which is' || chr(10) || CASE WHEN unit % 2 = 0 THEN chr(10) ELSE '' END", "'Which is' || CASE WHEN unit % 2 = 0 THEN chr(10) || chr(10) ELSE '  ' || chr(10) END")
+
+
+@query("full_digest", f"""
+WITH {_DIGEST}, b AS (SELECT nm.*, '### ' || n || '. Item ' || nm.item_id || {_N2} || CASE WHEN verify THEN '> ⚠ **Verify:** ' || CASE WHEN score % 14 = 0 THEN 'A figure or name in this item is unconfirmed.' ELSE 'Look ' || score || ' up.' END || {_N2} ELSE '' END || CASE WHEN noted THEN '#### Note ' || score || chr(10) || 'text' || chr(10) || '##### More' || {_N2} ELSE '' END
+  || CASE WHEN facted THEN '#### Facts' || {_N2} || '- one' || chr(10) || '- two ' || score || {_N2} ELSE '' END || CASE WHEN asked IS NOT NULL THEN '#### Questions' || {_N2} || asked || {_N2} ELSE '' END AS body FROM nm LEFT JOIN ask USING (item_id)),
+u AS (SELECT day, place, CASE WHEN place = 9 THEN 'Miscellaneous' ELSE 'Of ' || any_value(bucket) END AS heading, string_agg(body, '' ORDER BY n) AS t FROM b GROUP BY day, place),
+a AS (SELECT day, string_agg('## ' || heading || {_N2} || t, '' ORDER BY place) AS t FROM u GROUP BY day), c AS (SELECT day, count(*) AS items FROM nm GROUP BY day),
+k AS (SELECT day, count(*) AS n, string_agg('**Q' || number || '** — **(' || correct || ')**  _(item ' || n || ')_' || chr(10) || CASE WHEN unit % 3 = 0 THEN chr(10) || 'For unit ' || unit || chr(10) ELSE '' END, chr(10) ORDER BY number) AS t FROM qs GROUP BY day)
+SELECT day, '---' || chr(10) || 'title: "Current Affairs — ' || strftime(day::DATE, '%A, %-d %B %Y') || '"' || chr(10) || 'date: ' || day || chr(10) || 'source: "Test"' || chr(10) || 'items: ' || items || chr(10) || 'questions: ' || coalesce(k.n, 0) || chr(10) || '---' || {_N2} || '# Current Affairs — ' || strftime(day::DATE, '%A, %-d %B %Y') || {_N2}
+  || 'Test · ' || items || ' item' || CASE WHEN items = 1 THEN '' ELSE 's' END || ' · ' || coalesce(k.n, 0) || ' question' || CASE WHEN coalesce(k.n, 0) = 1 THEN '' ELSE 's' END || {_N2} || a.t || CASE WHEN k.n > 0 THEN '---' || {_N2} || '## Answer key' || {_N2} || k.t || chr(10) ELSE '' END AS markdown FROM a JOIN c USING (day) LEFT JOIN k USING (day)""")
+def full_digest(spark, sf):
+    """A day as Markdown with notes, facts, questions and their key."""
+    s, u = F.col("score"), F.col("unit")
+    text = lambda before, c, after="": F.concat(F.lit(before), c.cast("string"), F.lit(after))
+    i = R.visible(items(spark, sf), days(spark, sf)).select(
+        day_text(F.col("day")).alias("day"), "bucket", "item_id", text("Item ", F.col("item_id")).alias("headline"), (s % 9 == 0).alias("salvaged"), F.when(s % 14 == 0, " ").when(s % 7 == 0, text("Look ", s, " up.")).alias("verify_note"),
+        F.when(s % 4 == 0, text("## Note ", s, "  \ntext\n\n### More".replace("\n\n", "\n"))).alias("notes"), F.when(s % 3 == 0, text("* one\n\ntwo ", s)).alias("facts"),
+    )
+    q = mcqs(spark, sf).filter("status = 'published'").select(
+        "item_id", F.col("mcq").alias("q"), "format", F.concat(F.lit("Which is\n"), F.when(u % 2 == 0, "\n").otherwise(""), text("unit ", u, "?")).alias("question"), *[F.lit(v).alias(f"option_{k}") for k, v in zip("abcd", "wxyz", strict=True)], "correct", F.when(u % 3 == 0, text("For unit ", u)).alias("explanation"),
+    )
+    return sinks.full_digest(i, q, [(b, f"Of {b}") for b in ("1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW")], "Test")
+
+
+@query("angle_lists", r"""
+WITH RECURSIVE l AS (SELECT p_partkey AS unit, p_name || ' (' || p_brand || ', ' || p_type || ' [a, b]), ' || p_name || ')' || CASE WHEN p_size % 2 = 0 THEN ', [' || p_size || ', c' ELSE ',, d' END AS t FROM part),
+s(unit, t, i, depth, part, parts) AS (SELECT unit, t, 0, 0, '', []::VARCHAR[] FROM l
+  UNION ALL SELECT unit, t, i + 1, CASE WHEN c IN ('(', '[') THEN depth + 1 WHEN c IN (')', ']') THEN greatest(depth - 1, 0) ELSE depth END, CASE WHEN c = ',' AND depth = 0 THEN '' ELSE part || c END, CASE WHEN c = ',' AND depth = 0 THEN list_append(parts, part) ELSE parts END FROM (SELECT *, substr(t, i + 1, 1) AS c FROM s WHERE i < length(t)))
+SELECT unit, array_to_string(list_filter(list_transform(list_append(parts, part), lambda x: trim(x)), lambda x: x <> ''), '|') AS angles FROM s WHERE i = length(t)""")
+def angle_lists(spark, sf):
+    """Angles between commas outside of brackets, however deep."""
+    p = table(spark, sf, "part")
+    end = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(", ["), F.col("p_size").cast("string"), F.lit(", c"))).otherwise(",, d")
+    text = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(", "), "p_type", F.lit(" [a, b]), "), "p_name", F.lit(")"), end)
+    return p.select(F.col("p_partkey").alias("unit"), F.array_join(MD.split_angles(text), "|").alias("angles"))
