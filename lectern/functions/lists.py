@@ -118,6 +118,17 @@ SIGNATURE_STOP = tuple(
     "a an the and or but of in on at to for from with by as is are was were be been being this that these those it its his her their our your new says said will would may can could s t after over amid ahead".split()
 )
 
+# Terms of a vocabulary that are everywhere and tell nothing.
+KEYWORD_STOP = (
+    "last", "first", "new", "best", "top", "largest", "highest", "lowest", "longest",
+    "oldest", "total", "number", "place", "location", "name", "year", "day", "state",
+    "city", "district", "area", "people", "group", "india", "government", "minister",
+    "president", "world", "ministry", "party", "days", "website", "platform",
+    "programme", "policy", "capital", "council", "defence", "cases", "report",
+    "committee", "commission", "chairman", "chairperson", "commissioner",
+    "secretary", "officer", "department", "scheme", "project", "meeting",
+)
+
 # How a question bank names its formats.
 BANK_FORMATS = {
     "direct recall": "direct_recall", "direct recall (multi-select)": "direct_recall", "list-matching": "list_matching", "list matching": "list_matching", "multi-statement correctness": "multi_statement", "multi statement correctness": "multi_statement",

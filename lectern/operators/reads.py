@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lectern.functions.text import n_words
+from lectern.functions.text import dateline, like_literal, n_words
 from lectern.operators.relational import first_k, listed
 from lectern.operators.schedule import required_seconds
 
@@ -145,3 +145,36 @@ def relinked(prior: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     first = new.groupBy(*keys).agg(F.min("new_id").alias("new_id"))
     both = first.join(old, keys)
     return both.groupBy("item_id").agg(F.min("new_id").alias("new_id")).select("new_id", "item_id")
+
+
+def search(items: DataFrame, columns: list[str], keywords: DataFrame, key: str, keyword: str, term: str | None, least: int = 2) -> DataFrame:
+    """``items`` of which a column, or one of whose ``keywords`` (key, keyword), holds ``term``, letter case aside and wildcards taken literally. Terms of fewer than ``least`` characters find none."""
+    term = (term or "").strip()
+    if len(term) < least:
+        return items.limit(0)
+    holds = lambda c: F.coalesce(F.call_function("ilike", F.col(c), F.lit(like_literal(term)), F.lit("~")), F.lit(False))
+    named = keywords.filter(holds(keyword)).select(key).distinct().withColumn("_named", F.lit(True))
+    own = F.lit(False)
+    for c in columns:
+        own = own | holds(c)
+    return items.join(named, key, "left").filter(own | F.col("_named").isNotNull()).drop("_named")
+
+
+def remainder(judged: DataFrame, group: str, order: list[Column], least: int = 12, most: int = 35) -> DataFrame:
+    """``judged`` (high, drafted) with place, target and already: rows still to be drafted of each group.
+
+    The band is a budget of the day: its target is the rows that were read as high and those drafted before, between ``least`` and ``most``, and what has been drafted is taken off it.
+    """
+    t = judged.groupBy(group).agg(F.count_if(F.col("high") & ~F.col("drafted")).alias("wanted"), F.count_if("drafted").alias("already"))
+    t = t.select(group, "already", F.greatest(F.lit(least), F.least(F.lit(most), F.col("wanted") + F.col("already"))).alias("target"))
+    left = first_k(judged.filter(~F.col("drafted")), [group], order, most)
+    return left.join(t, group).filter(F.col("place") <= F.greatest(F.lit(0), F.col("target") - F.col("already")))
+
+
+def places(articles: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """doc_id, name, mentions of the places of ``articles`` (doc_id, text, byline): each of ``terms`` that the text holds, and the place that ends the byline, as titles."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    known = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: low.contains(t))
+    line = F.lower(dateline(F.col("byline")))
+    all_ = F.explode(F.filter(F.concat(known, F.array(line)), lambda x: x != ""))
+    return articles.select("doc_id", all_.alias("name")).groupBy("doc_id", F.initcap("name").alias("name")).agg(F.count("*").alias("mentions"))

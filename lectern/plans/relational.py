@@ -137,12 +137,12 @@ def reading_order_position(spark, sf):
 
 
 @query("search_escaped", """
-WITH {articles} SELECT doc_id, edition, substr(headline, 1, 80) AS headline FROM articles WHERE text ILIKE '%a~_%' ESCAPE '~' OR edition ILIKE '%rc1%' ORDER BY doc_id DESC LIMIT 50""")
+WITH {articles} SELECT doc_id, edition, headline FROM articles WHERE text ILIKE '%a~_%' ESCAPE '~' OR edition ILIKE '%rc1%' ORDER BY doc_id DESC LIMIT 50""")
 def search_escaped(spark, sf):
     """The newest 50 articles that hold a term, letter case aside and wildcards taken literally."""
     a = articles(spark, sf)
     hit = F.call_function("ilike", "text", F.lit(like_literal("a_")), F.lit("~")) | F.col("edition").ilike("%rc1%")
-    return a.filter(hit).orderBy(F.col("doc_id").desc()).limit(50).select("doc_id", "edition", F.substring("headline", 1, 80).alias("headline"))
+    return a.filter(hit).orderBy(F.col("doc_id").desc()).limit(50).select("doc_id", "edition", "headline")
 
 
 @query("topic_search", """

@@ -319,3 +319,26 @@ def test_page_offsets_need_a_quorum(spark):
     rows = [(d, p, 1, f"THE HINDU {n} Friday, August 21") for d, ns in ((1, (1, 1, 2, 3)), (2, (1, 1, 3)), (3, (9, 9, 9, 9))) for p, n in enumerate(ns, 1)] + [(4, 1, 1, None)]
     blocks = spark.createDataFrame(rows, "doc int, page int, block int, text string")
     assert dict(segmentation.page_offset(blocks).collect()) == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def test_searches_by_keyword_and_what_is_left_to_draft(spark):
+    items = spark.createDataFrame([(1, "A 5% rise"), (2, "A 50 rise"), (3, None), (4, "none")], "item_id int, headline string")
+    words = spark.createDataFrame([(3, "tax_5%"), (3, "5%"), (2, "x")], "item_id int, keyword string")
+    find = lambda term, least=2: sorted(r.item_id for r in reads.search(items, ["headline"], words, "item_id", "keyword", term, least).collect())
+    assert find("5%") == [1, 3] and find(" x ", 1) == [2, 3] and find("x") == [] and find(None) == [] and find("a ") == [] and find("A 5") == [1, 2]
+    judged = spark.createDataFrame([("e", k, k < 15, k % 3 == 0) for k in range(30)] + [("f", k, True, k < 14) for k in range(14)], "edition string, id int, high boolean, drafted boolean")
+    left = reads.remainder(judged, "edition", [F.col("id")]).collect()
+    # 10 wanted and 10 drafted before make a target of 20; all of the other edition's are drafted.
+    assert [r.id for r in sorted(left, key=lambda r: r.place)] == [1, 2, 4, 5, 7, 8, 10, 11, 13, 14] and {r.edition for r in left} == {"e"}
+
+
+def test_places_of_an_article(spark):
+    a = spark.createDataFrame([(1, "In Guntur, and guntur again", "A Writer NEW DELHI"), (2, None, None), (3, "none", "STAFF")], "doc_id int, text string, byline string")
+    assert sorted((r.doc_id, r.name, r.mentions) for r in reads.places(a, ("guntur", "eluru")).collect()) == [(1, "Guntur", 1), (1, "New Delhi", 1), (3, "Staff", 1)]
+
+
+def test_feeds_in_all_forms(spark):
+    item = "<item><title><![CDATA[A &amp; B]]></title><link>http://x/1</link><dc:date>2024-02-03T01:00:00Z</dc:date></item>"
+    atom = '<feed><entry><title>C</title><link rel="alternate" href="http://x/2"/><published>2024-05-06T00:00:00Z</published><summary>s &lt;b&gt;</summary></entry><entry><title>no link</title><updated>2024-05-06</updated></entry></feed>'
+    got = [(r.title, r.link, str(r.day)) for r in readers.feed_items(spark.createDataFrame([(1, f"<rss>{item}<item><title>no date</title><link>http://x/3</link></item></rss>"), (2, atom)], "feed int, xml string")).orderBy("feed").collect()]
+    assert got == [("A & B", "http://x/1", "2024-02-03"), ("C", "http://x/2", "2024-05-06")]
