@@ -4,11 +4,13 @@ A document's set is its distinct shingles of five words. Its sketch has REGISTER
 the least of one hash function over the set, kept in 16 bits: the count of leading zeros and the first mantissa bits
 after them. Bands of registers are hashed; documents that share a band, directly or through others, form a
 candidate group. Inside a group, pairs are estimated from their sketches with a correction for registers that agree by
-chance, and those near enough are confirmed on the full sets. Components of the confirmed links are the result.
+chance; those near enough form closer groups, and what is in none goes. Only then full sets are made, and the pairs near enough
+are confirmed on them. Components of the confirmed links are the result.
 
 * Equal sets are one class from the start: a class is one row in all that follows, however many copies it has.
-* A candidate group of more than BLOCK classes is dealt into blocks, and each pair of blocks is a task of its own. A task
-  returns a spanning forest of its confirmed links, never the pairs, so what leaves it is no more than it got.
+* A group is dealt into blocks, of SKETCHES classes for estimates and of BLOCK classes and about BLOCK_BYTES of sets for confirmation, and each pair
+  of blocks is a task of its own. A task returns a spanning forest of its links, never the pairs, so what leaves it is no more than it got.
+  Texts that share a band by a common passage alone are parted by their sketches: their sets never travel.
 * Bands are chosen so that a pair at the threshold is missed with a probability under 1e-5.
 
 Null, empty and blank texts have no shingles and no links; a text of fewer than five words is one shingle.
@@ -32,7 +34,9 @@ from lectern.llm.tokens import SPACED, Words, lists, mix, pieces
 SHINGLE = 5
 REGISTERS = 252
 MANTISSA = 11
-BLOCK = 256
+#: Classes of a block of sketches; classes and bytes of sets of a block that is confirmed.
+SKETCHES = 1024
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: An estimate lower than the threshold by so many standard deviations rules a pair out.
 DEVIATIONS = 5.0
 PIECE_BYTES = 2 << 20
@@ -191,6 +195,47 @@ class _Forest:
         return a != b
 
 
+def _near(regs: np.ndarray, n: np.ndarray, a: int, rest: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``rest`` that may be linked with ``a`` by their sketches and sizes, and the estimates."""
+    percent = round(threshold * 100)
+    fit = rest[100 * np.minimum(n[a], n[rest]) >= percent * np.maximum(n[a], n[rest])]
+    agree = (regs[a] == regs[fit]).mean(axis=1)
+    luck = chance(n[a], n[fit])
+    estimate = (agree - luck) / (1 - luck)
+    near = np.flatnonzero(estimate >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / REGISTERS))
+    return fit[near], estimate[near]
+
+
+def _sides(block: np.ndarray, i: int, j: int) -> list[tuple[int, np.ndarray]]:
+    """(place, the places that it is compared with) within one block, or between two; ``block`` is sorted."""
+    m, split = len(block), int(np.searchsorted(block, i, "right"))
+    pairs = [(a, np.arange(a + 1 if i == j else split, m)) for a in range(m if i == j else split)]
+    return [(a, rest) for a, rest in pairs if len(rest)]
+
+
+def _estimator(threshold: float):
+    """A spanning forest of the pairs of a block, or between two, that may be linked by their sketches."""
+
+    def estimate(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, block, n = (table.column(c).to_numpy() for c in ("node", "block", "n_shingles"))
+        order = np.lexsort((node, block))
+        node, block, n = node[order], block[order], n[order]
+        regs = _registers_of(table.column("sketch"))[order]
+        label, src, dst = np.arange(len(node)), [], []
+        for a, rest in _sides(block, table.column("i")[0].as_py(), table.column("j")[0].as_py()):
+            near, _ = _near(regs, n, a, rest[label[rest] != label[a]], threshold)
+            if len(near):
+                # One edge to each tree that is not yet this one's.
+                trees, first = np.unique(label[near], return_index=True)
+                src += [a] * len(trees)
+                dst += near[first].tolist()
+                label[np.isin(label, trees)] = label[a]
+        return pa.table({"src": pa.array(node[src] if src else [], pa.int64()), "dst": pa.array(node[dst] if dst else [], pa.int64())})
+
+    return estimate
+
+
 def _confirmer(threshold: float):
     """Confirms the links of a block, or between two, and returns a spanning forest of them."""
     percent = round(threshold * 100)
@@ -205,21 +250,10 @@ def _confirmer(threshold: float):
         values, offsets = lists_.values.to_numpy(zero_copy_only=False), lists_.offsets.to_numpy()
         sets = [values[offsets[k] : offsets[k + 1]].view(np.uint64) for k in order]
         n = np.array([len(s) for s in sets])
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        forest, edges, m = _Forest(len(node)), [], len(node)
-        margin = DEVIATIONS * np.sqrt(threshold * (1 - threshold) / REGISTERS)
-        split = int(np.searchsorted(block, i, "right"))
-        pairs = []
-        for a in range(m if i == j else split):
-            rest = np.arange(a + 1 if i == j else split, m)
-            if not len(rest):
-                continue
-            fit = rest[100 * np.minimum(n[a], n[rest]) >= percent * np.maximum(n[a], n[rest])]
-            agree = (regs[a] == regs[fit]).mean(axis=1)
-            luck = chance(n[a], n[fit])
-            estimate = (agree - luck) / (1 - luck)
-            near = np.flatnonzero(estimate >= threshold - margin)
-            pairs += zip((-estimate[near]).tolist(), [a] * len(near), fit[near].tolist(), strict=True)
+        forest, edges, pairs = _Forest(len(node)), [], []
+        for a, rest in _sides(block, table.column("i")[0].as_py(), table.column("j")[0].as_py()):
+            near, estimates = _near(regs, n, a, rest, threshold)
+            pairs += zip((-estimates).tolist(), [a] * len(near), near.tolist(), strict=True)
         for _, a, b in sorted(pairs):
             if forest.root(a) != forest.root(b):
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
@@ -231,25 +265,42 @@ def _confirmer(threshold: float):
     return confirm
 
 
+def _paired(members: DataFrame) -> DataFrame:
+    """``members`` (node, grp, blocks, ...) in a block each, once for every pair of blocks (i, j) of their group that theirs is in."""
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """node, grp: of ``reps`` (node, n_shingles, sketch), those that others may be linked with by their sketches, and the group that they form with them."""
+    rows, bands = bands_for(threshold)
+    ties = written(stars(reps, rows, bands), "stars")
+    groups = written(connected_components(ties), "groups")
+    sizes = written(groups.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SKETCHES).cast("int").alias("blocks")), "group-sizes")
+    members = join_hot(groups, sizes, ["component"], groups.count()).withColumnRenamed("component", "grp")
+    # Members grow with the corpus, so they are never broadcast.
+    sketched = reps.join(members.hint("merge"), "node").select("node", "n_shingles", "sketch", "grp", "blocks")
+    near = written(_paired(sketched).groupBy("grp", "i", "j").applyInArrow(_estimator(threshold), "src long, dst long"), "near")
+    out = written(connected_components(near).withColumnRenamed("component", "grp"), "candidates")
+    removed(ties, groups, sizes, near)
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least ``threshold``)."""
-    rows, bands = bands_for(threshold)
     s = written(sketches(docs), "sketches")
     total = s.count()
     has = s.filter("n_shingles > 0 and doc_id is not null")
     classes = written(has.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
     # One row a class: keys with the id are even, however many copies a class has.
     firsts = classes.select("fp1", "fp2", F.col("node").alias("doc_id"))
-    reps = has.join(firsts, ["fp1", "fp2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "fp1", "fp2", "sketch").dropDuplicates(["fp1", "fp2", "node"])
-    ties = written(stars(reps, rows, bands), "stars")
-    groups = written(connected_components(ties), "groups")
-    sizes = written(groups.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "group-sizes")
-    members = join_hot(groups, sizes, ["component"], total)
-    # Members grow with the corpus, so they are never broadcast to the texts.
-    texts = doc_texts(docs).withColumnRenamed("doc_id", "node").join(members.hint("merge"), "node").select("node", "text", F.col("component").alias("grp"), "blocks")
-    sets = _full_sets(texts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    links = written(dealt.groupBy("grp", "i", "j").applyInArrow(_confirmer(threshold), "src long, dst long"), "links")
+    reps = written(has.join(firsts, ["fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["fp1", "fp2", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "representatives")
+    groups = candidates(reps, threshold)
+    sized = groups.join(reps.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")).hint("merge"), "node")
+    sizes = written(sized.groupBy("grp").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("n_shingles") / BLOCK_BYTES)).cast("int").alias("blocks")), "group-sizes")
+    members = join_hot(groups, sizes, ["grp"], total)
+    texts = doc_texts(docs).withColumnRenamed("doc_id", "node").join(members.hint("merge"), "node").select("node", "text", "grp", "blocks").distinct()
+    links = written(_paired(_full_sets(texts)).groupBy("grp", "i", "j").applyInArrow(_confirmer(threshold), "src long, dst long"), "links")
     found = written(connected_components(links), "components")
     # Texts that share a doc_id are tied through it.
     tied = join_hot(has.select("doc_id", "fp1", "fp2"), classes, ["fp1", "fp2"], total).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
@@ -261,7 +312,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     out = join_hot(s.select("doc_id", "n_shingles", "fp1", "fp2"), ends, ["fp1", "fp2"], total, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("end")).otherwise(F.col("doc_id"))
     result = written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")), "near-duplicates")
-    removed(s, classes, ties, groups, sizes, links, found, repeated_ids)
+    removed(s, classes, reps, groups, sizes, links, found, repeated_ids)
     return result
 
 

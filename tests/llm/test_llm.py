@@ -528,3 +528,25 @@ def test_stages_against_loops(spark, sf):
                 x, y = root(a), root(b)
                 leader[max(x, y)] = min(x, y)
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf).select("doc_id").collect()} == {d for d in texts if root(d) == d}
+
+
+def _chain(n: int, words: int = 300, step: int = 6) -> list[tuple[int, str]]:
+    """Texts of which each shares most of its words with the next, and little with those farther on."""
+    return [(k, " ".join(f"w{k * step + i}" for i in range(words))) for k in range(n)]
+
+
+def test_long_chains_are_one_component(spark):
+    """2,000 classes, each linked with the next ones alone, in blocks of sketches and of sets."""
+    docs = spark.createDataFrame(_chain(2000), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 0.85).collect()}
+    assert len(got) == 2000 and set(got.values()) == {0}
+
+
+def test_sets_of_texts_that_share_but_a_passage_do_not_travel(spark):
+    """A passage common to all texts ties them in bands; their sketches part them again, but for the two that are alike."""
+    passage = " ".join(f"common{k}" for k in range(60))
+    rows = [(k, passage + " " + " ".join(f"own{k}x{i}" for i in range(90))) for k in range(400)] + [(1000, passage + " " + " ".join(f"own7x{i}" for i in range(88)))]
+    reps = near_dedup.sketches(spark.createDataFrame(rows, "doc_id long, text string")).select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
+    tied = near_dedup.stars(reps, *near_dedup.bands_for(0.85))
+    assert tied.count() > 5
+    assert {r.node for r in near_dedup.candidates(reps, 0.85).collect()} == {7, 1000}
