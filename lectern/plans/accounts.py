@@ -12,6 +12,7 @@ from lectern.operators import reads as V
 from lectern.operators import relational as R
 from lectern.operators.matching import expanded
 from lectern.operators.schedule import required_seconds
+from lectern.operators.vocabulary import reseeded
 from lectern.plans.reads import reading_order
 from lectern.plans.roles import answers, articles, attempts, day_text, opened, query, reviewed, shown, table
 from lectern.sources import readers
@@ -190,3 +191,24 @@ def reader_days(spark, sf):
     d = d.join(words, "item_id", "left").join(flag(views, "marked_read"), ["user_id", "item_id"], "left").join(flag(marks, "bookmarked"), ["user_id", "item_id"], "left")
     d = d.join(q.groupBy("item_id").agg(F.count("*").alias("questions")), "item_id", "left").join(done, ["user_id", "item_id"], "left").fillna(0, ["words", "questions", "attempted"]).fillna(False, ["marked_read", "bookmarked"])
     return d.select("user_id", day_text(F.col("day")).alias("day"), "item_id", "position", "words", "marked_read", "bookmarked", "questions", "attempted", required_seconds(F.col("words")).alias("required"))
+
+
+@query("vocabulary_changes", """
+WITH st AS (SELECT n_nationkey AS topic, CASE WHEN n_nationkey % 5 = 0 THEN 'Renamed ' || n_name ELSE n_name END AS name FROM nation WHERE n_nationkey % 4 <> 0), ot AS (SELECT n_nationkey AS topic, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0),
+sa AS (SELECT topic, -1 AS ord, name AS alias, false AS strict FROM st UNION ALL SELECT p_partkey % 25, p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE '  ' || p_name END, p_size % 3 = 0 FROM part JOIN st ON topic = p_partkey % 25 WHERE p_partkey % 2 = 0),
+na AS (SELECT topic, norm, alias, strict FROM (SELECT *, lower(trim(alias)) AS norm FROM sa) QUALIFY row_number() OVER (PARTITION BY topic, norm ORDER BY ord DESC, alias DESC) = 1),
+oa AS (SELECT p_partkey % 25 AS topic, lower(p_name) AS norm, min(p_name) AS alias, bool_or(p_size % 3 = 0) AS strict, bool_or(p_size % 5 = 0) AS manual FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL),
+al AS (SELECT 'alias' AS what, coalesce(na.topic, oa.topic) AS topic, coalesce(na.norm, oa.norm) AS key, CASE WHEN oa.norm IS NULL THEN 'insert' WHEN na.norm IS NULL THEN CASE WHEN NOT manual AND oa.topic IN (SELECT topic FROM st) THEN 'delete' END WHEN na.alias <> oa.alias OR na.strict <> oa.strict THEN 'update' END AS change, na.alias AS name, CASE WHEN na.alias IS NOT NULL THEN 'en' END AS lang, na.strict::VARCHAR AS strict FROM na FULL JOIN oa ON na.topic = oa.topic AND na.norm = oa.norm),
+tp AS (SELECT 'topic' AS what, st.topic, NULL AS key, CASE WHEN ot.topic IS NULL THEN 'insert' WHEN st.name <> ot.name THEN 'update' END AS change, st.name, NULL AS lang, NULL AS strict FROM st LEFT JOIN ot USING (topic)),
+ln AS (SELECT DISTINCT s_nationkey AS a, s_suppkey % 40 AS b FROM supplier), ids AS (SELECT topic FROM st UNION SELECT topic FROM ot)
+SELECT * FROM al WHERE change IS NOT NULL UNION ALL SELECT * FROM tp WHERE change IS NOT NULL UNION ALL SELECT 'link', a, b::VARCHAR, 'insert', NULL, NULL, NULL FROM ln WHERE a IN (SELECT topic FROM ids) AND b IN (SELECT topic FROM ids) AND (a + b) % 2 = 1""")
+def vocabulary_changes(spark, sf):
+    """What seeding a vocabulary again inserts, updates and deletes, over its topics, aliases and links."""
+    n, p, s = table(spark, sf, "nation"), table(spark, sf, "part"), table(spark, sf, "supplier")
+    key, topic = F.col("n_nationkey"), (F.col("p_partkey") % 25).cast(table(spark, sf, "nation").schema["n_nationkey"].dataType)
+    st = n.filter("n_nationkey % 4 <> 0").select(key.alias("topic"), F.when(key % 5 == 0, F.concat(F.lit("Renamed "), "n_name")).otherwise(F.col("n_name")).alias("name"))
+    sa = p.filter("p_partkey % 2 = 0").select(topic.alias("topic"), F.col("p_partkey").alias("ord"), F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("  "), "p_name")).alias("alias"), (F.col("p_size") % 3 == 0).alias("strict")).join(st.select("topic"), "topic", "left_semi")
+    oa = p.filter("p_partkey % 3 <> 0").groupBy(topic.alias("topic"), F.lower("p_name").alias("norm")).agg(F.min("p_name").alias("alias"), F.lit("en").alias("lang"), F.max(F.col("p_size") % 3 == 0).alias("strict"), F.max(F.col("p_size") % 5 == 0).alias("manual"))
+    ln = s.select(F.col("s_nationkey").alias("a"), (F.col("s_suppkey") % 40).alias("b"))
+    stored = {"topics": n.filter("n_nationkey % 3 <> 0").select(key.alias("topic"), F.col("n_name").alias("name")), "aliases": oa, "links": ln.filter((F.col("a") + F.col("b")) % 2 == 0)}
+    return reseeded({"topics": st, "aliases": sa, "links": ln}, stored)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import aliases, dedup, desk, genre, layout, matching, quality, reads, relational, schedule, segmentation
+from lectern.operators import aliases, dedup, desk, genre, layout, matching, quality, reads, relational, schedule, segmentation, vocabulary
 from lectern.sources import readers
 
 
@@ -342,3 +342,21 @@ def test_feeds_in_all_forms(spark):
     atom = '<feed><entry><title>C</title><link rel="alternate" href="http://x/2"/><published>2024-05-06T00:00:00Z</published><summary>s &lt;b&gt;</summary></entry><entry><title>no link</title><updated>2024-05-06</updated></entry></feed>'
     got = [(r.title, r.link, str(r.day)) for r in readers.feed_items(spark.createDataFrame([(1, f"<rss>{item}<item><title>no date</title><link>http://x/3</link></item></rss>"), (2, atom)], "feed int, xml string")).orderBy("feed").collect()]
     assert got == [("A & B", "http://x/1", "2024-02-03"), ("C", "http://x/2", "2024-05-06")]
+
+
+def test_seeding_a_vocabulary_again(spark):
+    """Aliases that the seed dropped go, those made by hand and those of other topics stay; one row a change; seeding twice changes nothing."""
+    df = spark.createDataFrame
+    seed = {"topics": df([("t", "Tax"), ("u", "Union")], "topic string, name string"), "aliases": df([("t", 1, "levy", False), ("t", 2, " LEVY ", True), ("u", 1, "", False), ("u", 2, "ఆంధ్ర", False)], "topic string, ord int, alias string, strict boolean"), "links": df([("t", "u"), ("t", "nowhere")], "a string, b string")}
+    stored = {
+        "topics": df([("t", "Taxes"), ("old", "Old")], "topic string, name string"), "links": df([], "a string, b string"),
+        "aliases": df([("t", "tax", "Tax", "en", False, False), ("t", "duty", "duty", "en", False, False), ("t", "cess", "cess", "en", False, True), ("old", "old", "Old", "en", False, False)], "topic string, norm string, alias string, lang string, strict boolean, manual boolean"),
+    }
+    changes = vocabulary.reseeded(seed, stored)
+    assert sorted((r.what, r.topic, r.key, r.change, r["name"], r.lang, r.strict) for r in changes.filter("key is not null").collect()) == [
+        ("alias", "t", "duty", "delete", None, None, None), ("alias", "t", "levy", "insert", " LEVY ", "en", "true"), ("alias", "u", "union", "insert", "Union", "en", "false"), ("alias", "u", "ఆంధ్ర", "insert", "ఆంధ్ర", "te", "false"), ("link", "t", "u", "insert", None, None, None),
+    ]
+    assert {(r.topic, r.change, r["name"]) for r in changes.filter("what = 'topic'").collect()} == {("t", "update", "Tax"), ("u", "insert", "Union")}
+    after = vocabulary.applied_aliases(stored["aliases"], changes)
+    assert {(r.topic, r.norm) for r in after.collect()} == {("t", "tax"), ("t", "levy"), ("t", "cess"), ("old", "old"), ("u", "union"), ("u", "ఆంధ్ర")}
+    assert vocabulary.reseeded(seed, {"topics": seed["topics"], "aliases": after, "links": seed["links"]}).count() == 0
