@@ -1,7 +1,7 @@
 """Legacy web archives (ARC, versions 1 and 2) converted to WARC, and both formats written and read by Spark.
 
-Archives are written by the text sink, a record a row with the format's separator as line end, gzip-compressed,
-at most RECORDS_PER_FILE a file; they are read as binary files and parsed record by record along their
+Archives are written by the text sink, a record a row with the format's separator as line end, gzip-compressed. Pages are dealt by their size, and each
+size has as many records a file as keep it under FILE_BYTES, or one where a page alone is larger; they are read as binary files and parsed record by record along their
 declared lengths, so nothing larger than a file is held. Payloads are bytes throughout.
 
 An ARC header line has the fields that its file's version block names (those of its version where the block's list is not whole); the URL is what is left of the last of
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import join_hot, table_path, written
 
-RECORDS_PER_FILE = 4096
+#: No file holds more bytes than this and the heads of its records, but for one larger page. Sizes of pages (at most so many bytes) and their records a file.
+FILE_BYTES = 64 << 20
+SIZES = tuple((most, min(4096, FILE_BYTES // most)) for most in (1 << 14, 1 << 18, 1 << 22)) + ((None, 1),)
 #: Equal payloads of at least so many bytes are written once.
 LEAST_REVISIT = 100
 CRAWL_DATE = "20240101000000"
@@ -40,17 +42,33 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 BATCH_BYTES = 4 << 20
 
 
-def _text(lines: DataFrame, out: str, separator: str) -> None:
-    lines.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(out)
+def _text(lines: DataFrame, out: str, separator: str, per_file: int) -> None:
+    lines.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(out)
 
 
-def _first_of_file() -> Column:
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", True).load(path)
+
+
+def _first_of_file(per_file: int) -> Column:
     """True for the row that starts each file of the sink."""
-    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % RECORDS_PER_FILE == 0
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % per_file == 0
+
 
+def write_arc(pages: DataFrame, out: str, version: int = 1, date: str = CRAWL_DATE, sizes: tuple = SIZES) -> list[tuple[str, int]]:
+    """``pages`` (page_id, url, html) as ARC files: a version block, then an HTTP response a row. The folders in ``out``, one a size of page that there is, and their records a file."""
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
+    kind = F.lit(len(sizes) - 1)
+    for k, (most, _) in reversed(list(enumerate(sizes[:-1]))):
+        kind = F.when(size <= most, k).otherwise(kind)
+    folders = []
+    for k in sorted(r.kind for r in pages.select(kind.alias("kind")).distinct().collect()):  # a row a size
+        folders.append((f"{out}/size-{k}", sizes[k][1]))
+        _write_arc(pages.filter(kind == k), *folders[-1], version, date)
+    return folders
 
-def write_arc(pages: DataFrame, out: str, version: int = 1, date: str = CRAWL_DATE) -> None:
-    """``pages`` (page_id, url, html) as ARC files in folder ``out``: a version block, then an HTTP response a row."""
+
+def _write_arc(pages: DataFrame, out: str, per_file: int, version: int, date: str) -> None:
     html = F.coalesce(F.col("html"), F.lit(""))
     url = F.coalesce(F.regexp_replace("url", r"\s", "%20"), F.lit("-"))
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html)
@@ -58,7 +76,7 @@ def write_arc(pages: DataFrame, out: str, version: int = 1, date: str = CRAWL_DA
     record = F.concat(url, F.lit(middle), F.octet_length("block").cast("string"), F.lit("\n"), F.col("block"))
     about = f"{version} 0 lectern\n{ARC_FIELDS[version]}\n"
     head = f"filedesc://pages.arc 0.0.0.0 {date} text/plain " + ("200 - - 0 pages.arc " if version == 2 else "") + f"{len(about)}\n{about}\n"
-    _text(pages.select(url.alias("url"), block.alias("block")).select(F.concat(F.when(_first_of_file(), head).otherwise(""), record).alias("value")), out, "\n")
+    _text(pages.select(url.alias("url"), block.alias("block")).select(F.concat(F.when(_first_of_file(per_file), head).otherwise(""), record).alias("value")), out, "\n", per_file)
 
 
 def _opened(content: bytes) -> io.BufferedIOBase:
@@ -143,7 +161,7 @@ def convert_arc(files: DataFrame, payloads: bool = True) -> DataFrame:
     return files.select("path", "content").mapInArrow(convert, CONVERTED)
 
 
-def write_warc(records: DataFrame, revisits: DataFrame, out: str) -> None:
+def write_warc(records: DataFrame, revisits: DataFrame, out: str, per_file: int) -> None:
     """``records`` of convert_arc as WARC files; ``revisits`` (record_id, first_id) names the response that a record of an equal payload revisits."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     r = records.join(revisits, "record_id", "left")
@@ -155,7 +173,7 @@ def write_warc(records: DataFrame, revisits: DataFrame, out: str) -> None:
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), F.col("first_id"), F.lit(">"))))).otherwise(""),
         line("Content-Type", F.when(F.col("type") == "warcinfo", "text/plain").when(F.octet_length(head) > 0, "application/http; msgtype=response").otherwise(F.coalesce("mime", F.lit("application/octet-stream")))), line("Content-Length", (F.octet_length(head) + F.octet_length(payload)).cast("string")), F.lit("\r\n"),
     )
-    _text(r.select(F.concat(header.cast("binary"), head, payload).cast("string").alias("value")), out, "\r\n\r\n")
+    _text(r.select(F.concat(header.cast("binary"), head, payload).cast("string").alias("value")), out, "\r\n\r\n", per_file)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -175,6 +193,9 @@ def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+READ = "record_id string, type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to_id string"
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """record_id, type, url, date, page_id, payload_bytes, payload_digest (computed where the payload is there), refers_to_id of each record."""
 
@@ -192,22 +213,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(parse, "record_id string, type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to_id string")
+    return _files(spark, path).select("content").mapInArrow(parse, READ)
 
 
 def archived(pages: DataFrame, version: int = 1) -> DataFrame:
     """ARC written, converted to WARC with revisits, and the WARC files' records read back."""
     spark = pages.sparkSession
     arc, warc = table_path(spark, "arc"), table_path(spark, "warc")
-    write_arc(pages, arc, version)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(arc)
-    found = convert_arc(files, payloads=False).filter(f"type = 'response' and payload_bytes >= {LEAST_REVISIT}").select("payload_digest", "page_id", "record_id")
+    folders = write_arc(pages, arc, version)
+    if not folders:
+        return spark.createDataFrame([], READ)
+    found = convert_arc(_files(spark, arc), payloads=False).filter(f"type = 'response' and payload_bytes >= {LEAST_REVISIT}").select("payload_digest", "page_id", "record_id")
     # Who revisits whom is settled on narrow rows; payloads then move by their own record, never by a digest that many share.
     found = written(found, "digests")
     firsts = found.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first")).filter("n > 1").select("payload_digest", F.col("first.record_id").alias("first_id"), "n")
     revisits = written(join_hot(found, written(firsts, "firsts"), ["payload_digest"], found.count()).filter("first_id <> record_id").select("record_id", "first_id"), "revisits")
-    write_warc(convert_arc(files), revisits, warc)
+    for folder, per_file in folders:
+        write_warc(convert_arc(_files(spark, folder)), revisits, f"{warc}/{folder.rsplit('/', 1)[-1]}", per_file)
     return read_warc(spark, warc)
 
 
