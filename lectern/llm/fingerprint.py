@@ -112,21 +112,17 @@ def following(keys: DataFrame, bits: int = 10, most: int = 1 << 16) -> DataFrame
 def with_next(docs: DataFrame, bits: int = 10) -> DataFrame:
     """``docs`` (doc_id, text) with next_text: of the row after it by doc_id (equal ids: by text), after the last that of the first.
 
-    Ids are dealt into ranges of 2**bits; a window serves each range, and the last row of a range takes
-    the first of the next range in use from a table of one row a range.
+    Ids are dealt into ranges of 2**bits, and rows without one, which come first, into as many by their text's hash; a window serves each range,
+    and the last row of a range takes the first of the next range in use from a table of one row a range. Texts are dealt once and not written.
     """
-    part = F.shiftright(F.coalesce("doc_id", F.lit(-(1 << 62))), bits)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    dealt = docs.withColumn("_part", part)
-    inside = W.Window.partitionBy("_part").orderBy(*order)
-    led = dealt.withColumn("_n", F.row_number().over(inside)).withColumn("next_text", F.lead("text").over(inside))
-    led = written(led, "next-text")
-    heads = led.filter("_n = 1").select("_part", F.col("text").alias("_head"))
+    nameless = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    dealt = docs.withColumn("_part", F.coalesce(F.shiftright("doc_id", bits), nameless))
+    heads = written(dealt.groupBy("_part").agg(F.min(F.struct("doc_id", "text"))["text"].alias("_head")), "heads")
     links = following(heads.select(F.col("_part").alias("part"))).select(F.col("part").alias("_part"), F.col("next").alias("_next"))
     after = links.join(heads.withColumnRenamed("_part", "_next"), "_next").select("_part", "_head")
-    done = led.filter("next_text is not null").select("doc_id", "text", "next_text")
-    ends = led.filter("next_text is null").join(after, "_part").select("doc_id", "text", F.col("_head").alias("next_text"))
-    return done.union(ends)
+    inside = W.Window.partitionBy("_part").orderBy(F.col("doc_id").asc_nulls_first(), F.col("text"))
+    led = dealt.withColumn("_lead", F.lead("text").over(inside))
+    return led.join(after, "_part").select("doc_id", "text", F.coalesce("_lead", "_head").alias("next_text"))
 
 
 def edited(text: Column, next_text: Column) -> Column:

@@ -279,6 +279,32 @@ def test_archives_round_trip(spark, edge, version):
     assert got[2].type == "revisit" and got[2].refers_to_id == got[1].record_id and all(r.date == "2024-01-01T00:00:00Z" for r in got.values())
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Pages of each size share files up to a bound; a larger one has a file of its own; all are read back."""
+    sizes = ((100, 8), (1000, 3), (None, 1))
+    pages = [(k, f"http://a/{k}", "x" * n) for k, n in enumerate([10] * 20 + [500] * 7 + [5000] * 3 + [0])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    folders = archive.write_arc(df, str(tmp_path / "arc"), sizes=sizes)
+    assert [n for _, n in folders] == [8, 3, 1]
+    for path, n in folders:
+        for f in Path(path).glob("*.txt*"):
+            assert len(list(archive.arc_records(f.read_bytes()))) - 1 <= n
+    assert sorted(r.page_id for r in archive.convert_arc(archive._files(spark, str(tmp_path / "arc"))).filter("type = 'response'").collect()) == list(range(31))
+
+
+def test_next_texts_of_rows_without_an_id(spark):
+    """Every text is the next of one other, ids in order; rows without one are dealt over many ranges and come first."""
+    rows = [(None, f"nameless {k}") for k in range(300)] + [(k * 700, f"named {k}") for k in range(50)]
+    got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    after = {r.text: r.next_text for r in got}
+    assert len(got) == 350 and set(after) == set(after.values()) and all(after[f"named {k}"] == f"named {k + 1}" for k in range(49))
+    at, seen = after["named 49"], []
+    while at != "named 0":
+        seen.append(at)
+        at = after[at]
+    assert len(seen) == 300
+
+
 def test_arc_garbage_and_cut_files():
     record = b"http://x/a b 1.2.3.4 20240203 text/html 5\nhello\n"
     head = b"filedesc://f 0.0.0.0 20240101 text/plain 20\n1 0 t\nURL IP-addres\n\n"
