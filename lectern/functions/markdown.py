@@ -100,3 +100,95 @@ def blocks(c: Column) -> Column:
 
     lines = _bound(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n"), lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(ls, i + 1).rlike(TABLE_RULE), F.lit(False)).alias("rule_next"))))
     return F.aggregate(lines, start, step, flushed)
+
+
+#: The sections of a note that are kept, in their order, and how their headings may be written.
+SECTIONS = ("What it is", "Key facts", "The provisions that get asked", "Easily confused with", "Andhra Pradesh")
+SECTION_NAMES = {
+    "what it is": "What it is", "key facts": "Key facts", "the provisions that get asked": "The provisions that get asked", "provisions that get asked": "The provisions that get asked", "provisions": "The provisions that get asked",
+    "easily confused with": "Easily confused with", "andhra pradesh": "Andhra Pradesh", "andhra pradesh angle": "Andhra Pradesh",
+}
+_SECTION = "struct<title: string, type: string, items: array<string>, header: array<string>, rows: array<array<string>>>"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def sections(c: Column) -> Column:
+    """The known sections of a note, in their order: title, type (p, list or table), items, header, rows.
+
+    A section with a table is that table, and the paragraphs beside it are its items; one of several lines that are all bullets is a list; all others
+    are paragraphs. Headings that say the same are one section: the first gives its type, later ones add items.
+    """
+    names = F.create_map(*[F.lit(x) for pair in SECTION_NAMES.items() for x in pair])
+
+    def section(part: Column) -> Column:
+        heading, body = _trimmed(F.substring_index(part, "\n", 1)), _trimmed(F.when(F.contains(part, F.lit("\n")), F.regexp_replace(part, r"^[^\n]*\n", "")).otherwise(""))
+        lines = F.filter(F.transform(F.split(body, r"\n+"), _trimmed), lambda x: x != "")
+        paragraphs = F.filter(F.transform(F.split(body, r"\n{2,}"), lambda x: _trimmed(F.regexp_replace(x, r"\s*\n\s*", " "))), lambda x: x != "")
+        bullets = (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^[-•*]\s"))
+
+        def told(bs: Column) -> Column:
+            table = F.get(F.filter(bs, lambda b: b["type"] == "table"), F.lit(0))
+            texts = F.transform(F.filter(bs, lambda b: b["type"] == "p"), lambda b: b["text"])
+            kind = F.when(table.isNotNull(), "table").when(bullets, "list").otherwise("p")
+            items = F.when(table.isNotNull(), texts).when(bullets, F.transform(lines, lambda x: F.regexp_replace(x, r"^[-•*]\s*", ""))).otherwise(paragraphs)
+            return F.struct(names[F.lower(heading)].alias("title"), kind.alias("type"), items.alias("items"), table["header"].alias("header"), table["rows"].alias("rows"))
+
+        return F.when(body != "", _bound(blocks(body), told))
+
+    def merged(parts: Column) -> Column:
+        known = F.filter(parts, lambda s: s.isNotNull() & s["title"].isNotNull())
+
+        def of(title: Column) -> Column:
+            same = F.filter(known, lambda s: s["title"] == title)
+            first = F.get(same, F.lit(0))
+            return F.when(first.isNotNull(), F.struct(title.alias("title"), first["type"].alias("type"), F.flatten(F.transform(same, lambda s: s["items"])).alias("items"), first["header"].alias("header"), first["rows"].alias("rows")))
+
+        return F.filter(F.transform(F.array(*[F.lit(t) for t in SECTIONS]), of), lambda s: s.isNotNull()).cast(f"array<{_SECTION}>")
+
+    text = _trimmed(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n")))
+    parts = F.filter(F.split(text, r"(?m)^##[ \t]+"), lambda p: _trimmed(p) != "")
+    return _bound(F.transform(parts, section), merged)
+
+
+def _bare(c: Column) -> Column:
+    return _trimmed(F.replace(F.coalesce(c, F.lit("")), F.lit("**"), F.lit("")))
+
+
+def _cut(c: Column, most: int = 40) -> Column:
+    """The first words, and a mark where more followed."""
+    return F.when(F.size(F.split(c, r"\s+")) <= most, c).otherwise(F.concat(F.array_join(F.slice(F.split(c, r"\s+"), 1, most), " "), F.lit("…")))
+
+
+#: The longest value, pair, hook and shortest hook in characters; where no more pairs are taken.
+VALUE, PAIR, LINE, HOOK, LEAST_HOOK, PAIRS = 40, 52, 92, 128, 12, 3
+_TAIL = r"(?i)\s+(?:and|or|of|to|for|in|on|at|as|by|over|under|with|from|the|a|an)\s*$"
+
+
+def hook(facts: Column) -> Column:
+    """A line of short pairs out of ``facts`` ("name — value"), none twice: at most PAIRS, and none after the line is LINE long; empty if it is too short to tell anything."""
+
+    def pair(f: Column) -> Column:
+        shape = r"^(.{3,80}?)\s+—\s+(.+)$"
+        key = _trimmed(F.regexp_replace(_bare(F.regexp_extract(f, shape, 1)), r"\s*\(.*?\)\s*", " "))
+        value = _bare(F.regexp_extract(f, shape, 2))
+        short = _trimmed(F.regexp_replace(F.array_join(F.slice(F.split(key, r"\s+"), 1, 4), " "), _TAIL, ""))
+        piece = F.when(F.lower(short) == F.lower(value), value).otherwise(F.concat(short, F.lit(" = "), value))
+        return F.when(f.rlike(shape) & (value != "") & (F.length(value) <= VALUE) & (short != "") & (F.length(piece) <= PAIR), piece)
+
+    def step(taken: Column, piece: Column) -> Column:
+        full = (F.length(F.array_join(taken, " · ")) > LINE) | (F.size(taken) >= PAIRS)
+        return F.when(piece.isNull() | full | F.exists(taken, lambda t: F.lower(t) == F.lower(piece)), taken).otherwise(F.concat(taken, F.array(piece)))
+
+    line = F.aggregate(F.transform(facts, pair), F.array().cast("array<string>"), step, lambda t: F.array_join(t, " · "))
+    return _bound(line, lambda x: F.when(F.length(x) >= LEAST_HOOK, F.substring(x, 1, HOOK)).otherwise(""))
+
+
+def recap(paragraphs: Column, facts: Column, link: Column) -> Column:
+    """Three short lines: the first sentence, the first three facts, what it is linked with; null unless there are all three."""
+    first = F.regexp_extract(_bare(F.get(paragraphs, F.lit(0))), r"(?s)^(.*?\.)(?=\s)", 1)
+    sentence = F.when(first != "", first).otherwise(_bare(F.get(paragraphs, F.lit(0))))
+    lines = F.array(_cut(sentence), _cut(F.array_join(F.transform(F.slice(facts, 1, 3), _bare), "; ")), _cut(_bare(link)))
+    return F.when(~F.exists(lines, lambda x: x == ""), lines)

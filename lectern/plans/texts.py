@@ -580,3 +580,23 @@ def angle_lists(spark, sf):
     end = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(", ["), F.col("p_size").cast("string"), F.lit(", c"))).otherwise(",, d")
     text = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(", "), "p_type", F.lit(" [a, b]), "), "p_name", F.lit(")"), end)
     return p.select(F.col("p_partkey").alias("unit"), F.array_join(MD.split_angles(text), "|").alias("angles"))
+
+
+@query("compendium_topics", """
+WITH {items}, i AS (SELECT item_id, score, item_id % 977 AS n FROM items WHERE status = 'published')
+SELECT item_id, 'What it is' || CASE WHEN score % 2 = 0 THEN '|Key facts' ELSE '' END || CASE WHEN score % 3 = 0 THEN '|The provisions that get asked' ELSE '' END AS titles,
+  'p' || CASE WHEN score % 2 = 0 THEN '|table' ELSE '' END || CASE WHEN score % 3 = 0 THEN CASE WHEN score % 9 = 0 THEN '|p' ELSE '|list' END ELSE '' END AS types,
+  'It is unit ' || n || '. So it goes.|More of it.' || CASE WHEN score % 2 = 0 THEN '|beside ' || n ELSE '' END || CASE WHEN score % 9 = 0 THEN '|* only' WHEN score % 3 = 0 THEN '|x ' || n || '|y' ELSE '' END AS items,
+  CASE WHEN score % 2 = 0 THEN 'a:' || n || ' · z' ELSE '' END AS cells, CASE WHEN score % 5 = 0 THEN '' ELSE 'Outlay = Rs ' || n || ' crore' END AS hook,
+  CASE WHEN score % 7 = 0 THEN '' ELSE 'It is unit ' || n || '.|' || CASE WHEN score % 5 = 0 THEN 'short — 1' ELSE 'Outlay (new) — Rs ' || n || ' crore; nothing' END || '|Art. ' || n END AS recap FROM i""")
+def compendium_topics(spark, sf):
+    """Topics of the compendium: sections of their notes, a hook and a recap."""
+    s, n = F.col("score"), (F.col("item_id") % 977).cast("string")
+    of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    note = of("lead\n## What it is\nIt is unit ", n, ".\nSo it goes.\n\nMore of it.", F.when(s % 2 == 0, of("\n## key facts\n| k | v | w |\n|---|---|---|\n| a | ", n, " | z |\nbeside ", n)).otherwise(""), F.when(s % 9 == 0, "\n## Provisions\n* only").when(s % 3 == 0, of("\n## Provisions\n- x ", n, "\n- y")).otherwise(""), "\n## Else\nlost")
+    facts = F.when(s % 5 == 0, "short — 1").otherwise(of("**Outlay** (new) — Rs ", n, " crore\n\n nothing "))
+    i = items(spark, sf).filter("status = 'published'").select("item_id", note.alias("note"), facts.alias("facts"), F.when(s % 7 != 0, of("**Art. ", n, "**")).alias("link"))
+    t = sinks.compendium_topics(i)
+    joined = lambda c, f: F.array_join(F.transform(c, f), "|")
+    cells = F.flatten(F.transform("sections", lambda x: F.transform(F.coalesce(x["rows"], F.array().cast("array<array<string>>")), lambda r: F.array_join(r, ":"))))
+    return t.select("item_id", joined("sections", lambda x: x["title"]).alias("titles"), joined("sections", lambda x: x["type"]).alias("types"), joined("sections", lambda x: F.array_join(x["items"], "|")).alias("items"), F.array_join(cells, "|").alias("cells"), "hook", F.coalesce(F.array_join("recap", "|"), F.lit("")).alias("recap"))

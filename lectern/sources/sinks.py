@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lectern.functions.markdown import facts_list, hard_breaks, reheaded, tidy
+from lectern.functions.markdown import facts_list, hard_breaks, hook, recap, reheaded, sections, tidy
 
 
 def markdown_digest(items: DataFrame) -> DataFrame:
     """``items`` (day, bucket, item_id, headline, body) -> day, markdown: front matter, then the buckets with their items in order. A day is one row."""
     entry = F.concat(F.lit("### "), "headline", F.lit("\n\n"), "body", F.lit("\n"))
     by_bucket = items.groupBy("day", "bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", entry.alias("e")))), lambda x: x["e"]), "\n").alias("t"), F.count("*").alias("n"))
-    sections = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "t"))), lambda x: F.concat(F.lit("## "), x["bucket"], F.lit("\n\n"), x["t"])), "\n")
-    return by_bucket.groupBy("day").agg(sections.alias("s"), F.sum("n").alias("n")).select("day", F.concat(F.lit("---\ndate: "), F.col("day").cast("string"), F.lit("\nitems: "), F.col("n").cast("string"), F.lit("\n---\n\n"), "s").alias("markdown"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "t"))), lambda x: F.concat(F.lit("## "), x["bucket"], F.lit("\n\n"), x["t"])), "\n")
+    return by_bucket.groupBy("day").agg(parts.alias("s"), F.sum("n").alias("n")).select("day", F.concat(F.lit("---\ndate: "), F.col("day").cast("string"), F.lit("\nitems: "), F.col("n").cast("string"), F.lit("\n---\n\n"), "s").alias("markdown"))
 
 
 #: How formats are named beside a question.
@@ -68,8 +68,16 @@ def compendium(items: DataFrame, questions: DataFrame) -> DataFrame:
     numbered = items.withColumn("n", F.row_number().over(W.Window.partitionBy("day").orderBy("section", "item_id")))
     asked = questions.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("q", "stem", "answer"))).alias("questions"))
     topics = numbered.join(asked, "item_id", "left").select("day", "section", F.struct("n", "title", F.coalesce("questions", F.array().cast("array<struct<q:int,stem:string,answer:string>>")).alias("questions")).alias("topic"))
-    sections = topics.groupBy("day", "section").agg(F.array_sort(F.collect_list("topic")).alias("topics"))
-    return sections.groupBy("day").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("section", "topics"))).alias("sections"))).alias("document"))
+    by_section = topics.groupBy("day", "section").agg(F.array_sort(F.collect_list("topic")).alias("topics"))
+    return by_section.groupBy("day").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("section", "topics"))).alias("sections"))).alias("document"))
+
+
+def compendium_topics(items: DataFrame) -> DataFrame:
+    """``items`` (with note, facts: one a line, link) as topics: their sections, facts as a list, a hook and a recap of three lines."""
+    facts = F.filter(F.transform(F.split(F.coalesce("facts", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    t = items.withColumn("_facts", facts).withColumn("sections", sections(F.col("note")))
+    paragraphs = F.flatten(F.transform(F.filter("sections", lambda s: s["type"] == "p"), lambda s: s["items"]))
+    return t.withColumn("hook", hook(F.col("_facts"))).withColumn("recap", recap(paragraphs, F.col("_facts"), F.col("link"))).withColumn("facts", F.col("_facts")).drop("_facts", "note", "link")
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:

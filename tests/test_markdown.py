@@ -80,3 +80,44 @@ def test_blocks_against_a_loop(spark):
 
     got = [[tuple(b) for b in r.r] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(M.blocks(F.col("t")).alias("r")).collect()]
     assert got == [loop(t) for t in texts]
+
+
+NOTE = """Lead that has no heading.
+## What it is
+A scheme.
+It began
+in 2019.
+
+It goes on.
+## Andhra Pradesh angle
+- one
+- two
+## Unknown
+lost
+## Key Facts
+| a | b | c |
+|---|---|---|
+| 1 | 2 | 3 |
+After it.
+## provisions
+
+## what it is
+Once more.
+## Easily confused with
+* only one"""
+
+
+def test_sections_of_a_note(spark):
+    got = [(s.title, s.type, s["items"], s.header, s.rows) for s in _one(spark, M.sections, NOTE)]
+    assert got == [
+        ("What it is", "p", ["A scheme. It began in 2019.", "It goes on.", "Once more."], None, None), ("Key facts", "table", ["After it."], ["a", "b · c"], [["1", "2 · 3"]]), ("Easily confused with", "p", ["* only one"], None, None), ("Andhra Pradesh", "list", ["one", "two"], None, None),
+    ]
+    assert _one(spark, M.sections, None) == [] and _one(spark, M.sections, "## Key facts") == []
+
+
+def test_hooks_and_recaps(spark):
+    facts = ["**Total outlay** (revised) — Rs 5 crore", "total outlay — RS 5 CRORE", "Number of the districts of — 26", "no pair", "Year — " + "9" * 41, "Launched — 2019", "A fourth — one"]
+    row = spark.createDataFrame([(facts, ["It is so. And so."], "**Art. 21**"), ([], ["x"], "y"), (["Abc — d"], [], None)], "f array<string>, p array<string>, l string")
+    got = row.select(M.hook(F.col("f")).alias("h"), M.recap(F.col("p"), F.col("f"), F.col("l")).alias("r")).collect()
+    assert [r.h for r in got] == ["Total outlay = Rs 5 crore · Number of the districts = 26 · Launched = 2019", "", ""]
+    assert [r.r for r in got] == [["It is so.", "Total outlay (revised) — Rs 5 crore; total outlay — RS 5 CRORE; Number of the districts of — 26", "Art. 21"], None, None]
