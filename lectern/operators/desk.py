@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -117,31 +118,24 @@ def batched(df: DataFrame, group: str, key: str, size: int = 12, retry: int = 4)
     return df.withColumn("batch", (F.floor(at / size) + 1).cast("int")).withColumn("retry", (F.floor(at / retry) + 1).cast("int"))
 
 
+#: A string, whole or cut off by the end, or a brace outside of strings.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.S)
+
+
 def whole_objects(text: str) -> list[str]:
     """Whole JSON objects at the top level of a list that may be cut off or fenced, each as compact JSON; control characters inside strings are escaped. Broken objects are left out."""
-    found, depth, start, quoted, skip, clean = [], 0, -1, False, False, []
-    body = text[max(text.find("["), 0) :] if "[" in text else ""
-    for ch in body:
-        if quoted and not skip and ch < " ":
-            clean.append(json.dumps(ch)[1:-1])
-            continue
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = ch == "\\", ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            start = len(clean) if depth == 0 else start
+    found, depth, start = [], 0, text.find("[")
+    for token in _TOKEN.finditer(text, start) if start >= 0 else ():
+        if token[0] == "{":
+            start = token.start() if depth == 0 else start
             depth += 1
-        elif ch == "}" and depth:
+        elif token[0] == "}" and depth:
             depth -= 1
             if depth == 0:
                 try:
-                    found.append(json.dumps(json.loads("".join(clean[start:]) + ch), separators=(",", ":"), ensure_ascii=False))
+                    found.append(json.dumps(json.loads(text[start : token.end()], strict=False), separators=(",", ":"), ensure_ascii=False))
                 except ValueError:
                     pass
-        clean.append(ch)
     return found
 
 

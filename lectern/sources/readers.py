@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lectern.functions.lists import BANK_FORMATS
 from lectern.functions.text import entities, html_text, page_headline, url_host
+from lectern.sources.shared import kept
 
 _IN = lambda tag: rf"(?is)<{tag}\b[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>"
 
@@ -24,6 +25,30 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     return out.filter("title <> '' and link is not null and day is not null")
 
 
+#: What is read of an RSS item and of an Atom entry by Spark's XML source; _corrupt holds what could not be.
+RSS = "title string, link string, pubDate string, `dc:date` string, description string, category string, _corrupt string"
+ATOM = "title string, link array<struct<_href: string, _rel: string>>, updated string, published string, summary string, _corrupt string"
+
+
+def feed_files(spark: SparkSession, path: str, row: str = "item") -> tuple[DataFrame, DataFrame]:
+    """The stories of feed files of any size (``row``: item for RSS, entry for Atom) as ``feed_items`` gives them, and the records that are no whole XML.
+
+    The XML source splits files at their rows, so no file is read whole by one task.
+    """
+    # Parsed once: a corrupt record is known only with all of its columns.
+    read = kept(spark.read.format("xml").option("rowTag", row).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(RSS if row == "item" else ATOM).load(path), "feeds")
+    known = read.filter("_corrupt is null")
+    if row == "item":
+        link, when, body, category = F.trim("link"), F.coalesce("pubDate", "`dc:date`"), F.col("description"), F.coalesce("category", F.lit(""))
+    else:
+        own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+        link, when, body, category = F.get(own, F.lit(0))["_href"], F.coalesce("updated", "published"), F.col("summary"), F.lit("")
+    day = F.coalesce(F.to_date(F.nullif(F.regexp_extract(when, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))), F.try_to_date(F.nullif(F.regexp_extract(when, r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1), F.lit("")), "d MMM yyyy"))
+    text = F.trim(entities(F.regexp_replace(F.coalesce(body, F.lit("")), "<[^>]*>", " ")))
+    items = known.select(F.trim(entities(F.coalesce("title", F.lit("")))).alias("title"), F.nullif(link, F.lit("")).alias("link"), day.alias("day"), F.substring(text, 1, 600).alias("summary"), F.trim(entities(category)).alias("category"))
+    return items.filter("title <> '' and link is not null and day is not null"), read.filter("_corrupt is not null").select(F.col("_corrupt").alias("record"))
+
+
 def press_index(pages: DataFrame) -> DataFrame:
     """Links of index ``pages`` (page_id, html) under their ministries: the last <h3> before a link is carried forward."""
     parts = F.regexp_extract_all("html", F.lit(r"(?is)(<h3\b[^>]*>.*?</h3>|<a\b[^>]*>.*?</a>)"), 1)

@@ -360,3 +360,20 @@ def test_seeding_a_vocabulary_again(spark):
     after = vocabulary.applied_aliases(stored["aliases"], changes)
     assert {(r.topic, r.norm) for r in after.collect()} == {("t", "tax"), ("t", "levy"), ("t", "cess"), ("old", "old"), ("u", "union"), ("u", "ఆంధ్ర")}
     assert vocabulary.reseeded(seed, {"topics": seed["topics"], "aliases": after, "links": seed["links"]}).count() == 0
+
+
+def test_feed_files(spark, tmp_path):
+    """Rows of RSS and Atom files by Spark's XML source; a broken row is told apart."""
+    (tmp_path / "rss.xml").write_text("<rss><channel>" + "".join(f"<item><title><![CDATA[A &amp; {k}]]></title><link> http://x/{k} </link><pubDate>Mon, 0{k} Jan 2024 10:00:00 GMT</pubDate><description>&lt;b&gt;s&lt;/b&gt; {k}</description></item>" for k in range(1, 4)) + "<item><title>broken</b></item><item><title>no date</title><link>http://x/9</link></item></channel></rss>")
+    items, broken = readers.feed_files(spark, str(tmp_path / "rss.xml"))
+    assert sorted((r.title, r.link, str(r.day), r.summary) for r in items.collect()) == [(f"A & {k}", f"http://x/{k}", f"2024-01-0{k}", f"s  {k}") for k in range(1, 4)]
+    assert ["broken" in r.record for r in broken.collect()] == [True]
+    (tmp_path / "atom.xml").write_text('<feed><entry><title>C</title><link rel="self" href="http://s"/><link rel="alternate" href="http://x/2"/><updated>2024-05-06T00:00:00Z</updated><summary>t</summary></entry></feed>')
+    items, broken = readers.feed_files(spark, str(tmp_path / "atom.xml"), "entry")
+    assert [(r.title, r.link, str(r.day)) for r in items.collect()] == [("C", "http://x/2", "2024-05-06")] and broken.count() == 0
+
+
+def test_whole_objects_of_cut_replies():
+    got = desk.whole_objects('```json\n[{"a": "x\ny", "b": {"c": "}"}}, {broken}, {"d": "\\"{"}, {"e": 1')
+    assert got == ['{"a":"x\\ny","b":{"c":"}"}}', '{"d":"\\"{"}']
+    assert desk.whole_objects('[{"a": 1}, "cut {') == ['{"a":1}'] and desk.whole_objects("none") == [] and desk.whole_objects('{"a": 1}') == []
