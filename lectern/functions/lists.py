@@ -129,6 +129,11 @@ KEYWORD_STOP = (
     "secretary", "officer", "department", "scheme", "project", "meeting",
 )
 
+# Signs that a claim may be out of date.
+STALE_HINTS = (
+    "three capitals", "three-capital", "not yet in force", "yet to be notified", "yet to be implemented", "awaiting notification", "is expected to", "15th finance commission", "fifteenth finance commission", "2021-26", "census 2021",
+)
+
 # How a question bank names its formats.
 BANK_FORMATS = {
     "direct recall": "direct_recall", "direct recall (multi-select)": "direct_recall", "list-matching": "list_matching", "list matching": "list_matching", "multi-statement correctness": "multi_statement", "multi statement correctness": "multi_statement",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lectern.functions.lists import GENRES, NON_EVENT_GENRES, any_term, edged
+from lectern.functions.lists import GENRES, NON_EVENT_GENRES, OPINION_GENRES, any_term, edged
 from lectern.functions.text import js_round, without_dateline
 
 
@@ -269,3 +269,30 @@ def glyph_reference(glyphs: DataFrame, keys: list[str], least: int = 12, spread:
     return at.filter((F.col("width") > 0) & (F.col("widest") / F.col("width") >= spread)).select(*keys, F.col("width").alias("reference"), "n")
 
 
+
+
+def corrections(items: DataFrame, known: list[tuple[int, str, str]], hints: tuple[str, ...]) -> DataFrame:
+    """``items`` (key, text) -> key, correction, topic, matched, stale, severity: for each of ``known`` (id, topic, terms between commas; a bounded list) of which a term is in the text, the
+    terms found, the ``hints`` that the text may be out of date, and high if there are any."""
+    terms = lambda csv: [t.strip().lower() for t in csv.split(",") if t.strip()]
+    low = F.lower(F.coalesce("text", F.lit("")))
+    table = F.array(*[F.struct(F.lit(k).alias("correction"), F.lit(topic).alias("topic"), F.array(*[F.lit(t) for t in terms(csv)]).cast("array<string>").alias("terms")) for k, topic, csv in known])
+    found = F.transform(table, lambda c: F.struct(c["correction"].alias("correction"), c["topic"].alias("topic"), F.filter(c["terms"], lambda t: low.contains(t)).alias("matched")))
+    stale = F.filter(F.array(*[F.lit(h) for h in hints]), lambda h: low.contains(h))
+    hit = items.select("key", stale.alias("stale"), F.explode(F.filter(found, lambda c: F.size(c["matched"]) > 0)).alias("c"))
+    return hit.select("key", "c.correction", "c.topic", "c.matched", "stale", F.when(F.size("stale") > 0, "high").otherwise("low").alias("severity"))
+
+
+def missing_citations(items: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """item_id, publisher, citation of kept ``items`` (item_id, status) that came from ``articles`` (item_id, publication, edition, date, page) and have none of ``sources`` (item_id)."""
+    parts = F.array_compact(F.array(*[F.nullif(F.col(c), F.lit("")) for c in ("publication", "edition", "date")], F.when(F.col("page") > 0, F.concat(F.lit("p"), F.col("page").cast("string")))))
+    kept = items.filter("status <> 'discarded'").select("item_id").join(articles, "item_id").join(sources.select("item_id"), "item_id", "left_anti")
+    return kept.select("item_id", F.col("publication").alias("publisher"), F.array_join(parts, ", ").alias("citation"))
+
+
+def source_stamps(items: DataFrame, articles: DataFrame) -> DataFrame:
+    """item_id, source_genre, source_author, opinion of kept ``items`` that came from ``articles`` (item_id, genre, byline, bylines between bars, publication): an editorial is the paper's own, other pieces have their authors."""
+    genre = F.coalesce(F.nullif(F.col("genre"), F.lit("")), F.lit("report"))
+    names = F.filter(F.transform(F.split(F.coalesce(F.nullif(F.col("bylines"), F.lit("")), F.col("byline"), F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    author = F.when(genre == "editorial", F.concat("publication", F.lit(" (editorial)"))).otherwise(F.array_join(names, ", "))
+    return items.filter("status <> 'discarded'").select("item_id").join(articles, "item_id").select("item_id", genre.alias("source_genre"), author.alias("source_author"), genre.isin(*OPINION_GENRES).alias("opinion"))

@@ -7,14 +7,15 @@ from pyspark.sql import window as W
 
 from lectern.functions import lists as L
 from lectern.functions import text as X
+from lectern.operators import desk as D
 from lectern.operators import quality as Q
 from lectern.operators import reads as V
 from lectern.operators import relational as R
 from lectern.operators.matching import expanded
-from lectern.operators.schedule import required_seconds
+from lectern.operators.schedule import reading_minutes, required_seconds
 from lectern.operators.vocabulary import reseeded
 from lectern.plans.reads import reading_order
-from lectern.plans.roles import answers, articles, attempts, day_text, opened, query, reviewed, shown, table
+from lectern.plans.roles import answers, articles, attempts, day_text, items, opened, query, reviewed, shown, table
 from lectern.sources import readers
 
 
@@ -212,3 +213,68 @@ def vocabulary_changes(spark, sf):
     ln = s.select(F.col("s_nationkey").alias("a"), (F.col("s_suppkey") % 40).alias("b"))
     stored = {"topics": n.filter("n_nationkey % 3 <> 0").select(key.alias("topic"), F.col("n_name").alias("name")), "aliases": oa, "links": ln.filter((F.col("a") + F.col("b")) % 2 == 0)}
     return reseeded({"topics": st, "aliases": sa, "links": ln}, stored)
+
+
+_HINTS = (*L.STALE_HINTS, "thethe", "ouered")
+_CORRECTIONS = ((1, "joins", "tionth, OUER,"), (2, "ends", "eaux"), (3, "marks", "@ , http"), (4, "none", " , "))
+
+
+@query("corrections_found", f"""
+WITH c AS (SELECT * FROM (VALUES (1, 'joins', ['tionth', 'ouer']), (2, 'ends', ['eaux']), (3, 'marks', ['@', 'http'])) v(correction, topic, terms)), d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)
+SELECT doc_id, correction, topic, array_to_string(list_filter(terms, lambda t: contains(low, t)), '|') AS matched, array_to_string(list_filter([{", ".join(f"'{h}'" for h in _HINTS)}], lambda h: contains(low, h)), '|') AS stale,
+  CASE WHEN len(list_filter([{", ".join(f"'{h}'" for h in _HINTS)}], lambda h: contains(low, h))) > 0 THEN 'high' ELSE 'low' END AS severity FROM d CROSS JOIN c WHERE len(list_filter(terms, lambda t: contains(low, t))) > 0""")
+def corrections_found(spark, sf):
+    """Corrections that articles touch, what in them does, and whether they may be out of date (two signs of the test's own prose are added)."""
+    hits = D.corrections(articles(spark, sf).select(F.col("doc_id").alias("key"), "text"), list(_CORRECTIONS), _HINTS)
+    return hits.select(F.col("key").alias("doc_id"), "correction", "topic", F.array_join("matched", "|").alias("matched"), F.array_join("stale", "|").alias("stale"), "severity")
+
+
+_SOURCED = """src AS (SELECT o_orderkey AS item_id, ['The Paper', 'A Daily', ''][(o_custkey % 3 + 1)::INT] AS publication, ['North', ''][(o_custkey % 2 + 1)::INT] AS edition, strftime(o_orderdate::DATE, '%Y-%m-%d') AS date, (o_custkey % 4)::INT AS page,
+  ['report', 'editorial', 'oped', 'column', ''][(o_custkey % 5 + 1)::INT] AS genre, 'Writer ' || o_custkey AS byline, CASE WHEN o_custkey % 7 = 0 THEN ' A One |B Two||' ELSE '' END AS bylines FROM orders WHERE o_custkey % 2 = 0 OR o_custkey % 3 = 0)"""
+
+
+def _sourced(spark, sf):
+    k = F.col("o_custkey")
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (k % len(xs)).cast("int"))
+    return table(spark, sf, "orders").filter((k % 2 == 0) | (k % 3 == 0)).select(
+        F.col("o_orderkey").alias("item_id"), pick(("The Paper", "A Daily", "")).alias("publication"), pick(("North", "")).alias("edition"), day_text(F.to_date("o_orderdate")).alias("date"), (k % 4).cast("int").alias("page"),
+        pick(("report", "editorial", "oped", "column", "")).alias("genre"), F.concat(F.lit("Writer "), k.cast("string")).alias("byline"), F.when(k % 7 == 0, " A One |B Two||").otherwise("").alias("bylines"),
+    )
+
+
+@query("citations_missing", f"""
+WITH {{items}}, {_SOURCED}, cited AS (SELECT DISTINCT l_orderkey AS item_id FROM lineitem WHERE l_quantity > 40)
+SELECT item_id, publication AS publisher, concat_ws(', ', nullif(publication, ''), nullif(edition, ''), date, CASE WHEN page > 0 THEN 'p' || page END) AS citation FROM items JOIN src USING (item_id) WHERE status <> 'discarded' AND item_id NOT IN (SELECT item_id FROM cited)""")
+def citations_missing(spark, sf):
+    """Citations of items that came from a printed article and name no source."""
+    cited = table(spark, sf, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("item_id"))
+    return D.missing_citations(items(spark, sf), _sourced(spark, sf).select("item_id", "publication", "edition", "date", "page"), cited)
+
+
+@query("source_stamps", f"""
+WITH {{items}}, {_SOURCED} SELECT item_id, CASE WHEN genre = '' THEN 'report' ELSE genre END AS source_genre, CASE WHEN genre = 'editorial' THEN publication || ' (editorial)' WHEN bylines <> '' THEN 'A One, B Two' ELSE byline END AS source_author, genre IN ('editorial', 'oped', 'column', 'interview') AS opinion FROM items JOIN src USING (item_id) WHERE status <> 'discarded'""")
+def source_stamps(spark, sf):
+    """What kind of piece items came from, and whose."""
+    return D.source_stamps(items(spark, sf), _sourced(spark, sf).select("item_id", "genre", "byline", "bylines", "publication"))
+
+
+@query("reading_surfaces", """
+WITH {items}, w AS (SELECT i.day, i.score, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')) AS n, len(regexp_extract_all(split_part(coalesce(text, ''), chr(10), 1), '[^ \t\n\r\f\v]+')) AS h FROM items i LEFT JOIN documents ON doc_id = item_id WHERE status = 'published'),
+s AS (SELECT day, sum(n + h + 2 + CASE WHEN score % 3 = 1 THEN h ELSE 0 END) AS f, sum(n + h) AS l, sum(greatest(n, 1)) AS c FROM w GROUP BY day)
+SELECT strftime(day, '%Y-%m-%d') AS day, greatest(1, floor(f / 220::DOUBLE + 0.5))::BIGINT AS file, greatest(1, floor(l / 200::DOUBLE + 0.5))::BIGINT AS list, greatest(5, floor(c / 180::DOUBLE + 0.5))::BIGINT AS compendium FROM s""")
+def reading_surfaces(spark, sf):
+    """The minutes of a day's reading as each surface states them."""
+    t = articles(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("text").alias("notes"), F.col("headline").alias("facts"), F.col("headline").alias("background"))
+    i = items(spark, sf).filter("status = 'published'").join(t, "item_id", "left").select(day_text(F.col("day")).alias("day"), "notes", "facts", "background", F.lit("Art. 21").alias("link"), (F.col("score") % 3).alias("importance"))
+    return reading_minutes(i, "day")
+
+
+@query("resume_states", """
+WITH l AS (SELECT event_id AS line_no, event_type AS k, value, event_id % 11 = 0 AS cut FROM events)
+SELECT k AS key, max(line_no) AS line_no FROM l WHERE NOT cut GROUP BY k""")
+def resume_states(spark, sf):
+    """The last whole line of each key of a log; every eleventh line was cut off."""
+    e = table(spark, sf, "events")
+    line = F.to_json(F.struct(F.col("event_type").alias("key"), F.col("event_id").alias("n")))
+    lines = e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 11 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    return readers.resume_state(lines).select("key", F.get_json_object("state", "$.n").cast("long").alias("line_no"))

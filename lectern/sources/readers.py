@@ -138,6 +138,18 @@ def resumed(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.max(F.struct("line_no", "state"))["state"].alias("state"))
 
 
+def resume_state(lines: DataFrame) -> DataFrame:
+    """key and state (the whole row) of the last row of each key of a log of JSON lines (line_no, value); a line that was cut off is none."""
+    key = F.get_json_object("value", "$.key")
+    whole = lines.filter(F.from_json("value", "map<string, string>", {"mode": "PERMISSIVE"}).isNotNull() & key.isNotNull())
+    return resumed(whole.select(key.alias("key"), "line_no", F.col("value").alias("state")))
+
+
+def candidates(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of files that hold a JSON array each; a file that is none fails."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
+
+
 def new_uploads(files: DataFrame, known: DataFrame) -> DataFrame:
     """PDF ``files`` (publication, day, content) not yet in ``known`` (publication, day, file_hash), once each."""
     f = files.filter(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("publication", "day", F.sha2("content", 256).alias("file_hash")).distinct()
