@@ -27,12 +27,15 @@ from pyspark.sql import window as W
 from lectern.llm.common import removed, written
 
 K, EVERY = 5, 100
-PASS_BYTES = 4 << 20
+PASS_BYTES = 16 << 20
 #: Components allowed: sums of 512 products of such still fit a long.
 LIMIT = 1 << 27
 #: Rows and anchors of one matrix product, and the share of pairs below which pairs are multiplied one by one.
 ROWS, ANCHORS, SPARSE = 4096, 256, 0.05
-NONE = np.iinfo(np.int64).min
+#: The last planes, in which a block's own bounds are looked at.
+LATE = 5
+#: No score: less than any, with room for what is added to it.
+NONE = -(1 << 62)
 
 
 def vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -61,18 +64,22 @@ class Best:
         return self.score[:, -1]
 
     def add(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Only the lists that get something are put in order again, so a call costs what it brings, however many lists there are."""
         if not len(at):
             return
-        some, place = np.nonzero(self.score != NONE)
-        at, score, ids = np.r_[some, at], np.r_[self.score[some, place], score], np.r_[self.ids[some, place], ids]
+        lists, at = np.unique(at, return_inverse=True)
+        old, known = self.score[lists], self.ids[lists]
+        some, place = np.nonzero(old != NONE)
+        at, score, ids = np.r_[some, at], np.r_[old[some, place], score], np.r_[known[some, place], ids]
         order = np.lexsort((ids, -score, at))
         at, score, ids = at[order], score[order], ids[order]
         new = np.r_[True, (at[1:] != at[:-1]) | (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])]
         at, score, ids = at[new], score[new], ids[new]
         place = np.arange(len(at)) - np.searchsorted(at, at)
         keep = place < self.k
-        self.score.fill(NONE)
-        self.score[at[keep], place[keep]], self.ids[at[keep], place[keep]] = score[keep], ids[keep]
+        old.fill(NONE)
+        old[at[keep], place[keep]], known[at[keep], place[keep]] = score[keep], ids[keep]
+        self.score[lists], self.ids[lists] = old, known
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, place = np.nonzero(self.score != NONE)
@@ -92,23 +99,24 @@ def sliced(x: np.ndarray, q: np.ndarray, allowed: np.ndarray, least: np.ndarray,
     """
     slices, bits = planes(x)
     up, down = np.maximum(q, 0).sum(1), np.minimum(q, 0).sum(1)
-    # Products of a plane are exact in single precision for small anchors, in double for larger ones; else in integers.
-    reach = int(np.abs(q).sum(1).max(initial=0))
+    # All sums are exact in single precision for small components, in double for larger ones; else in integers.
+    reach = int(np.abs(q).sum(1).max(initial=0)) << (bits + 1)
     kind = np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64
-    right, least, score = q.astype(kind).T, least.copy(), np.zeros((len(x), len(q)), np.int64)
+    whole = (lambda v: v) if kind is np.int64 else (lambda v: np.rint(v).astype(np.int64))
+    right, least, score = q.astype(kind).T, least.copy(), np.zeros((len(x), len(q)), kind)
     pairs = None
     for step, (weight, plane) in enumerate(slices):
         left = (1 << (bits - step)) - 1
         if pairs is None:
-            score += weight * np.rint(plane.astype(kind) @ right).astype(np.int64) if kind is not np.int64 else weight * (plane.astype(kind) @ right)
-            low, high = score + left * down, score + left * up
-            if k and len(x) >= k and step:
-                sure = np.where(allowed, low, NONE)
-                least = np.maximum(least, np.partition(sure, len(x) - k, axis=0)[len(x) - k])
-            allowed &= (high >= least) & (low <= most)
+            score += kind(weight) * (plane.astype(kind) @ right)
+            # Bounds of the block's own rows tell most where nothing is known yet, and little while intervals are wide.
+            if k and len(x) >= k and len(slices) - step <= LATE and (least == NONE).mean() > 0.5:
+                low = np.where(allowed, score + (left * down).astype(kind), kind(NONE))
+                least = np.maximum(least, whole(np.partition(low, len(x) - k, axis=0)[len(x) - k]))
+            allowed &= (score >= (least - left * up).astype(kind)) & (score <= (most - left * down).astype(kind))
             if allowed.sum() <= sparse * allowed.size:
                 pairs = np.nonzero(allowed)
-                score = score[pairs]
+                score = whole(score[pairs])
         else:
             r, a = pairs
             score = score + weight * (np.where(plane[r], q[a], 0).sum(1))
@@ -116,7 +124,7 @@ def sliced(x: np.ndarray, q: np.ndarray, allowed: np.ndarray, least: np.ndarray,
             pairs, score = (r[keep], a[keep]), score[keep]
     if pairs is None:
         pairs = np.nonzero(allowed)
-        score = score[pairs]
+        score = whole(score[pairs])
     return *pairs, score
 
 
@@ -174,7 +182,7 @@ def positives(rows: DataFrame, sets: dict[int, Anchors], k: int = K) -> DataFram
         for some, part, ids, labels, x in _blocks(batches, sets):
             top = best[x.shape[1]]
             allowed = (labels[:, None] == some.labels[part]) & (ids[:, None] != some.ids[part])
-            wide = np.full(part.stop - part.start, np.iinfo(np.int64).max)
+            wide = np.full(part.stop - part.start, -NONE)
             r, a, score = sliced(x, some.q[part], allowed, top.floor()[part], wide, k if len(np.unique(ids)) == len(ids) else 0)
             top.add(a + part.start, score, ids[r])
         for n, top in best.items():
@@ -191,7 +199,7 @@ def negatives(rows: DataFrame, sets: dict[int, Anchors], goals: dict[int, np.nda
         best = {n: Best(goals[n].size, k) for n in sets}
         # low * p <= 100 * score <= high * p in integers; a place without a positive, or with one below 0, takes none.
         real = {n: (g != NONE) & (g >= 0) for n, g in goals.items()}
-        floors = {n: np.where(real[n], -(-low * np.where(real[n], g, 0) // 100), np.iinfo(np.int64).max) for n, g in goals.items()}
+        floors = {n: np.where(real[n], -(-low * np.where(real[n], g, 0) // 100), -NONE) for n, g in goals.items()}
         tops = {n: np.where(real[n], high * np.where(real[n], g, 0) // 100, NONE) for n, g in goals.items()}
         for some, part, ids, labels, x in _blocks(batches, sets):
             n, m = x.shape[1], goals[x.shape[1]].shape[1]
