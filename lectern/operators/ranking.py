@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lectern.functions.text import js_round
+from lectern.sources.shared import kept
 
 
 def seeded_order(seed: str, *columns: str) -> Column:
@@ -77,3 +78,15 @@ def vote(df: DataFrame, key: str, choice: str, weight: str, order: str, default:
     sums = df.groupBy(key, choice, order).agg(F.sum(F.when(F.col(choice).isNotNull(), F.col(weight))).alias("w"))
     best = sums.groupBy(key).agg(F.max(F.when(F.col(choice).isNotNull(), F.struct("w", (-F.col(order)).alias("o"), choice))).alias("b"))
     return best.select(key, F.coalesce(f"b.{choice}", F.lit(default)).alias(choice), F.coalesce("b.w", F.lit(0)).alias("weight"))
+
+
+def positions(df: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
+    """``df`` with each row's place from 1 in the ``order`` of all rows, for tables of any size.
+
+    Rows are dealt by ranges of the order, each range is numbered by itself, and the rows of the ranges before it (a number a range, which is all that meets in one place) are added.
+    """
+    ranges = kept(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.sum("_n").over(W.Window.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1))
+    offsets = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_k", inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_k") + F.col("_before")).drop("_range", "_k", "_before")

@@ -355,11 +355,11 @@ def pacing_plan(spark, sf):
 SELECT 'unit' AS kind, row_number() OVER (ORDER BY p_brand, p_partkey)::INT AS ord, p_partkey::VARCHAR AS key, p_name AS label FROM part
 UNION ALL SELECT 'topic', row_number() OVER (ORDER BY n_name)::INT, n_nationkey::VARCHAR, n_name FROM nation UNION ALL SELECT 'area', row_number() OVER (ORDER BY r_name)::INT, r_regionkey::VARCHAR, r_name FROM region""")
 def vocabulary_dump(spark, sf):
-    """The reference vocabularies, each in its own order. They are lists that a reader's screen holds, so one window a list is no burden."""
+    """The reference vocabularies, each in its own order."""
     lists = (("unit", table(spark, sf, "part"), ["p_brand", "p_partkey"], "p_partkey", "p_name"), ("topic", table(spark, sf, "nation"), ["n_name"], "n_nationkey", "n_name"), ("area", table(spark, sf, "region"), ["r_name"], "r_regionkey", "r_name"))
     out = None
     for kind, df, order, key, label in lists:
-        one = df.select(F.lit(kind).alias("kind"), F.row_number().over(W.Window.partitionBy(F.lit(kind)).orderBy(*order)).alias("ord"), F.col(key).cast("string").alias("key"), F.col(label).alias("label"))
+        one = K.positions(df, order).select(F.lit(kind).alias("kind"), F.col("ord").cast("int").alias("ord"), F.col(key).cast("string").alias("key"), F.col(label).alias("label"))
         out = one if out is None else out.union(one)
     return out
 

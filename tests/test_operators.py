@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import aliases, dedup, desk, genre, layout, matching, quality, reads, relational, schedule, segmentation, vocabulary
+from lectern.operators import aliases, dedup, desk, genre, layout, quality, ranking, reads, relational, schedule, segmentation, vocabulary
 from lectern.sources import readers
 
 
@@ -377,3 +377,10 @@ def test_whole_objects_of_cut_replies():
     got = desk.whole_objects('```json\n[{"a": "x\ny", "b": {"c": "}"}}, {broken}, {"d": "\\"{"}, {"e": 1')
     assert got == ['{"a":"x\\ny","b":{"c":"}"}}', '{"d":"\\"{"}']
     assert desk.whole_objects('[{"a": 1}, "cut {') == ['{"a":1}'] and desk.whole_objects("none") == [] and desk.whole_objects('{"a": 1}') == []
+
+
+def test_positions_over_many_ranges(spark):
+    rows = [(k * 7919 % 1000, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    got = sorted((r.ord, r.a) for r in ranking.positions(df, ["a", "b"]).collect())
+    assert got == [(k + 1, a) for k, a in enumerate(sorted(a for a, _ in rows))] and ranking.positions(df.limit(0), ["a"]).count() == 0
