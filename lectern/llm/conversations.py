@@ -140,8 +140,9 @@ def faulted(rows: DataFrame) -> DataFrame:
     fault = (
         F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), "blank").when(F.col("nth") > 1, "duplicate").when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), "truncated")
     )
-    dealt = told.repartition("conv_id").withColumn("nth", nth).withColumn("fault", fault).drop("nth")
-    return dealt.sortWithinPartitions("conv_id", order, "role", "text")
+    dealt = told.repartition("conv_id").withColumn("nth", nth).withColumn("fault", fault)
+    # Equal rows of one turn stand as they are numbered: the first is no repeat.
+    return dealt.sortWithinPartitions("conv_id", order, "role", "text", "nth").drop("nth")
 
 
 def repaired(rows: DataFrame) -> DataFrame:
@@ -250,3 +251,35 @@ def op11(spark, sf_dir: str) -> DataFrame:
     zeros = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     nothing = F.lit(hashlib.sha256().hexdigest())
     return ids.join(found, ids["id"].eqNullSafe(found["conv_id"]), "left").select(F.col("id").alias("conv_id"), *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """The same search as a recursion over the rows of a conversation, each state a struct of cost, audit and repaired text."""
+    text = lambda s, piece: f"{s}.t" if piece is None else f"coalesce({s}.t || chr(10), '') || {piece}"
+    path = lambda s, cost, edit, piece=None, only="true": f"CASE WHEN {s} IS NOT NULL AND {only} THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 't': {text(s, piece)}}} END"
+    least = lambda *paths: f"list_sort(list_filter([{', '.join(paths)}], lambda x: x IS NOT NULL))[1]"
+    stays, more = "fault NOT IN ('blank', 'duplicate')", "CASE fault WHEN 'truncated' THEN 5 ELSE 0 END"
+    keep = lambda s, letter: path(s, more, "K", "role || ':' || text", f"{stays} AND left(role, 1) = '{letter}'")
+    rerole = lambda s: path(s, f"1 + {more}", "R", f"'{BRINGS[int(s[1])]}:' || text", stays)
+    insert = lambda s, role: path(s, 5, "I", f"'{role}:'")
+    key = "CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(k, i // 8 + 1, 1))::BIGINT) ELSE c END"
+    state = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    order = "PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth"
+    return rf"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+b AS (SELECT *, xor(list_reduce(range(8 * length(k)), lambda c, i: xor(({key}) >> 1, CASE WHEN ({key}) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 4294967295) % 20 AS d FROM t),
+dm AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM b),
+r AS (SELECT *, row_number() OVER ({order}) AS k, lag(role) OVER ({order}) AS before FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM dm)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM r),
+s(conv_id, k, s0, s1, s2, s3) AS (SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 't': NULL}}::{state}, NULL::{state}, {{'c': 5, 'a': 'I', 't': 'user:'}}::{state}, {{'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}}::{state} FROM f
+  UNION ALL SELECT conv_id, k, n0, n1, n2, {least("n3", insert("n2", "assistant"))} FROM (SELECT * REPLACE ({least("n2", insert("n0", "user"), insert("n1", "user"), insert("n3", "user"))} AS n2) FROM (
+    SELECT s.conv_id, f.k, {path("s0", 2, "D")} AS n0, {least(path("s1", 2, "D"), keep("s0", "s"))} AS n1, {least(path("s2", 2, "D"), *[keep(x, "u") for x in ("s0", "s1", "s3")], *[rerole(x) for x in ("s0", "s1", "s3")])} AS n2, {least(path("s3", 2, "D"), keep("s2", "a"), rerole("s2"))} AS n3
+    FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.k = s.k + 1))),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS k FROM f GROUP BY conv_id),
+e AS (SELECT g.*, {least("s0", "s3")} AS best FROM g JOIN s ON s.conv_id IS NOT DISTINCT FROM g.conv_id AND s.k = g.k)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+OP11_SQL = _sql()

@@ -25,6 +25,7 @@ ORACLES = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_license_scan": licenses.OP13_SQL,
 }

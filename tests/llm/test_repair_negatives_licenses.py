@@ -124,6 +124,12 @@ def test_damage(spark, sf):
         assert (r.cost, r.audit) == (_plain(by_conv[c]) if by_conv[c] else (0, ""))
 
 
+def test_of_equal_rows_the_first_is_no_repeat(spark):
+    rows = [(c, t, role, text) for c in range(60) for t, role, text in [(0, "user", "One."), (0, "user", "One."), (0, "user", "One."), (1, "assistant", "Two.")]]
+    edits = conversations.repaired(spark.createDataFrame(rows, TALK).repartition(5))
+    assert {r.audit for r in conversations.digests(edits).collect()} == {"KDDK"}
+
+
 def test_conversation_whose_rows_all_drop(spark, tmp_path):
     gone = next(k for k in range(1000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
     spark.createDataFrame([(gone, 0, "user", "Bye.")], TALK).write.parquet(f"{tmp_path}/conversations.parquet")
