@@ -187,8 +187,3 @@ def without_dateline(c: Column) -> Column:
     place = dateline(c)
     bare = F.regexp_replace(F.trim(F.substring(text, F.lit(1), F.length(text) - F.length(place))), r"[,;–—-]\s*$", "")
     return F.when((place == "") | (bare == ""), text).otherwise(bare)
-
-
-def split_outside_brackets(c: Column) -> Column:
-    """Parts between commas that stand outside (...) and [...], trimmed."""
-    return F.filter(F.transform(F.split(c, r",(?![^(\[]*[)\]])"), lambda x: F.trim(x)), lambda x: x != "")
