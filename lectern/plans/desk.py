@@ -419,13 +419,13 @@ def vocabulary_seed(spark, sf):
 
 
 @query("ocr_english_lines", r"""
-WITH b AS (SELECT conv_id AS page, substr(text, 1, 80) AS t, (conv_id * 7 + turn * 13) % 100 AS conf, (turn % 3) * 200 AS x, turn * 50 AS y FROM conversations),
+WITH b AS (SELECT conv_id AS page, text AS t, (conv_id * 7 + turn * 13) % 100 AS conf, (turn % 3) * 200 AS x, turn * 50 AS y FROM conversations),
 s AS (SELECT *, CASE WHEN length(trim(t)) = 0 OR length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(t, '[^\x00-\x7F]', '', 'g'))::DOUBLE / length(t) * (length(array_to_string(regexp_extract_all(t, '([A-Za-z]{2,}|[0-9]+)', 1), ''))::DOUBLE / length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g'))) END AS e FROM b),
 k AS (SELECT *, coalesce(conf, 0) >= 60 AND e >= 0.35 AS kept FROM s)
 SELECT page, coalesce(string_agg(t, chr(10) ORDER BY floor(x / 240 + 0.5), y, t) FILTER (kept), '') AS lines, avg(conf) FILTER (kept AND conf >= 75) AS conf, count(*) FILTER (NOT kept)::BIGINT AS dropped FROM k GROUP BY page""")
 def ocr_english_lines(spark, sf):
     """English lines of a page read by machine, column by column."""
-    b = table(spark, sf, "conversations").select(F.col("conv_id").alias("page"), F.substring("text", 1, 80).alias("text"), ((F.col("conv_id") * 7 + F.col("turn") * 13) % 100).alias("conf"), ((F.col("turn") % 3) * 200).alias("x0"), (F.col("turn") * 50).alias("y0"))
+    b = table(spark, sf, "conversations").select(F.col("conv_id").alias("page"), "text", ((F.col("conv_id") * 7 + F.col("turn") * 13) % 100).alias("conf"), ((F.col("turn") % 3) * 200).alias("x0"), (F.col("turn") * 50).alias("y0"))
     return D.english_lines(b, "page")
 
 
