@@ -31,3 +31,17 @@ def same(df, sf: str, sql: str) -> None:
     columns, rows = duck(sf, sql)
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, rows)
+
+
+def joined(df) -> int:
+    """Collects ``df``; the most rows that one of its joins made."""
+    df.collect()
+    most, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        if "Join" in p.nodeName():
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        inner = {"AdaptiveSparkPlan": "executedPlan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan"}.get(p.nodeName())
+        children = p.children()
+        plans += [getattr(p, inner)()] if inner else [children.apply(k) for k in range(children.size())]
+    return most
