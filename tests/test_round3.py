@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from helpers import joined, same
 from pyspark.sql import functions as F
 
-from lectern.operators import dedup, reads
+from lectern.functions import lists
+from lectern.functions import text as X
+from lectern.operators import dedup, desk, reads
 from lectern.plans import catalogue
 
 
@@ -35,3 +39,12 @@ def test_datelines_letter_by_letter(spark, tmp_path):
     texts = ["Erßtzbe und\nx", "straße", "ſabcd x", "eluru\u0085", "eluru\tx", "eluru\r\nx", "ŉabcd x", None, "", "ABCD x"]
     spark.createDataFrame([(k, t, "de", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     same(catalogue.QUERIES["named_places"](spark, str(tmp_path)), str(tmp_path), catalogue.ORACLES["named_places"])
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_readers_days_are_not_dealt_again(spark, sf):
+    top = next(x for x in _plan(catalogue.QUERIES["reader_days"](spark, sf)).splitlines() if "Join" in x)
+    assert re.search(r"Join \w+, \(day#\d+ = day#\d+\)", top), top
