@@ -48,3 +48,13 @@ def _plan(df) -> str:
 def test_a_readers_days_are_not_dealt_again(spark, sf):
     top = next(x for x in _plan(catalogue.QUERIES["reader_days"](spark, sf)).splitlines() if "Join" in x)
     assert re.search(r"Join \w+, \(day#\d+ = day#\d+\)", top), top
+
+
+def test_edges_ask_for_first_letters(spark):
+    for p in (*[p for _, p in lists.SUBJECTS], *[p for _, p in lists.VETO], lists.SPORT_REPORT, r"\b(?:one|two)\b", r"\bbod(?:y|ies)\b"):
+        assert re.match(r"(\(\?i\))?\(\?=\[[A-Za-z]+\]\)", lists.edged(p)), p
+    for p in (r"\b(?:s?one|two)\b", r"\b(?:one|\d+)\b", r"\bone|two", r"\b(?:one)?two", r"\b(?:one)|two", r"^one\b", r"\bs*x"):
+        assert lists.edged(p) == p.replace(r"\b", lists.EDGE)
+    texts = spark.createDataFrame([(t,) for t in ("bodies", "a body.", "nobody", "éone", "one_", "TWO one", "", None, "writ", "Bills", "murdered")], "t string")
+    for p in (lists.SUBJECTS[0][1], lists.VETO[0][1], r"\b(?:one|two)\b", r"\bbod(?:y|ies)\b"):
+        assert texts.filter(F.col("t").rlike(lists.edged(p)) != F.col("t").rlike(p.replace(r"\b", lists.EDGE))).count() == 0
