@@ -58,3 +58,9 @@ def test_edges_ask_for_first_letters(spark):
     texts = spark.createDataFrame([(t,) for t in ("bodies", "a body.", "nobody", "éone", "one_", "TWO one", "", None, "writ", "Bills", "murdered")], "t string")
     for p in (lists.SUBJECTS[0][1], lists.VETO[0][1], r"\b(?:one|two)\b", r"\bbod(?:y|ies)\b"):
         assert texts.filter(F.col("t").rlike(lists.edged(p)) != F.col("t").rlike(p.replace(r"\b", lists.EDGE))).count() == 0
+
+
+def test_sets_and_genres_are_made_once(spark):
+    t = spark.createDataFrame([("a b", "b c")], "h string, b string")
+    assert _plan(t.select(X.jaccard(X.tokens(F.col("h")), X.tokens(F.col("b"))).alias("x"))).count("regexp_replace(") == 2
+    assert _plan(t.select(desk.vetoed(F.col("h"), F.col("b"), (), "x", "x", "x", genre=F.reverse("h")).alias("x"))).count("reverse(") == 1
