@@ -64,3 +64,7 @@ def test_sets_and_genres_are_made_once(spark):
     t = spark.createDataFrame([("a b", "b c")], "h string, b string")
     assert _plan(t.select(X.jaccard(X.tokens(F.col("h")), X.tokens(F.col("b"))).alias("x"))).count("regexp_replace(") == 2
     assert _plan(t.select(desk.vetoed(F.col("h"), F.col("b"), (), "x", "x", "x", genre=F.reverse("h")).alias("x"))).count("reverse(") == 1
+
+
+def test_words_of_texts_are_read_once(spark, sf):
+    assert not any("documents" in f for f in catalogue.QUERIES["vocab_prefix_truncation"](spark, sf).inputFiles())
