@@ -68,3 +68,11 @@ def test_sets_and_genres_are_made_once(spark):
 
 def test_words_of_texts_are_read_once(spark, sf):
     assert not any("documents" in f for f in catalogue.QUERIES["vocab_prefix_truncation"](spark, sf).inputFiles())
+
+
+def test_glyphs_of_a_font_are_counted_by_width(spark):
+    g = spark.createDataFrame([("a", 1.0 + k % 4) for k in range(400)] + [("b", 2.0)] * 3, "font string, width double")
+    out = desk.glyph_reference(g, ["font"])
+    assert [tuple(r) for r in out.collect()] == [("a", 1.0, 400)]
+    window = _plan(out).split("Window")[1]
+    assert "Aggregate" in window.split("LogicalRDD")[0]
