@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 from helpers import joined
+from pyspark.sql import functions as F
 
-from lectern.operators import dedup
+from lectern.operators import dedup, desk, reads, relational
+from lectern.plans import catalogue
 
 
 def test_pairs_across_languages_are_counted_where_blocks_meet(spark, monkeypatch):
@@ -23,3 +25,13 @@ def test_pairs_across_languages_are_counted_where_blocks_meet(spark, monkeypatch
     whole = [(e, d, k, set(t)) for e, d, k, t in sets if len(t) >= 3 and None not in (e, d, k)]
     want = [(e, d, b, len(t & u), min(len(t), len(u))) for e, d, k, t in whole for f, b, l, u in whole if e == f and k != l and d < b and 100 * len(t & u) >= 34 * min(len(t), len(u))]
     assert sorted(map(tuple, got.collect())) == sorted(want) != []
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_topics_and_units_of_an_item_are_gathered_and_not_joined(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert joined(catalogue.QUERIES["derived_topic_units"](spark, sf)) <= lines
+    rows = spark.createDataFrame([(1, 1, (3,)), (1, 1, (3,)), (1, 2, None), (1, None, (None,)), (2, 1, (3,)), (None, 1, (3,))], "item_id long, unit long, topic struct<topic: long>")
+    assert _rows(reads.tied(rows)) == [(3, 1, 2), (3, 2, 1), (None, 1, 1), (None, 2, 1)]
