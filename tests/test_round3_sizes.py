@@ -42,3 +42,9 @@ def test_tags_gone_and_come_are_told_in_one_aggregate(spark, sf):
     rows = spark.createDataFrame([(1, 1, 5), (1, 1, 50), (1, 2, 5), (1, 3, 50), (None, 4, 5), (None, 4, 50), (None, None, 50), (2, 5, None), (2, 6, None), (2, 6, 7)], "item_id long, unit long, n long")
     got = relational.difference(rows, ["item_id", "unit"], F.col("n") >= 10, F.col("n") <= 45)
     assert _rows(got) == _rows(spark.createDataFrame([(1, 2, "added"), (1, 3, "removed"), (None, None, "removed"), (2, 6, "added")], "item_id long, unit long, change string"))
+
+
+def test_changes_of_tags_are_counted_without_a_join(spark, sf):
+    assert joined(catalogue.QUERIES["unit_reconcile"](spark, sf)) == 0
+    tags = spark.createDataFrame([(1, 1, 5), (1, 2, 20), (1, 3, 50), (1, None, 20), (2, 1, None), (None, 1, 20)], "item_id long, unit long, hits long")
+    assert _rows(desk.unit_changes(tags, F.col("hits") >= 10, F.col("hits") <= 45)) == [(1, 2, 2, 1), (None, 1, 1, 0)]
