@@ -48,3 +48,12 @@ def test_changes_of_tags_are_counted_without_a_join(spark, sf):
     assert joined(catalogue.QUERIES["unit_reconcile"](spark, sf)) == 0
     tags = spark.createDataFrame([(1, 1, 5), (1, 2, 20), (1, 3, 50), (1, None, 20), (2, 1, None), (None, 1, 20)], "item_id long, unit long, hits long")
     assert _rows(desk.unit_changes(tags, F.col("hits") >= 10, F.col("hits") <= 45)) == [(1, 2, 2, 1), (None, 1, 1, 0)]
+
+
+def test_what_was_asked_is_put_in_order_where_it_is_gathered(spark, sf):
+    plan = catalogue.QUERIES["past_question_evidence"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number") == 1
+    keywords = spark.createDataFrame([(1, k) for k in "aabcdefa"] + [(2, "b"), (3, "none"), (None, "a")], "item_id long, keyword string")
+    asked = spark.createDataFrame([(k, n, "0/1") for k, n in zip("abcdef", (2, 9, 3, 3, 9, 1))], "keyword string, n long, formats string")
+    questions = spark.createDataFrame([("a", 7, 1990), ("a", 8, 1990), ("a", 9, 1980), ("f", 6, 1990), ("c", 5, 1970)], "keyword string, question long, year int")
+    assert _rows(reads.evidence(keywords, asked, questions)) == [(1, "b:9:0/1,e:9:0/1,c:3:0/1,d:3:0/1", "6,7"), (2, "b:9:0/1", None), (None, "a:2:0/1", "7,8")]
