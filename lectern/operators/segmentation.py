@@ -11,9 +11,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from lectern.functions.text import dateline, dehyphenated, js_round, without_dateline
-from lectern.sources.shared import kept
 
 PAGE = ["doc", "page"]
 #: Pointers to where an article goes on.
@@ -51,10 +51,22 @@ def fragment(text: Column) -> Column:
     return text.rlike("^[a-z]") & ~text.rlike(r"^[a-z]{2,}\s+[A-Z]")
 
 
-def _commonest(rows: DataFrame, value: Column, weight: Column, name: str) -> DataFrame:
-    """Per page the value of most weight, of equal ones the first printed."""
-    each = rows.groupBy(*PAGE, value.alias("v")).agg(F.sum(weight).alias("n"), F.min("block").alias("first"))
-    return each.groupBy(*PAGE).agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "v"))["v"].alias(name))
+def _of_page() -> W.WindowSpec:
+    """All steps are over the rows of one page, which are dealt once."""
+    return W.Window.partitionBy(*PAGE)
+
+
+def _gathered(which: Column, *columns: str) -> Column:
+    """The ``columns`` of the rows of a block's page for which ``which`` holds, in no order."""
+    return F.collect_list(F.when(which, F.struct(*columns))).over(_of_page())
+
+
+def _commonest(rows: DataFrame, which: Column, value: Column, weight: Column, name: str) -> DataFrame:
+    """``rows`` with the value of most weight on their page, of equal ones the first printed, among rows for which ``which`` holds; null if none does."""
+    each = W.Window.partitionBy(*PAGE, "_v")
+    n = rows.withColumn("_v", F.when(which, value)).withColumn("_n", F.sum(weight).over(each)).withColumn("_first", F.min("block").over(each))
+    best = F.when(F.col("_v").isNotNull(), F.struct("_n", (-F.col("_first")).alias("f"), "_v"))
+    return n.withColumn(name, F.max(best).over(_of_page())["_v"]).drop("_v", "_n", "_first")
 
 
 def classified(blocks: DataFrame, profile: Profile = Profile()) -> DataFrame:
@@ -62,9 +74,9 @@ def classified(blocks: DataFrame, profile: Profile = Profile()) -> DataFrame:
 
     A page's titles, drop caps (one or two letters set large) and lines of headline size that are not shaped like one (secondary) are told from headlines.
     """
-    b = blocks.withColumn("text", cleaned(F.col("text"))).filter("text <> ''")
-    size = _commonest(b, js_round(F.coalesce("size", F.lit(0.0)) * 2) / 2, F.length("text"), "body_size")
-    b = b.join(size, PAGE).withColumn("body_size", F.when(F.col("body_size") > 0, F.col("body_size")).otherwise(9.0))
+    # Dealt by page before texts are cleaned: all that follows happens where a page is.
+    b = blocks.filter("doc is not null and page is not null").repartition(*PAGE).withColumn("text", cleaned(F.col("text"))).filter("text <> ''")
+    b = _commonest(b, F.lit(True), js_round(F.coalesce("size", F.lit(0.0)) * 2) / 2, F.length("text"), "body_size").withColumn("body_size", F.when(F.col("body_size") > 0, F.col("body_size")).otherwise(9.0))
     text, ratio, n = F.col("text"), F.coalesce("size", F.lit(0.0)) / F.col("body_size"), F.length("text")
     any_ = lambda ps: F.lit(False) if not ps else text.rlike("|".join(f"(?:{p})" for p in ps))
     ends = text.rlike(r"[.!?]$")
@@ -75,14 +87,18 @@ def classified(blocks: DataFrame, profile: Profile = Profile()) -> DataFrame:
     return b.withColumn("role", F.when((role != "headline") & text.rlike(JUMP_ONLY), "jumpline").otherwise(role))
 
 
-def owners(blocks: DataFrame) -> DataFrame:
-    """doc, page, block, owner: for blocks that are no headline, the nearest headline above that covers their centre; null if there is none."""
-    h = blocks.filter("role = 'headline'").select(*PAGE, F.col("block").alias("owner"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y0").alias("hy0"), F.col("y1").alias("hy1"))
-    b = blocks.filter("role <> 'headline'")
+def _owned(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``heads``, the headlines of their page, and ``owner``: for blocks that are no headline, the nearest headline above that covers their centre; null if there is none."""
+    b = blocks.withColumn("heads", _gathered(F.col("role") == "headline", "block", "x0", "y0", "x1", "y1"))
     centre = (F.col("x0") + F.col("x1")) / 2
-    over = b.join(h, PAGE).filter((F.col("hy1") <= F.col("y0") + ABOVE) & centre.between(F.col("hx0") - COVER, F.col("hx1") + COVER))
-    best = over.groupBy(*PAGE, "block").agg(F.max(F.struct("hy1", (-F.col("hy0")).alias("y"), (-F.col("owner")).alias("o"), "owner"))["owner"].alias("owner"))
-    return b.select(*PAGE, "block").join(best, [*PAGE, "block"], "left")
+    over = lambda h: (h["y1"] <= F.col("y0") + ABOVE) & centre.between(h["x0"] - COVER, h["x1"] + COVER)
+    near = F.array_max(F.transform(F.filter("heads", over), lambda h: F.struct(h["y1"].alias("y1"), (-h["y0"]).alias("y"), (-h["block"]).alias("o"), h["block"].alias("owner"))))
+    return b.withColumn("owner", F.when(F.col("role") != "headline", near["owner"]))
+
+
+def owners(blocks: DataFrame) -> DataFrame:
+    """doc, page, block, owner of the blocks that are no headline."""
+    return _owned(blocks).filter("role <> 'headline'").select(*PAGE, "block", "owner")
 
 
 def promoted(blocks: DataFrame) -> DataFrame:
@@ -91,10 +107,8 @@ def promoted(blocks: DataFrame) -> DataFrame:
     Of the secondary lines at most DROP above the cap and beside it, the lowest that is no fragment is the headline; fragments below it
     go on its text and are noise. Caps are taken in their order, and a line that one of them took is not there for the next.
     """
-    caps = blocks.filter("role = 'dropcap'").join(owners(blocks.filter("role in ('headline', 'dropcap')")).filter("owner is null").drop("owner"), [*PAGE, "block"], "left_semi")
-    at = F.struct("block", "x0", "y0", "x1", "text")
-    ordered = lambda rows, name: rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(at)).alias(name))
-    pages = ordered(caps, "caps").join(ordered(blocks.filter("role = 'secondary'"), "lines"), PAGE)
+    at = ("block", "x0", "y0", "x1", "text")
+    b = _owned(blocks).withColumn("caps", F.array_sort(_gathered((F.col("role") == "dropcap") & F.col("owner").isNull(), *at))).withColumn("lines", _gathered(F.col("role") == "secondary", *at))
 
     def take(state: Column, cap: Column) -> Column:
         beside = lambda s: ~F.array_contains(state["taken"], s["block"]) & (s["y0"] < cap["y0"]) & (cap["y0"] - s["y0"] <= DROP) & (s["x0"] < cap["x1"] + COVER) & (s["x1"] > cap["x0"] - COVER)
@@ -111,39 +125,39 @@ def promoted(blocks: DataFrame) -> DataFrame:
 
     kind = blocks.schema["block"].dataType.simpleString()
     start = F.struct(F.array().cast(f"array<{kind}>").alias("taken"), F.array().cast(f"array<struct<block: {kind}, told: string>>").alias("heads"))
-    done = pages.select(*PAGE, F.aggregate("caps", start, take).alias("s"))
-    moved = done.select(*PAGE, F.explode("s.taken").alias("block"), F.col("s.heads").alias("heads"))
-    told = F.filter("heads", lambda h: h["block"] == F.col("block"))
-    moved = moved.select(*PAGE, "block", F.get(told, F.lit(0))["told"].alias("told"), F.when(F.size(told) > 0, "headline").otherwise("noise").alias("became"))
-    return blocks.join(moved, [*PAGE, "block"], "left").withColumn("role", F.coalesce("became", "role")).withColumn("text", F.coalesce("told", "text")).drop("told", "became")
+    done = b.withColumn("s", F.when((F.col("role") == "secondary") & (F.size("caps") > 0), F.aggregate("caps", start, take)))
+    told = F.get(F.filter("s.heads", lambda h: h["block"] == F.col("block")), F.lit(0))["told"]
+    done = done.withColumn("told", told).withColumn("role", F.when(F.col("told").isNotNull(), "headline").when(F.array_contains("s.taken", F.col("block")), "noise").otherwise(F.col("role")))
+    return done.withColumn("text", F.coalesce("told", "text")).select(blocks.columns)
 
 
 def guarded(blocks: DataFrame) -> DataFrame:
     """Body blocks wider than COLUMNS of the page's commonest body columns become "merged": they hold several stories' lines."""
     width = F.col("x1") - F.col("x0")
     step = js_round(width / 5) * 5
-    columns = _commonest(blocks.filter("role = 'body'").filter(step > 0), step, F.lit(1), "column")
+    b = _commonest(blocks, (F.col("role") == "body") & (step > 0), step, F.lit(1), "column")
     wide = (F.col("role") == "body") & (width > F.col("column") * COLUMNS)
-    return blocks.join(columns, PAGE, "left").withColumn("role", F.when(F.coalesce(wide, F.lit(False)), "merged").otherwise(F.col("role"))).drop("column")
+    return b.withColumn("role", F.when(F.coalesce(wide, F.lit(False)), "merged").otherwise(F.col("role"))).drop("column")
 
 
 _NO_STORY = ("noise", "furniture", "pagetitle", "classified", "merged")
 
 
-def adopted(blocks: DataFrame) -> DataFrame:
-    """doc, page, block, owner, late: blocks of stories with the headline that owns them, orphans with the nearest article's, at most ORPHAN away (late). Others have a null owner.
+def _adopted(blocks: DataFrame) -> DataFrame:
+    """``blocks`` of stories with heads, owner and late: the headline that owns them, of orphans the nearest article's, at most ORPHAN away (late). Others have a null owner.
 
     An article's region is its headline and its body; a body orphan that joins widens it for the orphans after it.
     """
-    story = blocks.filter(~F.col("role").isin(*_NO_STORY))
-    owned = owners(story)
-    box = story.select(*PAGE, "block", "role", "x0", "y0", "x1", "y1")
-    of = owned.join(box, [*PAGE, "block"]).withColumn("id", F.coalesce("owner", F.lit(None).cast(blocks.schema["block"].dataType)))
-    parts = of.filter("owner is not null and role = 'body'").select(*PAGE, "owner", "x0", "y0", "x1", "y1").unionByName(box.filter("role = 'headline'").select(*PAGE, F.col("block").alias("owner"), "x0", "y0", "x1", "y1"))
-    heads = box.filter("role = 'headline'").select(*PAGE, F.col("block").alias("owner"), F.col("y0").alias("at"))
-    regions = parts.groupBy(*PAGE, "owner").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).join(heads, [*PAGE, "owner"])
-    regions = regions.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("at", "owner", "x0", "y0", "x1", "y1"))).alias("regions"))
-    orphans = of.filter("owner is null").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("block", "role", "x0", "y0", "x1", "y1"))).alias("orphans"))
+    b = _owned(blocks.filter(~F.col("role").isin(*_NO_STORY)))
+    box = ("x0", "y0", "x1", "y1")
+    b = b.withColumn("bodies", _gathered((F.col("role") == "body") & F.col("owner").isNotNull(), "owner", *box)).withColumn("orphans", F.array_sort(_gathered((F.col("role") != "headline") & F.col("owner").isNull(), "block", "role", *box)))
+
+    def region(h: Column) -> Column:
+        own = F.filter("bodies", lambda p: p["owner"] == h["block"])
+        edge = lambda side, of, pick: of(h[side], pick(F.transform(own, lambda p: p[side]))).alias(side)
+        return F.struct(h["y0"].alias("at"), h["block"].alias("owner"), edge("x0", F.least, F.array_min), edge("y0", F.least, F.array_min), edge("x1", F.greatest, F.array_max), edge("y1", F.greatest, F.array_max))
+
+    b = b.withColumn("regions", F.when((F.col("role") != "headline") & F.col("owner").isNull() & (F.size("heads") > 0), F.array_sort(F.transform("heads", region))))
 
     def take(state: Column, b: Column) -> Column:
         apart = lambda low, high, a, z: F.greatest(F.lit(0.0), low - z, a - high)
@@ -161,8 +175,15 @@ def adopted(blocks: DataFrame) -> DataFrame:
 
     kind = blocks.schema["block"].dataType.simpleString()
     start = F.struct(F.col("regions"), F.array().cast(f"array<struct<block: {kind}, near: {kind}>>").alias("found"))
-    late = regions.join(orphans, PAGE).select(*PAGE, F.explode(F.aggregate("orphans", start, take)["found"]).alias("f")).select(*PAGE, "f.block", "f.near")
-    return owned.join(late, [*PAGE, "block"], "left").select(*PAGE, "block", F.coalesce("owner", "near").alias("owner"), (F.col("owner").isNull() & F.col("near").isNotNull()).alias("late"))
+    found = F.filter(F.aggregate("orphans", start, take)["found"], lambda f: f["block"] == F.col("block"))
+    near = b.withColumn("near", F.when(F.col("regions").isNotNull(), F.get(found, F.lit(0))["near"]))
+    near = near.withColumn("late", F.col("owner").isNull() & F.col("near").isNotNull()).withColumn("owner", F.coalesce("owner", "near"))
+    return near.drop("bodies", "orphans", "regions", "near")
+
+
+def adopted(blocks: DataFrame) -> DataFrame:
+    """doc, page, block, owner, late of the blocks of stories that are no headline, as _adopted tells them."""
+    return _adopted(blocks).filter("role <> 'headline'").select(*PAGE, "block", "owner", "late")
 
 
 def _byline(text: Column) -> Column:
@@ -176,15 +197,16 @@ def segmented(blocks: DataFrame, profile: Profile = Profile(), least: int = LEAS
 
     The body goes column by column; pointers to other pages leave it and tell where it goes on; a drop cap is put back before a word that lacks it. Articles of fewer than ``least`` characters go.
     """
-    b = kept(guarded(promoted(kept(classified(blocks, profile), "classified"))), "pages")
-    h = b.filter("role = 'headline'").select(*PAGE, F.col("block").alias("id"), "x0", "y0", "x1", "y1", F.col("text").alias("headline"), "size", "body_size")
-    of = adopted(b).filter("owner is not null").join(b, [*PAGE, "block"]).join(h.select(*PAGE, F.col("id").alias("owner"), F.col("y1").alias("foot")), [*PAGE, "owner"])
+    of = _adopted(guarded(promoted(classified(blocks, profile)))).withColumn("id", F.when(F.col("role") == "headline", F.col("block")).otherwise(F.col("owner"))).filter("id is not null")
+    of = of.withColumn("foot", F.get(F.filter("heads", lambda h: h["block"] == F.col("id")), F.lit(0))["y1"])
     column = js_round(F.col("x0") / 24) * 24
     parts = lambda role, *order: F.transform(F.array_sort(F.collect_list(F.when(role, F.struct(*[c.alias(f"k{k}") for k, c in enumerate(order)], F.col("text").alias("text"))))), lambda x: x["text"])
     turn = (F.col("late"), F.col("block"))
     role = F.col("role")
     below = F.col("y0") - F.col("foot")
-    each = of.groupBy(*PAGE, F.col("owner").alias("id")).agg(
+    head = F.struct("x0", "y0", "x1", "y1", F.col("text").alias("headline"), "size", "body_size")
+    a = of.groupBy(*PAGE, "id").agg(
+        F.max(F.when(role == "headline", head)).alias("h"), F.count_if(role != "headline").alias("n"),
         parts(role == "body", column, F.col("y0"), *turn).alias("bodies"), parts(role == "dropcap", *turn).alias("caps"), parts(role == "jumpline", *turn).alias("jumps"), parts(role == "caption", *turn).alias("captions"),
         parts(role == "byline", F.col("y0"), *turn).alias("bylines"), parts((role == "secondary") & below.between(0, STANDFIRST), *turn).alias("under"),
     )
@@ -192,7 +214,7 @@ def segmented(blocks: DataFrame, profile: Profile = Profile(), least: int = LEAS
     pages = F.concat(F.flatten(F.transform("jumps", lambda t: F.regexp_extract_all(t, F.lit(CONTINUATION), F.lit(1)))), F.regexp_extract_all(body, F.lit(CONTINUATION), F.lit(1)))
     capped = F.aggregate("caps", F.regexp_replace(body, POINTER, " "), lambda text, cap: F.when(text.rlike("^[a-z]"), F.concat(F.regexp_replace(cap, "[^A-Za-z0-9_]", ""), text)).otherwise(text))
     byline = F.coalesce(F.get(F.filter("bylines", _byline), F.lit(0)), F.lit(""))
-    a = h.join(each, [*PAGE, "id"]).select(
+    a = a.filter("n > 0").select(*PAGE, "id", "h.*", "bodies", "caps", "jumps", "captions", "bylines", "under").select(
         *PAGE, "id", "x0", "y0", "x1", "y1", "headline", F.coalesce(F.get("under", F.lit(0)), F.lit("")).alias("standfirst"), without_dateline(byline).alias("byline"), dateline(byline).alias("dateline"), "captions",
         cleaned(capped).alias("body"), F.get(pages, F.lit(0)).cast("int").alias("continues_on"), (js_round(F.col("size") / F.col("body_size") * 100) / 100).alias("prominence"), F.size("bodies").cast("long").alias("n_blocks"),
     )

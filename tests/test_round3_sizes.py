@@ -7,7 +7,7 @@ import random
 from helpers import joined
 from pyspark.sql import functions as F
 
-from lectern.operators import dedup, desk, reads, relational
+from lectern.operators import dedup, desk, reads, relational, segmentation
 from lectern.plans import catalogue
 
 
@@ -57,3 +57,16 @@ def test_what_was_asked_is_put_in_order_where_it_is_gathered(spark, sf):
     asked = spark.createDataFrame([(k, n, "0/1") for k, n in zip("abcdef", (2, 9, 3, 3, 9, 1))], "keyword string, n long, formats string")
     questions = spark.createDataFrame([("a", 7, 1990), ("a", 8, 1990), ("a", 9, 1980), ("f", 6, 1990), ("c", 5, 1970)], "keyword string, question long, year int")
     assert _rows(reads.evidence(keywords, asked, questions)) == [(1, "b:9:0/1,e:9:0/1,c:3:0/1,d:3:0/1", "6,7"), (2, "b:9:0/1", None), (None, "a:2:0/1", "7,8")]
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_articles_are_made_where_their_page_is(spark, sf):
+    for name in ("page_segments", "segmented_articles"):
+        df = catalogue.QUERIES[name](spark, sf)
+        # One exchange numbers the questions, one deals their pages.
+        assert _exchanges(df) == 2 and joined(df) == 0, name
+    blocks = spark.createDataFrame([(1, 1, 1, 0.0, 80.0, 90.0, 90.0, 20.0, "A headline as they are set"), (1, None, 1, 0.0, 80.0, 90.0, 90.0, 20.0, "A headline as they are set")], "doc int, page int, block int, x0 double, y0 double, x1 double, y1 double, size double, text string")
+    assert [(r.block, r.role, r.body_size) for r in segmentation.guarded(segmentation.classified(blocks)).collect()] == [(1, "body", 20.0)]
