@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from lectern.functions.lists import BANK_FORMATS
 from lectern.functions.text import entities, html_text, page_headline, url_host
-from lectern.sources.shared import kept
+from lectern.sources.shared import dealt, kept
 
 _IN = lambda tag: rf"(?is)<{tag}\b[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>"
 
@@ -109,7 +109,8 @@ def question_bank(lines: DataFrame) -> DataFrame:
     section = F.when(~v.rlike(BANK_IGNORED) & v.rlike(BANK_SECTION), F.trim(F.regexp_extract(v, BANK_SECTION, 1))).when(v.rlike(BANK_PART), F.trim(F.regexp_extract(v, BANK_PART, 1)))
     w = W.Window.partitionBy("file").orderBy("line_no")
     carried = lambda c: F.last(c, ignorenulls=True).over(w)
-    m = lines.withColumn("head", head)
+    # A file's lines are sorted three times in one task.
+    m = dealt(lines, "file").withColumn("head", head)
     m = m.withColumn("section", F.when(F.col("head").isNotNull(), "").otherwise(section)).withColumn("ignored", F.when(F.col("head").isNotNull(), False).when(v.rlike(BANK_SECTION), v.rlike(BANK_IGNORED)))
     m = m.withColumn("block", F.count("head").over(w)).withColumn("title", carried("head")).withColumn("section", carried("section")).withColumn("ignored", carried("ignored"))
     m = m.withColumn("source", F.first(F.nullif(F.regexp_extract(v, BANK_SOURCE, 1), F.lit("")), ignorenulls=True).over(W.Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))

@@ -70,3 +70,7 @@ def test_articles_are_made_where_their_page_is(spark, sf):
         assert _exchanges(df) == 2 and joined(df) == 0, name
     blocks = spark.createDataFrame([(1, 1, 1, 0.0, 80.0, 90.0, 90.0, 20.0, "A headline as they are set"), (1, None, 1, 0.0, 80.0, 90.0, 90.0, 20.0, "A headline as they are set")], "doc int, page int, block int, x0 double, y0 double, x1 double, y1 double, size double, text string")
     assert [(r.block, r.role, r.body_size) for r in segmentation.guarded(segmentation.classified(blocks)).collect()] == [(1, "body", 20.0)]
+
+
+def test_lines_of_banks_are_dealt_over_all_partitions(spark, sf):
+    assert "REPARTITION_BY_NUM" in catalogue.QUERIES["bank_questions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
