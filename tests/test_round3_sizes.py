@@ -74,3 +74,7 @@ def test_articles_are_made_where_their_page_is(spark, sf):
 
 def test_lines_of_banks_are_dealt_over_all_partitions(spark, sf):
     assert "REPARTITION_BY_NUM" in catalogue.QUERIES["bank_questions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tags_to_judge_are_dealt_over_all_partitions(spark, sf):
+    assert "REPARTITION_BY_NUM" in catalogue.QUERIES["seeded_sample"](spark, sf)._jdf.queryExecution().executedPlan().toString()
