@@ -24,7 +24,10 @@ def column_width(blocks: DataFrame, step: int = 5) -> DataFrame:
 
 def roles(blocks: DataFrame, noise: tuple[str, ...] = (), running: tuple[str, ...] = (), classified: tuple[str, ...] = (), strips: tuple[float, float] | None = None) -> DataFrame:
     """role of each block: by patterns of its text, by where it starts (``strips``: the least and the greatest y of what is printed between head and foot), by its size against the body's and by its length."""
-    b = blocks.join(body_size(blocks), "doc")
+    # The body's size as body_size has it, over a document's blocks where they are: they are made and dealt once.
+    b = blocks.filter("doc is not null").repartition("doc").withColumn("_s", F.floor(F.col("size") * 2 + 0.5) / 2)
+    b = b.withColumn("_chars", F.sum(F.length("text")).over(W.Window.partitionBy("doc", "_s")))
+    b = b.withColumn("body_size", -F.max(F.struct("_chars", (-F.col("_s")).alias("s"))).over(W.Window.partitionBy("doc"))["s"]).drop("_s", "_chars")
     ratio, text = F.col("size") / F.col("body_size"), F.col("text")
     any_ = lambda ps: F.lit(False) if not ps else text.rlike("|".join(f"(?:{p})" for p in ps))
     edge = F.lit(False) if strips is None else (F.col("y0") <= strips[0]) | (F.col("y0") >= strips[1])
@@ -60,6 +63,26 @@ def articles(blocks: DataFrame, owned: DataFrame, width: float = 240.0, least: i
     return b.groupBy("doc", "page", "owner").agg(text.alias("text")).filter(F.length("text") >= least)
 
 
+def page_articles(blocks: DataFrame, width: float = 240.0, most: float = 140.0, least: int = 140) -> DataFrame:
+    """doc, page, owner, text of each article of ``blocks`` with roles: its blocks column by column, top to bottom; those under ``least`` characters go.
+
+    A block's owner is as in ``owners``, an orphan's as in ``adopted``; both are told over the page's blocks where they are.
+    """
+    page = W.Window.partitionBy("doc", "page")
+    gathered = lambda which, *columns: F.collect_list(F.when(which, F.struct(*columns))).over(page)
+    b = blocks.filter("page is not null").withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
+    b = b.withColumn("heads", gathered(F.col("role") == "headline", "block", "x0", "x1", "y1"))
+    above = F.filter("heads", lambda h: (h["y1"] <= F.col("y0")) & F.col("cx").between(h["x0"], h["x1"]))
+    best = F.array_max(F.transform(above, lambda h: F.struct(h["y1"].alias("y"), h["block"].alias("owner"))))
+    b = b.withColumn("owner", F.when(F.col("role") != "headline", best["owner"])).withColumn("held", gathered(F.col("owner").isNotNull(), "owner", "cx", "cy"))
+    apart = lambda o: (F.col("cx") - o["cx"]) * (F.col("cx") - o["cx"]) + (F.col("cy") - o["cy"]) * (F.col("cy") - o["cy"])
+    near = F.array_min(F.transform(F.filter("held", lambda o: apart(o) <= most * most), lambda o: F.struct(apart(o).alias("d"), o["owner"].alias("owner"))))
+    b = b.filter("role <> 'headline'").withColumn("owner", F.coalesce("owner", near["owner"])).filter("owner is not null")
+    order = F.struct(F.floor(F.col("x0") / width).alias("c"), F.col("y0").alias("y"), F.col("block").alias("b"), F.col("text").alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["t"]), "\n")
+    return b.groupBy("doc", "page", "owner").agg(text.alias("text")).filter(F.length("text") >= least)
+
+
 def jumps(heads: DataFrame, least: int = 2) -> DataFrame:
     """``heads`` (doc, page, id, words, to_page) -> id, next: the article of the named page that shares most words of the headline, ``least`` at least."""
     a = heads.filter("to_page is not null").select("doc", F.col("to_page").alias("page"), "id", "words")

@@ -73,8 +73,7 @@ def orphans_adopted(spark, sf):
 WITH {_OWNED}, t AS (SELECT a.doc, a.page, a.owner, string_agg(text, chr(10) ORDER BY floor(x0 / 240), y0, a.block) AS text FROM adopted a JOIN roles USING (block) WHERE a.owner IS NOT NULL GROUP BY ALL) SELECT doc, page, owner, text FROM t WHERE length(text) >= 140""")
 def page_articles(spark, sf):
     """Articles of a page, column by column."""
-    r = _roles(spark, sf)
-    return G.articles(r.drop("role"), G.adopted(r, _owned(spark, sf)))
+    return G.page_articles(_roles(spark, sf).filter("role not in ('noise', 'furniture')"))
 
 
 @query("jump_links", f"""

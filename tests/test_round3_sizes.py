@@ -78,3 +78,8 @@ def test_lines_of_banks_are_dealt_over_all_partitions(spark, sf):
 
 def test_tags_to_judge_are_dealt_over_all_partitions(spark, sf):
     assert "REPARTITION_BY_NUM" in catalogue.QUERIES["seeded_sample"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_articles_are_made_where_their_page_is(spark, sf):
+    df = catalogue.QUERIES["page_articles"](spark, sf)
+    assert _exchanges(df) == 2 and joined(df) == 0
