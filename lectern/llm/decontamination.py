@@ -30,6 +30,8 @@ from lectern.llm.tokens import ALNUM, Words, lists, pieces
 
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
+#: Bytes of the index that a row group holds, about: what a task decodes at once.
+GROUP_BYTES = 8 << 20
 #: Words between the positions of neighbouring documents, so that no phrase or neighbourhood spans two.
 GAP = 1 << 12
 #: Benchmark words, about, that a search takes at once: what it sends to the driver and each executor is bounded by it.
@@ -60,7 +62,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([segment]), whole(h[first].view(np.int64)), whole(ends), whole(positions[order]), ids, whole(counts.astype(np.int32))], ["segment", "terms", "ends", "positions", "doc_ids", "doc_words"])
             segment += 1
 
-    return written(doc_texts(docs).mapInArrow(index, INDEX), "positions")
+    return written(doc_texts(docs).mapInArrow(index, INDEX), "positions", GROUP_BYTES)
 
 
 def _array(column: pa.Array, k: int) -> np.ndarray:
