@@ -47,3 +47,14 @@ def test_sets_of_several_blocks_meet_once(spark, tmp_path, monkeypatch):
 def test_low_scores_are_refused(spark):
     with pytest.raises(ValueError):
         dedup.similar_pairs(spark.createDataFrame([(1, "e", "x")], "doc_id long, edition string, text string"), "edition", percent=40)
+
+
+@pytest.mark.parametrize("query", ["dup_components"])
+def test_whole_texts_are_compared(spark, tmp_path, query):
+    many = lambda c, n: " ".join(f"{c}{k}x" for k in range(n))
+    rows = [(1, f"one two three\n{many('a', 300)} {many('s', 3000)}"), (2, f"one four five\n{many('b', 300)} {many('s', 3000)}"), (3, f"six seven eight\n{many('t', 300)} {many('c', 3000)}"), (4, f"six nine ten\n{many('t', 300)} {many('d', 3000)}")]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in rows], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalogue.QUERIES[query](spark, str(tmp_path))
+    same(out, str(tmp_path), catalogue.ORACLES[query])
+    tied = {r.node for r in out.collect()} if query == "dup_components" else {r.leader for r in out.collect() if r.copies > 1}
+    assert tied == ({1, 2} if query == "dup_components" else {1})
