@@ -49,7 +49,7 @@ def test_low_scores_are_refused(spark):
         dedup.similar_pairs(spark.createDataFrame([(1, "e", "x")], "doc_id long, edition string, text string"), "edition", percent=40)
 
 
-@pytest.mark.parametrize("query", ["dup_components"])
+@pytest.mark.parametrize("query", ["dup_collapsed", "dup_components"])
 def test_whole_texts_are_compared(spark, tmp_path, query):
     many = lambda c, n: " ".join(f"{c}{k}x" for k in range(n))
     rows = [(1, f"one two three\n{many('a', 300)} {many('s', 3000)}"), (2, f"one four five\n{many('b', 300)} {many('s', 3000)}"), (3, f"six seven eight\n{many('t', 300)} {many('c', 3000)}"), (4, f"six nine ten\n{many('t', 300)} {many('d', 3000)}")]
