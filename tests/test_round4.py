@@ -58,3 +58,9 @@ def test_whole_texts_are_compared(spark, tmp_path, query):
     same(out, str(tmp_path), catalogue.ORACLES[query])
     tied = {r.node for r in out.collect()} if query == "dup_components" else {r.leader for r in out.collect() if r.copies > 1}
     assert tied == ({1, 2} if query == "dup_components" else {1})
+
+
+def test_a_readers_rows_carry_what_items_say_of_themselves(spark, sf):
+    plan = catalogue.QUERIES["reader_days"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    row = plan.split("Join")[0].lower()
+    assert not any(x in row for x in ("date_format", "gettimestamp", "floor", "greatest", "least")), row
